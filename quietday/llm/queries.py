@@ -5,14 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quietday.llm import exact_dedup, packing, simhash, token_orc
+from quietday.llm import bpe, exact_dedup, langid, packing, quality, simhash, token_orc
 from quietday.llm.common import scratch_path, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
+BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def fold(of: int, column: str = "doc_id") -> Column:
+    """crc32 of the decimal id modulo `of`; a null id is in no fold."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(of))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(4) != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs.where(fold(3) != 1), labels)
+    found = quality.predict(docs, model)
+    return found.select("doc_id", (F.coalesce(fold(3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -32,7 +59,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_exact_dedup, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op5_exact_dedup, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
