@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietday.llm import bpe, exact_dedup, langid, packing, quality, simhash, token_orc
+from quietday.llm import ann, bpe, chat, exact_dedup, langid, packing, quality, simhash, token_orc
 from quietday.llm.common import scratch_path, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+def op7_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-ids")
     token_orc.write_ids(table(spark, sf_dir, "documents"), out, BPE_JSON, end_id=2)
@@ -59,7 +67,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op5_exact_dedup, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,4 +78,14 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g USING (norm)""",
+    "op6_chat_formatting": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+             p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+             c AS (SELECT conv_id, list(role || chr(31) || text ORDER BY pos) AS turns, count(*) AS n_turns FROM p GROUP BY conv_id),
+             m AS (SELECT * FROM c a
+                   WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.n_turns > a.n_turns AND b.turns[1] = a.turns[1] AND b.turns[1:a.n_turns] = a.turns)
+                     AND NOT EXISTS (SELECT 1 FROM c b WHERE b.turns = a.turns AND b.conv_id < a.conv_id))
+        SELECT p.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, n_turns,
+               string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS text
+        FROM p JOIN m USING (conv_id) GROUP BY 1, 2, 3""",
 }
