@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietday.llm import ann, bpe, chat, exact_dedup, langid, packing, quality, simhash, token_orc
+from quietday.llm import ann, bpe, chat, exact_dedup, html, langid, packing, quality, simhash, token_orc
 from quietday.llm.common import scratch_path, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -67,7 +71,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
