@@ -285,3 +285,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, bits double")
+
+
+def filter_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows and columns of `docs` whose text has a letter and isn't rejected."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([not g[2] for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

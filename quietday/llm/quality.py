@@ -159,3 +159,17 @@ def predict(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def filter_good(docs: DataFrame, model: Discriminant, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows and columns of `docs` with a score of at least `least`."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(shared.value.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
