@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietday.llm.common import small_batches, text_or_empty
-from quietday.llm.encoding import INSIDE_RUN, MEMO_CHARS, MEMO_CHUNKS
+from quietday.llm.encoding import ChunkMemo
 
 NONE = np.int64(1) << 62
 #: Cells of the trees that are held at once.
@@ -29,10 +29,13 @@ CELLS = 1 << 20
 _coders: dict[tuple[str, str], "BytePairs"] = {}
 
 
-class BytePairs:
-    """A rank file as the tiktoken library reads it, and its split pattern."""
+class BytePairs(ChunkMemo):
+    """A rank file as the tiktoken library reads it, and its split pattern; results are decimal ids, joined by a space."""
+
+    joiner = " "
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.split = regex.compile(pattern).findall
@@ -46,7 +49,6 @@ class BytePairs:
         ]
         pairs.sort()
         self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.memo: dict[str, str] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of token ids, NONE where no token joins them."""
@@ -115,32 +117,15 @@ class BytePairs:
                     out[i] = ids
         return out
 
-    def _joined(self, texts: list[str]) -> list[str]:
+    def whole(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by a space."""
         pieces = [[p.encode() for p in self.split(t)] for t in texts]
         distinct = list({p for ps in pieces for p in ps})
         ids = dict(zip(distinct, (" ".join(map(str, x)) for x in self.encode_pieces(distinct)), strict=True))
         return [" ".join([ids[p] for p in ps]) for ps in pieces]
 
-    def encode(self, text: str) -> str:
-        """The decimal ids of a text, joined by a space; chunks that start at a space are remembered."""
-        if INSIDE_RUN.search(text):
-            return self._joined([text])[0]
-        first, *rest = text.split(" ")
-        memo = self.memo
-        head = self._joined([first]) if first else []
-        try:
-            return " ".join(head + list(map(memo.__getitem__, rest)))
-        except KeyError:
-            pass
-        new = list({c for c in rest if c not in memo})
-        got = dict(zip(new, self._joined([f" {c}" for c in new]), strict=True))
-        if len(memo) + len(new) > MEMO_CHUNKS:
-            kept = {c: memo[c] for c in rest if c in memo}
-            memo.clear()
-            memo |= kept
-        memo.update((c, v) for c, v in got.items() if len(c) <= MEMO_CHARS)
-        return " ".join(head + [got[c] if c in got else memo[c] for c in rest])
+    def spaced(self, chunks: list[str]) -> list[str]:
+        return self.whole([f" {c}" for c in chunks])
 
     def decode(self, ids: list[str]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -157,7 +142,7 @@ def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            ids = [list(map(int, s.split())) for s in map(bpe.encode, batch.column(1).to_pylist())]
+            ids = [list(map(int, s.split())) for s in bpe.encode_many(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
@@ -178,8 +163,7 @@ def _digests(path: str, pattern: str):
         bpe = coder(path, pattern)
         for batch in batches:
             n, shas, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                joined = bpe.encode(text)
+            for joined in bpe.encode_many(batch.column(1).to_pylist()):
                 ids = joined.split()
                 n.append(len(ids))
                 shas.append(hashlib.sha256(joined.encode()).hexdigest())

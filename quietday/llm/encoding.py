@@ -1,6 +1,6 @@
-"""Token ids of whole texts with the tokenizers library, each distinct chunk encoded once.
+"""Token ids of whole texts, each distinct chunk encoded once.
 
-Byte-level BPE with the vocabulary's split pattern never merges across pre-tokens, and a space starts a
+Byte-level BPE with the vocabularies' split pattern never merges across pre-tokens, and a space starts a
 new pre-token unless it stands inside a longer run of white space. So a text can be cut before
 such spaces, and the ids of a text are those of its chunks in order. Chunks repeat, hence the memo.
 A text with a space between white space (or at the end, after white space) is encoded in one piece.
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -18,44 +19,98 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 
 #: Chunks remembered by one worker, and the longest chunk worth remembering; a full memo starts anew.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 400_000
 MEMO_CHARS = 48
+MARKS = ".,;:!?*#%&$"
+#: Unknown chunks that are encoded as one text.
+GROUP = 2000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
-class ChunkEncoder:
+class ChunkMemo:
+    """Encodes texts by their chunks; `whole` and `spaced` do the work, `joiner` puts results together."""
+
+    joiner: bytes | str = b""
+
+    def __init__(self):
+        self.memo: dict = {}
+
+    def whole(self, texts: list[str]) -> list:
+        """Results of whole texts."""
+        raise NotImplementedError
+
+    def spaced(self, chunks: list[str]) -> list:
+        """Results of chunks, each with a space before it."""
+        raise NotImplementedError
+
+    def encode_many(self, texts: list[str]) -> list:
+        heads, rests = [], []
+        for text in texts:
+            head, *rest = [text] if INSIDE_RUN.search(text) else text.split(" ")
+            heads.append(head)
+            rests.append(rest)
+        memo, once = self.memo, {}
+        new = {c for rest in rests for c in rest if c not in memo}
+        if 2 * len(new) + len(memo) > MEMO_CHUNKS:
+            memo.clear()
+            new = {c for rest in rests for c in rest}
+
+        def keep(chunk: str, value) -> None:
+            (memo if len(chunk) <= MEMO_CHARS else once)[chunk] = value
+
+        def get(chunk: str):
+            return once[chunk] if chunk in once else memo[chunk]
+
+        # marks after a letter or digit are a pre-token of their own
+        ends = {c: len(b) for c in new if (b := c.rstrip(MARKS)) and len(b) < len(c) and b[-1].isalnum()}
+        plain = [c for c in (new - ends.keys()) | {c[:n] for c, n in ends.items()} if c not in memo]
+        for c, value in zip(plain, self.spaced(plain), strict=True):
+            keep(c, value)
+        tails = list({c[n:] for c, n in ends.items()})
+        tail = dict(zip(tails, self.whole(tails), strict=True))
+        for c, n in ends.items():
+            keep(c, self.joiner.join((get(c[:n]), tail[c[n:]])))
+        if not once:
+            get = memo.__getitem__
+        distinct = list({h for h in heads if h})
+        first = dict(zip(distinct, self.whole(distinct), strict=True))
+        return [self.joiner.join([first[h], *map(get, rest)] if h else map(get, rest)) for h, rest in zip(heads, rests, strict=True)]
+
+
+class ChunkEncoder(ChunkMemo):
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit integers."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if INSIDE_RUN.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        head = self._encode([first])[0] if first else b""
-        memo = self.memo
-        try:
-            return head + b"".join(map(memo.__getitem__, rest))
-        except KeyError:
-            pass
-        new = list({c for c in rest if c not in memo})
-        got = dict(zip(new, self._encode([f" {c}" for c in new]), strict=True))
-        if len(memo) + len(new) > MEMO_CHUNKS:
-            memo.clear()
-            memo.update((c, v) for c, v in got.items() if len(c) <= MEMO_CHARS)
-            missing = list({c for c in rest if c not in memo and c not in got})
-            got.update(zip(missing, self._encode([f" {c}" for c in missing]), strict=True))
-        else:
-            memo.update((c, v) for c, v in got.items() if len(c) <= MEMO_CHARS)
-        return head + b"".join([got[c] if c in got else memo[c] for c in rest])
+        space = next(iter(self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")))[0][0]
+        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self._ids(texts)]
+
+    def spaced(self, chunks: list[str]) -> list[bytes]:
+        """Chunks without white space at their start are encoded together: a token with a space starts each."""
+        out: dict[str, bytes] = {}
+        plain = [c for c in chunks if c and not c[0].isspace()]
+        groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
+        for group, ids in zip(groups, self._ids(["".join(f" {c}" for c in g) for g in groups]), strict=True):
+            at = (4 * np.nonzero(self.starts[ids])[0]).tolist()
+            if len(at) != len(group):
+                continue  # one by one, below
+            data = ids.tobytes()
+            out.update(zip(group, (data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)), strict=True))
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, self.whole([f" {c}" for c in rest]), strict=True))
+        return [out[c] for c in chunks]
 
 
 def encoder(path: str) -> ChunkEncoder:

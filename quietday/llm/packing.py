@@ -36,8 +36,8 @@ def cut_rows(path: str, end_id: int, capacity: int):
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(enc.ids(text) + end)
+            for doc, data in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(data + end)
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 edges = [0, *range(first, n + 1, capacity)]

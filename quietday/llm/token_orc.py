@@ -40,7 +40,7 @@ def encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            parts = [enc.ids(t) + end for t in batch.column(1).to_pylist()]
+            parts = [ids + end for ids in enc.encode_many(batch.column(1).to_pylist())]
             sizes = np.array([len(p) // 4 for p in parts], np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
