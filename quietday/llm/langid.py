@@ -152,6 +152,8 @@ class Model:
         return rows
 
     def _score(self, syms: list[np.ndarray]) -> list[tuple[str, float, bool, float, int]]:
+        if not self.languages:
+            return [("und", 0.0, True, 0.0, 0)] * len(syms)
         counts = np.array([len(s) - 1 for s in syms])  # an n-gram for each symbol after the first
         loss, square = np.zeros((len(syms), len(self.languages))), np.zeros((len(syms), len(self.languages)))
         keys = np.concatenate([grams(s) for s in syms])
@@ -164,7 +166,7 @@ class Model:
             square[own[starts]] += np.add.reduceat(values**2, starts)
         out = []
         for i, n in enumerate(counts):
-            if n < 1 or not self.languages:  # no letter
+            if n < 1:  # no letter
                 out.append(("und", 0.0, True, 0.0, 0))
                 continue
             bits = loss[i] / n
