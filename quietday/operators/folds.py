@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_events(events: DataFrame, key: list[str], time: str, order: str, gap_s: int) -> DataFrame:
+def merge_events(events: DataFrame, keys: list[str], time: str, order: str, gap_s: int) -> DataFrame:
     """Keeps an event if it is more than the gap after the last one kept (not after the one before it).
 
-    A fold over each group's times in the JVM; `key` must bound a group (a source, a year).
+    An event more than the gap after the one before it is kept whatever came earlier, so the time line
+    falls into stretches there, and only a stretch is folded in order.
     """
-    item = F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("id"))
-    lists = events.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    line = Window.partitionBy(*keys).orderBy("_t", order)
+    rows = events.withColumn("_t", micros)
+    opens = F.coalesce((F.col("_t") - F.lag("_t").over(line) > gap_s * 1_000_000).cast("int"), F.lit(1))
+    rows = rows.withColumn("_open", opens).withColumn("_stretch", F.sum("_open").over(line))
+    item = F.struct(F.col("_t").alias("t"), F.col(order).alias("id"))
+    lists = rows.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[order]}>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         take = acc["last"].isNull() | (x["t"] - acc["last"] > gap_s * 1_000_000)
         return F.when(take, F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["id"])).alias("kept"))).otherwise(acc)
 
-    kept = lists.select(*key, F.explode(F.aggregate("items", start, step)["kept"]).alias(order))
-    return events.join(kept, [*key, order], "left_semi")
+    kept = lists.select(*keys, F.explode(F.aggregate("items", start, step)["kept"]).alias(order))
+    return events.join(kept, [*keys, order], "left_semi")

@@ -37,9 +37,19 @@ def nearest(targets: DataFrame, frames: DataFrame, target_time: str, frame_time:
 
 
 def with_predecessor(frames: DataFrame, time: str, low_s: int, high_s: int, keys: list[str]) -> DataFrame:
-    """Frames that have an earlier frame between low and high seconds before them, both counted in."""
-    span = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-high_s * 1_000_000, -low_s * 1_000_000)
-    return frames.withColumn("_t", _micros(F.col(time))).withColumn("_n", F.count(F.lit(1)).over(span)).where("_n > 0").drop("_t", "_n")
+    """Frames that have an earlier frame between low and high seconds before them, both counted in.
+
+    A source may hold most frames, so its time line is cut into pieces; the frames of the last `high_s`
+    seconds of a piece also stand in the next one, where they count as predecessors only.
+    """
+    width = max(86_400, 4 * high_s) * 1_000_000
+    piece = lambda t: F.floor(t / width)
+    rows = frames.withColumn("_t", _micros(F.col(time)))
+    own, ahead = piece(F.col("_t")), piece(F.col("_t") + high_s * 1_000_000)
+    rows = rows.withColumn("_p", F.explode(F.when(own == ahead, F.array(own)).otherwise(F.array(own, ahead))))
+    span = Window.partitionBy(*keys, "_p").orderBy("_t").rangeBetween(-high_s * 1_000_000, -low_s * 1_000_000)
+    seen = rows.withColumn("_n", F.count(F.lit(1)).over(span)).where((F.col("_n") > 0) & (F.col("_p") == own))
+    return seen.select(*frames.columns)
 
 
 def _micros(t: Column) -> Column:

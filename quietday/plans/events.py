@@ -177,8 +177,7 @@ def q_spearman(spark, sf_dir):
     SELECT event_id, ts FROM m WHERE ts IS NOT NULL""")
 def q_merge_storms(spark, sf_dir):
     """Shocks more than 48 hours after the last one kept."""
-    i = catalog_of(spark, sf_dir, "signup", 2).withColumn("year", F.lit("all"))
-    return merge_events(i, ["year"], "ts", "event_id", 48 * 3600).select("event_id", "ts")
+    return merge_events(catalog_of(spark, sf_dir, "signup", 2), [], "ts", "event_id", 48 * 3600).select("event_id", "ts")
 
 
 @query(f"""WITH {A.DAILY}, k AS (SELECT a.date, max(least(a2.ap, b.ap)) AS s FROM daily a CROSS JOIN generate_series(1, 26) AS g(k) JOIN daily a2 ON a2.date = a.date - CAST(k AS INTEGER) AND a2.ap >= 30
