@@ -22,63 +22,59 @@ from quietday.llm.common import small_batches, text_or_empty
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of the id; shrinkage; temperature.
 FIT_ROWS = 20_000
-POOL, RIDGE, TEMPERATURE = 0.2, 0.05, 2.0
+POOL, RIDGE, TEMPERATURE = 0.5, 0.05, 2.0
 
 _UPPER, _LOWER, _DIGITS = (bytes(range(*r)) for r in ((65, 91), (97, 123), (48, 58)))
-_STOPS, _COMMAS, _SPACES = b".?!", b",;:", b" \t\n\r\x0b\x0c"
+_STOPS, _COMMAS, _HIGH = b".?!", b",;:", bytes(range(128, 256))
 _SYMBOLS = bytes(b for b in range(33, 127) if b not in _UPPER + _LOWER + _DIGITS + _STOPS + _COMMAS + b"'\"()-")
 
-FEATURES = [
-    "log_words", "log_bytes_per_word", "upper", "digits", "symbols", "stops", "commas", "high", "exclaim", "distinct_words",
-    "top_word", "repeats", "log_line_words", "distinct_lines", "symbol_words", "capital_words", "long_words", "pipes",
-]
+#: Each statistic is a ratio x / n. A short text says little, so its ratios lean on the usual ones of the
+#: sample as if it went on for so many words, bytes or lines.
+WORDS, BYTES, LINES = 20.0, 120.0, 2.0
+LEAN = {
+    "bytes_per_word": WORDS, "upper": BYTES, "digits": BYTES, "symbols": BYTES, "stops": WORDS, "commas": WORDS, "high": BYTES, "exclaim": WORDS, "distinct_words": WORDS,
+    "top_word": WORDS, "repeats": WORDS, "words_per_line": LINES, "distinct_lines": LINES, "symbol_words": WORDS, "capital_words": WORDS, "long_words": WORDS, "pipes": WORDS,
+}
+FEATURES = list(LEAN)
+FLOOR = 0.02
+COLUMNS = [f"{part}_{name}" for part in ("x", "of") for name in FEATURES]
 
 
 def statistics(text: str) -> list[float]:
-    """The features of one whole text; shares are log-transformed with a small floor, counts by log1p."""
+    """The numerators, then the denominators, of the ratios of one whole text."""
     data = text.encode("utf-8", "replace")
     words = data.split()
-    n, w = max(len(data), 1), max(len(words), 1)
-    count = lambda chars: n - len(data.translate(None, chars)) if data else 0
-    share = lambda x, of: float(np.log((x + 0.02) / (of + 1.0)))
-    upper, symbols = count(_UPPER), count(_SYMBOLS)
-    tops = Counter(words)
     lines = [x for x in data.split(b"\n") if x]
+    n, w = len(data), len(words)
+    count = lambda chars: n - len(data.translate(None, chars))
+    tops = Counter(words)
     ends = Counter(x[-1:] for x in words)
     symbol_words = sum(v for k, v in ends.items() if k in _SYMBOLS or k == b"!")
-    high = len(data) - len(data.translate(None, bytes(range(128, 256)))) if data else 0
-    return [
-        float(np.log1p(len(words))),
-        float(np.log1p(len(data) / w)),
-        share(upper, n),
-        share(count(_DIGITS), n),
-        share(symbols, n),
-        share(count(_STOPS), w),
-        share(count(_COMMAS), w),
-        share(high, n),
-        share(data.count(b"!"), w),
-        share(len(tops), w),
-        share(max(tops.values(), default=0), w),
-        share(sum(map(eq, words, words[1:])), w),
-        float(np.log1p(len(words) / max(len(lines), 1))),
-        share(len(set(lines)), max(len(lines), 1)),
-        share(symbol_words, w),
-        share(sum(map(bytes.isupper, words)), w),
-        share(sum(len(x) > 14 for x in words), w),
-        share(data.count(b"|"), w),
-    ]
+    x = [
+        n, count(_UPPER), count(_DIGITS), count(_SYMBOLS), count(_STOPS), count(_COMMAS), count(_HIGH), data.count(b"!"), len(tops),
+        max(tops.values(), default=0), sum(map(eq, words, words[1:])), w, len(set(lines)), symbol_words, sum(map(bytes.isupper, words)), sum(len(v) > 14 for v in words), data.count(b"|"),
+    ]
+    of = [w, n, n, n, w, w, n, w, w, w, w, len(lines), len(lines), w, w, w, w]
+    return [float(v) for v in (*x, *of)]
+
+
+def transform(raw: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Logarithms of the ratios, each leaning on its usual value."""
+    k, lean = len(FEATURES), np.array(list(LEAN.values()))
+    return np.log((raw[:, :k] + lean * usual + FLOOR) / (raw[:, k:] + lean))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T]], ["label", *FEATURES])
+        x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2 * len(FEATURES))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T]], ["label", *COLUMNS])
 
 
 @dataclass
 class Discriminant:
     """Class 0 and 1: centres, inverse Cholesky factors, log-determinants, log-priors; a lone class is certain."""
 
+    usual: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     centres: list[np.ndarray]
@@ -87,9 +83,13 @@ class Discriminant:
     priors: list[float]
     only: int | None = None
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, raw: np.ndarray) -> np.ndarray:
+        """The probability of class 1 for rows of `statistics`."""
         if self.only is not None:
-            return np.full(len(x), float(self.only))
+            return np.full(len(raw), float(self.only))
+        return self.posterior(transform(raw, self.usual))
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -12, 12)
         density = []
         for centre, factor, logdet, prior in zip(self.centres, self.factors, self.logdets, self.priors, strict=True):
@@ -98,12 +98,20 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPERATURE, -30, 30)))
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, pool: float = POOL, ridge: float = RIDGE) -> Discriminant:
+def fit_statistics(raw: np.ndarray, y: np.ndarray) -> Discriminant:
+    """Fits rows of `statistics`; the usual ratios are those of class 1 if there is any."""
+    k = len(FEATURES)
+    base = raw[y == 1] if (y == 1).any() else raw
+    usual = base[:, :k].sum(0) / np.maximum(base[:, k:].sum(0), 1)
+    return fit_arrays(transform(raw, usual), y, usual)
+
+
+def fit_arrays(x: np.ndarray, y: np.ndarray, usual: np.ndarray, pool: float = POOL, ridge: float = RIDGE) -> Discriminant:
     k = x.shape[1]
     mean = x.mean(0) if len(x) else np.zeros(k)
     scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(k)
     if len(np.unique(y)) < 2:
-        return Discriminant(mean, scale, [], [], [], [], only=int(y[0]) if len(y) else 1)
+        return Discriminant(usual, mean, scale, [], [], [], [], only=int(y[0]) if len(y) else 1)
     z = np.clip((x - mean) / scale, -12, 12)
     own = [z[y == c] for c in (0, 1)]
     centres = [o.mean(0) for o in own]
@@ -119,7 +127,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, pool: float = POOL, ridge: float =
         factors.append(np.linalg.solve(low, np.eye(k)))
         logdets.append(2 * float(np.log(np.diag(low)).sum()))
         priors.append(float(np.log(len(o) / len(z))))
-    return Discriminant(mean, scale, centres, factors, logdets, priors)
+    return Discriminant(usual, mean, scale, centres, factors, logdets, priors)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
@@ -137,9 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     # the drawn labels are bounded by `rows`, so they are broadcast and no text is shuffled
     joined = texts.join(F.broadcast(drawn), "id").select("label", "text")
-    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = "label int, " + ", ".join(f"{f} double" for f in COLUMNS)
     sample = joined.mapInArrow(_features, schema).toPandas()
-    return fit_arrays(sample[FEATURES].to_numpy(), sample["label"].to_numpy())
+    return fit_statistics(sample[COLUMNS].to_numpy(), sample["label"].to_numpy())
 
 
 def predict(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +161,7 @@ def predict(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2 * len(FEATURES))
             score = shared.value.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -169,7 +177,7 @@ def filter_good(docs: DataFrame, model: Discriminant, least: float = 0.5, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, 2 * len(FEATURES))
             yield batch.filter(pa.array(shared.value.score(x) >= least))
 
     return docs.mapInArrow(run, docs.schema)

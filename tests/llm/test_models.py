@@ -83,8 +83,8 @@ def test_discriminant_separates_what_only_spread_tells_apart():
     k = len(quality.FEATURES)
     x = np.concatenate([rng.normal(0, 1, (600, k)), rng.normal(0, 3, (600, k))])
     y = np.repeat([0, 1], 600)
-    m = quality.fit_arrays(x, y)
-    assert ((m.score(x) >= 0.5) == y).mean() > 0.97
+    m = quality.fit_arrays(x, y, np.zeros(k))
+    assert ((m.posterior(x) >= 0.5) == y).mean() > 0.97
 
 
 def test_trees_learn_an_interaction():
