@@ -31,7 +31,10 @@ SPACE, HASHED = 32, 3840
 #: Characters scored at a time.
 WINDOW = 1 << 19
 #: Calibration: standard errors count for more, as neighbouring characters depend on each other; least limit; margin.
-SPREAD, LEAST_LIMIT, MARGIN = 3.0, 6.0, 1.5
+SPREAD, LEAST_LIMIT, MARGIN = 3.0, 12.0, 1.5
+#: No character costs more: a probability never falls below 2 to the power of minus this, so a passage in
+#: another language doesn't outweigh the rest of a text.
+MOST_BITS = 9.0
 
 _classes: list[np.ndarray] = []
 
@@ -159,7 +162,7 @@ class Model:
         keys = np.concatenate([grams(s) for s in syms])
         owner = np.repeat(np.arange(len(syms)), counts)
         for a in range(0, len(keys), WINDOW):
-            values = -self.log2(keys[a : a + WINDOW]).astype(np.float64)
+            values = np.minimum(-self.log2(keys[a : a + WINDOW]).astype(np.float64), MOST_BITS)
             own = owner[a : a + WINDOW]
             starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
             loss[own[starts]] += np.add.reduceat(values, starts)
