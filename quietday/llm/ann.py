@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietday.llm.common import small_batches
+from quietday.llm.common import cut, small_batches
 
 #: Rows that the trees are fitted on; trees; levels; the share of all leaves that a query visits.
 SAMPLE_ROWS, TREES, DEPTH, VISIT = 16_384, 4, 7, 0.28
@@ -88,9 +88,9 @@ def grow(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
                 w = rng.standard_normal(dims)
             w /= np.linalg.norm(w)
             side = sample[own] @ w
-            cut = float(np.median(side)) if len(own) else 0.0
-            normals[t, node], thresholds[t, node] = w, cut
-            rows += [own[side < cut], own[side >= cut]]
+            middle = float(np.median(side)) if len(own) else 0.0
+            normals[t, node], thresholds[t, node] = w, middle
+            rows += [own[side < middle], own[side >= middle]]
     return Forest(normals, thresholds, depth)
 
 
@@ -138,13 +138,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
-    rows = valid(vectors, id_col, vector_col)
+    rows = cut(valid(vectors, id_col, vector_col))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     dims, total = (lengths["d"], lengths["n"]) if lengths else (1, 0)
     rows = rows.where(F.size("v") == dims)
     queries = rows.where(F.col("vec_id") % every == 0)
     first = Window.partitionBy("v").orderBy("vec_id")
-    index = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
+    index = cut(rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n"))
     depth = 0 if total <= EXACT_ROWS else depth
     trees = 1 if depth == 0 else trees
     parts = 1 << 30
