@@ -28,22 +28,28 @@ def _before(column: str, w) -> Column:
     return F.coalesce(F.bit_xor(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
-def placed_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, pos (from 1), role, text and the rolling hashes p1, p2 up to and with each turn.
+def content(turns: DataFrame) -> DataFrame:
+    """The turns with null role and text as empty, and a 128-bit hash of each text."""
+    text = F.coalesce("text", F.lit(""))
+    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), F.unhex(F.md5(text)).alias("hash"))
 
-    Repeated rows count once, null role and text as empty; turns are in order of turn (null first),
-    role, text. Null conv_ids are one conversation.
+
+def placed_turns(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, hash, pos (from 1), turn hashes h1, h2 and the rolling ones p1, p2 up to and with each turn.
+
+    Texts stay out of the sorts and joins. Repeated rows count once; turns are in order of turn (null first), role, hash.
+    Null conv_ids are one conversation.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = rows.select("conv_id", "turn", "role", "hash").distinct()
     rows = rows.withColumn("block", F.floor(F.coalesce(F.col("turn").cast("double"), F.lit(-1.0)) / BLOCK).cast("long"))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "hash")
     inner = rows.withColumn("inner", F.row_number().over(order))
     over = Window.partitionBy("conv_id").orderBy("block")
     sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     bases = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     same = (F.col("a.block") == F.col("b.block")) & F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
     placed = inner.alias("a").join(bases.alias("b"), same).select("a.*", (F.col("base") + F.col("inner")).alias("pos"))
-    hashed = placed.withColumn("h1", F.xxhash64("pos", "role", "text")).withColumn("h2", F.xxhash64("text", F.lit("turn"), "pos", "role"))
+    hashed = placed.withColumn("h1", F.xxhash64("pos", "role", "hash")).withColumn("h2", F.xxhash64("hash", F.lit("turn"), "pos", "role"))
     totals = hashed.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
     starts = totals.select("conv_id", "block", _before("t1", over).alias("s1"), _before("t2", over).alias("s2"))
     running = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -51,7 +57,7 @@ def placed_turns(turns: DataFrame) -> DataFrame:
     return (
         rolled.alias("a")
         .join(starts.alias("b"), same)
-        .select("a.conv_id", "pos", "role", "text", F.col("r1").bitwiseXOR(F.col("s1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("s2")).alias("p2"), "h1", "h2")
+        .select("a.conv_id", "turn", "role", "hash", "pos", "h1", "h2", F.col("r1").bitwiseXOR(F.col("s1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("s2")).alias("p2"))
     )
 
 
@@ -70,9 +76,14 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
     A part holds up to `BLOCK` turns, so an ordinary conversation is part 0. An empty table gives no
     rows; columns other than conv_id, turn, role and text are ignored.
     """
-    placed = cut(placed_turns(turns))
-    kept = cut(maximal(placed))
-    rows = placed.alias("a").join(kept.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))).select("a.conv_id", "n_turns", "pos", render_turn(F.col("role"), F.col("text")).alias("piece"))
+    rows = content(turns)
+    placed = cut(placed_turns(rows))
+    kept = maximal(placed)
+    mine = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
+    places = cut(placed.alias("a").join(kept.alias("b"), mine).select("a.conv_id", "n_turns", "turn", "role", "hash", "pos"))
+    same = mine & F.col("a.turn").eqNullSafe(F.col("b.turn")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.hash") == F.col("b.hash"))
+    pieces = rows.alias("a").join(places.alias("b"), same).select("a.conv_id", "n_turns", "pos", render_turn(F.col("a.role"), F.col("text")).alias("piece"))
     part = F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("part")
-    pieces = rows.groupBy("conv_id", part, "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("pieces"))
-    return pieces.select("conv_id", "part", "n_turns", F.array_join("pieces.piece", "").alias("text"))
+    # repeated rows give equal pieces at one place
+    lists = pieces.groupBy("conv_id", part, "n_turns").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "piece")))).alias("pieces"))
+    return lists.select("conv_id", "part", "n_turns", F.array_join("pieces.piece", "").alias("text"))

@@ -84,7 +84,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM d JOIN g USING (norm)""",
     "op6_chat_formatting": """
         WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-             p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+             p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM t),
              c AS (SELECT conv_id, list(role || chr(31) || text ORDER BY pos) AS turns, count(*) AS n_turns FROM p GROUP BY conv_id),
              m AS (SELECT * FROM c a
                    WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.n_turns > a.n_turns AND b.turns[1] = a.turns[1] AND b.turns[1:a.n_turns] = a.turns)
