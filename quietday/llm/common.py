@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +34,3 @@ def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only, as bytes would be."""
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 
-
-def only(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """The named columns; whatever else a table holds stays out of the operator."""
-    return df.select(*names)
