@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietday.session import cut, scratch_path, shared_dir, ship
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "ascii_lower", "cut", "scratch_path", "shared_dir", "ship", "small_batches", "table", "text_or_empty"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "ascii_lower", "cut", "scratch_path", "shared_dir", "ship", "small_batches", "spread", "table", "text_or_empty"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table of fewer file splits than there are cores, dealt to all of them; any other table as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietday.llm import ann, bpe, chat, exact_dedup, html, langid, packing, quality, simhash, token_orc
-from quietday.llm.common import scratch_path, table
+from quietday.llm.common import scratch_path, spread, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,25 +23,25 @@ def fold(of: int, column: str = "doc_id") -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = langid.train(docs.where(fold(4) != 2))
     found = langid.predict(docs, model)
     return found.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     model = quality.fit(docs.where(fold(3) != 1), labels)
     found = quality.predict(docs, model)
     return found.select("doc_id", (F.coalesce(fold(3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), BPE_RANKS, public_tokenizers.PATTERN)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.main_text(table(spark, sf_dir, "pages"))
+    return html.main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,11 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), BPE_JSON, end_id=0, capacity=2048)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), BPE_JSON, end_id=0, capacity=2048)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
