@@ -57,6 +57,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The input's rows and columns without the rows of which an equal text with a preferred id stays."""
-    dropped = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(dropped.distinct(), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """The input's rows and columns without the rows of which an equal text with a preferred id stays.
+
+    A row is dropped by its id and text, so another text under the same id, or without an id, stays.
+    """
+    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(ascii_lower(text_or_empty(docs[text_col])), 256) == gone["_sha"])
+    return docs.join(gone, same, "left_anti")

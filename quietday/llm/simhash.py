@@ -53,16 +53,17 @@ def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], ["doc_id", "mark", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of whole texts; null text counts as empty."""
+    """doc_id, mark (a hash that tells a row's text) and fp (the 64 bits as a signed long) of whole texts; null text counts as empty."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    return rows.mapInArrow(_fingerprints(size), "doc_id long, mark long, fp long")
 
 
 def block_keys(fp: Column) -> Column:
@@ -150,14 +151,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
-
-    component_id is the least doc_id that links of at most two differing bits reach. Texts without words,
-    null ones too, have the fingerprint zero and link like any other. Repeated rows share
-    their component; a null id never names a component unless it holds null ids only. An empty
-    table gives no rows; other columns are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, mark, fp, component_id of each row."""
     prints = cut(fingerprints(docs, id_col, text_col, size))
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(groups.select("fp")))
@@ -169,10 +164,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(roots, "root", "left")
         .select("fp", F.coalesce("component_id", "least").alias("component_id"))
     )
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+
+    component_id is the least doc_id that links of at most two differing bits reach. Texts without words,
+    null ones too, have the fingerprint zero and link like any other. Repeated rows share
+    their component; a null id never names a component unless it holds null ids only. An empty
+    table gives no rows; other columns are ignored.
+    """
+    rows = _grouped(docs, id_col, text_col, size)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """The input's rows and columns without the rows that are in a component with a smaller id."""
-    gone = near_duplicates(docs, id_col, text_col, size).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The input's rows and columns without the rows that are in a component with a smaller id.
+
+    A row is dropped by its id and text, so another text under the same id stays where it is the least of its own
+    component. Rows without an id go if a row of their component has one; a component without ids stays whole.
+    """
+    gone = _grouped(docs, id_col, text_col, size).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(text_or_empty(docs[text_col])) == gone["_mark"])
+    return docs.join(gone, same, "left_anti")

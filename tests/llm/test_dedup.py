@@ -39,6 +39,16 @@ def test_exact_drop_keeps_rows_and_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 10, 10, 11, 12, 13, 14, 15, 16, 17]
 
 
+def test_drops_go_by_id_and_text(spark):
+    """Copies go; another text under a dropped row's id stays, with or without an id."""
+    one, two, three = (prose(EN, 80, i) for i in (3, 4, 5))
+    docs = documents(spark, [(1, one), (2, one), (2, two), (None, one), (None, three), (None, None)])
+    want = sorted([(1, one), (2, two), (None, three), (None, None)], key=str)
+    for kept in (exact_dedup.drop_exact_copies(docs), simhash.drop_near_copies(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+
+
 def test_empty_tables(spark):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0
