@@ -6,18 +6,22 @@ n-grams. Characters take 12 bits, so an n-gram is one long and the model is a fe
 each order the n-grams of any language with a column of log-probabilities for each, and the contexts
 with their back-off weights. A text's n-grams are looked up by binary search, all languages at once.
 
-Decision: the lowest cross-entropy per character. Rejection is calibrated on labelled rows apart
-from the training sample: a text is rejected if its cross-entropy lies further above the usual one
-of its language than any calibration text, with a margin, given its length.
+Decision: the lowest cross-entropy per character. Rejection judges pieces of a text, each by the language
+that fits it best, and takes their median, so a passage unlike all that was learned doesn't outweigh the
+rest. It is calibrated on labelled rows apart from the training sample, cut to texts of every length: a text
+is rejected if its median lies above the upper quartile (the median of a text whose third is unlike) of nearly
+all calibration texts of its language and length, with a small margin.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +34,14 @@ TRAIN_DOCS, CALIBRATION_DOCS = 400, 200
 SPACE, HASHED = 32, 3840
 #: Characters scored at a time.
 WINDOW = 1 << 19
-#: Calibration: standard errors count for more, as neighbouring characters depend on each other; least limit; margin.
-SPREAD, LEAST_LIMIT, MARGIN = 3.0, 12.0, 1.5
-#: No character costs more: a probability never falls below 2 to the power of minus this, so a passage in
-#: another language doesn't outweigh the rest of a text.
+#: Neighbouring characters depend on each other, so evidence is divided by this.
+SPREAD = 3.0
+#: No character costs more in the choice of the language, so a passage in another one doesn't outweigh the rest of a text.
 MOST_BITS = 9.0
+#: Rejection: symbols of a piece; calibration texts of each length (powers of two) from a document; the share of
+#: calibration texts below the limit, and the limit's margin as a share of its distance from the median.
+PIECE, SAMPLES, LENGTHS = 64, 8, 14
+BELOW, MARGIN = 0.998, 0.05
 
 _classes: list[np.ndarray] = []
 
@@ -121,8 +128,7 @@ class Model:
     #: order -> n-grams, their log2-probabilities (a column for each language), contexts, log2 of back-off weights
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     floor: float
-    usual: np.ndarray | None = None
-    spread: np.ndarray | None = None
+    #: language x length (power of two) -> the median of its pieces' bits above which a text is rejected
     limit: np.ndarray | None = None
 
     def log2(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -141,52 +147,99 @@ class Model:
             out[miss] = less
         return out
 
-    def score(self, texts: list[str]) -> list[tuple[str, float, bool, float, int]]:
-        """(language or und, score, rejected, bits per symbol, symbols) of each text."""
+    def score(self, texts: list[str]) -> list[tuple[str, float, bool, float, int, float]]:
+        """(language or und, score, rejected, bits per symbol, symbols, upper quartile of its pieces' bits) of each text."""
+        return self.score_symbols(map(symbols, texts))
+
+    def score_symbols(self, syms: Iterable[np.ndarray]) -> list[tuple[str, float, bool, float, int, float]]:
         rows = []
         pending, size = [], 0
-        for text in [*texts, None]:
-            if text is not None:
-                pending.append(symbols(text))
-                size += len(pending[-1])
-            if pending and (text is None or size >= WINDOW):
+        for sym in chain(syms, [None]):
+            if sym is not None:
+                pending.append(sym)
+                size += len(sym)
+            if pending and (sym is None or size >= WINDOW):
                 rows += self._score(pending)
                 pending, size = [], 0
         return rows
 
-    def _score(self, syms: list[np.ndarray]) -> list[tuple[str, float, bool, float, int]]:
+    def _score(self, syms: list[np.ndarray]) -> list[tuple[str, float, bool, float, int, float]]:
         if not self.languages:
-            return [("und", 0.0, True, 0.0, 0)] * len(syms)
+            return [("und", 0.0, True, 0.0, 0, 0.0)] * len(syms)
         counts = np.array([len(s) - 1 for s in syms])  # an n-gram for each symbol after the first
-        loss, square = np.zeros((len(syms), len(self.languages))), np.zeros((len(syms), len(self.languages)))
+        pieces = np.maximum(counts // PIECE, 1)  # of even length
+        first = np.concatenate([[0], np.cumsum(pieces)])
+        sizes = np.concatenate([np.diff(np.arange(k + 1) * n // k) for n, k in zip(counts, pieces, strict=True)])
+        loss, bounded = np.zeros((len(sizes), len(self.languages))), np.zeros((len(sizes), len(self.languages)))
         keys = np.concatenate([grams(s) for s in syms])
-        owner = np.repeat(np.arange(len(syms)), counts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         for a in range(0, len(keys), WINDOW):
-            values = np.minimum(-self.log2(keys[a : a + WINDOW]).astype(np.float64), MOST_BITS)
+            values = -self.log2(keys[a : a + WINDOW]).astype(np.float64)
             own = owner[a : a + WINDOW]
             starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
             loss[own[starts]] += np.add.reduceat(values, starts)
-            square[own[starts]] += np.add.reduceat(values**2, starts)
+            bounded[own[starts]] += np.add.reduceat(np.minimum(values, MOST_BITS), starts)
+        lowest = loss.min(axis=1) / np.maximum(sizes, 1)
+        total = np.add.reduceat(bounded, first[:-1])
         out = []
         for i, n in enumerate(counts):
             if n < 1:  # no letter
-                out.append(("und", 0.0, True, 0.0, 0))
+                out.append(("und", 0.0, True, 0.0, 0, 0.0))
                 continue
-            bits = loss[i] / n
+            bits = total[i] / n
             best = int(np.argmin(bits))  # the first of equals: languages are sorted
             # the posterior, tempered, since neighbouring characters depend on each other
-            odds = np.exp2(-np.minimum((loss[i] - loss[i][best]) / SPREAD, 60))
+            odds = np.exp2(-np.minimum((total[i] - total[i][best]) / SPREAD, 60))
             score = float(1 / odds.sum())
             rejected = False
+            middle, upper = np.quantile(lowest[first[i] : first[i + 1]], [0.5, 0.75])
             if self.limit is not None:
-                noise = SPREAD * max(square[i][best] / n - bits[best] ** 2, 0.0) / n
-                z = (bits[best] - self.usual[best]) / np.sqrt(self.spread[best] ** 2 + noise + 1e-9)
-                rejected = bool(z > self.limit[best])
-                score *= float(np.exp(-max(0.0, z - self.limit[best])))
-            out.append((self.languages[best], min(max(score, 0.0), 1.0), rejected, float(bits[best]), int(n)))
+                above = middle - self.limit[best][length_class(n)]
+                rejected = bool(above > 0)
+                score *= float(np.exp(-max(0.0, above)))
+            out.append((self.languages[best], min(max(score, 0.0), 1.0), rejected, float(bits[best]), int(n), float(upper)))
         return out
 
 
+def length_class(n: int) -> int:
+    return min(int(n).bit_length() - 1, LENGTHS - 1)
+
+
+def samples(sym: np.ndarray) -> list[np.ndarray]:
+    """The whole text and, for each power of two, up to SAMPLES texts of whole words about as long."""
+    space = np.nonzero(sym == SPACE)[0]
+    out = [sym]
+    for k in range(LENGTHS):
+        if 1 << k >= len(sym) - 1:
+            break
+        found = set()
+        for at in np.arange(SAMPLES) * (len(sym) - 1 - (1 << k)) // SAMPLES:
+            a = space[np.searchsorted(space, at)]
+            b = np.searchsorted(space, a + (1 << k))
+            if b < len(space):
+                found.add((int(a), int(space[b])))
+        out += [sym[a : b + 1] for a, b in sorted(found) if b - a < 2 << k]
+    return out
+
+
+def limits(languages: list[str], seen: pd.DataFrame) -> np.ndarray:
+    """Limits by language and length from the calibration texts' lang, n and upper; a shorter text's limit is never lower."""
+    limit = np.full((len(languages), LENGTHS), np.inf)
+    kind = seen["n"].map(length_class)
+    for i, lang in enumerate(languages):
+        for k in range(LENGTHS):
+            x = np.sort(seen.loc[(seen["lang"] == lang) & (kind == k), "upper"].to_numpy())
+            if len(x):
+                top = x[int(np.ceil(BELOW * len(x))) - 1]
+                limit[i, k] = top + MARGIN * (top - np.median(x))
+        given = np.isfinite(limit[i])
+        if given.any():  # a length without texts takes the limit of the next shorter one, or of the shortest
+            at = np.maximum.accumulate(np.where(given, np.arange(LENGTHS), -1))
+            limit[i] = limit[i][np.where(at < 0, int(np.argmax(given)), at)]
+            limit[i] = np.maximum.accumulate(limit[i][::-1])[::-1]
+    return limit
+
+
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """The joint model of all languages from the n-gram counts of each."""
     languages = sorted(counts)
@@ -245,26 +298,17 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: i
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shared.value.score(batch.column(1).to_pylist())
-            right = [i for i, (g, lang) in enumerate(zip(got, batch.column(0).to_pylist(), strict=True)) if g[0] == lang]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([got[i][0] for i in right], pa.string()), pa.array([got[i][3] for i in right], pa.float64()), pa.array([got[i][4] for i in right], pa.int64())],
-                ["lang", "bits", "n"],
-            )
-
-    seen = held.mapInArrow(calibrate, "lang string, bits double, n long").toPandas()
-    usual, spread, limit = [], [], []
-    for lang in model.languages:
-        own = seen[seen["lang"] == lang]
-        long = own[own["n"] >= 200] if (own["n"] >= 200).sum() >= 5 else own
-        mu = float(long["bits"].mean()) if len(long) else 3.0
-        sd = max(float(long["bits"].std(ddof=0)) if len(long) > 1 else 0.5, 0.05)
-        # the variance of a character's bits is a few squared bits; its error shrinks with the length
-        z = (own["bits"] - mu) / np.sqrt(sd**2 + SPREAD * 4.0 / np.maximum(own["n"], 1))
-        usual.append(mu)
-        spread.append(sd)
-        limit.append(max(LEAST_LIMIT, MARGIN * float(z.max()) if len(z) else LEAST_LIMIT))
-    model.usual, model.spread, model.limit = np.array(usual), np.array(spread), np.array(limit)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole, *cut = shared.value.score_symbols(samples(symbols(text)))
+                if whole[0] == lang:
+                    own = [whole, *(x for x in cut if x[0] == lang)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(own), pa.string()), pa.array([x[5] for x in own], pa.float64()), pa.array([x[4] for x in own], pa.int64())],
+                        ["lang", "upper", "n"],
+                    )
+
+    seen = held.mapInArrow(calibrate, "lang string, upper double, n long").toPandas()
+    model.limit = limits(model.languages, seen)
     return model
 
 
@@ -282,7 +326,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = shared.value.score(batch.column(1).to_pylist())
-            cols = list(zip(*got, strict=True)) if got else [(), (), (), (), ()]
+            cols = list(zip(*got, strict=True)) if got else [(), (), (), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.float64())],
                 ["doc_id", "lang_pred", "score", "rejected", "bits"],

@@ -1,7 +1,10 @@
 """Language models, the quality classifier and the HTML extractor: held-out accuracy and edge cases."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quietday.llm import boosting, html, html_training, langid, quality
 from quietday.llm.queries import QUERIES
@@ -32,6 +35,22 @@ def test_unlike_texts_are_rejected_and_usual_ones_stay(spark, model):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5]
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_a_language_left_out_and_short_junk_are_rejected_and_passages_stay(spark, sf, left_out):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
+    model = langid.train(docs.where(F.col("lang") != left_out), 200, 100)
+    foreign = [r["text"] for r in docs.where((F.col("lang") == left_out) & (F.length("text") > 300)).select("text").collect()]
+    rng = random.Random(0)
+    word = lambda a, b: "".join(chr(rng.randint(a, b)) for _ in range(6))
+    junk = [" ".join(word(97, 122) for _ in range(10)) for _ in range(50)]
+    junk += [" ".join(word(a, b) for _ in range(3)) for a, b in ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA)) for _ in range(50)]
+    assert np.mean([not r[2] for r in model.score(foreign)]) < 0.1
+    assert not any(not r[2] for r in model.score(junk))
+    own = docs.where((F.col("lang") != left_out) & F.length("text").between(600, 3000)).select("text").collect()
+    mixed = [" ".join([*(w := r["text"].split(" "))[: len(w) // 2], *rng.choice(foreign).split(" ")[: len(w) // 4], *w[len(w) // 2 :]]) for r in own]
+    assert np.mean([r[2] for r in model.score(mixed)]) < 0.03
+
+
 def test_no_labels_no_language(spark):
     nothing = langid.train(documents(spark, [(1, "abc", None)]))
     assert [r["lang_pred"] for r in langid.predict(documents(spark, [(1, "abc")]), nothing).collect()] == ["und"]
