@@ -31,12 +31,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the document with the smallest id stays."""
-    return exact_dedup.drop_exact_copies(docs, keep="min")
+    """Of equal texts (A-Z lower-cased) one row with the smallest id stays."""
+    return exact_dedup.one_exact_copy(docs, keep="min")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates one row with the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietday.session import cut, scratch_path, shared_dir, ship
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "ascii_lower", "cut", "scratch_path", "shared_dir", "ship", "small_batches", "spread", "table", "text_or_empty"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "ascii_lower", "cut", "one_of_each", "scratch_path", "shared_dir", "ship", "small_batches", "spread", "table", "text_or_empty"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -40,3 +40,12 @@ def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only, as bytes would be."""
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 
+
+
+def one_of_each(docs: DataFrame, group: list[Column], id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The columns of `docs` and one row of each group, by a combining aggregate: the least (or greatest) id, null last, then text and row hash."""
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    missing, pick = (F.col(id_col).isNull(), F.min_by) if keep == "min" else (F.col(id_col).isNotNull(), F.max_by)
+    order = F.struct(missing, F.col(id_col), F.sha2(text_or_empty(text_col), 256), F.xxhash64(*plain))
+    keys = [g.alias(f"_g{i}") for i, g in enumerate(group)]
+    return docs.groupBy(*keys).agg(pick(F.struct(*docs.columns), order).alias("_row")).select("_row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietday.llm.common import ascii_lower, cut, text_or_empty
+from quietday.llm.common import ascii_lower, cut, one_of_each, text_or_empty
 
 
 def content_hash(text: Column) -> Column:
@@ -59,8 +59,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The input's rows and columns without the rows of which an equal text with a preferred id stays.
 
-    A row is dropped by its id and text, so another text under the same id, or without an id, stays.
+    A row is dropped by its id and text, so another text under the same id, or without an id, stays. Repeated
+    rows of the preferred id stay together, as do groups without ids; `one_exact_copy` leaves one row.
     """
     gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(ascii_lower(text_or_empty(docs[text_col])), 256) == gone["_sha"])
     return docs.join(gone, same, "left_anti")
+
+
+def one_exact_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The input's columns and exactly one row of each group of equal texts: that of the preferred id.
+
+    Rows of one id (or all without one) are told apart by text and the other columns, so repeated rows
+    and rows without ids shrink to one as well. Another text under the same id is another group and stays.
+    """
+    return one_of_each(docs, [F.sha2(ascii_lower(text_or_empty(text_col)), 256)], id_col, text_col, keep)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietday.llm.common import cut, small_batches, text_or_empty
+from quietday.llm.common import cut, one_of_each, small_batches, text_or_empty
 
 BITS, BLOCKS, DISTANCE = 64, 8, 2
 SEED = 42
@@ -152,7 +152,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, mark, fp, component_id of each row."""
+    """doc_id, mark, fp, root (the least fingerprint of its component), component_id of each row."""
     prints = cut(fingerprints(docs, id_col, text_col, size))
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(groups.select("fp")))
@@ -162,7 +162,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         groups.join(labels, groups["fp"] == labels["node"], "left")
         .select("fp", "least", "root")
         .join(roots, "root", "left")
-        .select("fp", F.coalesce("component_id", "least").alias("component_id"))
+        .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     )
     return prints.join(named, "fp")
 
@@ -180,12 +180,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """The input's rows and columns without the rows that are in a component with a smaller id.
+    """The input's columns and exactly one row of each component: that of the least id.
 
-    A row is dropped by its id and text, so another text under the same id stays where it is the least of its own
-    component. Rows without an id go if a row of their component has one; a component without ids stays whole.
+    Of different texts under the least id, or in a component without ids, one stays, and of repeated rows
+    one. Rows are told apart by id and text, so another text under the same id stays where it
+    is the least of its own component.
     """
-    gone = _grouped(docs, id_col, text_col, size).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(text_or_empty(docs[text_col])) == gone["_mark"])
-    return docs.join(gone, same, "left_anti")
+    rows = _grouped(docs, id_col, text_col, size).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows)
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    judged = cut(rows.join(least, "root").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "n", kept.alias("kept")))
+    mark = F.xxhash64(text_or_empty(docs[text_col]))
+    more = judged.where(~F.col("kept") | (F.col("n") > 1)).select("_id", "_mark")
+    once = docs.join(more, docs[id_col].eqNullSafe(more["_id"]) & (mark == more["_mark"]), "left_anti")
+    again = judged.where("kept and n > 1").select("_id", "_mark")
+    if again.isEmpty():
+        return once
+    repeated = docs.join(again, docs[id_col].eqNullSafe(again["_id"]) & (mark == again["_mark"]), "left_semi")
+    return once.unionByName(one_of_each(repeated, [F.col(id_col), F.xxhash64(text_or_empty(text_col))], id_col, text_col))

@@ -49,6 +49,18 @@ def test_drops_go_by_id_and_text(spark):
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, rows without ids and different near-copies under the least id: by counts of rows."""
+    one, two = prose(EN, 300, 3), prose(EN, 300, 4)
+    docs = documents(spark, [(1, one)] * 5 + [(2, one)] + [(None, two)] * 4 + [(None, None)] * 3)
+    for keep, least in (("min", 1), ("max", 2)):
+        assert sorted(((r["doc_id"], r["text"] or "") for r in exact_dedup.one_exact_copy(docs, keep=keep).collect()), key=str) == sorted([(least, one), (None, two), (None, "")], key=str)
+    assert sorted(((r["doc_id"], r["text"] or "") for r in simhash.drop_near_copies(docs).collect()), key=str) == sorted([(1, one), (None, two), (None, "")], key=str)
+    near = [one, one.upper(), one + " "]
+    assert simhash.drop_near_copies(documents(spark, [(7, t) for t in near] + [(8, one)])).count() == 1
+    assert simhash.drop_near_copies(documents(spark, [(None, t) for t in near])).count() == 1
+
+
 def test_empty_tables(spark):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0

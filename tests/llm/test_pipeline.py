@@ -52,6 +52,13 @@ def test_run_is_the_stages_in_order(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_dedup_stages_leave_one_row_of_each_group(spark, tmp_path):
+    text = prose(EN, 80, 1)
+    docs = documents(spark, [(1, text)] * 4 + [(None, None)] * 3 + [(None, prose(DE, 80, 2))] * 3)
+    for name in ("exact_dedup", "simhash_near_dedup"):
+        assert stage(name)(spark, docs, str(tmp_path)).count() == 3
+
+
 def test_empty_tables(spark, tmp_path):
     sf = write(spark, tmp_path, documents(spark, []))
     assert corpus_pipeline.run(spark, sf).count() == 0
