@@ -81,9 +81,10 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
     kept = maximal(placed)
     mine = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
     places = cut(placed.alias("a").join(kept.alias("b"), mine).select("a.conv_id", "n_turns", "turn", "role", "hash", "pos"))
+    # repeated rows shrink to one before texts are joined to places and gathered
+    rows = rows.groupBy("conv_id", "turn", "role", "hash", F.xxhash64("text")).agg(F.any_value("text").alias("text"))
     same = mine & F.col("a.turn").eqNullSafe(F.col("b.turn")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.hash") == F.col("b.hash"))
     pieces = rows.alias("a").join(places.alias("b"), same).select("a.conv_id", "n_turns", "pos", render_turn(F.col("a.role"), F.col("text")).alias("piece"))
     part = F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("part")
-    # repeated rows give equal pieces at one place
-    lists = pieces.groupBy("conv_id", part, "n_turns").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "piece")))).alias("pieces"))
+    lists = pieces.groupBy("conv_id", part, "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("pieces"))
     return lists.select("conv_id", "part", "n_turns", F.array_join("pieces.piece", "").alias("text"))

@@ -30,6 +30,20 @@ def test_long_conversations_come_in_parts(spark):
     assert "".join(r["text"] for r in got if r["conv_id"] == 1).count("<|end|>") == 600
 
 
+def test_repeated_rows_are_gone_before_texts_are_gathered(spark, monkeypatch):
+    """One turn repeated a thousand times: each list that is gathered has a struct for each place, not for each row."""
+    seen, real = [], chat.F.sort_array
+
+    def spy(column):
+        seen.append(column)
+        return chat.F.when(chat.F.size(column) > 2, chat.F.raise_error("too many pieces")).otherwise(real(column))
+
+    rows = [(1, 0, "user", "hi")] * 1000 + [(1, 1, "user", "bye")] * 3
+    monkeypatch.setattr(chat.F, "sort_array", spy)
+    got = chat.collapse_and_render(turns(spark, rows)).collect()
+    assert seen and [(r["n_turns"], r["text"]) for r in got] == [(2, "<|user|>\nhi\n<|end|>\n<|user|>\nbye\n<|end|>\n")]
+
+
 def test_op6_twin(spark, sf):
     assert assert_twin(spark, connect(sf), sf, QUERIES["op6_chat_formatting"], ORACLE_SQL["op6_chat_formatting"]) > 0
 
