@@ -115,12 +115,14 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.nd
     norms = (x**2).sum(1)
     for a in range(0, len(q), 256):
         part = q[a : a + 256]
-        rough = norms[None, :] + (part**2).sum(1)[:, None] - 2 * part @ x.T
+        own = (part**2).sum(1)
+        rough = norms[None, :] + own[:, None] - 2 * part @ x.T
         for i, qid in enumerate(q_ids[a : a + 256]):
             row = np.where(ids == qid, np.inf, rough[i])
-            # all that rounding could put among the k nearest, ties included
+            # all that rounding could put among the k nearest, ties included; it grows with the norms, not the distances
+            slack = 32 * (x.shape[1] + 2) * np.finfo(float).eps * (norms.max(initial=0.0) + own[i])
             edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.nonzero((row <= edge + 1e-9 * max(1.0, abs(edge))) & (row < np.inf))[0] if edge < np.inf else np.nonzero(row < np.inf)[0]
+            near = np.nonzero((row <= edge + slack) & (row < np.inf))[0] if edge < np.inf else np.nonzero(row < np.inf)[0]
             exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
             best = np.lexsort((ids[near], exact))[:k]
             out.append((np.full(len(best), qid), ids[near][best], exact[best]))

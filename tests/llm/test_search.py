@@ -80,6 +80,18 @@ def test_small_tables_are_exact_with_ties(spark):
     assert all(a[1] == pytest.approx(b[1]) for q in got for a, b in zip(got[q], want[q], strict=True))
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e4, 1e6, 1e8])
+def test_a_block_is_exact_far_from_the_origin(offset):
+    """With large norms, near distances and ties to the smaller id are lost in norms - 2xy, not in the answer."""
+    rng = np.random.default_rng(3)
+    ids, x = rng.permutation(300), rng.integers(0, 1 << 20, 8) / (1 << 20) + rng.integers(0, 4, (300, 8)) / 4
+    x[:, 0] = offset
+    got = ann.nearest_in_block(ids, x, ids[:50], x[:50], 10)
+    for q, v in zip(ids[:50], x[:50], strict=True):
+        d = np.where(ids == q, np.inf, np.sqrt(((x - v) ** 2).sum(1)))
+        assert got[1][got[0] == q].tolist() == ids[np.lexsort((ids, d))[:10]].tolist()
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (100, [2.0, 0.0]), (100, [2.0, 0.0]), (8, [])]
