@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietday.llm.common import small_batches, text_or_empty
-from quietday.llm.encoding import ChunkMemo
+from quietday.llm.common import bounded, small_batches, text_or_empty
+from quietday.llm.encoding import ChunkIds, offsets_of, take_runs
 
 NONE = np.int64(1) << 62
 #: Cells of the trees that are held at once.
@@ -29,10 +29,8 @@ CELLS = 1 << 20
 _coders: dict[tuple[str, str], "BytePairs"] = {}
 
 
-class BytePairs(ChunkMemo):
-    """A rank file as the tiktoken library reads it, and its split pattern; results are decimal ids, joined by a space."""
-
-    joiner = " "
+class BytePairs(ChunkIds):
+    """A rank file as the tiktoken library reads it, and its split pattern."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
@@ -40,7 +38,10 @@ class BytePairs(ChunkMemo):
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.split = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.bytes_of = {str(r): token for token, r in self.ranks.items()}
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, r in self.ranks.items():
+            tokens[r] = token
+        self.tokens, self.numbers = flat_bytes(tokens), flat_bytes([f" {r}".encode() for r in range(len(tokens))])
         pairs = [
             (self.ranks[left] << 32 | self.ranks[right], rank)
             for token, rank in self.ranks.items()
@@ -117,18 +118,30 @@ class BytePairs(ChunkMemo):
                     out[i] = ids
         return out
 
-    def whole(self, texts: list[str]) -> list[str]:
-        """The decimal ids of each text, joined by a space."""
-        pieces = [[p.encode() for p in self.split(t)] for t in texts]
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [[p.encode() for p in self.split(c)] for c in chunks]
         distinct = list({p for ps in pieces for p in ps})
-        ids = dict(zip(distinct, (" ".join(map(str, x)) for x in self.encode_pieces(distinct)), strict=True))
-        return [" ".join([ids[p] for p in ps]) for ps in pieces]
+        ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
+        out = [[i for p in ps for i in ids[p]] for ps in pieces]
+        return np.array([i for x in out for i in x], np.uint32), np.array([len(x) for x in out], np.int64)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of runs of ids, one after the other, and where each run's begin (with the end of the last)."""
+        return spell(self.tokens, ids, ends)
+
+    def decimals(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like `decode`, the ids in decimal, each after a blank."""
+        return spell(self.numbers, ids, ends)
+
+
+def flat_bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(w) for w in words], np.int64)
+    return np.frombuffer(b"".join(words), np.uint8), offsets_of(sizes)[:-1], sizes
 
-    def spaced(self, chunks: list[str]) -> list[str]:
-        return self.whole([f" {c}" for c in chunks])
 
-    def decode(self, ids: list[str]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+def spell(words: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    flat, starts, sizes = words
+    return take_runs(flat, starts[ids], sizes[ids]), offsets_of(sizes[ids])[ends]
 
 
 def coder(path: str, pattern: str) -> BytePairs:
@@ -141,9 +154,10 @@ def coder(path: str, pattern: str) -> BytePairs:
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for batch in batches:
-            ids = [list(map(int, s.split())) for s in bpe.encode_many(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for batch in bounded(batches):
+            ids, ends = bpe.encode_many(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
 
     return run
 
@@ -152,23 +166,28 @@ def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            data = [bpe.decode(list(map(str, x or []))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "bytes"])
+            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            data, ends = bpe.decode(np.asarray(lists.flatten(), np.int64), offsets_of(np.asarray(lists.value_lengths(), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "bytes"])
 
     return run
 
 
 def _digests(path: str, pattern: str):
+    def sha(data: np.ndarray) -> str:
+        return hashlib.sha256(data).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for batch in batches:
-            n, shas, decoded = [], [], []
-            for joined in bpe.encode_many(batch.column(1).to_pylist()):
-                ids = joined.split()
-                n.append(len(ids))
-                shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in bounded(batches):
+            ids, ends = bpe.encode_many(batch.column(1))
+            joined, j = bpe.decimals(ids, ends)
+            decoded, d = bpe.decode(ids, ends)
+            shas = [sha(joined[a + 1 : b]) for a, b in zip(j[:-1], j[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(ends)), pa.array(shas, pa.string()), pa.array([sha(decoded[a:b]) for a, b in zip(d[:-1], d[1:], strict=True)], pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return run
 
@@ -179,12 +198,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) of whole texts, a row for each row; null text has no ids."""
+    """doc_id and ids (array<int>) of whole texts, a row for each row, repeated ones too; null text has no ids.
+
+    An empty table gives no rows; other columns are ignored. One very long piece takes time in
+    proportion to its length (times its logarithm).
+    """
     return _rows(docs, id_col, text_col).mapInArrow(_encode(path, pattern), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and bytes of ids; null or empty ids give no bytes, an id outside the vocabulary is an error."""
+    """doc_id and bytes of ids; null or empty ids give no bytes, an id past the vocabulary is an error."""
     small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path, pattern), "doc_id long, bytes binary")
 
@@ -192,6 +215,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids of whole texts and of what they decode to.
 
-    A row for each row; null text counts as empty (no ids). Texts, ids and bytes leave no worker.
+    A row for each row, repeated ones too; null text counts as empty (no ids). An empty table gives no rows;
+    other columns are ignored, whatever their names. Texts, ids and bytes leave no worker.
     """
     return _rows(docs, id_col, text_col).mapInArrow(_digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

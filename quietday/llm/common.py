@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietday.session import cut, scratch_path, shared_dir, ship
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "ascii_lower", "cut", "one_of_each", "scratch_path", "shared_dir", "ship", "small_batches", "spread", "table", "text_or_empty"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "ascii_lower", "bounded", "cut", "one_of_each", "scratch_path", "shared_dir", "ship", "small_batches", "spread", "table", "text_or_empty"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in an Arrow batch of whole texts; with texts of a hundred kB a batch stays within tens of MB.
+#: Rows in an Arrow batch, the same for all operators, since a plan made by one may run after another has set the option.
 BATCH_ROWS = 256
+#: Bytes of text that a worker works on at a time (one longer text is worked on alone).
+BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds at once, and gives workers this package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is sent at once, and gives workers this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where the texts of `column` exceed BATCH_BYTES."""
+    for batch in batches:
+        sizes = batch.column(column).cast(pa.large_binary())
+        ends = np.frombuffer(sizes.buffers()[1], np.int64, len(sizes) + 1, 8 * sizes.offset) if len(sizes) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, ends[at] + BATCH_BYTES, "right")) - 1 - at)
+            yield batch.slice(at, n)
+            at += n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,28 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietday.llm.common import cut, small_batches, text_or_empty
-from quietday.llm.encoding import encoder
+from quietday.llm.common import bounded, cut, small_batches, text_or_empty
+from quietday.llm.encoding import library
+from quietday.llm.token_orc import with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_rows(path: str, end_id: int, capacity: int):
-    """Arrow batches (doc_id, text) to pieces; the first piece of a longer document takes the remainder."""
+def pieces_of(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of each piece; the first piece of a longer document takes the remainder."""
+    n = -(-sizes // capacity)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    first = ((sizes - 1) % capacity + 1)[doc]
+    start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+    return doc, piece, start, np.where(piece == 0, first, capacity)
+
+
+def cut_rows(path: str, end_id: int, capacity: int, special_as_text: bool):
+    """Arrow batches (doc_id, text) to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, data in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
-                ids = memoryview(data + end)
-                n = len(ids) // 4
-                first = (n - 1) % capacity + 1
-                edges = [0, *range(first, n + 1, capacity)]
-                out += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            doc, piece, start, length, crc = zip(*out, strict=True) if out else ([],) * 5
+        enc = library(path, special_as_text)
+        for batch in bounded(batches):
+            ids, ends = with_end(*enc.encode_many(batch.column(1)), end_id)
+            doc, piece, start, length = pieces_of(np.diff(ends), capacity)
+            at, ids = ends[doc] + start, ids.astype("<u4", copy=False)
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
@@ -175,12 +182,13 @@ def assign(pieces: DataFrame, capacity: int, order_by: tuple[str, ...] = ("doc_i
     return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null or empty text is the end id alone. Only documents longer than the capacity are cut. Repeated
-    rows are packed each. An empty table gives no rows; other columns are ignored.
+    rows are packed each, null ids too. An empty table gives no rows; other columns are ignored. The strings
+    of special tokens inside a text are these tokens, as the library's default is, unless `special_as_text`.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return assign(cut(rows.mapInArrow(cut_rows(tokenizer, end_id, capacity), PIECES)), capacity)
+    return assign(cut(rows.mapInArrow(cut_rows(tokenizer, end_id, capacity, special_as_text), PIECES)), capacity)

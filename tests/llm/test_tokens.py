@@ -5,16 +5,18 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from quietday.llm import bpe, encoding, packing, token_orc
 from quietday.llm.queries import BPE_JSON, BPE_RANKS, QUERIES
 from tests.llm.common import documents, empty, odd
 
-PIECES = [" ", "  ", "\n", " \n", "a", "b'", "é", "1", "½", "!", "\t", " ", "the", "ing", "日", "\x1c", "\x85", "'s", " ", "\r\n", "_", "***", "."]
+PIECES = ["<|endoftext|>", "\u3000", "\u2029", "×", ",", " ", "  ", "\n", " \n", "a", "b'", "é", "1", "½", "!", "\t", " ", "the", "ing", "日", "\x1c", "\x85", "'s", " ", "\r\n", "_", "***", "."]
 
 
 def random_texts(n, seed):
@@ -25,7 +27,6 @@ def random_texts(n, seed):
 @pytest.fixture(scope="module")
 def hf():
     t = Tokenizer.from_file(BPE_JSON)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -39,15 +40,27 @@ def test_chunks_encode_as_whole_texts(hf, monkeypatch):
     texts = random_texts(3000, 1)
     for limit in (400_000, 40):  # with a memo that overflows too
         monkeypatch.setattr(encoding, "MEMO_CHUNKS", limit)
-        enc = encoding.ChunkEncoder(BPE_JSON)
-        got = [np.frombuffer(x, "<u4").tolist() for a in range(0, len(texts), 50) for x in enc.encode_many(texts[a : a + 50])]
-        assert got == hf(texts)
+        enc = encoding.LibraryIds(BPE_JSON)
+        assert chunked(enc, texts) == hf(texts)
+
+
+def chunked(enc, texts):
+    got = [enc.encode_many(pa.array(texts[a : a + 50], pa.string())) for a in range(0, len(texts), 50)]
+    return [ids[a:b].tolist() for ids, ends in got for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def test_special_tokens_as_the_library_reads_them(hf):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a\n <|endoftext|>b", "  <|endoftext|>  .", "a<|endoftext|>.", "<|endof text|>"]
+    assert chunked(encoding.LibraryIds(BPE_JSON), texts) == hf(texts) and hf(texts)[0] == [87, 220, 50256, 331]
+    plain = Tokenizer.from_file(BPE_JSON)
+    plain.encode_special_tokens = True
+    assert chunked(encoding.LibraryIds(BPE_JSON, True), texts) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_segment_tree_encodes_as_the_library(tk):
     coder = bpe.BytePairs(BPE_RANKS, public_tokenizers.PATTERN)
     texts = random_texts(3000, 2) + ["a" * 3000, "ab" * 777, "é" * 500, "x", "", " " * 300, "thetheing" * 40]
-    assert [[int(i) for i in s.split()] for s in coder.encode_many(texts)] == tk(texts)
+    assert chunked(coder, texts) == tk(texts)
 
 
 def test_round_trip_query_and_edges(spark, tk):
@@ -94,11 +107,41 @@ def test_orc_places_and_checksums(spark, hf, tmp_path):
 def test_orc_of_repeated_rows_and_of_nothing(spark, tmp_path):
     token_orc.write_ids(odd(spark), str(tmp_path / "a"), BPE_JSON, 2)
     got = [r for r in token_orc.read_index(spark, str(tmp_path / "a")).collect() if r["doc_id"] == 10]
-    assert len(got) == 2 and got[0]["start"] != got[1]["start"]
+    assert len(got) == 2 and abs(got[0]["start"] - got[1]["start"]) == got[0]["n_tokens"]
     token_orc.write_ids(empty(spark), str(tmp_path / "b"), BPE_JSON, 2)
     assert token_orc.read_index(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_orc_starts_of_repeated_ids_are_those_of_the_files(spark, tmp_path):
+    rows = [(5, "a a a a a a"), (5, "b"), (7, "c"), (None, "d d"), (None, None)] + [(6, "e " * (i % 7)) for i in range(300)] + [(6, "same")] * 300
+    out = str(tmp_path / "orc")
+    token_orc.write_ids(documents(spark, rows).repartition(4), out, BPE_JSON, 2)
+    stored = []
+    for file in sorted((tmp_path / "orc").glob("part-*.orc")):
+        stored += [(r["doc_id"], r["ids"]) for r in orc.read_table(file).to_pylist()]
+    assert [d for d, _ in stored] == sorted((d for d, _ in stored), key=lambda d: -1 if d is None else d)
+    start, want = 0, []
+    for d, ids in stored:
+        want.append((d, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, token_orc.read_index(spark, out).collect()), key=lambda r: r[1]) == want
+
+
+def test_orc_files_have_stripes_indexes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(400))) for i in range(3000)]
+    monkeypatch.setitem(token_orc.ORC_OPTIONS, "orc.stripe.size", str(1 << 18))
+    token_orc.write_ids(documents(spark, rows).coalesce(1), str(tmp_path / "orc"), BPE_JSON, 2)
+    paths = list((tmp_path / "orc").glob("part-*.orc"))
+    files = [orc.ORCFile(f) for f in paths]
+    assert sum(f.nrows for f in files) == 3000 and all(f.row_index_stride == 1000 for f in files)
+    assert sum(f.nstripes for f in files) > len(files)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(paths[0])), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    footer = reader.rows().readStripeFooter(reader.getStripes()[0])
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= {str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount())}
+
+
 def check_packing(rows, texts, hf, capacity, end):
     ids = {d: [*i, end] for (d, _), i in zip(texts, hf([t for _, t in texts]), strict=True)}
     bins = {}
