@@ -1,13 +1,18 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue, exact distances.
 
 The forest is fitted on a bounded sample: each node splits at the median of the projections onto the
-difference of two sample points. Every row of the table is then put into one leaf of each tree. A
-query's leaves are taken best first from one queue over all trees, ordered by the largest margin that the
-way to a leaf crosses. Leaves are joined with the queries that visit them, in blocks of bounded
-size, and each block returns its nearest by exact double-precision distance.
+difference of two sample points, and the depth follows from the number of rows. Every row of the table is put into
+one leaf of each tree. A query's leaves are taken best first from one queue over all trees, ordered by
+the largest margin that the way to a leaf crosses.
 
-Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query (one may be the
-query itself), so the others are left out of the index: an exact rule, whatever the size of a group.
+How many leaves a query visits is measured, not set: for some probes the true neighbours are found by one scan of
+the table, and the visits are as many as reach the wanted share of them. Vectors with structure need few;
+vectors spread evenly over many dimensions need a large share, which no index of this kind avoids.
+
+Leaves are joined with the queries that visit them in blocks of bounded size on both sides, and a block sends on its
+k nearest for each query only. Of equal vectors only the k + 1 smallest ids can be among the k nearest of
+any query (one may be the query itself), so the others are left out of the index: an exact rule,
+whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -18,17 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.llm.common import cut, small_batches
 
-#: Rows that the trees are fitted on; trees; levels; the share of all leaves that a query visits.
-SAMPLE_ROWS, TREES, DEPTH, VISIT = 16_384, 4, 7, 0.28
-#: Below so many rows one leaf holds all, so that the search is exact.
-EXACT_ROWS = 4096
-#: Vectors, and queries, in a block at most (about).
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 16_384
+#: Trees, rows in a leaf (about), the share of the true neighbours to reach and the rows it is measured on.
+TREES, LEAF_ROWS, RECALL, PROBES = 4, 400, 0.965, 96
+#: Bounds of what the trees are fitted on, and rows of it that a leaf needs at least.
+SAMPLE_ROWS, SAMPLE_BYTES, LEAF_SAMPLE = 65_536, 64 << 20, 16
+#: Bytes of the vectors, and of the queries, of a block at most (about), and of a table of distances.
+BLOCK_BYTES = 32 << 20
 
 
 @dataclass
@@ -73,6 +78,18 @@ class Forest:
         return out
 
 
+    def turns(self, q: np.ndarray) -> np.ndarray:
+        """For each cell, as which one (from 1) the query visits it."""
+        margins = self.normals @ q - self.thresholds
+        crossed = np.full((len(margins), 1), -np.inf)
+        for level in range(self.depth):
+            m = margins[:, (1 << level) - 1 : (2 << level) - 1]
+            crossed = np.stack([np.maximum(crossed, m), np.maximum(crossed, -m)], 2).reshape(len(margins), -1)
+        turn = np.empty(self.cells, np.int64)
+        turn[np.argsort(crossed.ravel(), kind="stable")] = np.arange(1, self.cells + 1)
+        return turn
+
+
 def grow(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
     rng, dims = np.random.default_rng(seed), sample.shape[1]
     normals, thresholds = np.zeros((trees, (1 << depth) - 1, dims)), np.zeros((trees, (1 << depth) - 1))
@@ -95,51 +112,106 @@ def grow(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v of the rows that take part; repeated ids take the least vector."""
+    """vec_id, v of the rows that take part; repeated ids take the least vector. Floats stay floats, all else is double."""
     v = F.col("v")
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall(v, number) & F.exists(v, lambda x: x != 0))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     """List column to doubles; all lists have the same length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = np.asarray(column.flatten(), dtype=np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows to one vector; a power of two for each keeps squares within the range of doubles."""
+    half = x / 2 - q / 2
+    power = np.frexp(np.abs(half).max(axis=1, initial=0.0))[1]
+    return np.ldexp(np.sqrt((np.ldexp(half, -power[:, None]) ** 2).sum(1)), power + 1)
+
+
 def nearest_in_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, distance) of each query's k nearest of the block, without itself; exact."""
+    """(query, row of the block, distance) of each query's k nearest of the block, without itself; exact."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    norms = (x**2).sum(1)
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
+    power = np.frexp(max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0)))[1]
+    scaled, asked = np.ldexp(x, -power), np.ldexp(q, -power)
+    norms = (scaled**2).sum(1)
+    step = max(1, BLOCK_BYTES // (8 * max(len(x), 1)))
+    for a in range(0, len(q), step):
+        part = asked[a : a + step]
         own = (part**2).sum(1)
-        rough = norms[None, :] + own[:, None] - 2 * part @ x.T
-        for i, qid in enumerate(q_ids[a : a + 256]):
+        rough = norms[None, :] + own[:, None] - 2 * part @ scaled.T
+        for i, qid in enumerate(q_ids[a : a + step]):
             row = np.where(ids == qid, np.inf, rough[i])
             # all that rounding could put among the k nearest, ties included; it grows with the norms, not the distances
             slack = 32 * (x.shape[1] + 2) * np.finfo(float).eps * (norms.max(initial=0.0) + own[i])
             edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
             near = np.nonzero((row <= edge + slack) & (row < np.inf))[0] if edge < np.inf else np.nonzero(row < np.inf)[0]
-            exact = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
+            exact = distances(x[near], q[a + i])
             best = np.lexsort((ids[near], exact))[:k]
-            out.append((np.full(len(best), qid), ids[near][best], exact[best]))
+            out.append((np.full(len(best), qid), near[best], exact[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES, depth: int = DEPTH, visit: float = VISIT, sample_rows: int = SAMPLE_ROWS, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def depth_for(rows: int, sample: int) -> int:
+    """Levels of a tree: leaves of about LEAF_ROWS rows and, in the sample, of LEAF_SAMPLE rows at least."""
+    levels = lambda n, leaf: int(np.floor(np.log2(max(n, 1) / leaf) + 0.5))
+    return max(0, min(levels(rows, LEAF_ROWS), levels(sample, LEAF_SAMPLE)))
+
+
+def draw(rows: DataFrame, most: int, total: int, seed: int, purpose: str) -> DataFrame:
+    """About `most` of the rows (all, if there are no more), chosen by a hash of the id."""
+    parts = 1 << 30
+    return rows.where(F.pmod(F.xxhash64("vec_id", F.lit(purpose), F.lit(seed)), F.lit(parts)) < int(min(parts, parts * most / max(total, 1))))
+
+
+def visits_needed(index: DataFrame, probes: DataFrame, forest: Forest, k: int) -> list[int]:
+    """For each true neighbour of each probe, how many leaves the probe visits until one holds it; one scan of `index`."""
+    got = probes.toArrow()
+    p_ids, p = got.column(0).to_numpy(), matrix(got.column(1).combine_chunks())
+    order = {int(i): n for n, i in enumerate(p_ids)}
+    turn = np.stack([forest.turns(v) for v in p]) if len(p) else np.zeros((0, forest.cells))
+    shared = index.sparkSession.sparkContext.broadcast((p_ids, p, turn, forest))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p_ids, p, turn, forest = shared.value
+        best = np.zeros((0, 4))  # probe, id, distance, leaves visited until it is met
+
+        def least(rows: np.ndarray) -> np.ndarray:
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+            first = np.searchsorted(rows[:, 0], rows[:, 0])
+            return rows[np.arange(len(rows)) - first < k]
+
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+            asked, at, far = nearest_in_block(ids, x, p_ids, p, k)
+            probe = np.array([order[int(i)] for i in asked], np.int64)
+            met = turn[probe[:, None], forest.leaves(x)[at]].min(1) if len(at) else np.zeros(0)
+            best = least(np.concatenate([best, np.stack([probe, at if not len(at) else ids[at], far, met], 1)]))
+        yield pa.RecordBatch.from_arrays([pa.array(best[:, 0].astype(np.int64)), pa.array(best[:, 1].astype(np.int64)), pa.array(best[:, 2]), pa.array(best[:, 3].astype(np.int64))], ["probe", "vec_id", "score", "met"])
+
+    seen = index.mapInArrow(scan, "probe long, vec_id long, score double, met long")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "vec_id"))
+    return [r["met"] for r in seen.withColumn("rank", rank).where(F.col("rank") <= k).select("met").collect()]
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest found: query_id, rank, vec_id, score (Euclidean distance).
 
     Queries are the rows whose id is divisible by `every`, candidates all rows but the query's own. Nearest
     first, ties to the smaller id; all candidates, if fewer than k. Null and zero vectors, those with null
     or non-finite components and those of another length than most rows (ties: the longer) take no
-    part, as rows without an id. Repeated ids count once, with their least vector. Without
-    queries or candidates there are no rows.
+    part, as rows without an id. Repeated ids count once, with their least vector. An empty table, or one without
+    queries or candidates, gives no rows; other columns are ignored, whatever their names. `recall` is
+    the share of true neighbours that the visits are to reach, measured on PROBES rows.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    small_batches(spark)
     rows = cut(valid(vectors, id_col, vector_col))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     dims, total = (lengths["d"], lengths["n"]) if lengths else (1, 0)
@@ -147,13 +219,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     queries = rows.where(F.col("vec_id") % every == 0)
     first = Window.partitionBy("v").orderBy("vec_id")
     index = cut(rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n"))
-    depth = 0 if total <= EXACT_ROWS else depth
-    trees = 1 if depth == 0 else trees
-    parts = 1 << 30
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(parts)) < int(min(parts, parts * sample_rows / max(total, 1))))
-    sample = matrix(drawn.select("v").toArrow().column(0).combine_chunks()) if depth else np.zeros((0, dims))
-    forest = spark.sparkContext.broadcast(grow(sample, trees, depth, seed))
-    most = max(1, int(round(visit * (trees << depth))))
+    sample_rows = min(sample_rows, SAMPLE_BYTES // (8 * dims))
+    depth = depth_for(total, min(sample_rows, total))
+    sample = matrix(draw(index, sample_rows, total, seed, "forest").select("v").toArrow().column(0).combine_chunks())
+    grown = grow(sample.reshape(-1, dims), trees if depth else 1, depth, seed)
+    forest = spark.sparkContext.broadcast(grown)
+    needed = np.sort(visits_needed(index, draw(rows, PROBES, total, seed, "probes"), grown, k))
+    most = int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else grown.cells
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,28 +241,33 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
             got = b.take(pa.array(which))
             yield pa.RecordBatch.from_arrays([pa.array([c for x in cells for c in x], pa.int64()), got.column(0), got.column(1)], ["cell", "vec_id", "v"])
 
-    schema = "cell long, vec_id long, v array<float>"
+    schema = f"cell long, vec_id long, v {dict(rows.dtypes)['v']}"
     filed, called = index.mapInArrow(put, schema), queries.mapInArrow(call, schema)
-    # a row for each cell, of which the forest has a fixed number
-    sizes = {r["cell"]: r["n"] for r in filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells = forest.value.cells
-    blocks = np.array([max(1, -(-sizes.get(c, 0) // BLOCK_ROWS)) for c in range(cells)])
-    q_blocks = max(1, -(-int(total / max(every, 1)) // BLOCK_QUERIES))
-    of_cell = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), (F.col("cell") + 1).cast("int"))
-    left = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_cell)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = called.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), of_cell.cast("long") - 1)))
+
+    def blocks(side: DataFrame) -> Column:
+        """Into how many blocks each cell's rows go; a figure for each cell, and the forest has a bounded number of cells."""
+        sizes = {r["cell"]: r["n"] for r in side.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        per = max(1, BLOCK_BYTES // (8 * dims))
+        return F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(c, 0) // per))) for c in range(grown.cells)]), (F.col("cell") + 1).cast("int"))
+
+    of_rows, of_queries = blocks(filed), blocks(called)
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = filed.withColumn("block", own(of_rows)).withColumn("q_block", each(of_queries))
+    right = called.withColumn("q_block", own(of_queries)).withColumn("block", each(of_rows))
 
     def match(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        got = nearest_in_block(
-            a.column("vec_id").to_numpy(), matrix(a.column("v").combine_chunks()), b.column("vec_id").to_numpy(), matrix(b.column("v").combine_chunks()), k
-        )
-        return pa.table([pa.array(c) for c in got], names)
+        ids = a.column("vec_id").to_numpy()
+        asked, at, far = nearest_in_block(ids, matrix(a.column("v").combine_chunks()), b.column("vec_id").to_numpy(), matrix(b.column("v").combine_chunks()), k)
+        return pa.table([pa.array(asked), pa.array(ids[at]), pa.array(far)], names)
 
     keys = ["cell", "block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a vector is found once in each tree at most, with one distance, so its rows stand together
+    by = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    top = found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k * len(grown.thresholds))
+    once = top.withColumn("again", F.lag("vec_id").over(by) == F.col("vec_id")).where("again is null or not again")
+    return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -41,6 +41,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate:
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     trees = Trees(edges, np.zeros((rounds, (1 << depth) - 1), np.int64), np.full((rounds, (1 << depth) - 1), 255), np.zeros((rounds, 1 << depth)), float(np.log(share / (1 - share))))
     b = trees.binned(x).astype(np.int64)
+    yes_no = [j for j in range(k) if len(edges[j]) == 1]
+    flags, many = b[:, yes_no].astype(float), [j for j in range(k) if len(edges[j]) > 1]
     margin = np.full(n, trees.base)
     for r in range(rounds):
         p = 1 / (1 + np.exp(-margin))
@@ -50,12 +52,12 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate:
             first, count = (1 << level) - 1, 1 << level
             own = node - first
             best = np.full(count, 1e-6)
-            for j in (j for j in range(k) if len(edges[j])):
-                bins = len(edges[j]) + 1
-                at = own * bins + b[:, j]
-                gs = np.bincount(at, g, count * bins).reshape(count, bins).cumsum(1)
-                hs = np.bincount(at, h, count * bins).reshape(count, bins).cumsum(1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
+            here = (own[None, :] == np.arange(count)[:, None]).astype(float)
+            sums = [here @ np.column_stack([v, (1 - flags) * v[:, None]]) for v in (g, h)]  # all rows, then those below the only edge
+            gt, ht = (v[:, :1] for v in sums)
+
+            def consider(gs: np.ndarray, hs: np.ndarray, j: int) -> None:
+                """Sums of the rows up to each edge of feature j."""
                 gain = gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt**2 / (ht + ridge)
                 gain[(hs < least) | (ht - hs < least)] = 0
                 cut = gain.argmax(1)
@@ -64,6 +66,13 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate:
                 best[better] = top[better]
                 trees.features[r, first : first + count][better] = j
                 trees.cuts[r, first : first + count][better] = cut[better]
+
+            for i, j in enumerate(yes_no):
+                consider(sums[0][:, i + 1 : i + 2], sums[1][:, i + 1 : i + 2], j)
+            for j in many:
+                bins = len(edges[j]) + 1
+                at = own * bins + b[:, j]
+                consider(*(np.bincount(at, v, count * bins).reshape(count, bins).cumsum(1) for v in (g, h)), j)
             node = 2 * node + 1 + (b[np.arange(n), trees.features[r, node]] > trees.cuts[r, node])
         leaf = node - ((1 << depth) - 1)
         value = rate * np.bincount(leaf, g, 1 << depth) / (np.bincount(leaf, h, 1 << depth) + ridge)

@@ -1,6 +1,6 @@
 """HTML extraction: boosted trees over DOM nodes, decoded along the tree.
 
-A page becomes a tree of its block elements with the text runs between them. Each block element has
+A page becomes a tree of its elements with the text runs between them. Each element has
 features (its tag, attribute tokens, those of its ancestors, subtree text density, links, place among
 siblings and in the page), and boosted trees give the probability that it belongs to the main
 text. Decoding takes the likeliest choice in which nothing below a dropped element is kept,
@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietday.llm import boosting
-from quietday.llm.common import small_batches, text_or_empty
+from quietday.llm.common import bounded, small_batches, text_or_empty
 from quietday.llm.html_training import training_pages
 
 # Element names of HTML.
@@ -30,8 +31,10 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th"
     " thead tr ul".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea template noscript iframe svg math title object canvas audio video noembed noframes xmp".split())
+#: Elements whose text belongs to the block around them, if the trees keep it.
+INLINE = frozenset("noscript object canvas audio video svg".split())
+#: Elements without markup inside whose text a page doesn't show.
+HIDDEN = frozenset("script style textarea template iframe title noembed noframes".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend summary button".split())
 SAME_LEVEL = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -50,8 +53,9 @@ TAG_KINDS = {
     "div": 4, "center": 4, "section": 5, "article": 6, "main": 6, "nav": 7, "search": 7, "header": 8, "footer": 9, "address": 9, "aside": 10, "dialog": 10,
     "form": 11, "fieldset": 11, "button": 11, "select": 11, "option": 11, "legend": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "tbody": 12, "thead": 12,
     "tfoot": 12, "caption": 12, "pre": 13, "blockquote": 13, "figure": 14, "figcaption": 14, "body": 15, "html": 15,
+    "noscript": 16, "object": 17, "canvas": 16, "audio": 16, "video": 16, "svg": 16,
 }
-KINDS = 17
+KINDS = 19
 # Words in class, id and role attributes, by what they speak of.
 TOKENS = {
     "advert": "ad ads adv advert advertisement adsense adslot banner sponsor sponsored promo promotion promoted partner",
@@ -67,7 +71,11 @@ TOKENS = {
 }
 WORDS = {w: i for i, ws in reversed(list(enumerate(TOKENS.values()))) for w in ws.split()}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# A tag ends at the first > outside quoted values; where a page has no such end, at the first > of any kind. No part
+# is tried twice, so the time is in proportion to the page.
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
+_LAX_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in (*HIDDEN, "xmp")}
 _ATTR = re.compile(r"(?:^|[\s\"'])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _KEEP = re.compile(r"\bdata-keep\b")
@@ -76,102 +84,150 @@ _SPACE = re.compile(r"\s+")
 
 
 class Page:
-    """The block elements of one page in document order, and its text runs as (element, text, link characters)."""
+    """The elements of one page in document order, and its text runs as (element, text, link characters, block).
 
-    __slots__ = ("tags", "attrs", "parents", "runs")
+    Runs with one block number stand in one block, however many elements share it.
+    """
+
+    __slots__ = ("tags", "attrs", "parents", "runs", "_stack", "_open", "_parts", "_linked", "_block", "_link")
 
     def __init__(self, source: str):
         self.tags: list[str] = ["html"]
         self.attrs: list[str] = [""]
         self.parents: list[int] = [-1]
-        self.runs: list[tuple[int, str, int]] = []
+        self.runs: list[tuple[int, str, int, int]] = []
+        self._stack = [0]  # open elements
+        self._open: dict[str, list[int]] = defaultdict(list)  # their places in the stack by name
+        self._parts: list[str] = []
+        self._linked = self._block = 0
+        self._link = False
         self._parse(source)
 
+    def _text(self, piece: str) -> None:
+        self._parts.append(piece)
+        if self._link:
+            self._linked += len(piece)
+
+    def _end_run(self) -> None:
+        if self._parts:
+            text = entities.unescape("".join(self._parts))
+            if text:
+                self.runs.append((self._stack[-1], text, self._linked, self._block))
+            self._parts, self._linked = [], 0
+
+    def _end_block(self) -> None:
+        self._end_run()
+        self._block += 1
+        self._link = False
+
+    def _push(self, name: str, attrs: str) -> None:
+        self.tags.append(name)
+        self.attrs.append(attrs)
+        self.parents.append(self._stack[-1])
+        self._open[name].append(len(self._stack))
+        self._stack.append(len(self.tags) - 1)
+
+    def _top(self) -> str:
+        return self.tags[self._stack[-1]]
+
+    def _pop(self) -> None:
+        self._open[self.tags[self._stack.pop()]].pop()
+
+    def _close(self, names: Iterable[str], stop: Iterable[str] = ()) -> None:
+        """Closes the nearest open element of `names` and all in it, if none of `stop` is nearer."""
+        nearest = lambda kinds: max((self._open[k][-1] for k in kinds if self._open[k]), default=0)
+        at = nearest(names)
+        if at > nearest(stop):
+            while len(self._stack) > at:
+                self._pop()
+
     def _parse(self, source: str) -> None:
-        tags, attrs, parents = self.tags, self.attrs, self.parents
-        stack, inline = [0], []  # open block elements; open links
-        parts: list[str] = []
-        linked = 0
-
-        def flush() -> None:
-            nonlocal parts, linked
-            if parts:
-                text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-                if text:
-                    self.runs.append((stack[-1], text, linked))
-                parts, linked = [], 0
-
-        def close_to(names: set, stop: set) -> None:
-            """Closes the nearest open element of `names`, if none of `stop` is in between."""
-            for i in range(len(stack) - 1, 0, -1):
-                tag = tags[stack[i]]
-                if tag in stop:
-                    return
-                if tag in names:
-                    flush()
-                    del stack[i:]
-                    return
-
-        at, end = 0, len(source)
-        while at < end:
-            m = _TAG.search(source, at)
-            piece = source[at : m.start()] if m else source[at:]
-            if piece:
-                parts.append(piece)
-                if inline:
-                    linked += len(piece)
-            if not m:
+        at = look = 0
+        pattern = _TAG
+        while True:
+            lt = source.find("<", look)
+            if lt < 0:
+                self._text(source[at:])
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            sign = source[lt + 1 : lt + 2]
+            after = source[lt + 2 : lt + 3] if sign == "/" else sign
+            named = after.isascii() and after.isalpha()
+            if not named and sign not in ("/", "!", "?"):
+                look = lt + 1
                 continue
-            name, closing, rest = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
-            if name in RAW:
-                if not closing and not rest.endswith("/"):
-                    tail = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    at = tail.end() if tail else end
-            elif name == "br":
-                parts.append(" ")
-            elif name == "a":
-                inline = [] if closing else [1]
-            elif name not in BLOCKS:
-                if name in ("img", "input", "wbr") or closing or name in VOID:
-                    continue
-            elif closing:
-                if name in ("html", "body"):
-                    continue
-                if name == "p" and "p" not in (tags[i] for i in stack):
-                    flush()
+            if lt > at:
+                self._text(source[at:lt])
+            if not named:
+                if source.startswith("<!--", lt):
+                    end = lt + 4 if source.startswith((">", "->"), lt + 4) else source.find("-->", lt + 4)
                 else:
-                    inline = []
-                    close_to({name}, set() if name in ("table", "body") else {"table"} if name in ("p", "li", "div") else set())
-            elif name in ("html", "body"):
-                flush()
-                if name == "body":
-                    attrs[0] += " " + rest
-            elif name == "hr":
-                flush()
+                    end = source.find(">", lt + 2)
+                if end < 0:
+                    break
+                at = look = source.index(">", end) + 1
+                continue
+            m = pattern.match(source, lt)
+            if not m:  # the page ends inside a tag or an open quote
+                pattern = _LAX_TAG
+                m = pattern.match(source, lt)
+                if not m:
+                    break
+            at = look = m.end()
+            name = m[1].lower()
+            if name in _RAW_END:
+                if sign == "/":
+                    continue
+                tail = _RAW_END[name].search(source, at)
+                if name == "xmp":
+                    self._end_block()
+                    self._text(source[at : tail.start() if tail else len(source)].replace("&", "&amp;"))
+                    self._end_block()
+                end = source.find(">", tail.end()) if tail else -1
+                if end < 0:
+                    break
+                at = look = end + 1
+            elif sign == "/":
+                self._end_tag(name)
             else:
-                flush()
-                if name in CLOSES_P and tags[stack[-1]] == "p":
-                    stack.pop()
-                if name in SAME_LEVEL:
-                    while len(stack) > 1 and tags[stack[-1]] == "p":
-                        stack.pop()
-                    close_to(*SAME_LEVEL[name])
-                if name in ("tr", "tbody", "thead", "tfoot"):
-                    while tags[stack[-1]] in SAME_LEVEL[name][0]:
-                        stack.pop()
-                inline = []
-                tags.append(name)
-                attrs.append(rest)
-                parents.append(stack[-1])
-                if not rest.endswith("/"):
-                    stack.append(len(tags) - 1)
-                    if len(stack) > 400:  # deeper elements become siblings
-                        stack.pop()
-        flush()
+                self._start_tag(name, m[2])
+        self._end_block()
+
+    def _end_tag(self, name: str) -> None:
+        if name == "a":
+            self._link = False
+        elif name == "br":
+            self._text(" ")
+        elif name in INLINE:
+            self._end_run()
+            self._close([name], BLOCKS)
+        elif name in BLOCKS and name not in ("html", "body"):
+            self._end_block()
+            self._close([name], ["table"] if name in ("p", "li", "div") else ())
+
+    def _start_tag(self, name: str, attrs: str) -> None:
+        if name == "a":
+            self._link = True
+        elif name == "br":
+            self._text(" ")
+        elif name in INLINE:
+            self._end_run()
+            self._push(name, attrs)
+        elif name in ("html", "body", "hr"):
+            self._end_block()
+            if name == "body":
+                self.attrs[0] += " " + attrs
+        elif name in BLOCKS:
+            self._end_block()
+            if name in CLOSES_P and self._top() == "p":
+                self._pop()
+            if name in SAME_LEVEL:
+                while self._top() == "p":
+                    self._pop()
+                self._close(*SAME_LEVEL[name])
+            if name in ("tr", "tbody", "thead", "tfoot"):
+                while self._top() in SAME_LEVEL[name][0]:
+                    self._pop()
+            self._push(name, attrs)
 
 
 def _tokens(attrs: str) -> np.ndarray:
@@ -191,7 +247,10 @@ def features(page: Page) -> np.ndarray:
     own = {"chars": np.zeros(n), "links": np.zeros(n), "words": np.zeros(n), "stops": np.zeros(n), "runs": np.zeros(n), "tags": np.ones(n), "ps": np.zeros(n)}
     before, total = np.zeros(n), 0
     first_run = {}
-    for node, text, linked in page.runs:
+    for node, text, linked, _ in page.runs:
+        text = text.strip()
+        if not text:
+            continue
         first_run.setdefault(node, total)
         size = len(text)
         own["chars"][node] += size
@@ -229,9 +288,9 @@ def features(page: Page) -> np.ndarray:
         for v in ch:
             siblings[v] = len(ch)
         if ch:
-            tags = [page.tags[v] for v in ch]
-            for v, t in zip(ch, tags, strict=True):
-                same[v] = tags.count(t) / len(tags) if len(tags) < 200 else 1.0
+            tags = Counter(page.tags[v] for v in ch)
+            for v in ch:
+                same[v] = tags[page.tags[v]] / len(ch)
     for v in range(n - 1, 0, -1):
         p = parents[v]
         for x in own.values():
@@ -288,17 +347,26 @@ def model() -> boosting.Trees:
     return _models[0]
 
 
+def kept_text(page: Page, keep: list[bool]) -> str:
+    """The kept runs in page order: those of a block with white space as one space, blocks joined by one line feed."""
+    blocks: dict[int, list[str]] = {}
+    for node, text, _, block in page.runs:
+        if keep[node]:
+            blocks.setdefault(block, []).append(text)
+    lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
+    return "\n".join(line for line in lines if line)
+
+
 def extract(sources: list[str], trees: boosting.Trees) -> list[str]:
-    """The main text of each page: kept text runs in page order, joined by one line feed."""
+    """The main text of each page."""
     pages = [Page(s) for s in sources]
     if not pages:
         return []
     rows = [features(p) for p in pages]
     p, at, out = trees.predict(np.concatenate(rows)), 0, []
     for page, row in zip(pages, rows, strict=True):
-        keep = decode(page, p[at : at + len(row)])
+        out.append(kept_text(page, decode(page, p[at : at + len(row)])))
         at += len(row)
-        out.append("\n".join(text for node, text, _ in page.runs if keep[node]))
     return out
 
 
@@ -307,15 +375,16 @@ def main_text(pages: DataFrame, trees: boosting.Trees | None = None, id_col: str
 
     Null or empty html has an empty text. White space inside a block is one space, a line break too;
     character references are decoded; blocks are joined by one line feed. Nothing else is dropped
-    or cut. Unclosed elements end where HTML ends them; a page may end anywhere. Repeated rows give
-    repeated rows; an empty table gives none; other columns are ignored.
+    or cut. Unclosed elements end where HTML ends them; a page may end anywhere, and a tag that it ends in is no
+    text. Elements nest to any depth, and the time is in proportion to the page's length. Repeated rows
+    give repeated rows; an empty table gives none; other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(trees or model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             texts = extract(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

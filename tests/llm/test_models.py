@@ -125,7 +125,7 @@ def test_extraction_on_pages_not_trained_on(trees):
     for p in pages:
         keep, y = html.decode(p, trees.predict(html.features(p))), html.labels(p)
         total += len(p.runs)
-        right += sum(keep[n] == bool(y[n]) for n, _, _ in p.runs)
+        right += sum(keep[n] == bool(y[n]) for n, *_ in p.runs)
         assert all(keep[p.parents[v]] or not keep[v] for v in range(1, len(keep)))
     assert right / total > 0.98
 

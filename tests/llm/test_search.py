@@ -89,7 +89,7 @@ def test_a_block_is_exact_far_from_the_origin(offset):
     got = ann.nearest_in_block(ids, x, ids[:50], x[:50], 10)
     for q, v in zip(ids[:50], x[:50], strict=True):
         d = np.where(ids == q, np.inf, np.sqrt(((x - v) ** 2).sum(1)))
-        assert got[1][got[0] == q].tolist() == ids[np.lexsort((ids, d))[:10]].tolist()
+        assert ids[got[1][got[0] == q]].tolist() == ids[np.lexsort((ids, d))[:10]].tolist()
 
 
 def test_rows_that_take_no_part(spark):
@@ -113,3 +113,41 @@ def test_recall_of_the_forest(spark):
     for q, r in got.items():
         for i, s in r:
             assert s == pytest.approx(np.sqrt(((x[i] - x[q]) ** 2).sum()), rel=1e-12)
+
+
+def test_the_queue_visits_cells_in_the_order_of_their_turns():
+    rng = np.random.default_rng(5)
+    forest = ann.grow(rng.normal(size=(500, 6)), 3, 4, 1)
+    for q in rng.normal(size=(20, 6)):
+        turn = forest.turns(q)
+        assert turn[forest.visits(q, forest.cells)].tolist() == list(range(1, forest.cells + 1))
+
+
+@pytest.mark.parametrize("structured", [False, True])
+def test_visits_follow_the_data(spark, structured):
+    """Above one leaf the forest is at work; clusters need few of its leaves, an even spread many."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 16)) / (20 if structured else 1) + (rng.normal(size=(40, 16))[rng.integers(0, 40, 5000)] if structured else 0)
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(5000)
+    depth = ann.depth_for(5000, 5000)
+    forest = ann.grow(x, 4, depth, 7)
+    rows = table(spark, ids, x).selectExpr("vec_id", "embedding AS v")
+    needed = np.sort(ann.visits_needed(rows, rows.where("vec_id % 50 = 0"), forest, 10))
+    assert depth >= 3 and len(needed) == 1000
+    share = needed[int(0.95 * len(needed))] / forest.cells
+    assert share < 0.15 if structured else share > 0.15
+    got, want = found(ann.search(table(spark, ids, x), 100)), brute(ids, x, 100, 10)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.93
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.1, 0.0]), (2, [1e200, 0.0]), (3, [-1e200, 1e200]), (4, [1.0 + 2**-40, 0.0])]
+    got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {0: [(4, 2**-40), (1, 1.1 - 1.0), (2, 1e200), (3, pytest.approx(2**0.5 * 1e200))]}
+
+
+def test_repeated_and_clashing_rows_of_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1, "x", 2), (1, [0.0, 1.0], 1, "x", 2), (1, [0.0, 1.0], 1, "x", 2), (1, [0.0, 3.0], 1, "x", 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, v string, _n int")
+    assert found(ann.search(df)) == {0: [(1, pytest.approx(2**0.5))]}
