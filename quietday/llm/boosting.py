@@ -35,9 +35,15 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
+def edges_of(values: np.ndarray) -> np.ndarray:
+    """Where bins begin: at each value but the least, or at quantiles if there are many values."""
+    distinct = np.unique(values)
+    return distinct[1:] if len(distinct) <= BINS else np.unique(np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1]))
+
+
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate: float = 0.25, least: float = 5.0, ridge: float = 1.0) -> Trees:
     n, k = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(k)]
+    edges = [edges_of(x[:, j]) for j in range(k)]
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     trees = Trees(edges, np.zeros((rounds, (1 << depth) - 1), np.int64), np.full((rounds, (1 << depth) - 1), 255), np.zeros((rounds, 1 << depth)), float(np.log(share / (1 - share))))
     b = trees.binned(x).astype(np.int64)

@@ -32,7 +32,7 @@ BLOCKS = frozenset(
     " thead tr ul".split()
 )
 #: Elements whose text belongs to the block around them, if the trees keep it.
-INLINE = frozenset("noscript object canvas audio video svg".split())
+INLINE = frozenset("noscript canvas audio video svg".split())
 #: Elements without markup inside whose text a page doesn't show.
 HIDDEN = frozenset("script style textarea template iframe title noembed noframes".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend summary button".split())
@@ -53,9 +53,9 @@ TAG_KINDS = {
     "div": 4, "center": 4, "section": 5, "article": 6, "main": 6, "nav": 7, "search": 7, "header": 8, "footer": 9, "address": 9, "aside": 10, "dialog": 10,
     "form": 11, "fieldset": 11, "button": 11, "select": 11, "option": 11, "legend": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "tbody": 12, "thead": 12,
     "tfoot": 12, "caption": 12, "pre": 13, "blockquote": 13, "figure": 14, "figcaption": 14, "body": 15, "html": 15,
-    "noscript": 16, "object": 17, "canvas": 16, "audio": 16, "video": 16, "svg": 16,
+    "noscript": 16, "canvas": 16, "audio": 16, "video": 16, "svg": 16,
 }
-KINDS = 19
+KINDS = 18
 # Words in class, id and role attributes, by what they speak of.
 TOKENS = {
     "advert": "ad ads adv advert advertisement adsense adslot banner sponsor sponsored promo promotion promoted partner",

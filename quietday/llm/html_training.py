@@ -59,7 +59,7 @@ class Composer:
                 if self.rng.random() < 0.15:
                     inner = f"<b>{text}<br>"
                 elif self.rng.random() < 0.05:
-                    inner = f"{text} <math><mi>{self.word()}</mi></math> <object data-keep data=x>{self.words(1, 6)}</object> {self.sentence()}"
+                    inner = f"{text} <math><mi>{self.word()}</mi></math> <object data=x>{self.words(1, 6)}</object> {self.sentence()}"
                 elif self.rng.random() < 0.12:
                     inner = f"{text} {self.embed()}"
                 elif self.rng.random() < 0.15:
@@ -146,10 +146,12 @@ class Composer:
         inside: list[Callable[[], str]] = self.some([self.share, self.advert, self.form, self.related, self.comments], 0.12)
         body += "".join(f() for f in inside)
         how = self.rng.random()
-        if how < 0.1:  # no element around the text, now and then nothing else on the page
+        if how < 0.2:  # no element around the text, now and then nothing else on the page
             main = body
             if self.rng.random() < 0.5:
-                main = main if self.rng.random() < 0.5 else "".join(f"<{t} data-keep>{self.words(1, 8)}</{t}>" for t in self.rng.choices(["p", "p", "section", "div", "h2"], k=self.below(1, 5)))
+                main = main if self.rng.random() < 0.5 else "".join(f"<{t} data-keep>{self.words(1, 8) if self.rng.random() < 0.7 else self.word()[:1]}</{t}>" for t in self.rng.choices(["p", "p", "section", "div", "h2"], k=self.below(1, 5)))
+                deep = self.pick([0, 0, 0, self.below(1, 5), self.below(5, 60)])
+                main = "<div data-keep>" * deep + (self.words(1, 6) if deep > 4 else "") + main + "</div>" * deep
                 return f"<html><body>{main}</body></html>" if self.rng.random() < 0.5 else main
         elif how < 0.6:
             main = f"<article data-keep>{body}</article>"

@@ -6,7 +6,7 @@ n-grams. Characters take 12 bits, so an n-gram is one long and the model is a fe
 each order the n-grams of any language with a column of log-probabilities for each, and the contexts
 with their back-off weights. A text's n-grams are looked up by binary search, all languages at once.
 
-Decision: the lowest cross-entropy per character. Rejection judges pieces of a text, each by the language
+Decision: the lowest cross-entropy per character, of the models mixed with a little evenly drawn noise. Rejection judges pieces of a text, each by the language
 that fits it best, and takes their median, so a passage unlike all that was learned doesn't outweigh the
 rest. It is calibrated on labelled rows apart from the training sample, cut to texts of every length: a text
 is rejected if its median lies above the upper quartile (the median of a text whose third is unlike) of nearly
@@ -36,8 +36,9 @@ SPACE, HASHED = 32, 3840
 WINDOW = 1 << 19
 #: Neighbouring characters depend on each other, so evidence is divided by this.
 SPREAD = 3.0
-#: No character costs more in the choice of the language, so a passage in another one doesn't outweigh the rest of a text.
-MOST_BITS = 9.0
+#: The share of characters that a text may draw evenly from the alphabet: in the choice of the language each model is
+#: mixed with this uniform one (still a distribution), so a passage in another language doesn't outweigh the rest.
+NOISE = 0.1
 #: Rejection: symbols of a piece; calibration texts of each length (powers of two) from a document; the share of
 #: calibration texts below the limit, and the limit's margin as a share of its distance from the median.
 PIECE, SAMPLES, LENGTHS = 64, 8, 14
@@ -147,6 +148,9 @@ class Model:
             out[miss] = less
         return out
 
+    def with_noise(self, values: np.ndarray) -> np.ndarray:
+        return np.log2(np.exp2(values) * np.float32(1 - NOISE) + np.float32(NOISE * 2.0**self.floor))
+
     def score(self, texts: list[str]) -> list[tuple[str, float, bool, float, int, float]]:
         """(language or und, score, rejected, bits per symbol, symbols, upper quartile of its pieces' bits) of each text."""
         return self.score_symbols(map(symbols, texts))
@@ -170,17 +174,17 @@ class Model:
         pieces = np.maximum(counts // PIECE, 1)  # of even length
         first = np.concatenate([[0], np.cumsum(pieces)])
         sizes = np.concatenate([np.diff(np.arange(k + 1) * n // k) for n, k in zip(counts, pieces, strict=True)])
-        loss, bounded = np.zeros((len(sizes), len(self.languages))), np.zeros((len(sizes), len(self.languages)))
+        loss, mixed = np.zeros((len(sizes), len(self.languages))), np.zeros((len(sizes), len(self.languages)))
         keys = np.concatenate([grams(s) for s in syms])
         owner = np.repeat(np.arange(len(sizes)), sizes)
         for a in range(0, len(keys), WINDOW):
-            values = -self.log2(keys[a : a + WINDOW]).astype(np.float64)
+            values = self.log2(keys[a : a + WINDOW])
             own = owner[a : a + WINDOW]
             starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
-            loss[own[starts]] += np.add.reduceat(values, starts)
-            bounded[own[starts]] += np.add.reduceat(np.minimum(values, MOST_BITS), starts)
+            loss[own[starts]] -= np.add.reduceat(values, starts, dtype=np.float64)
+            mixed[own[starts]] -= np.add.reduceat(self.with_noise(values), starts, dtype=np.float64)
         lowest = loss.min(axis=1) / np.maximum(sizes, 1)
-        total = np.add.reduceat(bounded, first[:-1])
+        total = np.add.reduceat(mixed, first[:-1])
         out = []
         for i, n in enumerate(counts):
             if n < 1:  # no letter

@@ -1,6 +1,7 @@
 """Language models, the quality classifier and the HTML extractor: held-out accuracy and edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -163,3 +164,110 @@ def test_op4_keeps_articles_whole(spark, sf):
         blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
         same += r["text"] == "\n".join(x for x in blocks if x)
     assert same / len(got) > 0.99
+
+
+def plain_kneser_ney(texts, alphabet):
+    """Interpolated Kneser-Ney by its definition, on dictionaries: a function of (context, symbol)."""
+    counts = {langid.ORDER: {}}
+    for t in texts:
+        s = [32] * (langid.ORDER - 2) + langid.symbols(t).tolist()
+        for i in range(langid.ORDER - 1, len(s)):
+            g = tuple(s[i - langid.ORDER + 1 : i + 1])
+            counts[langid.ORDER][g] = counts[langid.ORDER].get(g, 0) + 1
+    for n in range(langid.ORDER - 1, 0, -1):  # how many distinct symbols stand before
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discounts = {}
+    for n, c in counts.items():
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        discounts[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def p(context, symbol):
+        n = len(context) + 1
+        lower = p(context[1:], symbol) if context else 1 / alphabet
+        after = [v for g, v in counts[n].items() if g[:-1] == context]
+        if not after:
+            return lower
+        own = max(counts[n].get((*context, symbol), 0) - discounts[n], 0) / sum(after)
+        return own + discounts[n] * len(after) / sum(after) * lower
+
+    return p
+
+
+def test_scores_are_those_of_plain_kneser_ney():
+    texts = {"en": [prose(EN, 25, i) for i in range(2)], "de": [prose(DE, 25, i) for i in range(2)]}
+    counts = {}
+    for lang, ts in texts.items():
+        counts[lang] = np.unique(np.concatenate([langid.grams(langid.symbols(t)) for t in ts]), return_counts=True)
+    m = langid.build(counts)
+    alphabet = len({int(c) for ts in texts.values() for t in ts for c in langid.symbols(t)[1:]})
+    plain = {lang: plain_kneser_ney(ts, alphabet) for lang, ts in texts.items()}
+    asked = ["the dog ran", "der hund läuft", "zyx qqq", "a", "the der und and", prose(EN, 12, 77)]
+    for text, got in zip(asked, m.score(asked), strict=True):
+        s = [32] * (langid.ORDER - 2) + langid.symbols(text).tolist()
+        bits = {}
+        for lang, p in plain.items():
+            probs = [p(tuple(s[i - langid.ORDER + 1 : i]), s[i]) for i in range(langid.ORDER - 1, len(s))]
+            bits[lang] = -np.mean(np.log2((1 - langid.NOISE) * np.array(probs) + langid.NOISE / alphabet))
+        assert got[0] == min(bits, key=bits.get) and got[3] == pytest.approx(min(bits.values()), rel=1e-4)
+
+
+def test_scores_are_those_of_a_literal_discriminant(spark):
+    """Densities by the inverse and determinant of each shrunk covariance, against the cached factors."""
+    rng = random.Random(8)
+    good = [prose(EN, rng.randint(20, 90), i) for i in range(60)]
+    bad = [" ".join(rng.choice(["BUY", "now!!", "$$$", "win|win", "99"]) for _ in range(rng.randint(5, 60))) for _ in range(45)]
+    docs = documents(spark, list(enumerate([*good, *bad, "", None])))
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(105)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.predict(docs, quality.fit(docs, labels)).collect()}
+    raw = np.array([quality.statistics(t) for t in [*good, *bad, "", ""]])
+    k, y = len(quality.FEATURES), np.repeat([1, 0], [60, 45])
+    usual = raw[:60, :k].sum(0) / np.maximum(raw[:60, k:].sum(0), 1)
+    x = quality.transform(raw, usual)
+    z = np.clip((x - x[:105].mean(0)) / np.maximum(x[:105].std(0), 1e-3), -12, 12)
+    own = {c: z[:105][y == c] for c in (0, 1)}
+    pooled = sum(np.cov(o.T, bias=True) * len(o) for o in own.values()) / 103
+    density = {}
+    for c, o in own.items():
+        lean = max(quality.POOL, k / (k + len(o)))
+        cov = (1 - lean) * np.cov(o.T) + lean * pooled
+        cov = (1 - quality.RIDGE) * cov + quality.RIDGE * np.trace(cov) / k * np.eye(k)
+        d = z - o.mean(0)
+        density[c] = np.log(len(o) / 105) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1]
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.TEMPERATURE, -30, 30)))
+    assert [got[i] for i in range(107)] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
+    assert ((want[:105] >= 0.5) == (y == 1)).all()
+
+
+BARE = [
+    ("<h1>Title of it</h1><p>First part of the text, with words.</p><p>Second part of the text.</p>", "Title of it\nFirst part of the text, with words.\nSecond part of the text."),
+    ("<p>some words</p><math><mi>x</mi></math><p>b <object>fallback</object> c</p>", "some words\nx\nb fallback c"),
+    ("<section data-u=/x/><p>in</p></section>", "in"),
+    ("<div/>text", "text"),
+    ("<div>" * 450 + "deep" + "</div>" * 450, "deep"),
+    ("<div><p>One sentence of the text is here.</p><p>A se<b>co</b>nd one <video>no video</video>follows.</p></div><footer>&copy; site</footer>", "One sentence of the text is here.\nA second one follows."),
+    ("<div id=main><h2>A head</h2>loose text<br>more of it<ul><li>one<li>two</ul></div><div class=sidebar><h3>More</h3><ul><li><a href=/>x y</a></ul></div>", "A head\nloose text more of it\none\ntwo"),
+    ("<p>cut off in a tag is no text<a href='x", "cut off in a tag is no text"),
+    ("<p>1 < 2 and 3 <4 &lt;5</p><!-- <p>not</p> --><!--><p>yes it is<?x y?></p>", "1 < 2 and 3 <4 <5\nyes it is"),
+]
+
+
+@pytest.mark.parametrize("page, text", BARE)
+def test_pages_without_an_article_element(trees, page, text):
+    assert html.extract([page], trees) == [text]
+
+
+@pytest.mark.parametrize("unit", ["<a", "<a b=\"", "<div class='x>' ", "<!--", "</script ", "<", "<script></script ", "<div>", "<p>x</p>"])
+def test_long_hostile_pages_take_linear_time(trees, unit):
+    source = (unit * (1_000_000 // len(unit)))[:1_000_000] if unit not in ("<div>", "<p>x</p>") else unit * 60_000
+    began = time.process_time()
+    html.Page(source)
+    assert time.process_time() - began < 3
+
+
+def test_a_long_page_and_one_depth_for_all(trees):
+    page = "<body><article>" + "".join(f"<p>Sentence number {i} of a very long text.</p>" for i in range(20_000)) + "</article><footer>&copy; us</footer>"
+    assert html.extract([page], trees)[0].count("\n") == 19_999
+    deep = html.Page("<div>" * 5000 + "<p>x")
+    assert deep.parents[-1] == len(deep.parents) - 2
