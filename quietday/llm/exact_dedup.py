@@ -60,7 +60,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The input's rows and columns without the rows of which an equal text with a preferred id stays.
 
     A row is dropped by its id and text, so another text under the same id, or without an id, stays. Repeated
-    rows of the preferred id stay together, as do groups without ids; `one_exact_copy` leaves one row.
+    rows of the preferred id stay together, as do groups without ids; `one_exact_copy` leaves one row. Null and empty
+    texts are one group; an empty table stays empty; nulls in other columns and their names don't matter.
     """
     gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(ascii_lower(text_or_empty(docs[text_col])), 256) == gone["_sha"])
@@ -72,5 +73,6 @@ def one_exact_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows of one id (or all without one) are told apart by text and the other columns, so repeated rows
     and rows without ids shrink to one as well. Another text under the same id is another group and stays.
+    Null and empty texts are one group; an empty table stays empty.
     """
     return one_of_each(docs, [F.sha2(ascii_lower(text_or_empty(text_col)), 256)], id_col, text_col, keep)

@@ -31,6 +31,8 @@ from quietday.llm.common import small_batches, text_or_empty
 ORDER, CHAR_BITS = 4, 12
 #: Bounds of what is learned from: documents for each language that train its model, and that calibrate it.
 TRAIN_DOCS, CALIBRATION_DOCS = 400, 200
+#: Most languages that a model has (those with the most rows), since each is a column of it: a column of noise can't fill the driver.
+LANGUAGES = 128
 SPACE, HASHED = 32, 3840
 #: Characters scored at a time.
 WINDOW = 1 << 19
@@ -273,19 +275,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> Model:
     """Learns from `labelled`; rows without a language or text are left out.
 
     Of each language about `train_docs` rows train and `calibration_docs` others calibrate, chosen by a hash
     of the id; their whole texts are used. The model's size depends on these bounds and the
-    number of languages, not on the corpus. Without labelled rows every text is `und`.
+    number of languages (`languages` at most, those with the most rows), not on the corpus. Without
+    labelled rows, or on an empty table, every text is `und`. Repeated rows count each; very long texts count whole.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return build({})
+    rows = rows.where(F.col("lang").isin(*sizes))
     parts = 1 << 30
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(parts, parts * train_docs / n))))])
     both = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(parts, parts * (train_docs + calibration_docs) / n))))])
@@ -321,7 +325,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     lang_pred is a learned language, `und` if the text is null or has no letter (score 0, rejected). Equal
     cross-entropies go to the language that sorts first. `rejected` marks texts unlike all that was
-    learned. Only the text is looked at.
+    learned. Only the text is looked at; very long texts are scored whole, in windows. Repeated rows and null
+    ids give rows each; an empty table gives none; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -341,7 +346,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def filter_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` whose text has a letter and isn't rejected."""
+    """The rows and columns of `docs` whose text has a letter and isn't rejected.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty; nulls in
+    other columns and their names don't matter.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

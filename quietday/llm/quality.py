@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     """Learns label 1 against 0 from the whole texts of at most about `rows` labelled rows.
 
     Rows are chosen by a hash of the id. Null labels and labels other than 0 and 1 are left out, repeated
-    ones count once. With one class only, that class is certain; without rows, class 1 is.
+    ones count once; null texts count as empty, null ids match no label, and each of repeated documents counts.
+    With one class only, that class is certain; without rows (or on empty tables), class 1 is.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -153,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
 def predict(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.5), one row for each row.
 
-    Null text counts as empty; empty texts get a score like any other. Only the text is looked at.
+    Null text counts as empty; empty texts get a score like any other; very long texts are read whole. Only the
+    text is looked at. Repeated rows and null ids give rows each; an empty table gives none; other
+    columns are ignored, whatever their names. A score of exactly one half is class 1.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -170,7 +173,11 @@ def predict(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_c
 
 
 def filter_good(docs: DataFrame, model: Discriminant, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows and columns of `docs` with a score of at least `least`."""
+    """The rows and columns of `docs` with a score of at least `least`.
+
+    Null and empty texts are scored as such; repeated rows stay or go together; an empty table stays
+    empty; nulls in other columns and their names don't matter.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

@@ -122,6 +122,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints `fp` exactly as all links of at most two bits do."""
+    # a table that was checkpointed comes in few partitions; each row becomes 28
+    prints = prints.repartition(prints.sparkSession.sparkContext.defaultParallelism, "fp")
     keyed = prints.select("fp", F.explode(block_keys(F.col("fp"))).alias("k"))
     buckets = keyed.groupBy("k").agg(F.collect_list("fp").alias("prints")).where(F.size("prints") > 1)
     return buckets.select("prints").mapInArrow(_trees, "a long, b long").distinct()
@@ -184,7 +186,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of different texts under the least id, or in a component without ids, one stays, and of repeated rows
     one. Rows are told apart by id and text, so another text under the same id stays where it
-    is the least of its own component.
+    is the least of its own component. Null and texts without words are one group; an empty table stays empty.
     """
     rows = _grouped(docs, id_col, text_col, size).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
     rows = cut(rows)
