@@ -1,16 +1,17 @@
-"""Paired monthly block bootstrap from sufficient statistics of the blocks.
+"""Bootstrap from sufficient statistics of blocks, as joins.
 
-The rows are reduced to sums per block once; resamples only weigh these sums. The draws are made on the
-driver from the seed, block order being the order of first appearance in time.
+Rows are reduced to sums per block once. Which block a resample draws for each of its places is a hash of seed,
+resample and place, so draws need no state: any task makes them, and SQL makes the same ones. A
+resample is then a weighted sum of block statistics; rows are never resampled.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietday.functions.columns import r6
+
 STATS = ["n", "ea", "eb", "y", "a", "b", "yy", "aa", "bb", "ya", "yb"]
 
 
@@ -22,47 +23,112 @@ def block_statistics(pairs: DataFrame, date: str, y: str, a: str, b: str, keys:
     return pairs.groupBy(*(keys or []), block).agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])
 
 
-def _scores(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n, ea, eb, y, a, b, yy, aa, bb, ya, yb = s.T
-    with np.errstate(invalid="ignore", divide="ignore"):
-        cc = lambda x, xx, yx: (n * yx - y * x) / np.sqrt((n * yy - y * y) * (n * xx - x * x))
-        return ea / n - eb / n, cc(a, aa, ya) - cc(b, bb, yb)
+def draws(blocks: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
+    """keys, r, block, w: how often each of the `resamples` draws each of the distinct `blocks` (keys, block)."""
+    line = Window.partitionBy(*keys).orderBy("block")
+    numbered = blocks.select(*keys, "block", (F.row_number().over(line) - 1).cast("long").alias("i"))
+    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    places = sizes.select(*keys, "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "s")), 1, 8), 16, 10).cast("long")
+    weights = places.groupBy(*keys, "r", F.pmod(number, F.col("size")).alias("i")).agg(F.count(F.lit(1)).alias("w"))
+    return weights.join(numbered, [*keys, "i"]).select(*keys, "r", "block", "w")
+
+
+def resampled(stats: DataFrame, keys: list[str], sums: list[str], resamples: int, seed: int, number_by: list[str] | None = None) -> DataFrame:
+    """keys, r and the sums of each resample. Blocks are numbered for each key by itself, or for `number_by` (then keys share draws)."""
+    by = keys if number_by is None else number_by
+    drawn = draws(stats.select(*by, "block").distinct(), by, resamples, seed)
+    weighed = stats.join(drawn, [*by, "block"])
+    return weighed.groupBy(*keys, "r").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
+
+
+def _cc(x: str) -> Column:
+    spread = (F.col("n") * F.col("yy") - F.col("y") * F.col("y")) * (F.col("n") * F.col(x + x) - F.col(x) * F.col(x))
+    return F.when(spread > 0, (F.col("n") * F.col(f"y{x}") - F.col("y") * F.col(x)) / F.sqrt(spread))
+
+
+def d_mae() -> Column:
+    return (F.col("ea") - F.col("eb")) / F.col("n")
+
+
+def d_corr() -> Column:
+    return _cc("a") - _cc("b")
+
+
+def interval(name: str) -> list[Column]:
+    """The central 95 % of a column of resamples."""
+    return [F.percentile(name, 0.025).alias(f"{name}_lo"), F.percentile(name, 0.975).alias(f"{name}_hi")]
 
 
 def block_bootstrap(pairs: DataFrame, date: str, y: str, a: str, b: str, keys: list[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """keys, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, significant.
+    """keys, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, significant (the interval of d_mae excludes zero).
 
-    Rows must be complete. Each key is resampled by itself with the same seed; its blocks are months,
-    so a task holds a few numbers per month of one comparison.
+    Rows must be complete, and there is a key at least. Each key is resampled by itself with the same seed;
+    its blocks are months, so what is joined are a few numbers per month of one comparison.
     """
     stats = block_statistics(pairs, date, y, a, b, keys)
-    schema = ", ".join([f"`{k}` {t}" for k, t in pairs.dtypes if k in keys] + [f"{c} double" for c in ("d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi")] + ["significant boolean"])
-    order = [k for k, _ in pairs.dtypes if k in keys]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        s = group[STATS].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        draws = np.stack([np.bincount(rng.integers(0, len(s), len(s)), minlength=len(s)) for _ in range(resamples)])
-        mae, cc = _scores(draws @ s)
-        point_mae, point_cc = _scores(s.sum(0, keepdims=True))
-        lo, hi = np.percentile(mae, [2.5, 97.5])
-        clo, chi = np.percentile(cc, [2.5, 97.5])
-        out = [group[k].iloc[0] for k in order] + [point_mae[0], lo, hi, point_cc[0], clo, chi, bool(lo > 0 or hi < 0)]
-        return pd.DataFrame([out], columns=[*order, "d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi", "significant"])
-
-    return stats.groupBy(*keys).applyInPandas(run, schema)
-
-
-def iid_bootstrap_mean(df: DataFrame, value: str, order: str, keys: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """keys, mean, lo, hi of resampled means of a few events per key."""
-    schema = ", ".join([f"`{k}` {t}" for k, t in df.dtypes if k in keys] + ["mean double", "lo double", "hi double"])
-    names = [k for k, _ in df.dtypes if k in keys]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(order)[value].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = [x[rng.integers(0, len(x), len(x))].mean() for _ in range(resamples)]
-        return pd.DataFrame([[*(group[k].iloc[0] for k in names), x.mean(), *np.percentile(means, [2.5, 97.5])]], columns=[*names, "mean", "lo", "hi"])
-
-    return df.select(*keys, value, order).groupBy(*keys).applyInPandas(run, schema)
+    point = stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in STATS]).select(*keys, r6(d_mae()).alias("d_mae"), r6(d_corr()).alias("d_corr"))
+    runs = resampled(stats, keys, STATS, resamples, seed).select(*keys, d_mae().alias("d_mae"), d_corr().alias("d_corr"))
+    spans = runs.groupBy(*keys).agg(*interval("d_mae"), *interval("d_corr"))
+    low, high = F.col("d_mae_lo"), F.col("d_mae_hi")
+    both = point.join(spans, keys).withColumn("significant", (low > 0) | (high < 0))
+    return both.select(*keys, *[r6(F.col(c)).alias(c) if c.endswith(("lo", "hi")) else c for c in ("d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi")], "significant")
+
+
+def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """keys, mean, lo, hi of the mean of `value`, whole blocks resampled.
+
+    A block of its own for each row gives the plain bootstrap; months the block bootstrap; days of several
+    rows that of a days x bins table.
+    """
+    stats = rows.groupBy(*keys, block.alias("block")).agg(F.sum(value).alias("v"), F.count(value).cast("double").alias("n"))
+    point = stats.groupBy(*keys).agg(r6(F.sum("v") / F.sum("n")).alias("mean"))
+    runs = resampled(stats, keys, ["v", "n"], resamples, seed).select(*keys, (F.col("v") / F.col("n")).alias("m"))
+    return point.join(runs.groupBy(*keys).agg(r6(F.percentile("m", 0.025)).alias("lo"), r6(F.percentile("m", 0.975)).alias("hi")), keys)
+
+
+# The same in SQL, as common table expressions: `source` has the keys, a date and y, a, b (or a block and v).
+def draws_sql(name: str, stats: str, keys: list[str], resamples: int, seed: int = 0) -> str:
+    ks = "".join(f"{k}, " for k in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    same = "".join(f" AND p.{k} = n.{k}" for k in keys)
+    return f"""{name}_nu AS (SELECT {ks}block, row_number() OVER ({part}ORDER BY block) - 1 AS i, count(*) OVER ({part}) AS size FROM (SELECT DISTINCT {ks}block FROM {stats})),
+    {name}_pl AS (SELECT {ks}r, CAST('0x' || substr(md5(concat_ws(':', {seed}, r, s)), 1, 8) AS BIGINT) % size AS i FROM (SELECT DISTINCT {ks}size FROM {name}_nu), range({resamples}) AS a(r), LATERAL (SELECT unnest(range(size)) AS s)),
+    {name}_we AS (SELECT {"".join(f"p.{k}, " for k in keys)}r, n.block, count(*) AS w FROM {name}_pl p JOIN {name}_nu n ON p.i = n.i{same} GROUP BY ALL)"""
+
+
+def resampled_sql(name: str, stats: str, keys: list[str], sums: list[str], number_by: list[str] | None = None) -> str:
+    by = keys if number_by is None else number_by
+    same = "".join(f" AND t.{k} = w.{k}" for k in by)
+    return f"""{name}_rs AS (SELECT {"".join(f"t.{k}, " for k in keys)}r, {", ".join(f"sum(w * t.{c}) AS {c}" for c in sums)} FROM {stats} t JOIN {name}_we w ON t.block = w.block{same} GROUP BY ALL)"""
+
+
+def cc_sql(x: str) -> str:
+    spread = f"((n * yy - y * y) * (n * {x}{x} - {x} * {x}))"
+    return f"CASE WHEN {spread} > 0 THEN (n * y{x} - y * {x}) / sqrt({spread}) END"
+
+
+D_MAE_SQL, D_CORR_SQL = "(ea - eb) / n", f"({cc_sql('a')}) - ({cc_sql('b')})"
+
+
+def statistics_sql(name: str, source: str, keys: list[str]) -> str:
+    return f"""{name}_st AS (SELECT {"".join(f"{k}, " for k in keys)}date_trunc('month', date) AS block, CAST(count(*) AS DOUBLE) AS n, sum(abs(y - a)) AS ea, sum(abs(y - b)) AS eb, sum(y) AS y, sum(a) AS a, sum(b) AS b,
+        sum(y * y) AS yy, sum(a * a) AS aa, sum(b * b) AS bb, sum(y * a) AS ya, sum(y * b) AS yb FROM {source} GROUP BY ALL)"""
+
+
+def block_bootstrap_sql(name: str, source: str, keys: list[str], resamples: int, seed: int = 0) -> str:
+    """Common table expressions of which `name` has the columns of `block_bootstrap`."""
+    ks = ", ".join(keys)
+    q = lambda c, p: f"round(quantile_cont({c}, {p}), 6) + 0.0"
+    return f"""{statistics_sql(name, source, keys)}, {draws_sql(name, f"{name}_st", keys, resamples, seed)}, {resampled_sql(name, f"{name}_st", keys, STATS)},
+    {name}_pt AS (SELECT {ks}, round({D_MAE_SQL}, 6) + 0.0 AS d_mae, round({D_CORR_SQL}, 6) + 0.0 AS d_corr FROM (SELECT {ks}, {", ".join(f"sum({c}) AS {c}" for c in STATS)} FROM {name}_st GROUP BY ALL)),
+    {name}_sp AS (SELECT {ks}, {q("m", 0.025)} AS d_mae_lo, {q("m", 0.975)} AS d_mae_hi, {q("c", 0.025)} AS d_corr_lo, {q("c", 0.975)} AS d_corr_hi FROM (SELECT {ks}, {D_MAE_SQL} AS m, {D_CORR_SQL} AS c FROM {name}_rs) GROUP BY ALL),
+    {name} AS (SELECT {ks}, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, d_mae_lo > 0 OR d_mae_hi < 0 AS significant FROM {name}_pt JOIN {name}_sp USING ({ks}))"""
+
+
+def bootstrap_mean_sql(name: str, source: str, keys: list[str], resamples: int, seed: int = 0) -> str:
+    """`source` has the keys, block and v; `name` has the keys, mean, lo, hi."""
+    ks = ", ".join(keys)
+    return f"""{name}_st AS (SELECT {ks}, block, sum(v) AS v, CAST(count(v) AS DOUBLE) AS n FROM {source} GROUP BY ALL), {draws_sql(name, f"{name}_st", keys, resamples, seed)}, {resampled_sql(name, f"{name}_st", keys, ["v", "n"])},
+    {name} AS (SELECT {ks}, mean, lo, hi FROM (SELECT {ks}, round(sum(v) / sum(n), 6) + 0.0 AS mean FROM {name}_st GROUP BY ALL)
+        JOIN (SELECT {ks}, round(quantile_cont(v / n, 0.025), 6) + 0.0 AS lo, round(quantile_cont(v / n, 0.975), 6) + 0.0 AS hi FROM {name}_rs GROUP BY ALL) USING ({ks}))"""

@@ -16,13 +16,15 @@ from quietday.plans.verification import DAY3, ENS, corr_sql, day_means, ensemble
 from quietday.sources import adapters as A
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
-DAYS30 = "d30 AS (SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) AS g(d))"
+DAYS30 = "d30 AS (SELECT CAST(unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM events)"
 EVENTS = f"""cme AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, {K} AS k, value AS speed FROM events WHERE event_type = 'error' AND {K} < 2),
     ips AS (SELECT event_id, ts, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'signup' AND {K} < 2), hss AS (SELECT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND {K} < 3)"""
 
 
-def month_days(spark) -> DataFrame:
-    return spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-31')) as date")
+def event_days(spark, sf_dir) -> DataFrame:
+    """The days from the first event to the day after the last."""
+    ends = A.read(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).alias("lo"), F.date_add(F.to_date(F.max("ts")), 1).alias("hi"))
+    return ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("date"))
 
 
 def catalog_of(spark, sf_dir, kind: str, most: int) -> DataFrame:
@@ -34,11 +36,11 @@ def catalog_of(spark, sf_dir, kind: str, most: int) -> DataFrame:
 @query(f"WITH {DAYS30}, {EVENTS} SELECT date, EXISTS (SELECT 1 FROM cme WHERE day BETWEEN date - 2 AND date) AS cme_day FROM d30")
 def q_cme_days(spark, sf_dir):
     """Whether an event's day is among the three days up to each date."""
-    return flag_days(month_days(spark), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "cme_day")
+    return flag_days(event_days(spark, sf_dir), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "cme_day")
 
 
 def event_labels(spark, sf_dir) -> DataFrame:
-    d = flag_days(month_days(spark), catalog_of(spark, sf_dir, "signup", 2), "day", 0, 1, "near_shock")
+    d = flag_days(event_days(spark, sf_dir), catalog_of(spark, sf_dir, "signup", 2), "day", 0, 1, "near_shock")
     d = flag_days(d, catalog_of(spark, sf_dir, "purchase", 3), "day", 0, 2, "near_stream")
     d = d.join(daily_index(A.masked_hourly(spark, sf_dir)).select("date", "ap"), "date", "left")
     label = F.when(F.col("near_shock"), "CME").when(F.col("near_stream"), "HSS").when(F.col("ap") < 50, "quiet").otherwise("other")
@@ -68,7 +70,7 @@ def q_event_type(spark, sf_dir):
 def q_enlil_flag(spark, sf_dir):
     """Per issue date and day ahead: a run finished before the issue arrives on that day; its largest value."""
     runs = catalog_of(spark, sf_dir, "error", 10).select(F.expr("ts - interval 40 hours").alias("done"), F.col("day").alias("arrival_day"), F.col("k").alias("kp"))
-    t = month_days(spark).select(F.col("date").alias("issue_date"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).withColumn("arrival_day", F.expr("date_add(issue_date, k)"))
+    t = event_days(spark, sf_dir).select(F.col("date").alias("issue_date"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).withColumn("arrival_day", F.expr("date_add(issue_date, k)"))
     j = t.join(runs, (t["arrival_day"] == runs["arrival_day"]) & (runs["done"] < F.col("issue_date").cast("timestamp_ntz")), "left")
     return j.groupBy("issue_date", "k").agg((F.count("kp") > 0).alias("flagged"), F.max("kp").alias("kp_max"))
 

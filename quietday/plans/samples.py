@@ -10,7 +10,8 @@ from quietday.operators.grids import feature_windows, make_windows, run_complete
 from quietday.plans.registry import query
 from quietday.sources import adapters as A
 
-LEADS = (1, 3, 7, 27, 30, 60)
+#: All leads of the forecasts; a list of some is an argument.
+LEADS = tuple(range(1, 61))
 
 
 def with_leads(series: DataFrame, leads=LEADS) -> DataFrame:
@@ -43,7 +44,7 @@ def baselines(series: DataFrame, leads=LEADS, train_end: str = "1998-12-31") ->
     return out.crossJoin(F.broadcast(mean))
 
 
-LEADS_SQL = "leads AS (SELECT unnest([1, 3, 7, 27, 30, 60]) AS lead)"
+LEADS_SQL = "leads AS (SELECT unnest(range(1, 61)) AS lead)"
 BASE_SQL = A.DAILY + f""", {LEADS_SQL}, base AS (
     SELECT d.date, CAST(l.lead AS INTEGER) AS lead, d.ap AS persistence, r0.ap AS r0, r1.ap AS r1, t.ap AS y, (SELECT avg(ap) FROM daily WHERE date <= DATE '1998-12-31') AS climatology
     FROM daily d CROSS JOIN leads l
@@ -163,7 +164,7 @@ def q_persistence_3h(spark, sf_dir):
 
 @query(f"""WITH {A.DAILY}, w AS (SELECT date, list(ap) OVER r AS x, count(ap) OVER r AS n FROM daily WINDOW r AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
     SELECT date, CAST(h AS INTEGER) AS lead, CASE WHEN (27 * ceil(h / 27.0) - h) < 30 THEN round(x[CAST(30 - (27 * ceil(h / 27.0) - h) AS INTEGER)], 6) + 0.0 END AS fc
-    FROM w, (SELECT unnest([1, 3, 7, 27, 30, 60]) AS h) WHERE n = 30""")
+    FROM w, (SELECT unnest(range(1, 61)) AS h) WHERE n = 30""")
 def q_window_recurrence(spark, sf_dir):
     w = _history(A.daily(spark, sf_dir), 30)
     lag = recurrence_lag(F.col("lead")).cast("int")

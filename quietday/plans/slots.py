@@ -11,35 +11,43 @@ from quietday.operators.joins import latest_before, nearest, with_predecessor
 from quietday.plans.registry import query
 from quietday.sources import adapters as A
 
-START, END, HOURS, TOLERANCE_S = "2024-01-03", "2024-01-27", (0, 6, 12, 18), 1500
+HOURS, TOLERANCE_S = (0, 6, 12, 18), 1500
+#: The sources that columns are made of (a column's name must be known before the data is read).
 SOURCES = ("click", "error", "purchase", "signup", "view")
 
 
-def slot_targets(spark, start: str = START, end: str = END, hours=HOURS) -> DataFrame:
-    """One row per day and slot hour, both ends of the range included."""
-    days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as date")
+def slot_targets(spark, sf_dir, start: str | None = None, end: str | None = None, hours=HOURS, by_source: bool = False) -> DataFrame:
+    """One row per day and slot hour (and source), from the catalog's first day to its last, or the days given."""
+    c = A.catalog(spark, sf_dir)
+    bound = lambda day, of: F.to_date(of("datetime")) if day is None else F.lit(day).cast("date")
+    # one row: two days and the names of the sources
+    ends = c.agg(bound(start, F.min).alias("lo"), bound(end, F.max).alias("hi"), F.collect_set("source").alias("sources")).where("lo is not null and hi is not null")
+    days = ends.select("sources", F.explode(F.sequence("lo", "hi")).alias("date"))
     slots = days.withColumn("slot_hour", F.explode(F.array(*[F.lit(h) for h in hours])))
-    return slots.withColumn("slot_time", F.expr("cast(date as timestamp_ntz) + make_dt_interval(0, slot_hour)"))
+    slots = slots.withColumn("slot_time", F.expr("cast(date as timestamp_ntz) + make_dt_interval(0, slot_hour)"))
+    if by_source:
+        return slots.select("date", "slot_hour", "slot_time", F.explode("sources").alias("source"))
+    return slots.drop("sources")
 
 
-TARGETS = f"""targets AS (SELECT CAST(d AS DATE) AS date, CAST(h AS INTEGER) AS slot_hour, d + to_hours(CAST(h AS INTEGER)) AS slot_time
-    FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 DAY) AS g(d), (SELECT unnest([0, 6, 12, 18]) AS h))"""
+TARGETS = """targets AS (SELECT CAST(d AS DATE) AS date, CAST(h AS INTEGER) AS slot_hour, d + to_hours(CAST(h AS INTEGER)) AS slot_time
+    FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS d FROM events), (SELECT unnest([0, 6, 12, 18]) AS h))"""
 
 
 @query(f"WITH {TARGETS} SELECT * FROM targets")
 def q_slot_targets(spark, sf_dir):
-    return slot_targets(spark)
+    return slot_targets(spark, sf_dir)
 
 
 def slot_table(spark, sf_dir, frames: DataFrame | None = None) -> DataFrame:
     """date, slot_hour, slot_time, source, datetime, file_path, offset_min; an empty slot keeps its row."""
-    targets = slot_targets(spark).withColumn("source", F.explode(F.array(*[F.lit(s) for s in SOURCES])))
+    targets = slot_targets(spark, sf_dir, by_source=True)
     return nearest(targets, frames if frames is not None else A.catalog(spark, sf_dir), "slot_time", "datetime", TOLERANCE_S, ["source"], "file_path")
 
 
 def slot_sql(frames: str = "catalog", name: str = "slots") -> str:
     """Ranks all frames within the tolerance of each slot: whole seconds, ties to the earlier."""
-    return f"""{name}_c AS (SELECT t.*, s.source FROM targets t, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS source) s),
+    return f"""{name}_c AS (SELECT t.*, s.source FROM targets t, (SELECT DISTINCT event_type AS source FROM events) s),
     {name}_r AS (SELECT c.date, c.slot_hour, c.slot_time, c.source, f.datetime, f.file_path, CAST(trunc(epoch_us(f.datetime - c.slot_time) / 1e6) AS BIGINT) AS sec
         FROM {name}_c c JOIN {frames} f ON f.source = c.source AND f.datetime BETWEEN c.slot_time - INTERVAL 1501 SECOND AND c.slot_time + INTERVAL 1501 SECOND),
     {name}_b AS (SELECT *, row_number() OVER (PARTITION BY slot_time, source ORDER BY abs(sec), datetime, file_path) AS rn FROM {name}_r WHERE abs(sec) <= {TOLERANCE_S}),
@@ -57,7 +65,7 @@ def q_slot_table(spark, sf_dir):
 
 @query(f"WITH {SLOTS} SELECT slot_time, datetime, round(offset_min, 6) + 0.0 AS offset_min FROM slots WHERE source = 'view'")
 def q_nearest_frames(spark, sf_dir):
-    t = slot_targets(spark).select("slot_time", F.lit("view").alias("source"))
+    t = slot_targets(spark, sf_dir).select("slot_time", F.lit("view").alias("source"))
     n = nearest(t, A.catalog(spark, sf_dir), "slot_time", "datetime", TOLERANCE_S, ["source"], "file_path")
     return n.select("slot_time", "datetime", r6(F.col("offset_min")).alias("offset_min"))
 
@@ -90,7 +98,7 @@ def q_prev_frame(spark, sf_dir):
 @query(f"""WITH {PREV} SELECT t.date, t.slot_hour, CASE WHEN prev_path IS NOT NULL THEN file_path END AS file_path FROM targets t LEFT JOIN pv ON pv.date = t.date AND pv.slot_hour = t.slot_hour""")
 def q_slots_with_prev(spark, sf_dir):
     p = slots_with_prev(spark, sf_dir).select("date", "slot_hour", "file_path", "prev_path")
-    t = slot_targets(spark).select("date", "slot_hour").join(p, ["date", "slot_hour"], "left")
+    t = slot_targets(spark, sf_dir).select("date", "slot_hour").join(p, ["date", "slot_hour"], "left")
     return t.select("date", "slot_hour", F.when(F.col("prev_path").isNotNull(), F.col("file_path")).alias("file_path"))
 
 
@@ -167,24 +175,25 @@ def q_fill_counts(spark, sf_dir):
 
 
 def hour_frames(spark, sf_dir) -> DataFrame:
-    return A.catalog(spark, sf_dir).where("source = 'view' and cast(file_path as int) % 3 > 0").select(F.date_trunc("hour", "datetime").cast("timestamp_ntz").alias("hour")).distinct()
+    return A.catalog(spark, sf_dir).where("source = 'view'").select(F.date_trunc("hour", "datetime").cast("timestamp_ntz").alias("hour")).distinct()
 
 
-@query(f"""WITH {TARGETS}, h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'view' AND event_id % 3 > 0),
+@query(f"""WITH {TARGETS}, h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'view'),
     p AS (SELECT a.hour FROM h a JOIN h b ON b.hour = a.hour - INTERVAL 1 HOUR)
     SELECT t.slot_time, min(CAST(epoch(p.hour - t.slot_time) / 3600 AS INTEGER)) AS shift_h FROM targets t LEFT JOIN p ON p.hour BETWEEN t.slot_time AND t.slot_time + INTERVAL 6 HOUR GROUP BY 1""")
 def q_resolve_pair(spark, sf_dir):
     """The first hour within six after an anchor at which that frame and the one an hour before exist."""
     h = hour_frames(spark, sf_dir)
     pairs = h.join(h.select(F.expr("hour + interval 1 hour").alias("hour")), "hour", "left_semi")
-    t = slot_targets(spark).select("slot_time", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("shift")).withColumn("hour", F.expr("slot_time + make_dt_interval(0, shift)"))
+    t = slot_targets(spark, sf_dir).select("slot_time", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("shift")).withColumn("hour", F.expr("slot_time + make_dt_interval(0, shift)"))
     found = t.join(pairs, "hour", "left_semi").groupBy("slot_time").agg(F.min("shift").alias("shift_h"))
-    return slot_targets(spark).select("slot_time").join(found, "slot_time", "left")
+    return slot_targets(spark, sf_dir).select("slot_time").join(found, "slot_time", "left")
 
 
-@query(f"WITH {SLOTS} SELECT date, slot_hour, source, coalesce(CAST(file_path AS BIGINT) % 4 > 0, false) AS present FROM slots")
+@query(f"WITH {SLOTS} SELECT date, slot_hour, source, file_path IS NOT NULL AND file_path IN (SELECT CAST(event_id AS VARCHAR) FROM events WHERE value < 150) AS present FROM slots")
 def q_check_files(spark, sf_dir):
-    listing = A.catalog(spark, sf_dir).where("cast(file_path as long) % 4 > 0").select("file_path", F.lit(True).alias("present")).distinct()
+    """Which slots' files are in a listing (events below a value play its part)."""
+    listing = A.read(spark, sf_dir, "events").where("value < 150").select(F.col("event_id").cast("string").alias("file_path"), F.lit(True).alias("present")).distinct()
     return slot_table(spark, sf_dir).join(listing, "file_path", "left").select("date", "slot_hour", "source", F.coalesce("present", F.lit(False)).alias("present"))
 
 
@@ -196,13 +205,13 @@ def cache_path(source, time):
     SELECT path, split_part(path, '/', 1) AS source, slot_time FROM p""")
 def q_cache_path(spark, sf_dir):
     """Paths from keys, and the keys read back from the paths."""
-    p = slot_targets(spark).select(cache_path(F.lit("view"), F.col("slot_time")).alias("path"))
+    p = slot_targets(spark, sf_dir).select(cache_path(F.lit("view"), F.col("slot_time")).alias("path"))
     stamp = F.regexp_extract("path", r"(\d{8}_\d{2})\.npy$", 1)
     return p.select("path", F.regexp_extract("path", r"^([^/]+)/", 1).alias("source"), F.to_timestamp_ntz(stamp, F.lit("yyyyMMdd_HH")).alias("slot_time"))
 
 
 @query(f"""WITH {SLOTS}, d AS (SELECT date, count(CASE WHEN file_path IS NULL THEN 1 END) AS miss FROM slots WHERE source IN ('view', 'click') GROUP BY 1)
-    SELECT i.date AS issue_date, CAST(sum(d.miss) AS BIGINT) AS n_missing, sum(d.miss) = 0 AS ok FROM d i JOIN d ON d.date BETWEEN i.date - 1 AND i.date WHERE i.date > DATE '{START}' GROUP BY 1""")
+    SELECT i.date AS issue_date, CAST(sum(d.miss) AS BIGINT) AS n_missing, sum(d.miss) = 0 AS ok FROM d i JOIN d ON d.date BETWEEN i.date - 1 AND i.date WHERE i.date > (SELECT min(date) FROM d) GROUP BY 1""")
 def q_check_cache(spark, sf_dir):
     """Missing frames of two channels over the two days up to each issue date."""
     s = slot_table(spark, sf_dir).where("source in ('view', 'click')")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import r6, safe_corr
-from quietday.operators.bootstrap import block_bootstrap, block_statistics
+from quietday.operators.bootstrap import D_CORR_SQL, STATS, block_bootstrap, block_bootstrap_sql, block_statistics, bootstrap_mean, bootstrap_mean_sql, d_corr, draws_sql, resampled, resampled_sql, statistics_sql
 from quietday.operators.joins import flag_days
-from quietday.plans.events import EVENTS, catalog_of, month_days
+from quietday.plans.events import EVENTS, catalog_of, event_days
 from quietday.plans.registry import query
 from quietday.plans.samples import baselines
 from quietday.plans.verification import DAY3, ENS, LONG_SQL, THREE, corr_sql, day_means, ensemble, long_form, three
@@ -68,36 +68,50 @@ def q_case_lead1(spark, sf_dir):
     return l.groupBy(F.when(F.year(target) >= 2000, "A").otherwise("B").alias("split"), "model").agg(F.count(F.lit(1)).alias("n"), r6(err("f")).alias("mae"))
 
 
-@query()
+RECENT = PAIRED + ", rec AS (SELECT 'recurrence27' AS model, lead, date, y, recurrence27 AS a, persistence AS b FROM pr WHERE date >= DATE '1999-01-01' UNION ALL SELECT 'recurrence2x27', lead, date, y, recurrence2x27, persistence FROM pr WHERE date >= DATE '1999-01-01')"
+
+
+def recent(spark, sf_dir) -> DataFrame:
+    """model, lead, date, y, f, persistence: the recurrence models against persistence."""
+    w = paired(spark, sf_dir).where("date >= date'1999-01-01'")
+    return w.select("date", "lead", "y", "persistence", "recurrence27", "recurrence2x27").unpivot(["date", "lead", "y", "persistence"], ["recurrence27", "recurrence2x27"], "model", "f")
+
+
+@query(f"""WITH {RECENT}, {block_bootstrap_sql("bb", "rec", ["model", "lead"], 200)} SELECT model, lead, d_mae, significant FROM bb""")
 def q_boot_sig(spark, sf_dir):
     """Which comparisons with persistence have an interval that excludes zero."""
-    w = paired(spark, sf_dir).where("date >= date'1999-01-01'")
-    long = w.select("date", "lead", "y", "persistence", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("f")) for m in ("recurrence27", "recurrence2x27")])).alias("s"))
-    rows = long.select("s.model", "lead", "date", "y", F.col("s.f").alias("f"), "persistence")
-    b = block_bootstrap(rows, "date", "y", "f", "persistence", ["model", "lead"], resamples=200)
-    return b.select("model", "lead", r6(F.col("d_mae")).alias("d_mae"), "significant")
+    b = block_bootstrap(recent(spark, sf_dir), "date", "y", "f", "persistence", ["model", "lead"], resamples=200)
+    return b.select("model", "lead", "d_mae", "significant")
 
 
-@query()
+@query(f"""WITH {PAIRED}, src AS (SELECT lead, date, y, recurrence2x27 AS a, persistence AS b FROM pr WHERE date >= DATE '1999-01-01' AND lead <= 27), {statistics_sql("g", "src", ["lead"])}, {draws_sql("g", "g_st", [], 200)}, {resampled_sql("g", "g_st", ["lead"], STATS, [])},
+    gains AS (SELECT r, avg({D_CORR_SQL}) AS gain FROM g_rs GROUP BY 1) SELECT round(avg(gain), 6) + 0.0 AS gain, round(quantile_cont(gain, 0.025), 6) + 0.0 AS lo, round(quantile_cont(gain, 0.975), 6) + 0.0 AS hi FROM gains""")
 def q_boot_ccgain(spark, sf_dir):
     """The mean over resamples and leads of the gain in correlation, each lead resampled by the same months."""
-    import numpy as np
-    import pandas as pd
+    rows = paired(spark, sf_dir).where("date >= date'1999-01-01' and lead <= 27")
+    runs = resampled(block_statistics(rows, "date", "y", "recurrence2x27", "persistence", ["lead"]), ["lead"], STATS, 200, 0, number_by=[])
+    gains = runs.groupBy("r").agg(F.avg(d_corr()).alias("gain"))
+    return gains.agg(r6(F.avg("gain")).alias("gain"), r6(F.percentile("gain", 0.025)).alias("lo"), r6(F.percentile("gain", 0.975)).alias("hi"))
 
-    from quietday.operators.bootstrap import STATS, _scores
 
-    stats = block_statistics(paired(spark, sf_dir).where("date >= date'1999-01-01' and lead <= 27"), "date", "y", "recurrence2x27", "persistence", ["lead"])
+PREVIOUS = PAIRED + """, pm AS (SELECT 'recurrence27' AS model, lead, date, y, recurrence27 AS f, persistence FROM pr UNION ALL SELECT 'recurrence2x27', lead, date, y, recurrence2x27, persistence FROM pr),
+    cmp AS (SELECT model, 'vs persistence' AS comparison, lead, date, y, f AS a, persistence AS b FROM pm
+        UNION ALL SELECT x.model, 'vs L1', x.lead, x.date, x.y, x.f, o.f FROM pm x JOIN pm o ON o.model = x.model AND o.date = x.date AND o.lead = 1 WHERE x.lead > 1
+        UNION ALL SELECT x.model, 'vs L-1', x.lead, x.date, x.y, x.f, o.f FROM pm x JOIN pm o ON o.model = x.model AND o.date = x.date AND o.lead = x.lead - 1 WHERE x.lead > 2)"""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(0)
-        blocks = sorted(group["block"].unique())
-        draws = np.stack([np.bincount(rng.integers(0, len(blocks), len(blocks)), minlength=len(blocks)) for _ in range(200)])
-        gains = [_scores(draws @ g.set_index("block").reindex(blocks)[STATS].fillna(0).to_numpy(float))[1] for _, g in group.groupby("lead")]
-        gain = np.mean(gains, 0)
-        return pd.DataFrame([[gain.mean(), *np.percentile(gain, [2.5, 97.5])]], columns=["gain", "lo", "hi"])
 
-    # one group: a row of sums for each month and lead
-    return stats.groupBy().applyInPandas(run, "gain double, lo double, hi double")
+@query(f"""WITH {PREVIOUS}, {block_bootstrap_sql("bb", "cmp", ["model", "comparison", "lead"], 100)}, c AS (SELECT model, comparison, lead, count(*) AS n_common FROM cmp GROUP BY ALL) SELECT bb.*, n_common FROM bb JOIN c USING (model, comparison, lead)""")
+def q_l2_bootstrap(spark, sf_dir):
+    """Each model and length against persistence, against the shortest length and against the next shorter one, on common days, months resampled."""
+    m = paired(spark, sf_dir).select("date", "lead", "y", "persistence", "recurrence27", "recurrence2x27").unpivot(["date", "lead", "y", "persistence"], ["recurrence27", "recurrence2x27"], "model", "f")
+    pairs = m.withColumn("comparison", F.lit("vs persistence")).withColumnRenamed("persistence", "b")
+    m = m.drop("persistence")
+    first = m.where("lead = 1").select("model", "date", F.col("f").alias("b"))
+    before = m.select("model", "date", (F.col("lead") + 1).alias("lead"), F.col("f").alias("b"))
+    pairs = pairs.unionByName(m.where("lead > 1").join(first, ["model", "date"]).withColumn("comparison", F.lit("vs L1")))
+    pairs = pairs.unionByName(m.where("lead > 2").join(before, ["model", "date", "lead"]).withColumn("comparison", F.lit("vs L-1")))
+    keys = ["model", "comparison", "lead"]
+    return block_bootstrap(pairs, "date", "y", "f", "b", keys, resamples=100).join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_common")), keys)
 
 
 def with_reference(spark, sf_dir, days: int = 3) -> DataFrame:
@@ -118,13 +132,19 @@ def q_by_target_day(spark, sf_dir):
     return l.groupBy("model", "target_day_k").agg(F.count(F.lit(1)).alias("n"), r6(err("f")).alias("mae"), r6(safe_corr("y", "f")).alias("cc"))
 
 
-@query(f"""WITH {REF}, {EVENTS}, c AS (SELECT *, EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date) AS hit FROM dref)
-    SELECT hit, target_day_k, count(*) AS n, round(avg(abs(y - p)) - avg(abs(y - ref)), 6) + 0.0 AS d_mae FROM c GROUP BY 1, 2""")
+@query(f"""WITH {REF}, {EVENTS}, c AS (SELECT *, EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date) AS hit FROM dref),
+    pairs AS (SELECT hit, target_day_k, 'model - ref' AS comparison, issue_date AS date, y, p AS a, ref AS b FROM c UNION ALL SELECT hit, target_day_k, 'blend - model', issue_date, y, blend, p FROM c),
+    ds AS (SELECT hit, target_day_k, comparison, date AS block, abs(y - a) - abs(y - b) AS v FROM pairs), {bootstrap_mean_sql("bm", "ds", ["hit", "target_day_k", "comparison"], 200)}, n AS (SELECT hit, target_day_k, comparison, count(*) AS n FROM pairs GROUP BY ALL)
+    SELECT hit, target_day_k, comparison, n, mean AS d_mae, lo AS d_mae_lo, hi AS d_mae_hi FROM bm JOIN n USING (hit, target_day_k, comparison)""")
 def q_cme_paired(spark, sf_dir):
-    """Error difference to the reference on issue days with and without a recent event."""
-    flags = flag_days(month_days(spark), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "hit").withColumnRenamed("date", "issue_date")
+    """Error differences on issue days with and without a recent event, with intervals from resampled days (the series is too short for months)."""
+    flags = flag_days(event_days(spark, sf_dir), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "hit").withColumnRenamed("date", "issue_date")
     j = with_reference(spark, sf_dir).join(flags, "issue_date", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return j.groupBy("hit", "target_day_k").agg(F.count(F.lit(1)).alias("n"), r6(err("p") - err("ref")).alias("d_mae"))
+    gap = lambda a, b: F.abs(F.col("y") - F.col(a)) - F.abs(F.col("y") - F.col(b))
+    long = j.select("hit", "target_day_k", "issue_date", gap("p", "ref").alias("model - ref"), gap("blend", "p").alias("blend - model")).unpivot(["hit", "target_day_k", "issue_date"], ["model - ref", "blend - model"], "comparison", "v")
+    keys = ["hit", "target_day_k", "comparison"]
+    b = bootstrap_mean(long, "v", F.col("issue_date"), keys, resamples=200).join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    return b.select(*keys, "n", F.col("mean").alias("d_mae"), F.col("lo").alias("d_mae_lo"), F.col("hi").alias("d_mae_hi"))
 
 
 @query(f"WITH {REF} SELECT issue_date, target_day_k, round(p, 6) + 0.0 AS from_bins, round(ref, 6) + 0.0 AS reference, round(blend, 6) + 0.0 AS blend, round(abs(p - ref), 6) + 0.0 AS differ FROM dref")
@@ -144,20 +164,33 @@ def q_daily_derived(spark, sf_dir):
     return j.groupBy("target_day_k").agg(F.count(F.lit(1)).alias("n"), *[r6(err(c)).alias(f"mae_{c}") for c in ("p", "ref", "blend", "seed0")])
 
 
-@query(f"""WITH {ENS}, w AS (SELECT *, lag(y, 1) OVER (PARTITION BY lead_step_3h ORDER BY issue_date) AS ref FROM ens), l AS (SELECT CAST(h AS INTEGER) AS horizon, w.* FROM w JOIN (SELECT unnest([1, 2, 3]) AS h) ON target_day_k <= h WHERE ref IS NOT NULL)
-    SELECT horizon, count(*) AS n, round(avg(abs(p - y)), 6) + 0.0 AS mae, {corr_sql('y', 'p')} AS cc, round(avg(abs(ref - y)), 6) + 0.0 AS mae_ref FROM l GROUP BY 1""")
+L6 = f"""{ENS}, w AS (SELECT *, lag(y, 1) OVER (PARTITION BY lead_step_3h ORDER BY issue_date) AS ref FROM ens), l AS (SELECT CAST(h AS INTEGER) AS horizon, w.* FROM w JOIN (SELECT unnest([1, 2, 3]) AS h) ON target_day_k <= h WHERE ref IS NOT NULL),
+    ds AS (SELECT horizon, issue_date AS block, abs(p - y) - abs(ref - y) AS v FROM l), {bootstrap_mean_sql("b1", "ds", ["horizon"], 200)},
+    dc AS (SELECT * FROM l WHERE EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date)), dd AS (SELECT horizon, issue_date AS block, abs(p - y) - abs(ref - y) AS v FROM dc), {bootstrap_mean_sql("b2", "dd", ["horizon"], 200)}"""
+
+
+@query(f"""WITH {EVENTS}, {L6}, m AS (SELECT horizon, count(*) AS n, round(avg(abs(p - y)), 6) + 0.0 AS mae, {corr_sql('y', 'p')} AS cc, round(avg(abs(ref - y)), 6) + 0.0 AS mae_ref, {corr_sql('y', 'ref')} AS cc_ref FROM l GROUP BY 1)
+    SELECT m.*, b1.mean AS d_mae, b1.lo AS d_mae_lo, b1.hi AS d_mae_hi, b2.mean AS event_d_mae, b2.lo AS event_d_mae_lo, b2.hi AS event_d_mae_hi FROM m JOIN b1 USING (horizon) LEFT JOIN b2 USING (horizon)""")
 def q_l6_length_curve(spark, sf_dir):
-    """Error up to each horizon, with the reference on the same rows."""
+    """Error up to each horizon with the reference on the same rows, and their difference on all and on event days with intervals from resampled issues."""
     e = ensemble(A.forecast_3h(spark, sf_dir)).withColumn("ref", F.lag("y").over(Window.partitionBy("lead_step_3h").orderBy("issue_date"))).where("ref is not null")
     l = e.withColumn("horizon", F.explode(F.sequence(F.col("target_day_k"), F.lit(3))))
-    return l.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), r6(err("p")).alias("mae"), r6(safe_corr("y", "p")).alias("cc"), r6(err("ref")).alias("mae_ref"))
+    curve = l.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), r6(err("p")).alias("mae"), r6(safe_corr("y", "p")).alias("cc"), r6(err("ref")).alias("mae_ref"), r6(safe_corr("y", "ref")).alias("cc_ref"))
+    gap = l.select("horizon", "issue_date", (F.abs(F.col("p") - F.col("y")) - F.abs(F.col("ref") - F.col("y"))).alias("v"))
+    days = flag_days(event_days(spark, sf_dir), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "hit").where("hit").select(F.col("date").alias("issue_date"))
+
+    def effect(rows: DataFrame, name: str) -> DataFrame:
+        b = bootstrap_mean(rows, "v", F.col("issue_date"), ["horizon"], resamples=200)
+        return b.select("horizon", F.col("mean").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+
+    return curve.join(effect(gap, "d_mae"), "horizon").join(effect(gap.join(days, "issue_date", "left_semi"), "event_d_mae"), "horizon", "left")
 
 
 @query(f"""WITH {ENS}, {EVENTS}, s AS (SELECT *, CAST((lead_step_3h - 1) % 8 AS INTEGER) AS bin FROM ens WHERE n_seeds = 3 AND EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date))
     SELECT coalesce('day' || target_day_k, 'all') AS day, coalesce(CAST(bin AS VARCHAR), 'all') AS bin, {THREE} FROM s GROUP BY GROUPING SETS ((), (target_day_k), (bin))""")
 def q_metrics_3h(spark, sf_dir):
     """Whole seeds on event days: over all, by target day, by clock bin."""
-    flags = flag_days(month_days(spark), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "hit").where("hit").select(F.col("date").alias("issue_date"))
+    flags = flag_days(event_days(spark, sf_dir), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "hit").where("hit").select(F.col("date").alias("issue_date"))
     # an issue date before the month's grid can't follow an event of it
     s = ensemble(A.forecast_3h(spark, sf_dir)).where("n_seeds = 3").join(flags, "issue_date", "left_semi")
     day, clock = F.concat(F.lit("day"), "target_day_k"), ((F.col("lead_step_3h") - 1) % 8).cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietday.functions.columns import contingency, gaussian_nll, r6, safe_corr, score
 from quietday.functions.distributions import crps_columns, normal_cdf
-from quietday.operators.bootstrap import block_bootstrap, iid_bootstrap_mean
+from quietday.operators.bootstrap import block_bootstrap, block_bootstrap_sql, bootstrap_mean, bootstrap_mean_sql
 from quietday.plans.registry import query
 from quietday.plans.samples import BASE_SQL, baselines, looked_up
 from quietday.sources import adapters as A
@@ -115,11 +115,16 @@ def q_lead_groups(spark, sf_dir):
     return m.withColumn("grp", F.explode(groups)).groupBy("model", "grp").agg(r6(F.avg("mae")).alias("mae"), F.count(F.lit(1)).alias("n_leads"))
 
 
-@query(f"WITH {LONG_SQL} SELECT model, lead, round(avg(abs(y - f)), 6) + 0.0 AS mae, {corr_sql('y', 'f')} AS cc, round(avg(f - y), 6) + 0.0 AS me FROM fl WHERE date >= DATE '2000-01-01' GROUP BY 1, 2")
+@query(f"""WITH {LONG_SQL}, t AS (SELECT * FROM fl WHERE date >= DATE '2000-01-01'), full_days AS (SELECT model, date FROM t WHERE lead <= 26 AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 26),
+    u AS (SELECT 'all' AS subset, * FROM t UNION ALL SELECT 'all26', t.* FROM t JOIN full_days USING (model, date) WHERE lead <= 26)
+    SELECT subset, model, lead, count(y - f) AS n, round(avg(abs(y - f)), 6) + 0.0 AS mae, {corr_sql('y', 'f')} AS cc, round(avg(f - y), 6) + 0.0 AS me FROM u GROUP BY 1, 2, 3""")
 def q_error_by_lead(spark, sf_dir):
+    """Curves over the leads, for all issue days and for those on which a model has all of the first 26."""
     l = long_form(baselines(A.daily(spark, sf_dir))).where("date >= date'2000-01-01'")
+    whole = l.where("lead <= 26 and y is not null and f is not null").groupBy("model", "date").agg(F.count(F.lit(1)).alias("n")).where("n = 26").select("model", "date")
+    u = l.withColumn("subset", F.lit("all")).unionByName(l.where("lead <= 26").join(whole, ["model", "date"], "left_semi").withColumn("subset", F.lit("all26")))
     d = F.col("f") - F.col("y")
-    return l.groupBy("model", "lead").agg(r6(F.avg(F.abs(d))).alias("mae"), r6(safe_corr("y", "f")).alias("cc"), r6(F.avg(d)).alias("me"))
+    return u.groupBy("subset", "model", "lead").agg(F.count(d).alias("n"), r6(F.avg(F.abs(d))).alias("mae"), r6(safe_corr("y", "f")).alias("cc"), r6(F.avg(d)).alias("me"))
 
 
 @query(f"""WITH {REFS}, p AS (SELECT issue_date, max(CASE WHEN lead = 0 THEN y END) AS l0, max(CASE WHEN lead = 1 THEN y END) AS l1, max(CASE WHEN lead = 26 THEN y END) AS l26, count(y) AS n FROM orefs GROUP BY 1)
@@ -130,9 +135,9 @@ def q_pivot_leads(spark, sf_dir):
     return p.where(full).select("issue_date", *[r6(F.col(f"`{k}`")).alias(f"l{k}") for k in (0, 1, 26)])
 
 
-@query(f"WITH {LONG_SQL} SELECT date, lead, model, round(f, 6) + 0.0 AS f FROM fl WHERE f IS NOT NULL AND date BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'")
+@query(f"WITH {LONG_SQL} SELECT date, lead, model, round(f, 6) + 0.0 AS f FROM fl WHERE f IS NOT NULL")
 def q_unpivot(spark, sf_dir):
-    l = long_form(baselines(A.daily(spark, sf_dir)).where("date between date'1999-01-01' and date'1999-03-31'"))
+    l = long_form(baselines(A.daily(spark, sf_dir)))
     return l.where("f is not null").select("date", "lead", "model", r6(F.col("f")).alias("f"))
 
 
@@ -141,17 +146,47 @@ def q_nunique(spark, sf_dir):
     return A.outlook(spark, sf_dir).agg(F.countDistinct("issue_date").alias("n_issues"), F.countDistinct("target_date").alias("n_days"))
 
 
-@query(f"""WITH {REFS}, m AS (SELECT date FROM days WHERE dayofweek(date) = 1) SELECT date AS issue_date FROM m WHERE date NOT IN (SELECT issue_date FROM outlook)""")
+@query(f"""WITH {REFS}, m AS (SELECT date FROM days WHERE dayofweek(date) = 1) SELECT date AS issue_date FROM m
+    WHERE date NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)""")
 def q_missing_issues(spark, sf_dir):
+    """Mondays without an issue in the archive (days with a dear urgent order play its part)."""
     mondays = A.daily(spark, sf_dir).where(F.dayofweek("date") == 2).select(F.col("date").alias("issue_date"))
-    return mondays.join(A.outlook(spark, sf_dir), "issue_date", "left_anti")
+    archive = A.read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.to_date("o_orderdate").alias("issue_date"))
+    return mondays.join(archive, "issue_date", "left_anti")
 
 
-@query(f"""WITH {REFS} SELECT issue_date, lead, target_date, round(fc, 6) + 0.0 AS fc, round(y, 6) + 0.0 AS y FROM orefs WHERE issue_date = (SELECT max(issue_date) FROM orefs WHERE issue_date <= DATE '1999-06-30')""")
+CASE = f"""{REFS}, one AS (SELECT max(issue_date) AS issue_date FROM orefs WHERE issue_date <= DATE '1999-06-30'), ahead AS (SELECT o.* FROM orefs o JOIN one USING (issue_date))"""
+
+
+@query(f"""WITH {CASE} SELECT 'input' AS part, CAST(d.date - one.issue_date AS INTEGER) AS lead, d.date AS target_date, round(d.ap, 6) + 0.0 AS y, NULL AS fc, NULL AS persistence, NULL AS recurrence27 FROM one JOIN daily d ON d.date BETWEEN one.issue_date - 29 AND one.issue_date
+    UNION ALL SELECT 'target', lead, target_date, round(y, 6) + 0.0, round(fc, 6) + 0.0, round(persistence, 6) + 0.0, round(recurrence27, 6) + 0.0 FROM ahead""")
 def q_case_window(spark, sf_dir):
+    """One issue: the 30 days up to it, and the days ahead with all forecasts."""
+    o, one = case_of(spark, sf_dir)
+    span = one.select(F.col("issue_date").alias("_i"), F.explode(F.sequence(F.date_sub("issue_date", 29), F.col("issue_date"))).alias("date"))
+    back = span.join(A.daily(spark, sf_dir), "date").select(
+        F.lit("input").alias("part"), F.datediff("date", "_i").alias("lead"), F.col("date").alias("target_date"), r6(F.col("ap")).alias("y"), *[F.lit(None).cast("double").alias(c) for c in FORECASTS]
+    )
+    return back.unionByName(o.select(F.lit("target").alias("part"), "lead", "target_date", *[r6(F.col(c)).alias(c) for c in ("y", *FORECASTS)]))
+
+
+FORECASTS = ["fc", "persistence", "recurrence27"]
+
+
+def case_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The outlook of the last issue up to a day, and that issue's date (one row)."""
     o = outlook_with_refs(spark, sf_dir)
-    last = o.where("issue_date <= date'1999-06-30'").agg(F.max("issue_date").alias("issue_date"))
-    return o.join(F.broadcast(last), "issue_date").select("issue_date", "lead", "target_date", r6(F.col("fc")).alias("fc"), r6(F.col("y")).alias("y"))
+    one = o.where("issue_date <= date'1999-06-30'").agg(F.max("issue_date").alias("issue_date"))
+    return o.join(F.broadcast(one), "issue_date"), one
+
+
+@query(f"""WITH {CASE}, l AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, y, {m} AS f FROM ahead" for m in ("fc", "persistence", "recurrence27"))})
+    SELECT model, count(y - f) AS n, round(avg(abs(y - f)), 6) + 0.0 AS mae, {corr_sql("y", "f")} AS cc FROM l GROUP BY 1""")
+def q_case_scores(spark, sf_dir):
+    """Error and correlation of each forecast of the case; days without a value are left out."""
+    l = case_of(spark, sf_dir)[0].select("y", *FORECASTS).unpivot(["y"], FORECASTS, "model", "f")
+    d = F.col("y") - F.col("f")
+    return l.groupBy("model").agg(F.count(d).alias("n"), r6(F.avg(F.abs(d))).alias("mae"), r6(safe_corr("y", "f")).alias("cc"))
 
 
 def ensemble(f3: DataFrame) -> DataFrame:
@@ -187,16 +222,26 @@ def q_seed_spread(spark, sf_dir):
     return s.groupBy("target_day_k").agg(r6(F.avg("mae")).alias("mean"), r6(F.stddev_samp("mae")).alias("std1"), r6(F.stddev_pop("mae")).alias("std0"), r6(F.max("mae") - F.min("mae")).alias("spread"))
 
 
-@query(f"""WITH {A.FORECAST} SELECT seed, round(avg(abs(exp(mu) - 1 - observed_ap)), 6) + 0.0 AS mae_3h, round(sqrt(avg(pow(exp(mu) - 1 - observed_ap, 2))), 6) + 0.0 AS rmse_3h,
+STEPS = range(1, 25)
+
+
+@query(f"""WITH {A.FORECAST}, d AS (SELECT seed, issue_date, target_day_k, avg(exp(mu) - 1) AS p, avg(observed_ap) AS y FROM fc3 GROUP BY 1, 2, 3), ds AS (SELECT seed, round(avg(abs(p - y)), 6) + 0.0 AS mae_day, {corr_sql('p', 'y')} AS cc_day FROM d GROUP BY 1),
+    s AS (SELECT seed, round(avg(abs(exp(mu) - 1 - observed_ap)), 6) + 0.0 AS mae_3h, round(sqrt(avg(pow(exp(mu) - 1 - observed_ap, 2))), 6) + 0.0 AS rmse_3h,
     round(corr(exp(mu) - 1, observed_ap), 6) + 0.0 AS cc_3h, round(avg(CASE WHEN abs(ln(1 + observed_ap) - mu) <= sigma THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS cover68_3h,
-    round(avg(CASE WHEN abs(ln(1 + observed_ap) - mu) <= 1.96 * sigma THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS cover95_3h FROM fc3 WHERE target_day_k = 1 GROUP BY 1""")
+    round(avg(CASE WHEN abs(ln(1 + observed_ap) - mu) <= 1.96 * sigma THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS cover95_3h,
+    {", ".join(f"round(avg(abs(exp(mu) - 1 - observed_ap)) FILTER (lead_step_3h = {h}), 6) + 0.0 AS mae_h{h}" for h in STEPS)} FROM fc3 GROUP BY 1) SELECT * FROM s JOIN ds USING (seed)""")
 def q_scores_3h(spark, sf_dir):
-    f = A.forecast_3h(spark, sf_dir, 1).withColumn("p", F.expm1("mu")).withColumn("z", F.abs(F.log1p("observed_ap") - F.col("mu")))
+    """The whole bundle of each seed: over bins, over day means, by step, and the share within one and 1.96 deviations."""
+    f = A.forecast_3h(spark, sf_dir).withColumn("p", F.expm1("mu")).withColumn("z", F.abs(F.log1p("observed_ap") - F.col("mu")))
     d = F.col("p") - F.col("observed_ap")
-    return f.groupBy("seed").agg(
+    bins = f.groupBy("seed").agg(
         r6(F.avg(F.abs(d))).alias("mae_3h"), r6(F.sqrt(F.avg(d * d))).alias("rmse_3h"), r6(safe_corr("p", "observed_ap")).alias("cc_3h"),
         r6(F.avg((F.col("z") <= F.col("sigma")).cast("double"))).alias("cover68_3h"), r6(F.avg((F.col("z") <= 1.96 * F.col("sigma")).cast("double"))).alias("cover95_3h"),
+        *[r6(F.avg(F.when(F.col("lead_step_3h") == h, F.abs(d)))).alias(f"mae_h{h}") for h in STEPS],
     )
+    days = f.groupBy("seed", "issue_date", "target_day_k").agg(F.avg("p").alias("p"), F.avg("observed_ap").alias("y"))
+    days = days.groupBy("seed").agg(r6(F.avg(F.abs(F.col("p") - F.col("y")))).alias("mae_day"), r6(safe_corr("p", "y")).alias("cc_day"))
+    return bins.join(days, "seed")
 
 
 def three(y: str, p: str) -> list:
@@ -265,15 +310,15 @@ def q_gaussian_nll(spark, sf_dir):
 
 @query(f"""WITH {A.FORECAST}, q AS (SELECT issue_date, lead_step_3h, observed_ap AS y, exp(mu + sigma * z) - 1 AS x FROM fc3, (SELECT unnest([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) AS z) WHERE target_day_k = 1),
     s AS (SELECT *, row_number() OVER (PARTITION BY issue_date, lead_step_3h ORDER BY x) AS i, count(*) OVER (PARTITION BY issue_date, lead_step_3h) AS n FROM q),
-    c AS (SELECT issue_date, lead_step_3h, y, avg(abs(x - y)) - sum(x * (2 * i - n - 1)) / max(n * n) AS crps, quantile_cont(x, 0.16) AS lo, quantile_cont(x, 0.84) AS hi FROM s GROUP BY 1, 2, 3)
-    SELECT issue_date, lead_step_3h, round(crps, 6) + 0.0 AS crps, y BETWEEN lo AND hi AS in68 FROM c""")
+    c AS (SELECT issue_date, lead_step_3h, y, avg(abs(x - y)) - sum(x * (2 * i - n - 1)) / max(n * n) AS crps, quantile_cont(x, 0.16) AS lo, quantile_cont(x, 0.84) AS hi, quantile_cont(x, 0.025) AS lo95, quantile_cont(x, 0.975) AS hi95 FROM s GROUP BY 1, 2, 3)
+    SELECT issue_date, lead_step_3h, round(crps, 6) + 0.0 AS crps, y BETWEEN lo AND hi AS in68, y BETWEEN lo95 AND hi95 AS in95 FROM c""")
 def q_crps(spark, sf_dir):
     """CRPS of the mixture of seeds, each sampled at fixed normal quantiles."""
     z = F.array(*[F.lit(x) for x in (-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)])
     f = A.forecast_3h(spark, sf_dir, 1).withColumn("x", F.transform(z, lambda q: F.expm1(F.col("mu") + F.col("sigma") * q)))
     g = f.groupBy("issue_date", "lead_step_3h").agg(F.flatten(F.collect_list("x")).alias("s"), F.max("observed_ap").alias("y"))
     c = g.withColumn("c", crps_columns("s", "y"))
-    return c.select("issue_date", "lead_step_3h", r6(F.col("c.crps")).alias("crps"), F.col("c.in68").alias("in68"))
+    return c.select("issue_date", "lead_step_3h", r6(F.col("c.crps")).alias("crps"), F.col("c.in68").alias("in68"), F.col("c.in95").alias("in95"))
 
 
 @query()
@@ -297,17 +342,35 @@ def q_length_neighbours(spark, sf_dir):
     return m.select("model", "lead", F.lag("lead").over(w).alias("shorter"), r6(F.col("mae") - F.lag("mae").over(w)).alias("d_mae"))
 
 
-@query()
+BB = f"""WITH {LONG_SQL}, src AS (SELECT date, lead, y, recurrence27 AS a, persistence AS b FROM fb WHERE y IS NOT NULL AND recurrence27 IS NOT NULL AND persistence IS NOT NULL AND date >= DATE '1999-01-01')"""
+
+
+@query(f"""{BB}, {block_bootstrap_sql("bb", "src", ["lead"], 400)} SELECT * FROM bb""")
 def q_block_bootstrap(spark, sf_dir):
-    """Recurrence against persistence at each lead, months resampled; tests compare with a literal resampling."""
+    """Recurrence against persistence at each lead, months resampled."""
     b = baselines(A.daily(spark, sf_dir)).where("y is not null and recurrence27 is not null and persistence is not null and date >= date'1999-01-01'")
     return block_bootstrap(b.select("date", "lead", "y", "recurrence27", "persistence"), "date", "y", "recurrence27", "persistence", ["lead"], resamples=400)
 
 
-@query()
+@query(f"""WITH {ENS}, src AS (SELECT target_day_k, issue_date AS block, avg(p - y) AS v FROM ens GROUP BY 1, 2), {bootstrap_mean_sql("bm", "src", ["target_day_k"], 400)} SELECT * FROM bm""")
 def q_boot_iid(spark, sf_dir):
+    """The mean of daily errors, days resampled one by one."""
     e = ensemble(A.forecast_3h(spark, sf_dir)).groupBy("target_day_k", "issue_date").agg(F.avg(F.col("p") - F.col("y")).alias("d"))
-    return iid_bootstrap_mean(e, "d", "issue_date", ["target_day_k"], resamples=400)
+    return bootstrap_mean(e, "d", F.col("issue_date"), ["target_day_k"], resamples=400)
+
+
+@query(f"""WITH {ENS}, src AS (SELECT target_day_k, issue_date AS block, abs(p - y) AS v FROM ens), {bootstrap_mean_sql("bm", "src", ["target_day_k"], 400)} SELECT * FROM bm""")
+def q_boot_table(spark, sf_dir):
+    """The mean error over a table of days and bins, whole days resampled."""
+    e = ensemble(A.forecast_3h(spark, sf_dir)).select("target_day_k", "issue_date", F.abs(F.col("p") - F.col("y")).alias("d"))
+    return bootstrap_mean(e, "d", F.col("issue_date"), ["target_day_k"], resamples=400)
+
+
+@query(f"""WITH {LONG_SQL}, src AS (SELECT lead, model, date_trunc('month', date) AS block, abs(y - f) AS v FROM fl WHERE y IS NOT NULL AND f IS NOT NULL), {bootstrap_mean_sql("bm", "src", ["lead", "model"], 100)} SELECT * FROM bm""")
+def q_boot_blocks(spark, sf_dir):
+    """The mean error of each model and lead, months resampled."""
+    e = long_form(baselines(A.daily(spark, sf_dir))).where("y is not null and f is not null").select("lead", "model", "date", F.abs(F.col("y") - F.col("f")).alias("d"))
+    return bootstrap_mean(e, "d", F.trunc("date", "month"), ["lead", "model"], resamples=100)
 
 
 @query(f"WITH {LONG_SQL} SELECT model, lead, round(avg(abs(y - f)), 6) + 0.0 AS mae FROM fl GROUP BY 1, 2 ORDER BY mae, model, lead LIMIT 10")
@@ -325,10 +388,15 @@ def q_matched_long(spark, sf_dir):
     return j.select("issue_date", "lead_step_3h", "seed", *[r6(F.col(c)).alias(c) for c in ("mu", "p", "y")], (F.col("y") >= 48).alias("storm_bin"))
 
 
-@query(f"""WITH {ENS}, b AS (SELECT time_bucket(INTERVAL '3 hours', ts) AS time, avg(value) AS ap FROM events WHERE value < 200 GROUP BY 1)
-    SELECT target_day_k, count(*) AS n, round(max(abs(y - ap)), 6) + 0.0 AS max_abs FROM ens JOIN b ON b.time = CAST(issue_date + target_day_k AS TIMESTAMP) + to_hours(CAST(3 * ((lead_step_3h - 1) % 8) AS INTEGER)) GROUP BY 1""")
+@query(f"""WITH {ENS}, b AS (SELECT time_bucket(INTERVAL '3 hours', ts) AS time, avg(value) AS ap FROM events WHERE value < 200 GROUP BY 1),
+    t AS (SELECT *, CAST(issue_date + target_day_k AS TIMESTAMP) + to_hours(CAST(3 * ((lead_step_3h - 1) % 8) AS INTEGER)) AS time FROM ens)
+    SELECT target_day_k, count(*) AS n, round(max(abs(y - ap)), 6) + 0.0 AS max_abs, CAST(min(date_diff('hour', CAST(issue_date AS TIMESTAMP) + INTERVAL 22 HOUR, time)) AS BIGINT) AS min_hours,
+        CAST(max(date_diff('hour', CAST(issue_date AS TIMESTAMP) + INTERVAL 22 HOUR, time)) AS BIGINT) AS max_hours, count(CASE WHEN time < CAST(issue_date AS TIMESTAMP) + INTERVAL 22 HOUR THEN 1 END) AS n_before FROM t JOIN b USING (time) GROUP BY 1""")
 def q_alignment_audit(spark, sf_dir):
-    """Stored observations against their source, placed by issue date and step."""
+    """Stored observations against their source, placed by issue date and step, and the hours from the issue (22 h) to each bin."""
     e = ensemble(A.forecast_3h(spark, sf_dir)).withColumn("time", F.expr("cast(date_add(issue_date, target_day_k) as timestamp_ntz) + make_dt_interval(0, 3 * ((lead_step_3h - 1) % 8))"))
     j = e.join(A.bins_3h(spark, sf_dir).where("ap is not null").select("time", "ap"), "time")
-    return j.groupBy("target_day_k").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("y") - F.col("ap")))).alias("max_abs"))
+    hours = F.expr("timestampdiff(HOUR, cast(issue_date as timestamp_ntz) + interval 22 hours, time)")
+    return j.groupBy("target_day_k").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.max(F.abs(F.col("y") - F.col("ap")))).alias("max_abs"), F.min(hours).alias("min_hours"), F.max(hours).alias("max_hours"), F.count_if(hours < 0).alias("n_before")
+    )
