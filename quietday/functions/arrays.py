@@ -23,6 +23,16 @@ def block_mean(rows: Column, k: int, height: int, width: int) -> Column:
     )
 
 
+def resize_to(rows: Column, size: int, height: int) -> Column:
+    """A square image on `size` rows: block means if that divides the height, else the nearest cell."""
+    if size == height:
+        return rows
+    if height > size and height % size == 0:
+        return block_mean(rows, height // size, height, height)
+    places = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.floor(i * height / size).cast("int"))
+    return F.transform(places, lambda i: F.transform(places, lambda j: F.get(F.get(rows, i), j)))
+
+
 def flip_180(rows: Column) -> Column:
     return F.reverse(F.transform(rows, lambda r: F.reverse(r)))
 

@@ -39,14 +39,16 @@ def crps_columns(samples: str, y: str):
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField("period", T.IntegerType()), T.StructField("amplitude", T.DoubleType())]))
-def dominant_period(values: pd.Series) -> pd.DataFrame:
-    """The period (length over frequency) of the strongest non-constant Fourier component of each array."""
+PERIOD = T.StructType([T.StructField("period", T.IntegerType()), T.StructField("amplitude", T.DoubleType())])
+
+
+@F.pandas_udf(T.ArrayType(PERIOD))
+def strongest_periods(values: pd.Series) -> pd.Series:
+    """The periods (length over frequency) of the three strongest non-constant Fourier components of each array, strongest first."""
     rows = []
     for v in values:
         x = np.asarray(v, float)
         a = np.abs(np.fft.rfft(x))
-        a[0] = 0
-        k = int(a.argmax())
-        rows.append((len(x) // k if k else 0, float(a[k])))
-    return pd.DataFrame(rows, columns=["period", "amplitude"])
+        top = np.argsort(-np.round(a[1:], 9), kind="stable")[:3] + 1
+        rows.append([{"period": int(len(x) // k), "amplitude": float(a[k])} for k in top])
+    return pd.Series(rows)

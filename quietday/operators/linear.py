@@ -58,3 +58,19 @@ def principal_axes(g: np.ndarray, inputs: int, k: int) -> tuple[np.ndarray, np.n
     values, vectors = np.linalg.eigh(cov)
     axes = vectors[:, np.argsort(-values)[:k]]
     return s / n, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(k)])
+
+
+def standardised_ridge(g: np.ndarray, inputs: int, alpha: float) -> Ridge:
+    """Ridge on inputs brought to mean 0 and deviation 1, as weights of the inputs as they are."""
+    n, s = g[-1, -1], g[-1, :inputs]
+    sd = np.sqrt(np.maximum(np.diag(g)[:inputs] / n - (s / n) ** 2, 0)) + 1e-8
+    scaled = g / np.outer(np.append(sd, np.ones(len(g) - inputs)), np.append(sd, np.ones(len(g) - inputs)))
+    m = ridge_from_gram(scaled, inputs, alpha)
+    return Ridge(m.weights / sd[:, None], m.intercept)
+
+
+def project(x: Column, mean: np.ndarray, axes: np.ndarray) -> Column:
+    """The scores of x on the axes (a column each), inside the JVM."""
+    centred = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a.cast("double") - b)
+    weights = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in axes.T])
+    return F.transform(weights, lambda w: F.aggregate(F.zip_with(centred, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))

@@ -202,8 +202,11 @@ def q_pick_cases(spark, sf_dir):
     c = y.select("date", F.col("m.ap").alias("peak"), F.datediff("m.date", "date").alias("lead"), F.col("m.date").alias("peak_date"))
     kind = F.when(F.col("peak") < 35, 4).when(F.col("lead") <= 7, 1).when(F.col("lead") <= 26, 2).otherwise(3)
     ranked = c.withColumn("kind", kind).withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy(F.when(F.col("kind") == 4, F.col("peak")).otherwise(-F.col("peak")), "date")))
-    # a case is rejected at most by the peaks of three others, each within 11 days: 40 candidates are enough
-    few = ranked.where("rn <= 40").groupBy().agg(F.array_sort(F.collect_list(F.struct("kind", "rn", "date", "peak_date"))).alias("items"))
+    # of candidates whose peaks are on one day only the first can be picked; a case is rejected by the peaks of
+    # three others at most, which reject 11 days each: the first 34 peak days of a kind hold its pick
+    first = ranked.groupBy("kind", "peak_date").agg(F.min(F.struct("rn", "date")).alias("m")).select("kind", "peak_date", "m.rn", "m.date")
+    few = first.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("rn"))).where("k <= 34")
+    few = few.groupBy().agg(F.array_sort(F.collect_list(F.struct("kind", "rn", "date", "peak_date"))).alias("items"))
     start = F.expr("cast(array() as array<struct<kind:int, rn:int, date:date, peak_date:date>>)")
     far = lambda acc, x: ~F.exists(acc, lambda k: (k["kind"] == x["kind"]) | (F.abs(F.datediff(k["peak_date"], x["peak_date"])) <= 5))
     picked = F.aggregate("items", start, lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))

@@ -1,6 +1,7 @@
 """Nearest, backward and band joins; merges; array operations."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quietday.functions import arrays as X
 from quietday.operators.folds import merge_events
+from quietday.operators.quantiles import exact_quantile
+from quietday.plans.models import stack7
 from quietday.operators.joins import flag_days, latest_before, nearest, with_predecessor
 
 T = lambda h, m=0, s=0, d=1: dt.datetime(2024, 1, d, h, m, s)
@@ -77,3 +80,41 @@ def test_arrays(spark):
     assert r["p"] == [0] * 5 + [1, 2, 3] and r["k"] == [0] * 5 + [1] * 3 and r["d"] == [127] * 4
     with pytest.raises(Exception, match="longer"):
         df.select(X.pack_right(F.col("x"), 2)).collect()
+
+
+def test_merge_of_dense_events_equals_the_fold(spark):
+    """Many events within the gap, ties, and times exactly the gap apart."""
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([0, 48 * 3600, 96 * 3600, rng.randrange(20 * 86_400)])) for k in ("a", "b") for i in range(200)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k string, id int, s long, _t int").withColumn("t", F.timestamp_seconds("s"))
+    want = []
+    for k in ("a", "b"):
+        last = None
+        for s, i in sorted((s, i) for own, i, s in rows if own == k):
+            if last is None or s - last > 48 * 3600:
+                want.append((k, i))
+                last = s
+    assert sorted((r["k"], r["id"]) for r in merge_events(df.drop("_t"), ["k"], "t", "id", 48 * 3600).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20_000])
+def test_exact_quantiles(spark, n):
+    x = np.round(np.random.default_rng(n).normal(size=n), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for q in (0.0, 0.5, 0.999, 1.0):
+        assert exact_quantile(df, "v", q, "m").first()["m"] == pytest.approx(np.quantile(x, q), abs=1e-12)
+    assert exact_quantile(df.where("v is null"), "v", 0.5, "m").first()["m"] is None
+
+
+def test_nearest_cells_upward(spark):
+    img = [[float(3 * i + j) for j in range(3)] for i in range(3)]
+    got = spark.createDataFrame([(img,)], "b array<array<double>>").select(X.resize_to(F.col("b"), 5, 3).alias("u"), X.resize_to(F.col("b"), 3, 3).alias("s")).first()
+    at = (np.arange(5) * 3 / 5).astype(int)
+    assert got["u"] == np.array(img)[at][:, at].tolist() and got["s"] == img
+
+
+def test_blocks_of_seven_days_copy_what_is_missing(spark):
+    rows = [(dt.date(2024, 3, d), [float(d), 0.5]) for d in (1, 2, 7, 13)]
+    got = {(r["date"].day, r["pos"]): (r["copied"], r["v"][0]) for r in stack7(spark.createDataFrame(rows, "date date, embedding array<double>"), 2).collect()}
+    assert [got[7, k] for k in range(7)] == [(False, 1.0), (False, 2.0), (False, 2.0), (False, 2.0), (True, 7.0), (True, 7.0), (False, 7.0)]
+    assert all(got[1, k] == (k < 6, 1.0) for k in range(7)) and len(got) == 28
