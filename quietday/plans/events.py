@@ -57,17 +57,39 @@ def q_event_labels(spark, sf_dir):
     return event_labels(spark, sf_dir)
 
 
-@query(f"""WITH {LABELS}, {DAY3} SELECT label, count(*) AS n, round(avg(abs(p - y)), 6) + 0.0 AS mae, {corr_sql('y', 'p')} AS cc FROM day3 JOIN labelled ON date = issue_date + target_day_k
-    WHERE n = 8 AND target_day_k = 1 GROUP BY 1 HAVING count(*) >= 5""")
+@query(f"""WITH {LABELS}, {ENS}, day_bins AS (SELECT issue_date, target_day_k, label, p, y, avg(p) OVER d AS dp, avg(y) OVER d AS dy, count(*) OVER d AS n, max(p) OVER d AS mp, max(y) OVER d AS my FROM ens JOIN labelled ON date = issue_date + target_day_k
+        WINDOW d AS (PARTITION BY issue_date, target_day_k)),
+    b AS (SELECT * FROM day_bins WHERE n = 8), d AS (SELECT DISTINCT issue_date, target_day_k, label, dp, dy, mp, my FROM b),
+    x AS (SELECT target_day_k, label, round(avg(abs(p - y)), 6) + 0.0 AS mae_3h, round(avg(abs((p - dp) - (y - dy))), 6) + 0.0 AS mae_intraday, round(corr(p - dp, y - dy), 6) + 0.0 AS cc_intraday FROM b GROUP BY 1, 2),
+    t AS (SELECT target_day_k, label, count(*) AS n_days, count(CASE WHEN my >= 48 THEN 1 END) AS n_days_storm, round(avg(abs(dp - dy)), 6) + 0.0 AS mae_day, {corr_sql('dy', 'dp')} AS cc_day, round(avg(mp - my), 6) + 0.0 AS peak_amp_error,
+        round(count(CASE WHEN mp >= 48 AND my >= 48 THEN 1 END) / greatest(count(CASE WHEN my >= 48 THEN 1 END), 1), 6) + 0.0 AS detected, round(count(CASE WHEN mp >= 48 AND my < 48 THEN 1 END) / greatest(count(CASE WHEN my < 48 THEN 1 END), 1), 6) + 0.0 AS false_share FROM d GROUP BY 1, 2)
+    SELECT * FROM t JOIN x USING (target_day_k, label) WHERE n_days >= 5""")
 def q_event_type(spark, sf_dir):
-    d = day_means(ensemble(A.forecast_3h(spark, sf_dir, 1))).where("n = 8").withColumn("date", F.expr("date_add(issue_date, target_day_k)")).drop("n")
-    j = d.join(event_labels(spark, sf_dir), "date").groupBy("label")
-    return j.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs(F.col("p") - F.col("y")))).alias("mae"), r6(safe_corr("y", "p")).alias("cc")).where("n >= 5")
+    """Per day ahead and label of the target day, with five days at least: errors of days, of bins and of what bins differ from their day's mean, peaks, and shares of storm days seen and of others called."""
+    e = ensemble(A.forecast_3h(spark, sf_dir)).withColumn("date", F.expr("date_add(issue_date, target_day_k)")).join(event_labels(spark, sf_dir), "date")
+    day = Window.partitionBy("issue_date", "target_day_k")
+    names = {"dp": F.avg("p"), "dy": F.avg("y"), "n": F.count(F.lit(1)), "mp": F.max("p"), "my": F.max("y")}
+    b = e.withColumns({k: v.over(day) for k, v in names.items()}).where("n = 8")
+    by = ["target_day_k", "label"]
+    inner = b.withColumns({"ip": F.col("p") - F.col("dp"), "iy": F.col("y") - F.col("dy")}).groupBy(*by).agg(
+        r6(F.avg(F.abs(F.col("p") - F.col("y")))).alias("mae_3h"), r6(F.avg(F.abs(F.col("ip") - F.col("iy")))).alias("mae_intraday"), r6(safe_corr("ip", "iy")).alias("cc_intraday")
+    )
+    storm, called = F.col("my") >= 48, F.col("mp") >= 48
+    share = lambda hit, of: r6(F.count_if(hit & of) / F.greatest(F.count_if(of), F.lit(1)))
+    days = b.select("issue_date", *by, "dp", "dy", "mp", "my").distinct().groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_days"), F.count_if(storm).alias("n_days_storm"), r6(F.avg(F.abs(F.col("dp") - F.col("dy")))).alias("mae_day"), r6(safe_corr("dy", "dp")).alias("cc_day"),
+        r6(F.avg(F.col("mp") - F.col("my"))).alias("peak_amp_error"), share(called, storm).alias("detected"), share(called, ~storm).alias("false_share"),
+    )
+    return days.where("n_days >= 5").join(inner, by)
 
 
 @query(f"""WITH {DAYS30}, runs AS (SELECT ts - INTERVAL 40 HOUR AS done, ts AS arrival, {K} AS kp FROM events WHERE event_type = 'error' AND {K} < 10), t AS (SELECT date, CAST(k AS INTEGER) AS k FROM d30, generate_series(1, 3) AS g(k))
     SELECT t.date AS issue_date, t.k, count(r.kp) > 0 AS flagged, max(r.kp) AS kp_max FROM t LEFT JOIN runs r ON r.done < t.date AND CAST(r.arrival AS DATE) = t.date + t.k GROUP BY 1, 2""")
 def q_enlil_flag(spark, sf_dir):
+    return enlil_flags(spark, sf_dir)
+
+
+def enlil_flags(spark, sf_dir) -> DataFrame:
     """Per issue date and day ahead: a run finished before the issue arrives on that day; its largest value."""
     runs = catalog_of(spark, sf_dir, "error", 10).select(F.expr("ts - interval 40 hours").alias("done"), F.col("day").alias("arrival_day"), F.col("k").alias("kp"))
     t = event_days(spark, sf_dir).select(F.col("date").alias("issue_date"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).withColumn("arrival_day", F.expr("date_add(issue_date, k)"))
@@ -75,6 +97,23 @@ def q_enlil_flag(spark, sf_dir):
     return j.groupBy("issue_date", "k").agg((F.count("kp") > 0).alias("flagged"), F.max("kp").alias("kp_max"))
 
 
+@query(f"""WITH {DAYS30}, {DAY3}, runs AS (SELECT ts - INTERVAL 40 HOUR AS done, ts AS arrival, {K} AS kp FROM events WHERE event_type = 'error' AND {K} < 10),
+    j AS (SELECT d.*, EXISTS (SELECT 1 FROM runs r WHERE r.done < d.issue_date AND CAST(r.arrival AS DATE) = d.issue_date + d.target_day_k) AS flagged, y > 48 AS storm FROM day3 d JOIN d30 ON d30.date = d.issue_date WHERE n = 8)
+    SELECT target_day_k, count(*) AS n, count(CASE WHEN flagged THEN 1 END) AS flag_days, count(CASE WHEN storm THEN 1 END) AS storm_days, count(CASE WHEN storm AND flagged THEN 1 END) AS storm_days_flagged,
+        round(avg(y) FILTER (flagged), 6) + 0.0 AS obs_flagged, round(avg(y) FILTER (NOT flagged), 6) + 0.0 AS obs_unflagged, round(avg(p) FILTER (flagged), 6) + 0.0 AS model_flagged, round(avg(abs(p - y)) FILTER (flagged), 6) + 0.0 AS mae_flagged,
+        round(avg(abs(p - y)) FILTER (NOT flagged), 6) + 0.0 AS mae_unflagged, round(avg(p - y) FILTER (flagged), 6) + 0.0 AS bias_flagged FROM j GROUP BY 1""")
+def q_flag_stats(spark, sf_dir):
+    """Days with and without a flag: how many are storms, the mean observation, forecast and error, and the bias."""
+    flags = enlil_flags(spark, sf_dir).select("issue_date", F.col("k").alias("target_day_k"), "flagged")
+    j = day_means(ensemble(A.forecast_3h(spark, sf_dir))).where("n = 8").drop("n").join(flags, ["issue_date", "target_day_k"])
+    f, d, storm = F.col("flagged"), F.col("p") - F.col("y"), F.col("y") > 48
+    return j.groupBy("target_day_k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(f).alias("flag_days"), F.count_if(storm).alias("storm_days"), F.count_if(storm & f).alias("storm_days_flagged"),
+        r6(F.avg(F.when(f, F.col("y")))).alias("obs_flagged"), r6(F.avg(F.when(~f, F.col("y")))).alias("obs_unflagged"), r6(F.avg(F.when(f, F.col("p")))).alias("model_flagged"),
+        r6(F.avg(F.when(f, F.abs(d)))).alias("mae_flagged"), r6(F.avg(F.when(~f, F.abs(d)))).alias("mae_unflagged"), r6(F.avg(F.when(f, d))).alias("bias_flagged"),
+    )
+
+
 @query(f"""WITH {EVENTS} SELECT i.event_id AS shock_id, (SELECT min_by(c.event_id, (abs(epoch_us(c.ts - i.ts)), c.event_id)) FROM cme c WHERE c.day BETWEEN i.day - 2 AND i.day + 2) AS nearest_id FROM ips i""")
 def q_nearest_event(spark, sf_dir):
     """The event nearest in time to each shock, among those within two days; ties to the smaller id."""
@@ -129,31 +168,65 @@ def q_onset_peak(spark, sf_dir):
     return onset_peak(storm_window(spark, sf_dir)).withColumn("peak", r6(F.col("peak")))
 
 
-@query(f"""WITH {PEAK}, {ENS}, f AS (SELECT CAST(issue_date + 1 AS TIMESTAMP) + to_hours(CAST(3 * (lead_step_3h - 1) AS INTEGER)) AS time, p FROM ens WHERE target_day_k = 1),
-    j AS (SELECT w.shock_id, w.ap, f.p, k.class FROM win w JOIN f USING (time) JOIN peaks k USING (shock_id) WHERE w.ap IS NOT NULL),
-    s AS (SELECT shock_id, class, avg(abs(p - ap)) AS mae, max(p) - max(ap) AS amp, max(p) >= 30 AS detected FROM j GROUP BY 1, 2)
-    SELECT class, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(quantile_cont(amp, 0.5), 6) + 0.0 AS peak_amp_err_median, round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect FROM s GROUP BY 1""")
-def q_storm_stats(spark, sf_dir):
-    """Chained day-1 forecasts against each storm window, by class."""
+STORMS = f"""{PEAK}, {ENS}, f AS (SELECT CAST(issue_date + 1 AS TIMESTAMP) + to_hours(CAST(3 * (lead_step_3h - 1) AS INTEGER)) AS time, p FROM ens WHERE target_day_k = 1),
+    j AS (SELECT w.shock_id, w.o, w.time, w.ap, f.p FROM win w JOIN f USING (time) WHERE w.ap IS NOT NULL),
+    sf AS (SELECT j.shock_id, k.class, k.onset, avg(abs(p - ap)) AS mae, max(p) - max(ap) AS amp, max(p) >= 30 AS detected, date_diff('hour', max_by(j.time, (round(ap, 9), -o)), max_by(j.time, (round(p, 9), -o))) AS peak_h,
+        date_diff('hour', k.onset, min(CASE WHEN p >= 30 THEN j.time END)) AS onset_h FROM j JOIN peaks k USING (shock_id) GROUP BY 1, 2, 3)"""
+
+
+def storm_errors(spark, sf_dir) -> DataFrame:
+    """Per shock, of the chained day-1 forecast: class, mae, amp, detected, and hours that peak and onset are late (negative: early)."""
     f = ensemble(A.forecast_3h(spark, sf_dir, 1)).select(F.expr("cast(date_add(issue_date, 1) as timestamp_ntz) + make_dt_interval(0, 3 * (lead_step_3h - 1))").alias("time"), "p")
     w = storm_window(spark, sf_dir).where("ap is not null")
-    j = w.join(f, "time").join(onset_peak(w).select("shock_id", "class"), "shock_id")
-    s = j.groupBy("shock_id", "class").agg(F.avg(F.abs(F.col("p") - F.col("ap"))).alias("mae"), (F.max("p") - F.max("ap")).alias("amp"), (F.max("p") >= 30).alias("detected"))
-    return s.groupBy("class").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), r6(F.percentile("amp", 0.5)).alias("peak_amp_err_median"), r6(F.avg(F.col("detected").cast("double"))).alias("detect"))
+    j = w.join(f, "time").join(onset_peak(w).select("shock_id", "class", "onset"), "shock_id")
+    top = lambda c: F.max_by("time", F.struct(F.round(c, 9), -F.col("o")))
+    s = j.groupBy("shock_id", "class", "onset").agg(
+        F.avg(F.abs(F.col("p") - F.col("ap"))).alias("mae"), (F.max("p") - F.max("ap")).alias("amp"), (F.max("p") >= 30).alias("detected"), top("ap").alias("seen"), top("p").alias("said"), F.min(F.when(F.col("p") >= 30, F.col("time"))).alias("called")
+    )
+    return s.select("shock_id", "class", "mae", "amp", "detected", F.timestamp_diff("HOUR", F.col("seen"), F.col("said")).alias("peak_h"), F.timestamp_diff("HOUR", F.col("onset"), F.col("called")).alias("onset_h"))
+
 
+@query(f"WITH {STORMS} SELECT shock_id, class, round(mae, 6) + 0.0 AS mae, round(amp, 6) + 0.0 AS amp, detected, CAST(peak_h AS BIGINT) AS peak_h, CAST(onset_h AS BIGINT) AS onset_h FROM sf")
+def q_storm_errors(spark, sf_dir):
+    return storm_errors(spark, sf_dir).withColumns({"mae": r6(F.col("mae")), "amp": r6(F.col("amp"))})
 
-@query(f"""WITH {PEAK}, {ENS}, f AS (SELECT CAST(issue_date AS DATE) AS issue_date, CAST(issue_date + target_day_k AS TIMESTAMP) + to_hours(CAST(3 * ((lead_step_3h - 1) % 8) AS INTEGER)) AS time, p FROM ens),
-    g AS (SELECT i.event_id AS shock_id, i.day - CAST(x AS INTEGER) AS issue_date, CAST(x AS INTEGER) AS days_before FROM ips i, generate_series(1, 3) AS t(x))
-    SELECT days_before, count(DISTINCT g.shock_id) AS n, round(avg(abs(p - ap)), 6) + 0.0 AS mae, round(avg(p - ap), 6) + 0.0 AS me FROM g JOIN win w ON w.shock_id = g.shock_id AND w.o >= 0 AND w.ap IS NOT NULL
-    JOIN f ON f.issue_date = g.issue_date AND f.time = w.time GROUP BY 1""")
+
+@query(f"""WITH {STORMS} SELECT class, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(quantile_cont(amp, 0.5), 6) + 0.0 AS peak_amp_err_median, round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect,
+    round(quantile_cont(peak_h, 0.5), 6) + 0.0 AS peak_time_err_median, round(quantile_cont(onset_h, 0.5), 6) + 0.0 AS onset_err_median, count(CASE WHEN onset_h < 0 THEN 1 END) AS early FROM sf GROUP BY 1""")
+def q_storm_stats(spark, sf_dir):
+    """Chained day-1 forecasts against each storm window, by class: error, peak height and time, onset, detection, early calls."""
+    median = lambda c: r6(F.percentile(c, 0.5))
+    return storm_errors(spark, sf_dir).groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), median("amp").alias("peak_amp_err_median"), r6(F.avg(F.col("detected").cast("double"))).alias("detect"),
+        median("peak_h").alias("peak_time_err_median"), median("onset_h").alias("onset_err_median"), F.count_if(F.col("onset_h") < 0).alias("early"),
+    )
+
+
+@query(f"""WITH {EVENTS}, {A.BINS}, {ENS}, f AS (SELECT issue_date, target_day_k, CAST(issue_date + target_day_k AS TIMESTAMP) + to_hours(CAST(3 * ((lead_step_3h - 1) % 8) AS INTEGER)) AS time, p FROM ens),
+    g AS (SELECT event_id AS shock_id, ts AS shock, day - CAST(x AS INTEGER) AS issue_date, CAST(x AS INTEGER) AS days_before FROM ips, generate_series(0, 3) AS t(x)),
+    j AS (SELECT g.*, f.time, f.p, b.ap, CASE WHEN days_before = 0 THEN f.time >= CAST(g.issue_date + 1 AS TIMESTAMP) AND f.time < CAST(g.issue_date + 2 AS TIMESTAMP) ELSE f.time + INTERVAL 3 HOUR > shock AND f.time < shock + INTERVAL 24 HOUR END AS post, f.time + INTERVAL 3 HOUR <= shock AS pre
+        FROM g JOIN f ON f.issue_date = g.issue_date JOIN bins b ON b.time = f.time WHERE b.ap IS NOT NULL),
+    s AS (SELECT shock_id, days_before, avg(abs(p - ap)) FILTER (post) AS mae, avg(p - ap) FILTER (post) AS bias, avg(ap) FILTER (post) - avg(ap) FILTER (pre) AS obs_rise, avg(p) FILTER (post) - avg(p) FILTER (pre) AS rise, max(p) FILTER (post) >= 30 AS detected FROM j GROUP BY 1, 2)
+    SELECT CASE days_before WHEN 0 THEN 'after arrival' ELSE days_before || ' days before' END AS lead_group, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(avg(bias), 6) + 0.0 AS me, round(avg(obs_rise), 6) + 0.0 AS obs_rise, round(avg(rise), 6) + 0.0 AS rise,
+        round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect FROM s WHERE mae IS NOT NULL GROUP BY 1""")
 def q_pre_arrival(spark, sf_dir):
-    """Forecasts issued one to three days before a shock, on the bins from its arrival on."""
+    """Forecasts issued one to three days before a shock, on the 24 hours from its arrival on, and those of its day for the day after; with the rise they foresee and the rise that came."""
     f = ensemble(A.forecast_3h(spark, sf_dir)).select("issue_date", F.expr("cast(date_add(issue_date, target_day_k) as timestamp_ntz) + make_dt_interval(0, 3 * ((lead_step_3h - 1) % 8))").alias("time"), "p")
-    i = catalog_of(spark, sf_dir, "signup", 2).select(F.col("event_id").alias("shock_id"), "day", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("days_before"))
-    g = i.select("shock_id", "days_before", F.expr("date_sub(day, days_before)").alias("issue_date"))
-    j = g.join(storm_window(spark, sf_dir).where("o >= 0 and ap is not null"), "shock_id").join(f, ["issue_date", "time"])
-    d = F.col("p") - F.col("ap")
-    return j.groupBy("days_before").agg(F.countDistinct("shock_id").alias("n"), r6(F.avg(F.abs(d))).alias("mae"), r6(F.avg(d)).alias("me"))
+    i = catalog_of(spark, sf_dir, "signup", 2).select(F.col("event_id").alias("shock_id"), F.col("ts").alias("shock"), "day", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("days_before"))
+    g = i.select("shock_id", "shock", "days_before", F.expr("date_sub(day, days_before)").alias("issue_date"))
+    j = g.join(f, "issue_date").join(A.bins_3h(spark, sf_dir).where("ap is not null").select("time", "ap"), "time")
+    after = F.expr("time >= cast(date_add(issue_date, 1) as timestamp_ntz) and time < cast(date_add(issue_date, 2) as timestamp_ntz)")
+    post = F.when(F.col("days_before") == 0, after).otherwise(F.expr("time + interval 3 hours > shock and time < shock + interval 24 hours"))
+    j = j.withColumns({"post": post, "pre": F.expr("time + interval 3 hours <= shock")})
+    mean = lambda c, when: F.avg(F.when(F.col(when), c))
+    p, ap = F.col("p"), F.col("ap")
+    s = j.groupBy("shock_id", "days_before").agg(
+        mean(F.abs(p - ap), "post").alias("mae"), mean(p - ap, "post").alias("bias"), (mean(ap, "post") - mean(ap, "pre")).alias("obs_rise"), (mean(p, "post") - mean(p, "pre")).alias("rise"), (F.max(F.when(F.col("post"), p)) >= 30).alias("detected")
+    ).where("mae is not null")
+    group = F.when(F.col("days_before") == 0, "after arrival").otherwise(F.concat("days_before", F.lit(" days before")))
+    return s.groupBy(group.alias("lead_group")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), r6(F.avg("bias")).alias("me"), r6(F.avg("obs_rise")).alias("obs_rise"), r6(F.avg("rise")).alias("rise"), r6(F.avg(F.col("detected").cast("double"))).alias("detect")
+    )
 
 
 @query(f"""WITH {ENS} SELECT issue_date + target_day_k AS valid_date, target_day_k, CAST((lead_step_3h - 1) % 8 AS INTEGER) AS bin, round(p, 6) + 0.0 AS p FROM ens WHERE target_day_k = 2""")

@@ -2,139 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import kp_to_ap, r6
+from quietday.plans import composed as C
 from quietday.plans.registry import query
+from quietday.session import scratch_path
 from quietday.sources import adapters as A
 from quietday.sources import reports as R
 
-DAY_LINES = [
-    "# year month day days days_m bsr db kp ap",
-    "2015 01 01 30316 30316.5 2474 10 0.667 1.333 1.667 2.333 3.0 2.0 1.0 0.667 2 4 5 7 15 6 3 2 6 80 135.2 130.7 2",
-    "2015 01 02 30317 30317.5 2474 11 1.0 -1 1.667 2.0 3.333 2.0 1.0 0.333 4 -1 6 7 18 7 4 2 7 82 140.1 135.0 2",
-    "2015 01 04 30319 30319.5 2474 13 2.0 2.333 2.667 3.0 3.333 3.667 4.0 4.333 7 9 12 15 18 22 27 32 18 -1 138.0 132.9 2",
-]
-LONG_DAYS = [("2015-01-01", [(0.667, 2), (1.333, 4), (1.667, 5), (2.333, 7), (3.0, 15), (2.0, 6), (1.0, 3), (0.667, 2)]),
-             ("2015-01-02", [(1.0, 4), (None, None), (1.667, 6), (2.0, 7), (3.333, 18), (2.0, 7), (1.0, 4), (0.333, 2)]),
-             ("2015-01-04", [(2.0, 7), (2.333, 9), (2.667, 12), (3.0, 15), (3.333, 18), (3.667, 22), (4.0, 27), (4.333, 32)])]
-SPECIAL = {"2015-01-01": (6, 80), "2015-01-02": (7, 82), "2015-01-04": (18, None)}
-
-
-def values(rows: list[tuple], columns: str) -> str:
-    """Literal rows as a SQL table."""
-    one = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
-    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
-
-
-def texts(spark, items: list[str], name: str = "text") -> DataFrame:
-    return spark.createDataFrame([(x,) for x in items], f"{name} string")
-
-
-BIN_ROWS = [(d, i, k, a) for d, row in LONG_DAYS for i, (k, a) in enumerate(row)]
-
-
-@query(f"SELECT CAST(d AS DATE) AS date, CAST(d AS TIMESTAMP) + to_hours(CAST(3 * b AS INTEGER)) AS time, CAST(kp AS DOUBLE) AS kp, CAST(ap AS DOUBLE) AS ap FROM {values(BIN_ROWS, 'd, b, kp, ap')}")
+@query(f"WITH {C.WHOLE} SELECT date, CAST(date AS TIMESTAMP) + to_hours(3 * bin) AS time, CASE WHEN ap IS NOT NULL THEN round(ap % 28 / 3, 3) END AS kp, CAST(ap AS DOUBLE) AS ap FROM wb")
 def q_gfz_parse(spark, sf_dir):
-    return R.unroll_bins(R.daily_text(texts(spark, DAY_LINES, "value")))
+    return R.unroll_bins(R.daily_text(C.day_lines(spark, sf_dir)))
 
 
-@query(f"SELECT CAST(d AS DATE) AS date, CAST(max(kp) AS DOUBLE) AS kp_max, round(avg(ap), 6) + 0.0 AS ap_mean, count(ap) AS n_bins FROM {values(BIN_ROWS, 'd, b, kp, ap')} GROUP BY 1")
+@query(f"WITH {C.WHOLE} SELECT date, max(round(ap % 28 / 3, 3)) AS kp_max, round(avg(ap), 6) + 0.0 AS ap_mean, count(ap) AS n_bins FROM wb GROUP BY 1")
 def q_gfz_rowagg(spark, sf_dir):
-    d = R.daily_text(texts(spark, DAY_LINES, "value"))
+    d = R.daily_text(C.day_lines(spark, sf_dir))
     ap = F.filter(F.array(*[f"ap{i}" for i in range(1, 9)]), lambda x: x.isNotNull())
-    mean = F.aggregate(ap, F.lit(0.0), lambda a, x: a + x) / F.size(ap)
+    mean = F.try_divide(F.aggregate(ap, F.lit(0.0), lambda a, x: a + x), F.size(ap))
     return d.select("date", F.greatest(*[f"kp{i}" for i in range(1, 9)]).alias("kp_max"), r6(mean).alias("ap_mean"), F.size(ap).cast("long").alias("n_bins"))
 
 
-@query(f"""SELECT count(*) AS n_days, count(CASE WHEN round_even(m, 0) <> a THEN 1 END) AS n_differ FROM (SELECT d, avg(ap) AS m, count(ap) AS n FROM {values(BIN_ROWS, 'd, b, kp, ap')} GROUP BY 1) x
-    JOIN {values([(d, a) for d, (a, _) in SPECIAL.items()], 'd, a').replace(' AS t(', ' AS u(')} USING (d) WHERE n = 8""")
+@query(f"WITH {C.WHOLE} SELECT count(*) AS n_days, count(CASE WHEN round_even(m, 0) <> floor(m) THEN 1 END) AS n_differ FROM (SELECT date, avg(ap) AS m FROM wb GROUP BY 1 HAVING count(ap) = 8)")
 def q_gfz_check(spark, sf_dir):
-    """Whole days whose half-even rounded mean of eight bins differs from the daily value."""
-    d = R.daily_text(texts(spark, DAY_LINES, "value"))
+    """Whole days whose half-even rounded mean of eight bins differs from the daily value in the file (which is cut, not rounded)."""
+    d = R.daily_text(C.day_lines(spark, sf_dir))
     m = R.unroll_bins(d).groupBy("date").agg(F.avg("ap").alias("m"), F.count("ap").alias("n")).where("n = 8").join(d.select("date", "Ap"), "date")
     return m.agg(F.count(F.lit(1)).alias("n_days"), F.count_if(F.bround("m", 0) != F.col("Ap")).alias("n_differ"))
 
 
-REPORT = """:Product: Report of Solar-Geophysical Activity
-:Issued: 2022 Dec 31 2200 UTC
-Predicted   01 Jan-03 Jan 165/165/165
-Observed Afr/Ap 30 Dec  022/028
-Estimated Afr/Ap 31 Dec  013/014
-Predicted Afr/Ap 01 Jan-03 Jan  009/012-009/008-005/005
-"""
-REPORT_NA = REPORT.replace("2022 Dec 31 2200", "2023 Jan 01 1000").replace("Observed Afr/Ap 30 Dec", "Observed Afr/Ap 31 Dec").replace("31 Dec  013/014", "01 Jan  013/014").replace(
-    "01 Jan-03 Jan  009/012-009/008-005/005", "02 Jan-04 Jan  007/ NA-014/ NA-007/ NA"
-)
-REPORT_ROWS = [
-    ("2022-12-31", "2200", "2022-12-30", -1, "observed", 22.0, 28.0), ("2022-12-31", "2200", "2022-12-31", 0, "estimated", 13.0, 14.0),
-    ("2022-12-31", "2200", "2023-01-01", 1, "predicted", 9.0, 12.0), ("2022-12-31", "2200", "2023-01-02", 2, "predicted", 9.0, 8.0), ("2022-12-31", "2200", "2023-01-03", 3, "predicted", 5.0, 5.0),
-    ("2023-01-01", "1000", "2022-12-31", -1, "observed", 22.0, 28.0), ("2023-01-01", "1000", "2023-01-01", 0, "estimated", 13.0, 14.0),
-    ("2023-01-01", "1000", "2023-01-02", 1, "predicted", 7.0, None), ("2023-01-01", "1000", "2023-01-03", 2, "predicted", 14.0, None), ("2023-01-01", "1000", "2023-01-04", 3, "predicted", 7.0, None),
-]
-REPORTS = f"reports AS (SELECT CAST(i AS DATE) AS issue_date, tm AS issue_time, CAST(t0 AS DATE) AS target_date, CAST(l AS INTEGER) AS lead, kind, CAST(afr AS DOUBLE) AS afr, CAST(ap AS DOUBLE) AS ap FROM {values(REPORT_ROWS, 'i, tm, t0, l, kind, afr, ap')})"
-
-
-@query(f"WITH {REPORTS} SELECT * FROM reports")
+@query(f"WITH {C.REPORTS} SELECT * FROM reports")
 def q_rsga_parse(spark, sf_dir):
-    return R.activity_report(texts(spark, [REPORT, REPORT_NA]))
+    return R.activity_report(C.activity_reports(spark, sf_dir))
 
 
-@query(f"WITH {REPORTS}, r AS (SELECT *, row_number() OVER (PARTITION BY target_date ORDER BY issue_date DESC, issue_time DESC) AS rn FROM reports WHERE kind = 'predicted' AND lead = 2) SELECT target_date, issue_date, afr, ap FROM r WHERE rn = 1")
+@query(f"WITH {C.REPORTS}, r AS (SELECT *, row_number() OVER (PARTITION BY target_date ORDER BY issue_date DESC, issue_time DESC) AS rn FROM reports WHERE kind = 'predicted' AND lead = 2) SELECT target_date, issue_date, afr, ap FROM r WHERE rn = 1")
 def q_rsga_leadk(spark, sf_dir):
-    r = R.activity_report(texts(spark, [REPORT, REPORT_NA])).where("kind = 'predicted' and lead = 2")
+    r = R.activity_report(C.activity_reports(spark, sf_dir)).where("kind = 'predicted' and lead = 2")
     last = F.row_number().over(Window.partitionBy("target_date").orderBy(F.desc("issue_date"), F.desc("issue_time")))
     return r.withColumn("rn", last).where("rn = 1").select("target_date", "issue_date", "afr", "ap")
 
 
-@query(f"WITH {REPORTS}, m AS (SELECT *, max(issue_time) OVER (PARTITION BY issue_date) AS latest FROM (SELECT * FROM reports UNION ALL SELECT issue_date, '0100', target_date, lead, kind, afr, ap FROM reports)) SELECT DISTINCT * EXCLUDE (latest) FROM m WHERE issue_time = latest")
+@query(f"WITH {C.REPORTS}, m AS (SELECT *, max(issue_time) OVER (PARTITION BY issue_date) AS latest FROM reports) SELECT * EXCLUDE (latest) FROM m WHERE issue_time = latest")
 def q_latest_issuance(spark, sf_dir):
-    early = [x.replace(" 2200 UTC", " 0100 UTC").replace(" 1000 UTC", " 0100 UTC") for x in (REPORT, REPORT_NA)]
-    r = R.activity_report(texts(spark, [REPORT, REPORT_NA, *early]))
+    r = R.activity_report(C.activity_reports(spark, sf_dir))
     return r.withColumn("latest", F.max("issue_time").over(Window.partitionBy("issue_date"))).where("issue_time = latest").drop("latest").distinct()
 
 
-OUTLOOK = """:Product: 45 Day AP and F10.7cm Flux Forecast 45-day-forecast.txt
-:Issued: 2026 Sep 02 0000 UTC
-#
-45-DAY AP FORECAST
-02Sep26 005 03Sep26 005 04Sep26 005 05Sep26 005 06Sep26 010
-07Sep26 012 08Sep26 008
-45-DAY F10.7 CM FLUX FORECAST
-02Sep26 100 03Sep26 102 04Sep26 104 05Sep26 106 06Sep26 108
-07Sep26 110 08Sep26 112
-"""
-OUTLOOK_JSON = '{"issued": "2026-03-02T00:00:00Z", "data": [{"time": "2026-03-02T00:00:00Z", "ap": 5, "f107": 150}, {"time": "2026-03-03T00:00:00Z", "ap": 8, "f107": 152}]}'
-
-
-@query(f"SELECT DATE '2026-09-02' AS issue_date, DATE '2026-09-02' + CAST(l AS INTEGER) AS target_date, CAST(l AS INTEGER) AS lead, CAST(ap AS DOUBLE) AS ap, CAST(f AS DOUBLE) AS f107 FROM {values([(i, a, 100 + 2 * i) for i, a in enumerate([5, 5, 5, 5, 10, 12, 8])], 'l, ap, f')}")
+@query(f"WITH {C.OUTLOOKS} SELECT * FROM o45")
 def q_45day_parse(spark, sf_dir):
-    return R.outlook_45day(texts(spark, [OUTLOOK]))
+    return R.outlook_45day(C.outlook_texts(spark, sf_dir))
 
 
-@query("SELECT DATE '2026-03-02' AS issue_date, DATE '2026-03-02' + CAST(l AS INTEGER) AS target_date, CAST(l AS INTEGER) AS lead, CAST(a AS DOUBLE) AS ap, CAST(f AS DOUBLE) AS f107 FROM (VALUES (0, 5, 150), (1, 8, 152)) AS t(l, a, f)")
+@query(f"WITH {C.OUTLOOKS} SELECT * FROM o45")
 def q_45day_json(spark, sf_dir):
-    return R.outlook_45day_json(texts(spark, [OUTLOOK_JSON]))
+    return R.outlook_45day_json(C.outlook_json(spark, sf_dir))
 
 
-KP_TABLE = [[round((d * 8 + b) % 9 + (0.33 if b % 2 else 0.67), 2) for d in range(3)] for b in range(8)]
-KP_REPORT = ":Product: Geomagnetic Forecast\n:Issued: 2022 Dec 30 2205 UTC\nPredicted Ap 31 Dec-02 Jan 012-008-005\n\nNOAA Kp index forecast 31 Dec - 02 Jan\n             Dec 31    Jan 01    Jan 02\n" + "\n".join(
-    f"{name}        {a:.2f}{' (G1)' if a > 8 else ''}      {b:.2f}      {c:.2f}" for name, (a, b, c) in zip(R.BINS, KP_TABLE, strict=True)
-) + "\n"
-KP_ROWS = [(k + 1, ["2022-12-31", "2023-01-01", "2023-01-02"][k], b, KP_TABLE[b][k], [12.0, 8.0, 5.0][k]) for k in range(3) for b in range(8)]
-
-
-@query(f"""SELECT 'a' AS source_file, DATE '2022-12-30' AS issue_date, CAST(k AS INTEGER) AS target_day_k, CAST(d AS DATE) AS target_date, CAST(b AS INTEGER) AS bin, CAST(kp AS DOUBLE) AS kp, CAST(ap AS DOUBLE) AS daily_ap, 'ok' AS status FROM {values(KP_ROWS, 'k, d, b, kp, ap')}
-    UNION ALL SELECT 'b', DATE '2022-12-30', NULL, NULL, NULL, NULL, NULL, 'missing row' UNION ALL SELECT 'c', NULL, NULL, NULL, NULL, NULL, NULL, 'no issue line'""")
+@query(f"WITH {C.KP} SELECT * FROM kp")
 def q_geomag_parse(spark, sf_dir):
-    rows = [("a", KP_REPORT), ("b", KP_REPORT.replace("09-12UT", "xx-12UT")), ("c", "nothing")]
-    return R.kp_forecast(spark.createDataFrame(rows, "source_file string, text string"), "source_file")
+    return R.kp_forecast(C.kp_reports(spark, sf_dir), "source_file")
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS target_day_k, count(*) AS n, bool_and(DATE '2022-12-30' < CAST(d AS DATE)) AS qc_issue_before_target, bool_and(CAST(d AS DATE) - DATE '2022-12-30' = k) AS qc_target_dates FROM {values(KP_ROWS, 'k, d, b, kp, ap')} GROUP BY 1")
+@query(f"WITH {C.KP} SELECT target_day_k, count(*) AS n, bool_and(issue_date < target_date) AS qc_issue_before_target, bool_and(target_date - issue_date = target_day_k) AS qc_target_dates FROM kp WHERE status = 'ok' GROUP BY 1")
 def q_geomag_qc(spark, sf_dir):
-    r = R.kp_forecast(spark.createDataFrame([("a", KP_REPORT)], "source_file string, text string"), "source_file")
+    r = R.kp_forecast(C.kp_reports(spark, sf_dir), "source_file").where("status = 'ok'")
     return r.groupBy("target_day_k").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.col("issue_date") < F.col("target_date")).alias("qc_issue_before_target"), F.bool_and(F.datediff("target_date", "issue_date") == F.col("target_day_k")).alias("qc_target_dates")
     )
@@ -169,81 +103,82 @@ def q_archive_anomalies(spark, sf_dir):
     return j.select("doc_id", F.array_min(F.transform("o", lambda x: x["least"])).alias("twin_id"), F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
 
 
-RUNS = [f"l6_preds_A_{m}_{s}_L{n}_s{seed}.npz" for m in ("full", "ts") for s in ("all", "cme") for n in (1, 7) for seed in (0, 1, 2)] + ["notes.txt", "l6_preds_A_full_all_L3_s0.npz"]
-
-
-@query(f"""WITH f AS (SELECT name, regexp_extract(name, '^(\\w+?)_preds_([A-Z])_([a-z]+)_([a-z]+)_L(\\d+)_s(\\d+)\\.npz$', ['tag', 'split', 'model', 'subset', 'len', 'seed']) AS g FROM {values([(r,) for r in RUNS], 'name')})
-    SELECT g.tag AS tag, g.split AS split, g.model AS model, g.subset AS subset, CAST(g.len AS INTEGER) AS history, count(*) AS n_seeds, replace(min(name), '_preds_', '_ckpt_') AS checkpoint FROM f WHERE g.tag <> '' GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 3""")
+@query("""WITH f AS (SELECT DISTINCT event_type, CAST(user_id % 7 AS INTEGER) AS len, CAST(event_id % 3 AS INTEGER) AS seed FROM events)
+    SELECT 'l6' AS tag, 'A' AS split, event_type AS model, len AS history, count(*) AS n_seeds, 'l6_ckpt_A_' || event_type || '_L' || len || '_s' || min(seed) || '.parquet' AS checkpoint FROM f GROUP BY event_type, len HAVING count(*) = 3""")
 def q_runs_registry(spark, sf_dir):
-    """Keys from file names; groups with exactly three seeds, and the checkpoint's name."""
-    p = r"^(\w+?)_preds_([A-Z])_([a-z]+)_([a-z]+)_L(\d+)_s(\d+)\.npz$"
-    f = texts(spark, RUNS, "name").where(F.col("name").rlike(p))
-    keys = [F.regexp_extract("name", p, i).alias(k) for i, k in enumerate(("tag", "split", "model", "subset"), 1)]
-    g = f.groupBy(*keys, F.regexp_extract("name", p, 5).cast("int").alias("history")).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("name").alias("name"))
+    """Keys from file names; groups with exactly three seeds, and the first one's checkpoint."""
+    e = A.read(spark, sf_dir, "events").select(F.col("event_type").alias("label"), (F.col("user_id") % 7).alias("len"), (F.col("event_id") % 3).alias("seed")).distinct()
+    root = scratch_path(spark, "runs")
+    name = F.concat(F.lit("l6_preds_A_"), "label", F.lit("_L"), "len", F.lit("_s"), "seed", F.lit(".parquet"))
+    # names are listed by the writer; what is read back are names, never contents
+    e.select(name.alias("value")).write.text(root)
+    p = r"^(\w+?)_preds_([A-Z])_(\w+?)_L(\d+)_s(\d+)\.parquet$"
+    f = spark.read.text(root).select(F.col("value").alias("name")).where(F.col("name").rlike(p))
+    keys = [F.regexp_extract("name", p, i).alias(k) for i, k in enumerate(("tag", "split", "model"), 1)]
+    g = f.groupBy(*keys, F.regexp_extract("name", p, 4).cast("int").alias("history")).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("name").alias("name"))
     return g.where("n_seeds = 3").withColumn("checkpoint", F.regexp_replace("name", "_preds_", "_ckpt_")).drop("name")
 
 
-CMES = """[{"activityID": "2022-01-01T00:00:00-CME-001", "startTime": "2022-01-01T00:00Z", "cmeAnalyses": [{"isMostAccurate": false, "longitude": 80.0, "halfAngle": 20.0, "speed": 400.0, "enlilList": null},
- {"isMostAccurate": true, "longitude": -10.0, "halfAngle": 30.0, "speed": 900.0, "enlilList": [{"modelCompletionTime": "2022-01-01T06:00Z", "estimatedShockArrivalTime": "2022-01-03T12:00Z", "isEarthGB": false, "kp_90": 4, "kp_135": 5, "kp_180": 6}]}],
- "linkedEvents": [{"activityID": "2022-01-01T00:10:00-FLR-001"}, {"activityID": "2022-01-03T11:00:00-IPS-002"}]},
- {"activityID": "2022-02-01T00:00:00-CME-001", "startTime": "2022-02-01T00:00Z", "cmeAnalyses": [{"isMostAccurate": false, "longitude": 120.0, "halfAngle": 25.0, "speed": 500.0,
- "enlilList": [{"modelCompletionTime": "2022-02-01T09:00Z", "estimatedShockArrivalTime": null, "isEarthGB": true, "kp_90": null, "kp_135": 3, "kp_180": null}]}], "linkedEvents": null},
- {"activityID": "2022-03-01T00:00:00-CME-001", "startTime": "2022-03-01T00:00Z", "cmeAnalyses": [], "linkedEvents": []}]"""
-CME_SCHEMA = """array<struct<activityID:string, startTime:string, cmeAnalyses:array<struct<isMostAccurate:boolean, longitude:double, halfAngle:double, speed:double,
-    enlilList:array<struct<modelCompletionTime:string, estimatedShockArrivalTime:string, isEarthGB:boolean, kp_90:double, kp_135:double, kp_180:double>>>>, linkedEvents:array<struct<activityID:string>>>>"""
-
-
-def cme_rows(spark) -> DataFrame:
-    return texts(spark, [CMES]).select(F.explode(F.from_json("text", CME_SCHEMA)).alias("c")).select("c.*")
-
-
-@query("""SELECT * FROM (VALUES ('2022-01-01T00:00:00-CME-001', 900.0::DOUBLE, true, true, true, 'FLR;IPS'), ('2022-02-01T00:00:00-CME-001', 500.0::DOUBLE, false, true, true, ''), ('2022-03-01T00:00:00-CME-001', NULL, false, false, false, '')) AS t(cme_id, speed, cone_hit, enlil_hit, earth_directed, link_types)""")
+@query(f"""WITH {C.ERUPTIONS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-CME-' || event_id AS cme_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN value ELSE value * 2 END AS speed,
+    coalesce(CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN abs(k * 2) <= 25 ELSE abs(k - 40) <= 25 END, false) AS cone_hit, event_id % 4 > 1 AND user_id % 3 = 0 AND (k % 5 = 0 OR user_id % 2 = 0) AS enlil_hit,
+    cone_hit OR enlil_hit AS earth_directed, CASE WHEN event_id % 3 = 0 THEN 'FLR;IPS' ELSE '' END AS link_types FROM er""")
 def q_cme_catalog(spark, sf_dir):
     """The most accurate analysis, else the first; cone and model hits; kinds of linked events."""
     best = F.coalesce(F.get(F.filter("cmeAnalyses", lambda a: a["isMostAccurate"]), 0), F.get("cmeAnalyses", 0))
-    hit = F.exists(F.coalesce(F.flatten(F.transform("cmeAnalyses", lambda a: F.coalesce(a["enlilList"], F.array().cast("array<struct<modelCompletionTime:string, estimatedShockArrivalTime:string, isEarthGB:boolean, kp_90:double, kp_135:double, kp_180:double>>")))), F.array()),
-                   lambda e: F.coalesce(e["isEarthGB"], F.lit(False)) | e["estimatedShockArrivalTime"].isNotNull())
-    kinds = F.array_join(F.transform(F.coalesce("linkedEvents", F.array()), lambda e: F.regexp_extract(e["activityID"], r"-([A-Z]+)-\d+$", 1)), ";")
-    c = cme_rows(spark).select(F.col("activityID").alias("cme_id"), best.alias("b"), F.coalesce(hit, F.lit(False)).alias("enlil_hit"), kinds.alias("link_types"))
+    runs = F.flatten(F.transform("cmeAnalyses", lambda a: F.coalesce(a["enlilList"], F.array().cast(C.runs_type()))))
+    hit = F.exists(F.coalesce(runs, F.array()), lambda e: F.coalesce(e["isEarthGB"], F.lit(False)) | e["estimatedShockArrivalTime"].isNotNull())
+    kinds = F.array_join(F.transform(F.coalesce("linkedEvents", F.array()), lambda e: F.element_at(F.split(e["activityID"], "-"), -2)), ";")
+    c = C.eruptions(spark, sf_dir).select(F.col("activityID").alias("cme_id"), best.alias("b"), F.coalesce(hit, F.lit(False)).alias("enlil_hit"), kinds.alias("link_types"))
     cone = F.coalesce(F.abs("b.longitude") <= F.col("b.halfAngle"), F.lit(False))
     return c.select("cme_id", F.col("b.speed").alias("speed"), cone.alias("cone_hit"), "enlil_hit", (cone | F.col("enlil_hit")).alias("earth_directed"), "link_types")
 
 
-@query("""SELECT TIMESTAMP '2022-01-01 06:00:00' AS done, TIMESTAMP '2022-01-03 12:00:00' AS arrival, false AS earth, 6.0::DOUBLE AS kp_max""")
+@query(f"""WITH {C.ERUPTIONS} SELECT DISTINCT date_trunc('minute', ts + INTERVAL 6 HOUR) AS done, date_trunc('minute', ts + INTERVAL 60 HOUR) AS arrival, k % 5 = 0 AS earth, CAST(greatest(k, CASE WHEN k % 2 = 0 THEN k + 1 END, 3) AS DOUBLE) AS kp_max
+    FROM er WHERE event_id % 4 > 1 AND user_id % 3 = 0 AND user_id % 2 = 0""")
 def q_enlil_runs(spark, sf_dir):
     """Distinct model runs with completion and arrival time, and the largest of the three index estimates."""
-    r = cme_rows(spark).select(F.explode("cmeAnalyses").alias("a")).select(F.explode("a.enlilList").alias("e")).select("e.*").where("modelCompletionTime is not null and estimatedShockArrivalTime is not null")
-    time = lambda c: F.to_timestamp_ntz(c, F.lit("yyyy-MM-dd'T'HH:mm'Z'"))
+    r = C.eruptions(spark, sf_dir).select(F.explode("cmeAnalyses").alias("a")).select(F.explode("a.enlilList").alias("e")).select("e.*").where("modelCompletionTime is not null and estimatedShockArrivalTime is not null")
+    time = lambda c: F.to_timestamp_ntz(c, F.lit(C.MINUTES))
     return r.select(time(F.col("modelCompletionTime")).alias("done"), time(F.col("estimatedShockArrivalTime")).alias("arrival"), F.coalesce("isEarthGB", F.lit(False)).alias("earth"), F.greatest("kp_90", "kp_135", "kp_180").alias("kp_max")).distinct()
 
 
-BOARD = '[{"cmeId": "2022-01-01T00:00:00-CME-001", "start": null, "arrival": "2022-01-03T12:00Z", "noArrival": false, "predictions": [{"m": "a"}, {"m": "b"}]}, {"cmeId": "2022-02-01T03:00:00-CME-001", "start": "2022-02-01T02:36Z", "arrival": null, "noArrival": true, "predictions": null}]'
+BOARD_ENTRY = "cmeId string, start string, arrival string, noArrival boolean, predictions array<struct<m:string>>"
 
 
-@query("""SELECT * FROM (VALUES ('2022-01-01T00:00:00-CME-001', TIMESTAMP '2022-01-01 00:00:00', true, 2), ('2022-02-01T03:00:00-CME-001', TIMESTAMP '2022-02-01 02:36:00', false, 0)) AS t(cme_id, start_time, arrived, n_predictions)""")
+@query(f"""WITH {C.ERUPTIONS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-CME-' || event_id AS cme_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS start_time, event_id % 3 > 0 AND user_id % 2 = 0 AS arrived,
+    CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE k % 4 END AS INTEGER) AS n_predictions FROM er""")
 def q_scoreboard(spark, sf_dir):
-    rows = texts(spark, [BOARD]).select(F.explode(F.from_json("text", "array<struct<cmeId:string, start:string, arrival:string, noArrival:boolean, predictions:array<struct<m:string>>>>")).alias("c")).select("c.*")
-    start = F.coalesce(F.to_timestamp_ntz("start", F.lit("yyyy-MM-dd'T'HH:mm'Z'")), F.to_timestamp_ntz(F.substring("cmeId", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    """Start times, from the entry or else from its id; whether it arrived; how many predictions there are."""
+    e = A.read(spark, sf_dir, "events").where("event_type = 'error'").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    entry = F.struct(
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-CME-"), "event_id").alias("cmeId"), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", C.MINUTES)).alias("start"),
+        F.when(F.col("user_id") % 2 == 0, F.date_format("ts", C.MINUTES)).alias("arrival"), (F.col("event_id") % 3 == 0).alias("noArrival"),
+        F.when(F.col("event_id") % 5 > 0, F.array_repeat(F.struct(F.lit("a").alias("m")), F.col("k") % 4)).alias("predictions"),
+    )
+    rows = C.json_lines(e, entry, "board", BOARD_ENTRY)
+    start = F.coalesce(F.to_timestamp_ntz("start", F.lit(C.MINUTES)), F.to_timestamp_ntz(F.substring("cmeId", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     return rows.select(F.col("cmeId").alias("cme_id"), start.alias("start_time"), (~F.col("noArrival") & F.col("arrival").isNotNull()).alias("arrived"), F.coalesce(F.array_size("predictions"), F.lit(0)).alias("n_predictions"))
 
 
-STREAMS = '[{"id": "h1", "instruments": ["ACE: SWEPAM", "STEREO A"], "links": ["x-CME-001", "y-HSS-002", "z-CME-003"]}, {"id": "h2", "instruments": ["STEREO A: PLASTIC"], "links": null}, {"id": "h3", "instruments": ["dscovr: plasmag"], "links": ["w-FLR-001"]}]'
+STREAM_ENTRY = "id string, instruments array<string>, links array<string>"
 
 
-@query("""SELECT * FROM (VALUES ('h1', 'x-CME-001;z-CME-003'), ('h3', '')) AS t(event_id, linked_cmes)""")
+@query("""SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 2 = 0 THEN event_id || '-CME-001;' || event_id || '-CME-003' ELSE '' END AS linked_cmes FROM events WHERE event_type = 'purchase' AND user_id % 3 < 2""")
 def q_ips_hss(spark, sf_dir):
     """Streams seen by an instrument near Earth; links of one kind joined by `;`."""
-    rows = texts(spark, [STREAMS]).select(F.explode(F.from_json("text", "array<struct<id:string, instruments:array<string>, links:array<string>>>")).alias("c")).select("c.*")
+    e = A.read(spark, sf_dir, "events").where("event_type = 'purchase'")
+    seen = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("ACE: SWEPAM"), F.lit("STEREO A"))).when(F.col("user_id") % 3 == 1, F.array(F.lit("dscovr: plasmag"))).otherwise(F.array(F.lit("STEREO A: PLASTIC")))
+    links = F.when(F.col("event_id") % 2 == 0, F.array(*[F.concat(F.col("event_id").cast("string"), F.lit(x)) for x in ("-CME-001", "-HSS-002", "-CME-003")]))
+    rows = C.json_lines(e, F.struct(F.col("event_id").cast("string").alias("id"), seen.alias("instruments"), links.alias("links")), "streams", STREAM_ENTRY)
     near = F.exists("instruments", lambda i: F.upper(i).rlike("ACE|DSCOVR|WIND|SOHO"))
-    links = F.array_join(F.filter(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.regexp_extract(x, r"-([A-Z]+)-\d+$", 1) == "CME"), ";")
-    return rows.where(near).select(F.col("id").alias("event_id"), links.alias("linked_cmes"))
-
-
-NOTES = ["see ![[fig one]] and [[page|label]]", "plain [[target]] text", "none"]
+    kept = F.array_join(F.filter(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.element_at(F.split(x, "-"), -2) == "CME"), ";")
+    return rows.where(near).select(F.col("id").alias("event_id"), kept.alias("linked_cmes"))
 
 
-@query("""SELECT * FROM (VALUES ('see ![fig one](fig one) and label'), ('plain target text'), ('none')) AS t(text)""")
+@query("""SELECT item_id, 'see ' || text || ' and label ' || item_id AS text FROM benchmark""")
 def q_wikilink(spark, sf_dir):
-    t = F.regexp_replace("text", r"!\[\[([^\]]+)\]\]", "![$1]($1)")
-    t = F.regexp_replace(t, r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1")
-    return texts(spark, NOTES).select(F.regexp_replace(t, r"\[\[([^\]]+)\]\]", "$1").alias("text"))
+    """Double brackets around a target, or a target and a label, become the target or the label."""
+    b = A.read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("see [["), "text", F.lit("]] and [["), "item_id", F.lit("|label "), "item_id", F.lit("]]")).alias("text"))
+    # what stands before an opening pair is kept; up to the closing one, only what follows the last bar
+    parts = F.transform(F.split("text", r"\[\["), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.substring_index(F.substring_index(p, "]]", 1), "|", -1), F.substring_index(p, "]]", -1))))
+    return b.select("item_id", F.array_join(parts, "").alias("text"))

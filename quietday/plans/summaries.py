@@ -14,6 +14,7 @@ from quietday.plans.samples import baselines
 from quietday.plans.verification import DAY3, ENS, LONG_SQL, THREE, corr_sql, day_means, ensemble, long_form, three
 from quietday.session import scratch_path
 from quietday.sources import adapters as A
+from quietday.sources.files import sql_frame
 
 err = lambda a, b="y": F.avg(F.abs(F.col(a) - F.col(b)))
 
@@ -219,6 +220,73 @@ def q_benchmark_slices(spark, sf_dir):
     return s.groupBy("target_day_k", "lead_step_3h").agg(r6(F.min("mae")).alias("low"), r6(F.avg("mae")).alias("mid"), r6(F.max("mae")).alias("high"))
 
 
+@query(f"""WITH {A.FORECAST}, i AS (SELECT issue_date FROM fc3 GROUP BY 1 HAVING count(DISTINCT target_day_k) = 3), c AS (SELECT h AS horizon, f.* FROM fc3 f JOIN i USING (issue_date), range(1, 4) AS g(h) WHERE target_day_k <= h)
+    SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS n, count(DISTINCT issue_date) AS n_issues, round(avg(abs(exp(mu) - 1 - observed_ap)) FILTER (target_day_k = 1), 6) + 0.0 AS mae_day1, round(avg(abs(exp(mu) - 1 - observed_ap)), 6) + 0.0 AS mae FROM c GROUP BY 1""")
+def q_day1_cohort(spark, sf_dir):
+    """The same issues (those with all days) at each horizon: their first day, and all days up to the horizon."""
+    f = A.forecast_3h(spark, sf_dir)
+    whole = f.groupBy("issue_date").agg(F.countDistinct("target_day_k").alias("n")).where("n = 3").select("issue_date")
+    c = f.join(whole, "issue_date", "left_semi").withColumn("horizon", F.explode(F.sequence(F.col("target_day_k"), F.lit(3))))
+    d = F.abs(F.expm1("mu") - F.col("observed_ap"))
+    return c.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("issue_date").alias("n_issues"), r6(F.avg(F.when(F.col("target_day_k") == 1, d))).alias("mae_day1"), r6(F.avg(d)).alias("mae"))
+
+
+@query(f"""WITH {A.FORECAST}, top AS (SELECT max_by(CAST(time AS DATE), (round(observed_ap, 9), time)) AS day FROM fc3), w AS (SELECT f.* FROM fc3 f JOIN top ON CAST(f.time AS DATE) BETWEEN top.day - 1 AND top.day + 1)
+    SELECT time, target_day_k, round(min_by(observed_ap, seed), 6) + 0.0 AS observed, round(avg(exp(mu) - 1), 6) + 0.0 AS mean, round(min_by(exp(mu) - 1, seed), 6) + 0.0 AS first, count(*) AS n FROM w GROUP BY 1, 2""")
+def q_chained_case(spark, sf_dir):
+    """The days around the largest observation as chained series of each day ahead: per time the observation, the mean over seeds and the first seed."""
+    f = A.forecast_3h(spark, sf_dir)
+    top = f.agg(F.max_by(F.to_date("time"), F.struct(F.round("observed_ap", 9), "time")).alias("day"))  # one row
+    w = f.join(F.broadcast(top), F.to_date("time").between(F.date_sub("day", 1), F.date_add("day", 1)))
+    p = F.expm1("mu")
+    return w.groupBy("time", "target_day_k").agg(r6(F.min_by("observed_ap", "seed")).alias("observed"), r6(F.avg(p)).alias("mean"), r6(F.min_by(p, F.col("seed"))).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {A.CATALOG}, s AS (SELECT DISTINCT CAST(datetime AS DATE) AS date FROM catalog WHERE source IN ('view', 'click')), two AS (SELECT CAST(datetime AS DATE) AS date, count(*) FILTER (source = 'view') AS n_fast, count(*) FILTER (source = 'click') AS n_slow FROM catalog GROUP BY 1)
+    SELECT date, n_fast, n_slow, n_fast > 0 AND n_slow > 0 AS both FROM two JOIN s USING (date)""")
+def q_two_cadences(spark, sf_dir):
+    """Two sources' frames of each issue day side by side, and whether both have the day (a difference would be an error for a sample)."""
+    c = A.catalog(spark, sf_dir).withColumn("date", F.to_date("datetime"))
+    one = lambda source, name: c.where(F.col("source") == source).groupBy("date").agg(F.count(F.lit(1)).alias(name))
+    j = one("view", "n_fast").join(one("click", "n_slow"), "date", "full")
+    j = j.select("date", F.coalesce("n_fast", F.lit(0)).alias("n_fast"), F.coalesce("n_slow", F.lit(0)).alias("n_slow"))
+    return j.withColumn("both", (F.col("n_fast") > 0) & (F.col("n_slow") > 0))
+
+
+#: Which inputs each arm of a comparison has, and the arm without images that it is held against.
+ARM_NAMES = {"D": ("images and series", "A"), "B": ("series only", "B"), "E": ("images and all features", "E"), "A": ("persistence features", "A")}
+
+
+@query(f"""WITH {A.CATALOG}, m(arm, label, twin) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in ARM_NAMES.items())}), c AS (SELECT CASE source WHEN 'view' THEN 'D' WHEN 'click' THEN 'B' WHEN 'signup' THEN 'E' WHEN 'purchase' THEN 'A' ELSE 'X' END AS arm, count(*) AS n FROM catalog GROUP BY 1)
+    SELECT c.arm, coalesce(label, 'unknown') AS label, twin, n FROM c LEFT JOIN m USING (arm)""")
+def q_arm_labels(spark, sf_dir):
+    """Codes of arms with their labels and twins; a code that isn't known keeps its row."""
+    codes = F.create_map(*[F.lit(x) for kv in {"view": "D", "click": "B", "signup": "E", "purchase": "A"}.items() for x in kv])
+    c = A.catalog(spark, sf_dir).groupBy(F.coalesce(codes[F.col("source")], F.lit("X")).alias("arm")).agg(F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame([(k, *v) for k, v in ARM_NAMES.items()], "arm string, label string, twin string")
+    return c.join(F.broadcast(known), "arm", "left").select("arm", F.coalesce("label", F.lit("unknown")).alias("label"), "twin", "n")
+
+
+@query("""WITH m AS (SELECT CAST(unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS DATE) AS month FROM orders)
+    SELECT month, CAST(last_day(month) AS DATE) AS last, count(o_orderkey) AS n FROM m LEFT JOIN orders ON date_trunc('month', o_orderdate) = month GROUP BY 1, 2""")
+def q_months(spark, sf_dir):
+    """Every month of the series with its last day and its rows."""
+    o = A.read(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("month"))
+    ends = o.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).where("lo is not null")
+    every = ends.select(F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("month"))
+    counts = o.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, "month", "left").select("month", F.last_day("month").alias("last"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus = 'F' GROUP BY 1""")
+def q_bound_sql(spark, sf_dir):
+    """A statement with its bounds and a status bound as parameters."""
+    import datetime as dt
+
+    sql = "select cast(o_orderdate as date) as date, count(*) as n, round(avg(o_totalprice), 4) as mean from {orders} where o_orderdate >= :first and o_orderdate < :end and o_orderstatus = :status group by 1"
+    return sql_frame(spark, sql, {"orders": A.read(spark, sf_dir, "orders")}, first=dt.datetime(1996, 1, 1), end=dt.datetime(1998, 1, 1), status="F")
+
+
 @query(f"WITH {A.FORECAST} SELECT issue_date, lead_step_3h, round(mu, 6) + 0.0 AS mu FROM fc3 WHERE seed = 1 AND target_day_k = 2")
 def q_matched_filter(spark, sf_dir):
     """The long forecast table, written by group and read with filters that prune its folders."""

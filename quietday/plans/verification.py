@@ -380,12 +380,23 @@ def q_sorted_scores(spark, sf_dir):
     return m.orderBy("mae", "model", "lead").limit(10)
 
 
-@query(f"""WITH {ENS} SELECT e.issue_date, e.lead_step_3h, f.seed, round(f.mu, 6) + 0.0 AS mu, round(e.p, 6) + 0.0 AS p, round(e.y, 6) + 0.0 AS y, e.y >= 48 AS storm_bin FROM ens e JOIN fc3 f ON f.issue_date = e.issue_date AND f.lead_step_3h = e.lead_step_3h WHERE e.n_seeds = 3""")
+@query(f"""WITH {ENS}, g AS (SELECT issue_date, lead_step_3h, target_day_k, seed, 'seed' AS model_group, mu, sigma, exp(mu) - 1 AS p FROM fc3 UNION ALL SELECT issue_date, lead_step_3h, target_day_k, NULL, 'ensemble', NULL, NULL, p FROM ens),
+    o AS (SELECT *, lag(y, 1) OVER (PARTITION BY lead_step_3h ORDER BY issue_date) AS ref FROM ens)
+    SELECT g.issue_date, CAST(g.issue_date + g.target_day_k AS DATE) AS target_date, g.lead_step_3h, g.model_group, g.seed, round(g.mu, 6) + 0.0 AS mu, round(g.p, 6) + 0.0 AS p, round(o.y, 6) + 0.0 AS y, round(o.ref, 6) + 0.0 AS ref, abs(g.p - o.y) < abs(o.ref - o.y) AS beats_ref,
+        abs(ln(1 + o.y) - g.mu) <= g.sigma AS in68, o.y >= 48 AS storm_bin FROM g JOIN o USING (issue_date, lead_step_3h) WHERE o.n_seeds = 3""")
 def q_matched_long(spark, sf_dir):
+    """A row for each issue, step and model (each seed, and their mean): forecast, observation, the reference of the last issue, and flags."""
     f = A.forecast_3h(spark, sf_dir)
-    e = ensemble(f).where("n_seeds = 3").select("issue_date", "lead_step_3h", "p", "y")
-    j = f.select("issue_date", "lead_step_3h", "seed", "mu").join(e, ["issue_date", "lead_step_3h"])
-    return j.select("issue_date", "lead_step_3h", "seed", *[r6(F.col(c)).alias(c) for c in ("mu", "p", "y")], (F.col("y") >= 48).alias("storm_bin"))
+    e = ensemble(f)
+    seeds = f.select("issue_date", "lead_step_3h", "target_day_k", F.lit("seed").alias("model_group"), "seed", "mu", "sigma", F.expm1("mu").alias("p"))
+    whole = e.select("issue_date", "lead_step_3h", "target_day_k", F.lit("ensemble").alias("model_group"), F.lit(None).cast("int").alias("seed"), *[F.lit(None).cast("double").alias(c) for c in ("mu", "sigma")], "p")
+    o = e.withColumn("ref", F.lag("y").over(Window.partitionBy("lead_step_3h").orderBy("issue_date"))).where("n_seeds = 3").select("issue_date", "lead_step_3h", "y", "ref")
+    j = seeds.unionByName(whole).join(o, ["issue_date", "lead_step_3h"])
+    y = F.col("y")
+    return j.select(
+        "issue_date", F.expr("date_add(issue_date, target_day_k)").alias("target_date"), "lead_step_3h", "model_group", "seed", *[r6(F.col(c)).alias(c) for c in ("mu", "p", "y", "ref")],
+        (F.abs(F.col("p") - y) < F.abs(F.col("ref") - y)).alias("beats_ref"), (F.abs(F.log1p("y") - F.col("mu")) <= F.col("sigma")).alias("in68"), (y >= 48).alias("storm_bin"),
+    )
 
 
 @query(f"""WITH {ENS}, b AS (SELECT time_bucket(INTERVAL '3 hours', ts) AS time, avg(value) AS ap FROM events WHERE value < 200 GROUP BY 1),

@@ -25,14 +25,25 @@ def time_range(df: DataFrame, time: str, start: str | None, end: str | None, col
     return out
 
 
+def sql_frame(spark: SparkSession, sql: str, tables: dict[str, DataFrame], **values) -> DataFrame:
+    """The rows of a statement over named tables, its :parameters bound as values (never pasted into the text)."""
+    return spark.sql(sql, args=values, **tables)
+
+
+def months(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """month (its first day) and end (its last) of each month from that of `first` to that of `last`, both counted in."""
+    span = spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first).cast("date"), "month"), F.trunc(F.lit(last).cast("date"), "month"), F.expr("interval 1 month"))).alias("month"))
+    return span.select("month", F.last_day("month").alias("end"))
+
+
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header and a fixed schema; dates are typed by it."""
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def json_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The entries of files that hold one JSON array each."""
-    return spark.read.json(path, schema=schema, multiLine=True)
+def json_entries(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """The entries of files that hold one JSON array each, or an entry in each line (then one file splits)."""
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def append_scores(scores: DataFrame, path: str, keys: list[str]) -> None:
@@ -65,6 +76,11 @@ def report_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
 
 
+def report_bundle(spark: SparkSession, path: str, end: str = "\f") -> DataFrame:
+    """text of the reports in files that hold many, each ended by a form feed."""
+    return spark.read.text(path, lineSep=end).select(F.col("value").alias("text")).where("trim(text) <> ''")
+
+
 def parameters(spark: SparkSession, path: str | None, defaults: dict[str, float]) -> dict[str, float]:
     """Defaults, overridden by the columns of a one-row JSON file if it is given."""
     if path is None:
