@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import r6
+from quietday.session import cut
 
 STATS = ["n", "ea", "eb", "y", "a", "b", "yy", "aa", "bb", "ya", "yb"]
 
@@ -25,13 +26,13 @@ def block_statistics(pairs: DataFrame, date: str, y: str, a: str, b: str, keys:
 
 def draws(blocks: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
     """keys, r, block, w: how often each of the `resamples` draws each of the distinct `blocks` (keys, block)."""
-    line = Window.partitionBy(*keys).orderBy("block")
-    numbered = blocks.select(*keys, "block", (F.row_number().over(line) - 1).cast("long").alias("i"))
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    places = sizes.select(*keys, "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
+    own = Window.partitionBy(*keys)
+    numbered = blocks.select(*keys, "block", (F.row_number().over(own.orderBy("block")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(own).alias("size"))
+    # draws depend on the number of blocks alone, so keys with as many share them
+    places = numbered.select("size").distinct().select("size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "s")), 1, 8), 16, 10).cast("long")
-    weights = places.groupBy(*keys, "r", F.pmod(number, F.col("size")).alias("i")).agg(F.count(F.lit(1)).alias("w"))
-    return weights.join(numbered, [*keys, "i"]).select(*keys, "r", "block", "w")
+    weights = places.groupBy("size", "r", F.pmod(number, F.col("size")).alias("i")).agg(F.count(F.lit(1)).alias("w"))
+    return numbered.join(weights, ["size", "i"]).select(*keys, "r", "block", "w")
 
 
 def resampled(stats: DataFrame, keys: list[str], sums: list[str], resamples: int, seed: int, number_by: list[str] | None = None) -> DataFrame:
@@ -61,18 +62,18 @@ def interval(name: str) -> list[Column]:
 
 
 def block_bootstrap(pairs: DataFrame, date: str, y: str, a: str, b: str, keys: list[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """keys, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, significant (the interval of d_mae excludes zero).
+    """keys, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, significant (the interval of d_mae excludes zero), n (rows).
 
     Rows must be complete, and there is a key at least. Each key is resampled by itself with the same seed;
     its blocks are months, so what is joined are a few numbers per month of one comparison.
     """
-    stats = block_statistics(pairs, date, y, a, b, keys)
-    point = stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in STATS]).select(*keys, r6(d_mae()).alias("d_mae"), r6(d_corr()).alias("d_corr"))
+    stats = cut(block_statistics(pairs, date, y, a, b, keys))  # a few numbers, read three times
+    point = stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in STATS]).select(*keys, F.col("n").cast("long").alias("n"), r6(d_mae()).alias("d_mae"), r6(d_corr()).alias("d_corr"))
     runs = resampled(stats, keys, STATS, resamples, seed).select(*keys, d_mae().alias("d_mae"), d_corr().alias("d_corr"))
     spans = runs.groupBy(*keys).agg(*interval("d_mae"), *interval("d_corr"))
     low, high = F.col("d_mae_lo"), F.col("d_mae_hi")
     both = point.join(spans, keys).withColumn("significant", (low > 0) | (high < 0))
-    return both.select(*keys, *[r6(F.col(c)).alias(c) if c.endswith(("lo", "hi")) else c for c in ("d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi")], "significant")
+    return both.select(*keys, *[r6(F.col(c)).alias(c) if c.endswith(("lo", "hi")) else c for c in ("d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi")], "significant", "n")
 
 
 def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
@@ -81,7 +82,7 @@ def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str],
     A block of its own for each row gives the plain bootstrap; months the block bootstrap; days of several
     rows that of a days x bins table.
     """
-    stats = rows.groupBy(*keys, block.alias("block")).agg(F.sum(value).alias("v"), F.count(value).cast("double").alias("n"))
+    stats = cut(rows.groupBy(*keys, block.alias("block")).agg(F.sum(value).alias("v"), F.count(value).cast("double").alias("n")))
     point = stats.groupBy(*keys).agg(r6(F.sum("v") / F.sum("n")).alias("mean"))
     runs = resampled(stats, keys, ["v", "n"], resamples, seed).select(*keys, (F.col("v") / F.col("n")).alias("m"))
     return point.join(runs.groupBy(*keys).agg(r6(F.percentile("m", 0.025)).alias("lo"), r6(F.percentile("m", 0.975)).alias("hi")), keys)
@@ -91,10 +92,9 @@ def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str],
 def draws_sql(name: str, stats: str, keys: list[str], resamples: int, seed: int = 0) -> str:
     ks = "".join(f"{k}, " for k in keys)
     part = f"PARTITION BY {', '.join(keys)} " if keys else ""
-    same = "".join(f" AND p.{k} = n.{k}" for k in keys)
     return f"""{name}_nu AS (SELECT {ks}block, row_number() OVER ({part}ORDER BY block) - 1 AS i, count(*) OVER ({part}) AS size FROM (SELECT DISTINCT {ks}block FROM {stats})),
-    {name}_pl AS (SELECT {ks}r, CAST('0x' || substr(md5(concat_ws(':', {seed}, r, s)), 1, 8) AS BIGINT) % size AS i FROM (SELECT DISTINCT {ks}size FROM {name}_nu), range({resamples}) AS a(r), LATERAL (SELECT unnest(range(size)) AS s)),
-    {name}_we AS (SELECT {"".join(f"p.{k}, " for k in keys)}r, n.block, count(*) AS w FROM {name}_pl p JOIN {name}_nu n ON p.i = n.i{same} GROUP BY ALL)"""
+    {name}_pl AS (SELECT size, r, CAST('0x' || substr(md5(concat_ws(':', {seed}, r, s)), 1, 8) AS BIGINT) % size AS i, count(*) AS w FROM (SELECT DISTINCT size FROM {name}_nu), range({resamples}) AS a(r), LATERAL (SELECT unnest(range(size)) AS s) GROUP BY ALL),
+    {name}_we AS (SELECT {ks}r, block, w FROM {name}_nu JOIN {name}_pl USING (size, i))"""
 
 
 def resampled_sql(name: str, stats: str, keys: list[str], sums: list[str], number_by: list[str] | None = None) -> str:
@@ -121,9 +121,9 @@ def block_bootstrap_sql(name: str, source: str, keys: list[str], resamples: int,
     ks = ", ".join(keys)
     q = lambda c, p: f"round(quantile_cont({c}, {p}), 6) + 0.0"
     return f"""{statistics_sql(name, source, keys)}, {draws_sql(name, f"{name}_st", keys, resamples, seed)}, {resampled_sql(name, f"{name}_st", keys, STATS)},
-    {name}_pt AS (SELECT {ks}, round({D_MAE_SQL}, 6) + 0.0 AS d_mae, round({D_CORR_SQL}, 6) + 0.0 AS d_corr FROM (SELECT {ks}, {", ".join(f"sum({c}) AS {c}" for c in STATS)} FROM {name}_st GROUP BY ALL)),
+    {name}_pt AS (SELECT {ks}, CAST(n AS BIGINT) AS n, round({D_MAE_SQL}, 6) + 0.0 AS d_mae, round({D_CORR_SQL}, 6) + 0.0 AS d_corr FROM (SELECT {ks}, {", ".join(f"sum({c}) AS {c}" for c in STATS)} FROM {name}_st GROUP BY ALL)),
     {name}_sp AS (SELECT {ks}, {q("m", 0.025)} AS d_mae_lo, {q("m", 0.975)} AS d_mae_hi, {q("c", 0.025)} AS d_corr_lo, {q("c", 0.975)} AS d_corr_hi FROM (SELECT {ks}, {D_MAE_SQL} AS m, {D_CORR_SQL} AS c FROM {name}_rs) GROUP BY ALL),
-    {name} AS (SELECT {ks}, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, d_mae_lo > 0 OR d_mae_hi < 0 AS significant FROM {name}_pt JOIN {name}_sp USING ({ks}))"""
+    {name} AS (SELECT {ks}, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, d_mae_lo > 0 OR d_mae_hi < 0 AS significant, n FROM {name}_pt JOIN {name}_sp USING ({ks}))"""
 
 
 def bootstrap_mean_sql(name: str, source: str, keys: list[str], resamples: int, seed: int = 0) -> str:

@@ -12,7 +12,7 @@ from quietday.plans.events import EVENTS, catalog_of, event_days
 from quietday.plans.registry import query
 from quietday.plans.samples import baselines
 from quietday.plans.verification import DAY3, ENS, LONG_SQL, THREE, corr_sql, day_means, ensemble, long_form, three
-from quietday.session import scratch_path
+from quietday.session import cut, scratch_path
 from quietday.sources import adapters as A
 from quietday.sources.files import sql_frame
 
@@ -90,7 +90,7 @@ def q_boot_sig(spark, sf_dir):
 def q_boot_ccgain(spark, sf_dir):
     """The mean over resamples and leads of the gain in correlation, each lead resampled by the same months."""
     rows = paired(spark, sf_dir).where("date >= date'1999-01-01' and lead <= 27")
-    runs = resampled(block_statistics(rows, "date", "y", "recurrence2x27", "persistence", ["lead"]), ["lead"], STATS, 200, 0, number_by=[])
+    runs = resampled(cut(block_statistics(rows, "date", "y", "recurrence2x27", "persistence", ["lead"])), ["lead"], STATS, 200, 0, number_by=[])
     gains = runs.groupBy("r").agg(F.avg(d_corr()).alias("gain"))
     return gains.agg(r6(F.avg("gain")).alias("gain"), r6(F.percentile("gain", 0.025)).alias("lo"), r6(F.percentile("gain", 0.975)).alias("hi"))
 
@@ -101,18 +101,17 @@ PREVIOUS = PAIRED + """, pm AS (SELECT 'recurrence27' AS model, lead, date, y, r
         UNION ALL SELECT x.model, 'vs L-1', x.lead, x.date, x.y, x.f, o.f FROM pm x JOIN pm o ON o.model = x.model AND o.date = x.date AND o.lead = x.lead - 1 WHERE x.lead > 2)"""
 
 
-@query(f"""WITH {PREVIOUS}, {block_bootstrap_sql("bb", "cmp", ["model", "comparison", "lead"], 100)}, c AS (SELECT model, comparison, lead, count(*) AS n_common FROM cmp GROUP BY ALL) SELECT bb.*, n_common FROM bb JOIN c USING (model, comparison, lead)""")
+@query(f"""WITH {PREVIOUS}, {block_bootstrap_sql("bb", "cmp", ["model", "comparison", "lead"], 100)} SELECT * FROM bb""")
 def q_l2_bootstrap(spark, sf_dir):
     """Each model and length against persistence, against the shortest length and against the next shorter one, on common days, months resampled."""
-    m = paired(spark, sf_dir).select("date", "lead", "y", "persistence", "recurrence27", "recurrence2x27").unpivot(["date", "lead", "y", "persistence"], ["recurrence27", "recurrence2x27"], "model", "f")
+    m = cut(paired(spark, sf_dir).select("date", "lead", "y", "persistence", "recurrence27", "recurrence2x27").unpivot(["date", "lead", "y", "persistence"], ["recurrence27", "recurrence2x27"], "model", "f"))
     pairs = m.withColumn("comparison", F.lit("vs persistence")).withColumnRenamed("persistence", "b")
     m = m.drop("persistence")
     first = m.where("lead = 1").select("model", "date", F.col("f").alias("b"))
     before = m.select("model", "date", (F.col("lead") + 1).alias("lead"), F.col("f").alias("b"))
     pairs = pairs.unionByName(m.where("lead > 1").join(first, ["model", "date"]).withColumn("comparison", F.lit("vs L1")))
     pairs = pairs.unionByName(m.where("lead > 2").join(before, ["model", "date", "lead"]).withColumn("comparison", F.lit("vs L-1")))
-    keys = ["model", "comparison", "lead"]
-    return block_bootstrap(pairs, "date", "y", "f", "b", keys, resamples=100).join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_common")), keys)
+    return block_bootstrap(pairs, "date", "y", "f", "b", ["model", "comparison", "lead"], resamples=100)
 
 
 def with_reference(spark, sf_dir, days: int = 3) -> DataFrame:
