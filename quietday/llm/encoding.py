@@ -17,7 +17,7 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks, their characters and ids that a worker remembers; a memo that is full starts anew with the next batch.
-MEMO_CHUNKS, MEMO_CHARS, MEMO_IDS = 1_000_000, 1 << 24, 1 << 23
+MEMO_CHUNKS, MEMO_CHARS, MEMO_IDS = 600_000, 1 << 24, 1 << 23
 #: Unknown chunks that are encoded as one text.
 GROUP = 2000
 
