@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quietday.llm import exact_dedup, langid, packing, quality, simhash
 from quietday.llm.common import scratch_path, table

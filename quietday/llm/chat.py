@@ -70,11 +70,13 @@ def maximal(placed: DataFrame) -> DataFrame:
     return equal.join(longer, ["n_turns", "p1", "p2"], "left_anti").select(F.col("keep").alias("conv_id"), "n_turns")
 
 
-def collapse_and_render(turns: DataFrame) -> DataFrame:
+def collapse_and_render(turns: DataFrame, part_turns: int = BLOCK) -> DataFrame:
     """One row per maximal conversation and part: conv_id, part (from 0), n_turns (of the whole), text.
 
-    A part holds up to `BLOCK` turns, so an ordinary conversation is part 0. An empty table gives no
-    rows; columns other than conv_id, turn, role and text are ignored.
+    A part holds up to `part_turns` turns, so an ordinary conversation is part 0; with `part_turns` above the
+    longest conversation's turns each is one row, which then must fit into a task. Null conv_ids are one
+    conversation, null roles and texts are empty, repeated rows count once; a very long turn is rendered whole.
+    An empty table gives no rows; columns other than conv_id, turn, role and text are ignored.
     """
     rows = content(turns)
     placed = cut(placed_turns(rows))
@@ -85,6 +87,6 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
     rows = rows.groupBy("conv_id", "turn", "role", "hash", F.xxhash64("text")).agg(F.any_value("text").alias("text"))
     same = mine & F.col("a.turn").eqNullSafe(F.col("b.turn")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.hash") == F.col("b.hash"))
     pieces = rows.alias("a").join(places.alias("b"), same).select("a.conv_id", "n_turns", "pos", render_turn(F.col("a.role"), F.col("text")).alias("piece"))
-    part = F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("part")
+    part = F.floor((F.col("pos") - 1) / part_turns).cast("int").alias("part")
     lists = pieces.groupBy("conv_id", part, "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("pieces"))
     return lists.select("conv_id", "part", "n_turns", F.array_join("pieces.piece", "").alias("text"))

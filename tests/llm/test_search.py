@@ -28,6 +28,10 @@ def test_long_conversations_come_in_parts(spark):
     got = chat.collapse_and_render(turns(spark, rows)).orderBy("conv_id", "part").collect()
     assert [(r["conv_id"], r["part"]) for r in got] == [(c, p) for c in (1, 3) for p in range(3)]
     assert "".join(r["text"] for r in got if r["conv_id"] == 1).count("<|end|>") == 600
+    whole = {r["conv_id"]: r["text"] for r in chat.collapse_and_render(turns(spark, rows), 1 << 30).collect()}
+    assert whole == {c: "".join(r["text"] for r in got if r["conv_id"] == c) for c in (1, 3)}
+    huge = chat.collapse_and_render(turns(spark, [(1, 0, "user", "x" * 2_000_000)])).first()
+    assert len(huge["text"]) == 2_000_000 + len("<|user|>\n\n<|end|>\n")
 
 
 def test_repeated_rows_are_gone_before_texts_are_gathered(spark, monkeypatch):
