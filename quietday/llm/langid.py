@@ -286,7 +286,8 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: i
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    # a scan of the labels alone; rows without a text make the sample a little smaller
+    sizes = {r["lang"]: r["n"] for r in labelled.select(F.col(lang_col).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return build({})
     rows = rows.where(F.col("lang").isin(*sizes))

@@ -55,6 +55,14 @@ def test_a_language_left_out_and_short_junk_are_rejected_and_passages_stay(spark
 def test_no_labels_no_language(spark):
     nothing = langid.train(documents(spark, [(1, "abc", None)]))
     assert [r["lang_pred"] for r in langid.predict(documents(spark, [(1, "abc")]), nothing).collect()] == ["und"]
+    for rows in ([(1, None, "en"), (2, "", "de")], []):
+        m = langid.train(documents(spark, rows))
+        assert [r["lang_pred"] for r in langid.predict(documents(spark, [(1, "abc"), (2, None)]), m).collect()] == ["und", "und"]
+
+
+def test_a_column_of_noise_gives_a_bounded_number_of_languages(spark):
+    rows = [(i, prose(EN, 30, i), "en") for i in range(30)] + [(100 + i, prose(DE, 30, i), "de") for i in range(20)] + [(200 + i, "x y", f"n{i}") for i in range(40)]
+    assert langid.train(documents(spark, rows), languages=2).languages == ["de", "en"]
 
 
 def test_kneser_ney_is_a_distribution():
