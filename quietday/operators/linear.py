@@ -70,7 +70,32 @@ def standardised_ridge(g: np.ndarray, inputs: int, alpha: float) -> Ridge:
 
 
 def project(x: Column, mean: np.ndarray, axes: np.ndarray) -> Column:
-    """The scores of x on the axes (a column each), inside the JVM."""
-    centred = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a.cast("double") - b)
-    weights = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in axes.T])
-    return F.transform(weights, lambda w: F.aggregate(F.zip_with(centred, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    """The scores of x on the axes (a column each), in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def scores(v: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(v) - mean) @ axes)) if len(v) else pd.Series([], dtype=object)
+
+    return scores(x)
+
+
+def mapped_gram(g: np.ndarray, inputs: int, maps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The Gram matrix of (x @ maps - offsets, outputs, 1) from that of (x, outputs, 1): no second pass over rows."""
+    f, rest = maps.shape[1], len(g) - inputs
+    m = np.zeros((len(g), f + rest))
+    m[:inputs, :f], m[inputs:, f:] = maps, np.eye(rest)
+    m[-1, :f] = -offsets
+    return m.T @ g @ m
+
+
+def absolute_errors(rows: DataFrame, by: str, weights: np.ndarray, intercepts: np.ndarray, x: str = "x", y: str = "y") -> DataFrame:
+    """`by`, model (the column of `weights`), n and the sum of absolute errors of many linear models, in one pass."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, own in b.groupby(by):
+                off = np.abs(np.stack(own[x]) @ weights + intercepts - own[y].to_numpy()[:, None]).sum(0)
+                yield pd.DataFrame({by: key, "model": np.arange(len(off)), "n": len(own), "error": off})
+
+    sums = rows.select(by, x, y).mapInPandas(part, f"{by} string, model int, n long, error double")
+    return sums.groupBy(by, "model").agg(F.sum("n").alias("n"), F.sum("error").alias("error"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from quietday.functions import arrays as X
 from quietday.functions.columns import r6, signum_log, to_uint8
 from quietday.functions.distributions import strongest_periods
 from quietday.operators.grids import feature_windows, make_windows, series_window
-from quietday.operators.linear import Ridge, gram, linear_predict, principal_axes, project, ridge_from_gram, standardised_ridge
+from quietday.operators.linear import Ridge, absolute_errors, gram, linear_predict, mapped_gram, principal_axes, project, ridge_from_gram, standardised_ridge
 from quietday.operators.quantiles import exact_quantile
 from quietday.plans.registry import query
 from quietday.session import cut
@@ -90,31 +88,39 @@ def q_fusion_arms(spark, sf_dir):
     Tests compare with NumPy.
     """
     turn = 2 * np.pi * F.dayofyear("date") / 365.25
-    phase = F.array(F.sin(turn), F.cos(turn))
-    s = cut(lagged(spark, sf_dir).join(image_days(spark, sf_dir), "date").select("date", "x", phase.alias("phase"), "img1", "img7", F.log1p("y").alias("y")))
-    tr, va, te = s.where(TRAIN), s.where(VALID), s.where(f"not ({TRAIN}) and not ({VALID})")
+    inputs = {"x": F.col("x"), "phase": F.array(F.sin(turn), F.cos(turn)), "img1": F.col("img1"), "img7": F.col("img7")}
+    split = F.when(F.expr(TRAIN), "train").when(F.expr(VALID), "valid").otherwise("test")
+    s = lagged(spark, sf_dir).join(image_days(spark, sf_dir), "date").select(split.alias("split"), F.concat(*inputs.values()).alias("x"), F.log1p("y").alias("y"))
+    s = cut(s)
+    _, g = gram(s.where("split = 'train'"))
+    dims = (len(g) - 9) // 2
+    at = dict(zip(inputs, np.split(np.arange(len(g) - 2), np.cumsum([5, 2, dims])), strict=True))
     reduced = {}
     for name in ("img1", "img7"):
-        _, g = gram(tr.select(F.col(name).alias("x"), F.lit(0.0).alias("y")))
-        reduced[name] = principal_axes(g, g.shape[0] - 2, min(max(PCA_K), g.shape[0] - 2))
-    error = lambda df, col, m: F.avg(F.abs(linear_predict(col, m) - F.col("y")))
-    out = []
+        own = np.concatenate([at[name], [len(g) - 2, len(g) - 1]])
+        reduced[name] = principal_axes(g[np.ix_(own, own)], dims, min(max(PCA_K), dims))
+    tried, weights, intercepts = [], [], []
     for arm, parts in ARMS.items():
         images = [p for p in parts if p in reduced]
-        ks = sorted({min(k, reduced[images[0]][1].shape[1]) for k in PCA_K}) if images else [0]
-        best = None
-        for k in ks:
-            col = F.concat(*[project(F.col(p), reduced[p][0], reduced[p][1][:, :k]) if p in reduced else F.col(p) for p in parts])
-            design = lambda df, col=col: df.select("date", "y", col.alias("x"))
-            _, g = gram(design(tr))
-            models = [standardised_ridge(g, g.shape[0] - 2, a) for a in ALPHAS]
-            maes = design(va).agg(*[error(va, F.col("x"), m).alias(str(i)) for i, m in enumerate(models)]).first()  # one row
-            for i, m in enumerate(models):
-                if best is None or maes[i] < best[0] - 1e-12:
-                    best = (maes[i], k, ALPHAS[i], m, design)
-        mae, k, alpha, m, design = best
-        out.append(design(te).agg(F.lit(arm).alias("arm"), F.lit(k).alias("k"), F.lit(alpha).alias("alpha"), F.lit(round(mae, 6)).alias("mae_val"), r6(error(te, F.col("x"), m)).alias("mae_test"), F.count(F.lit(1)).alias("n")))
-    return reduce(DataFrame.unionByName, out)
+        for k in sorted({min(k, dims) for k in PCA_K}) if images else [0]:
+            blocks = [(at[p], reduced[p][1][:, :k], reduced[p][0] @ reduced[p][1][:, :k]) if p in reduced else (at[p], np.eye(len(at[p])), np.zeros(len(at[p]))) for p in parts]
+            maps, offsets = np.zeros((len(g) - 2, sum(b[1].shape[1] for b in blocks))), np.concatenate([b[2] for b in blocks])
+            first = 0
+            for rows, block, _ in blocks:
+                maps[rows, first : first + block.shape[1]] = block
+                first += block.shape[1]
+            reached = mapped_gram(g, len(g) - 2, maps, offsets)
+            for alpha in ALPHAS:
+                m = standardised_ridge(reached, maps.shape[1], alpha)
+                tried.append((arm, k, alpha))
+                weights.append(maps @ m.weights[:, 0])
+                intercepts.append(float(m.intercept[0] - offsets @ m.weights[:, 0]))
+    names = spark.createDataFrame([(i, *t) for i, t in enumerate(tried)], "model int, arm string, k int, alpha double")
+    sums = absolute_errors(s, "split", np.stack(weights, 1), np.array(intercepts))
+    mae = sums.groupBy("model").pivot("split", ["valid", "test"]).agg(F.first("error").alias("error"), F.first("n").alias("n")).join(F.broadcast(names), "model")
+    mae = mae.select("arm", "k", "alpha", "model", F.round(F.col("valid_error") / F.col("valid_n"), 12).alias("val"), (F.col("test_error") / F.col("test_n")).alias("test"), F.col("test_n").alias("n"))
+    best = mae.groupBy("arm").agg(F.min(F.struct("val", "model", "k", "alpha", "test", "n")).alias("b"))
+    return best.select("arm", "b.k", "b.alpha", r6(F.col("b.val")).alias("mae_val"), r6(F.col("b.test")).alias("mae_test"), "b.n")
 
 
 @query()

@@ -253,14 +253,14 @@ def q_two_cadences(spark, sf_dir):
 
 
 #: Which inputs each arm of a comparison has, and the arm without images that it is held against.
-ARM_NAMES = {"D": ("images and series", "A"), "B": ("series only", "B"), "E": ("images and all features", "E"), "A": ("persistence features", "A")}
+ARM_NAMES = {"I": ("images and series", "S"), "S": ("series only", "S"), "F": ("images and all features", "T"), "T": ("all features but images", "T")}
 
 
-@query(f"""WITH {A.CATALOG}, m(arm, label, twin) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in ARM_NAMES.items())}), c AS (SELECT CASE source WHEN 'view' THEN 'D' WHEN 'click' THEN 'B' WHEN 'signup' THEN 'E' WHEN 'purchase' THEN 'A' ELSE 'X' END AS arm, count(*) AS n FROM catalog GROUP BY 1)
+@query(f"""WITH {A.CATALOG}, m(arm, label, twin) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in ARM_NAMES.items())}), c AS (SELECT CASE source WHEN 'view' THEN 'I' WHEN 'click' THEN 'S' WHEN 'signup' THEN 'F' WHEN 'purchase' THEN 'T' ELSE 'X' END AS arm, count(*) AS n FROM catalog GROUP BY 1)
     SELECT c.arm, coalesce(label, 'unknown') AS label, twin, n FROM c LEFT JOIN m USING (arm)""")
 def q_arm_labels(spark, sf_dir):
     """Codes of arms with their labels and twins; a code that isn't known keeps its row."""
-    codes = F.create_map(*[F.lit(x) for kv in {"view": "D", "click": "B", "signup": "E", "purchase": "A"}.items() for x in kv])
+    codes = F.create_map(*[F.lit(x) for kv in {"view": "I", "click": "S", "signup": "F", "purchase": "T"}.items() for x in kv])
     c = A.catalog(spark, sf_dir).groupBy(F.coalesce(codes[F.col("source")], F.lit("X")).alias("arm")).agg(F.count(F.lit(1)).alias("n"))
     known = spark.createDataFrame([(k, *v) for k, v in ARM_NAMES.items()], "arm string, label string, twin string")
     return c.join(F.broadcast(known), "arm", "left").select("arm", F.coalesce("label", F.lit("unknown")).alias("label"), "twin", "n")
