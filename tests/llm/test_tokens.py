@@ -12,7 +12,7 @@ import tiktoken
 from pyarrow import orc
 from tokenizers import Tokenizer
 
-from quietday.llm import bpe, encoding, packing, token_orc
+from quietday.llm import bpe, common, encoding, packing, token_orc
 from quietday.llm.queries import BPE_JSON, BPE_RANKS, QUERIES
 from tests.llm.common import documents, empty, odd
 
@@ -203,3 +203,21 @@ def test_plans_hold_every_piece(seed):
         else:
             bins.append(100 - k)
     assert sum(m for _, m in plan) <= len(bins) * 1.03 + 1
+
+
+def test_batches_are_bounded_by_bytes():
+    texts = ["a" * n for n in (10, common.BATCH_BYTES - 5, 1, 0, common.BATCH_BYTES * 2, 7, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    for b in (batch, batch.slice(1, 5)):
+        parts = list(common.bounded(iter([b])))
+        assert [r for p in parts for r in p.to_pylist()] == b.to_pylist()
+        assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= common.BATCH_BYTES for p in parts)
+    assert list(common.bounded(iter([batch.slice(0, 0)]))) == []
+
+
+def test_long_texts_in_small_parts(spark, hf, monkeypatch):
+    """Packing and token files of texts beyond the bound of a batch."""
+    docs = documents(spark, [(1, "word and more. " * 4000), (2, "x"), (3, None), (4, "y z " * 30_000)])
+    monkeypatch.setattr(common, "BATCH_BYTES", 1000)
+    rows = packing.pack_documents(docs, BPE_JSON, 0, 512).collect()
+    check_packing(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], hf, 512, 0)
