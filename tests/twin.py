@@ -30,9 +30,15 @@ def _cell(x) -> str:
         return re.sub(r" 00:00:00$", "", str(x))
 
 
+def _column(values: pd.Series) -> list[str]:
+    """The cells of a column, each distinct value written once."""
+    codes, distinct = pd.factorize(values.astype(object), use_na_sentinel=False)
+    cells = [_cell(x) for x in distinct]
+    return [cells[i] for i in codes]
+
+
 def rows(df: pd.DataFrame) -> list[tuple]:
-    cols = sorted(df.columns)
-    return sorted(zip(*[[_cell(x) for x in df[c].astype(object)] for c in cols], strict=True)) if len(df) else []
+    return sorted(zip(*[_column(df[c]) for c in sorted(df.columns)], strict=True)) if len(df) else []
 
 
 def assert_twin(spark, con, sf: str, query, sql: str) -> int:
