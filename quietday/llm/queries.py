@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietday.llm import ann, bpe, chat, exact_dedup, html, langid, packing, quality, simhash, token_orc
-from quietday.llm.common import scratch_path, spread, table
+from quietday.llm import ann, bpe, chat, exact_dedup, html, langid, packing, periodic, quality, simhash, token_orc
+from quietday.llm.common import scratch_path, spread, table, text_or_empty
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -70,8 +70,37 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts goes on in repeats of p words from word a on; words of these are joined by one space."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.floor(number / 10).alias("g"), (number % 10 == 0).alias("tenth"))
+    rows = rows.withColumn("words", F.when(F.col("tenth"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    root = F.slice("words", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    edited = F.concat_ws(" ", F.slice("words", F.lit(1), a), tail)
+    return rows.select("doc_id", F.when(F.col("tenth") & (n > 0), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periodic_tails(spread(table(spark, sf_dir, "documents"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup, op11_periodic_runs)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
