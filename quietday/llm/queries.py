@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietday.llm import ann, bpe, chat, exact_dedup, html, langid, packing, periodic, quality, simhash, token_orc
+from quietday.llm import ann, bpe, chat, divergence, exact_dedup, html, langid, packing, periodic, quality, simhash, token_orc
 from quietday.llm.common import scratch_path, spread, table, text_or_empty
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,8 +99,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(spread(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup, op11_periodic_runs)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup, op11_periodic_runs, op13_source_divergence)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,4 +125,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, n_turns,
                string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS text
         FROM p JOIN m USING (conv_id) GROUP BY 1, 2, 3""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+             k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+             l AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+             c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+             s AS (SELECT DISTINCT lang, source FROM d),
+             g AS (SELECT s.lang, s.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM s LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY ALL),
+             p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                          1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * l.v) AS p,
+                          1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS q
+                   FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value
+                   FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+                   UNION ALL
+                   SELECT a.lang, a.source, 'pair', b.source, 0 FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM l)
+                   UNION ALL
+                   SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f)
+        WHERE part = 'pair' OR rank <= 50""",
 }
