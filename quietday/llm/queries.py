@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietday.llm import ann, bpe, chat, divergence, exact_dedup, html, langid, packing, periodic, quality, simhash, token_orc
+from quietday.llm import ann, bpe, chat, divergence, exact_dedup, fingerprints, html, langid, packing, periodic, quality, simhash, token_orc
 from quietday.llm.common import scratch_path, spread, table, text_or_empty
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,12 +99,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_versions(spread(table(spark, sf_dir, "documents"))).drop("next_id")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup, op11_periodic_runs, op13_source_divergence)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_byte_bpe, op4_html_extraction, op5_exact_dedup, op6_chat_formatting, op7_rp_forest_neighbours, op8_token_orc, op9_best_fit_packing, op10_simhash_near_dedup, op11_periodic_runs, op12_document_fingerprints, op13_source_divergence)
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,6 +129,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, n_turns,
                string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS text
         FROM p JOIN m USING (conv_id) GROUP BY 1, 2, 3""",
+    "op12_document_fingerprints": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+             o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS next FROM d),
+             e AS (SELECT *, left(text, n - n // 2) || left(next, n // 2) AS edited FROM o),
+             t AS (SELECT doc_id, 'a' AS k, text AS t FROM e UNION ALL SELECT doc_id, 'b', edited FROM e UNION ALL SELECT doc_id, 'c', next FROM e),
+             x AS (SELECT doc_id, k, unnest(regexp_split_to_array(t, '{fingerprints.PARTING}')) AS x FROM t),
+             g AS (SELECT DISTINCT doc_id, k, ('0x' || substr(md5(x), 1, 15))::BIGINT AS key FROM x WHERE x <> ''),
+             h AS (SELECT *, key >> 30 AS hi, key & {(1 << 30) - 1} AS lo FROM g),
+             r AS (SELECT *, (hi * {fingerprints.CHECK[0]} + lo * {fingerprints.CHECK[1]}) % {fingerprints.PRIME} AS chk,
+                          [lo % 4, hi % 4, ((hi * {fingerprints.THIRD[0]} + lo * {fingerprints.THIRD[1]}) % {fingerprints.PRIME}) % 4] AS at FROM h),
+             grid AS (SELECT doc_id, k, i, j FROM t, range(3) a(i), range(4) b(j)),
+             c AS (SELECT g.doc_id, g.k, i, j, count(key) AS n, coalesce(bit_xor(key), 0) AS key, coalesce(bit_xor(chk), 0) AS chk
+                   FROM grid g LEFT JOIN r ON r.doc_id = g.doc_id AND r.k = g.k AND r.at[i + 1] = j WHERE g.k <> 'c' GROUP BY ALL),
+             f AS (SELECT doc_id, k, string_agg(lower(lpad(to_hex(n), 8, '0') || lpad(to_hex(key), 15, '0') || lpad(to_hex(chk), 8, '0')), '' ORDER BY i, j) AS f FROM c GROUP BY ALL),
+             n AS (SELECT doc_id, count(*) FILTER (k = 'a') AS na, count(*) FILTER (k = 'b') AS nb, count(*) FILTER (k = 'c') AS nc FROM g GROUP BY doc_id),
+             s AS (SELECT a.doc_id, count(*) FILTER (b.k = 'b') AS sb, count(*) FILTER (b.k = 'c') AS sc
+                   FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.key = b.key AND a.k = 'a' AND b.k <> 'a' GROUP BY 1),
+             q AS (SELECT e.doc_id, e.n, e.edited, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(nc, 0) AS nc, coalesce(sb, 0) AS sb, coalesce(sc, 0) AS sc
+                   FROM e LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id))
+        SELECT q.doc_id, q.n AS n_chars, sha256(edited) AS edited_sha256, fa.f AS fingerprint, fb.f AS edited_fingerprint,
+               CASE WHEN na + nb = 0 THEN 1.0 ELSE sb / (na + nb - sb) END AS near_edited,
+               CASE WHEN na + nc = 0 THEN 1.0 ELSE sc / (na + nc - sc) END AS near_next
+        FROM q JOIN f fa ON fa.doc_id = q.doc_id AND fa.k = 'a' JOIN f fb ON fb.doc_id = q.doc_id AND fb.k = 'b'""",
     "op13_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
