@@ -1,17 +1,25 @@
-"""Bootstrap from sufficient statistics of blocks, as joins.
+"""Bootstrap from sufficient statistics of blocks, as matrix products.
 
 Rows are reduced to sums per block once. Which block a resample draws for each of its places is a hash of seed,
-resample and place, so draws need no state: any task makes them, and SQL makes the same ones. A
-resample is then a weighted sum of block statistics; rows are never resampled.
+resample and place, so draws need no state: any task makes them, and SQL makes the same ones. How often each resample draws each
+block is a matrix of weights, made in the worker; its product with the statistics of a key's blocks gives the sums of all
+resamples at once, so resamples are never joined with blocks, and neither weights nor resampled rows are shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quietday.functions.columns import r6
-from quietday.session import cut
+from quietday.session import cut, ship
 
 STATS = ["n", "ea", "eb", "y", "a", "b", "yy", "aa", "bb", "ya", "yb"]
 
@@ -24,23 +32,74 @@ def block_statistics(pairs: DataFrame, date: str, y: str, a: str, b: str, keys:
     return pairs.groupBy(*(keys or []), block).agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])
 
 
-def draws(blocks: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """keys, r, block, w: how often each of the `resamples` draws each of the distinct `blocks` (keys, block)."""
-    own = Window.partitionBy(*keys)
-    numbered = blocks.select(*keys, "block", (F.row_number().over(own.orderBy("block")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(own).alias("size"))
-    # draws depend on the number of blocks alone, so keys with as many share them
-    places = numbered.select("size").distinct().select("size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("*", F.explode(F.expr("sequence(0, size - 1)")).alias("s"))
-    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "s")), 1, 8), 16, 10).cast("long")
-    weights = places.groupBy("size", "r", F.pmod(number, F.col("size")).alias("i")).agg(F.count(F.lit(1)).alias("w"))
-    return numbered.join(weights, ["size", "i"]).select(*keys, "r", "block", "w")
+def _numbers(seed: int, resamples: int, size: int) -> np.ndarray:
+    """(resamples, size) of 32-bit numbers: the head of the md5 of seed, resample and place."""
+    digests = b"".join(hashlib.md5(f"{seed}:{r}:{s}".encode()).digest()[:4] for r in range(resamples) for s in range(size))
+    return np.frombuffer(digests, ">u4").reshape(resamples, size).astype(np.int64)
+
+
+@lru_cache(maxsize=8)
+def draw_weights(seed: int, resamples: int, size: int) -> np.ndarray:
+    """(resamples, size): how often each resample draws each of `size` blocks, whose number is that of its places too."""
+    places = _numbers(seed, resamples, size) % size + size * np.arange(resamples)[:, None]
+    return np.bincount(places.ravel(), minlength=resamples * size).reshape(resamples, size).astype(float)
+
+
+def _cc_of(s: dict[str, np.ndarray], x: str) -> np.ndarray:
+    spread = (s["n"] * s["yy"] - s["y"] * s["y"]) * (s["n"] * s[x + x] - s[x] * s[x])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(spread > 0, (s["n"] * s[f"y{x}"] - s["y"] * s[x]) / np.sqrt(np.where(spread > 0, spread, 1)), np.nan)
+
+
+def _over_n(top: Callable[[dict[str, np.ndarray]], np.ndarray]) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
+    return lambda s: np.where(s["n"] > 0, top(s) / np.where(s["n"] > 0, s["n"], 1), np.nan)
 
 
-def resampled(stats: DataFrame, keys: list[str], sums: list[str], resamples: int, seed: int, number_by: list[str] | None = None) -> DataFrame:
-    """keys, r and the sums of each resample. Blocks are numbered for each key by itself, or for `number_by` (then keys share draws)."""
+#: What a resample's sums are turned into, NaN where it isn't defined.
+STATISTICS: dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]] = {
+    "d_mae": _over_n(lambda s: s["ea"] - s["eb"]),
+    "d_corr": lambda s: _cc_of(s, "a") - _cc_of(s, "b"),
+    "mean": _over_n(lambda s: s["v"]),
+}
+
+
+def resampled(stats: DataFrame, keys: list[str], sums: list[str], statistics: list[str], resamples: int, seed: int, number_by: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """keys and, for each statistic, the central 95 % of its resamples ({name}_lo, {name}_hi), or with `whole` all of them as an array.
+
+    Blocks are numbered for each key by itself, or for `number_by` (then keys share draws, and a key without a drawn block gets nothing for it).
+    One key's blocks (months or days of one comparison) come together as one row: they are bounded by the calendar. Resamples
+    for which a statistic isn't defined don't count in its interval, which is null if there are none.
+    """
+    ship(stats.sparkSession)
     by = keys if number_by is None else number_by
-    drawn = draws(stats.select(*by, "block").distinct(), by, resamples, seed)
-    weighed = stats.join(drawn, [*by, "block"])
-    return weighed.groupBy(*keys, "r").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
+    blocks = stats.select(*by, "block").distinct() if number_by is not None else stats.select(*by, "block")
+    own = Window.partitionBy(*by)
+    numbered = blocks.select(*by, "block", (F.row_number().over(own.orderBy("block")) - 1).alias("i"), F.count(F.lit(1)).over(own).cast("int").alias("size"))
+    rows = stats.join(numbered, [*by, "block"])
+    gathered = rows.groupBy(*keys, "size").agg(F.collect_list("i").alias("i"), *[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in sums])
+    fields = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in statistics] if whole else [T.StructField(f"{n}_{end}", T.DoubleType()) for n in statistics for end in ("lo", "hi")]
+
+    @F.pandas_udf(T.StructType(fields))
+    def run(size: pd.Series, places: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, at, *values in zip(size, places, *columns, strict=True):
+            # in order of the blocks: sums then don't depend on how rows arrived
+            order = np.argsort(at)
+            drawn = draw_weights(seed, resamples, int(n))[:, np.asarray(at)[order]] @ np.stack([np.asarray(v)[order] for v in values], axis=1)
+            sets = {c: drawn[:, k] for k, c in enumerate(sums)}
+            row = {}
+            for name in statistics:
+                x = STATISTICS[name](sets)
+                good = x[~np.isnan(x)]
+                if whole:
+                    row[name] = [None if v != v else float(v) for v in x]
+                else:
+                    row[f"{name}_lo"], row[f"{name}_hi"] = np.quantile(good, [0.025, 0.975]).tolist() if len(good) else (None, None)
+            out.append(row)
+        return pd.DataFrame(out, columns=[f.name for f in fields])
+
+    found = run("size", "i", *sums)
+    return gathered.select(*keys, found.alias("found")).select(*keys, "found.*")
 
 
 def _cc(x: str) -> Column:
@@ -56,21 +115,15 @@ def d_corr() -> Column:
     return _cc("a") - _cc("b")
 
 
-def interval(name: str) -> list[Column]:
-    """The central 95 % of a column of resamples."""
-    return [F.percentile(name, 0.025).alias(f"{name}_lo"), F.percentile(name, 0.975).alias(f"{name}_hi")]
-
-
 def block_bootstrap(pairs: DataFrame, date: str, y: str, a: str, b: str, keys: list[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
     """keys, d_mae, d_mae_lo, d_mae_hi, d_corr, d_corr_lo, d_corr_hi, significant (the interval of d_mae excludes zero), n (rows).
 
     Rows must be complete, and there is a key at least. Each key is resampled by itself with the same seed;
     its blocks are months, so what is joined are a few numbers per month of one comparison.
     """
-    stats = cut(block_statistics(pairs, date, y, a, b, keys))  # a few numbers, read three times
+    stats = cut(block_statistics(pairs, date, y, a, b, keys))  # a few numbers, read twice
     point = stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in STATS]).select(*keys, F.col("n").cast("long").alias("n"), r6(d_mae()).alias("d_mae"), r6(d_corr()).alias("d_corr"))
-    runs = resampled(stats, keys, STATS, resamples, seed).select(*keys, d_mae().alias("d_mae"), d_corr().alias("d_corr"))
-    spans = runs.groupBy(*keys).agg(*interval("d_mae"), *interval("d_corr"))
+    spans = resampled(stats, keys, STATS, ["d_mae", "d_corr"], resamples, seed)
     low, high = F.col("d_mae_lo"), F.col("d_mae_hi")
     both = point.join(spans, keys).withColumn("significant", (low > 0) | (high < 0))
     return both.select(*keys, *[r6(F.col(c)).alias(c) if c.endswith(("lo", "hi")) else c for c in ("d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi")], "significant", "n")
@@ -84,8 +137,8 @@ def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str],
     """
     stats = cut(rows.groupBy(*keys, block.alias("block")).agg(F.sum(value).alias("v"), F.count(value).cast("double").alias("n")))
     point = stats.groupBy(*keys).agg(r6(F.sum("v") / F.sum("n")).alias("mean"))
-    runs = resampled(stats, keys, ["v", "n"], resamples, seed).select(*keys, (F.col("v") / F.col("n")).alias("m"))
-    return point.join(runs.groupBy(*keys).agg(r6(F.percentile("m", 0.025)).alias("lo"), r6(F.percentile("m", 0.975)).alias("hi")), keys)
+    spans = resampled(stats, keys, ["v", "n"], ["mean"], resamples, seed)
+    return point.join(spans.select(*keys, r6(F.col("mean_lo")).alias("lo"), r6(F.col("mean_hi")).alias("hi")), keys)
 
 
 # The same in SQL, as common table expressions: `source` has the keys, a date and y, a, b (or a block and v).

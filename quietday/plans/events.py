@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import r6, safe_corr
+from quietday.operators.bootstrap import bootstrap_mean, bootstrap_mean_sql
 from quietday.operators.folds import merge_events
 from quietday.operators.grids import series_window
 from quietday.operators.joins import flag_days
@@ -13,6 +14,7 @@ from quietday.plans.features import daily_index
 from quietday.plans.registry import query
 from quietday.plans.samples import baselines
 from quietday.plans.verification import DAY3, ENS, corr_sql, day_means, ensemble
+from quietday.session import cut
 from quietday.sources import adapters as A
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -57,16 +59,47 @@ def q_event_labels(spark, sf_dir):
     return event_labels(spark, sf_dir)
 
 
-@query(f"""WITH {LABELS}, {ENS}, day_bins AS (SELECT issue_date, target_day_k, label, p, y, avg(p) OVER d AS dp, avg(y) OVER d AS dy, count(*) OVER d AS n, max(p) OVER d AS mp, max(y) OVER d AS my FROM ens JOIN labelled ON date = issue_date + target_day_k
+#: The ensemble's forecast p, and p0 of its first seed, against which intervals are given.
+ENS0 = ENS + ", ens0 AS (SELECT issue_date, lead_step_3h, max(CASE WHEN seed = 0 THEN exp(mu) - 1 END) AS p0 FROM fc3 GROUP BY 1, 2)"
+
+
+def with_first_seed(f3: DataFrame) -> DataFrame:
+    """issue_date, lead_step_3h, target_day_k, p, y of the ensemble, and p0 of its first seed."""
+    p = F.expm1("mu")
+    return f3.groupBy("issue_date", "lead_step_3h", "target_day_k").agg(F.avg(p).alias("p"), F.max("observed_ap").alias("y"), F.max(F.when(F.col("seed") == 0, p)).alias("p0"))
+
+
+def with_intervals(rows: DataFrame, values: list[str], block: str, keys: list[str], resamples: int = 2000) -> DataFrame:
+    """keys and, for each value, its mean and the central 95 % of the means of resampled blocks ({value}_lo, {value}_hi)."""
+    out = None
+    for v in values:
+        one = bootstrap_mean(rows, v, F.col(block), keys, resamples).withColumnsRenamed({"mean": v, "lo": f"{v}_lo", "hi": f"{v}_hi"})
+        out = one if out is None else out.join(one, keys)
+    return out
+
+
+def intervals_sql(source: str, values: list[str], block: str, keys: list[str], resamples: int = 2000) -> tuple[str, str, str]:
+    """Common table expressions, the joins that add them to a table with the keys, and the columns."""
+    ks = ", ".join(keys)
+    ctes = ", ".join(f"{v}_src AS (SELECT {ks}, {block} AS block, {v} AS v FROM {source}), {bootstrap_mean_sql(f'{v}_b', f'{v}_src', keys, resamples)}" for v in values)
+    return ctes, " ".join(f"JOIN {v}_b USING ({ks})" for v in values), ", ".join(f"{v}_b.mean AS {v}, {v}_b.lo AS {v}_lo, {v}_b.hi AS {v}_hi" for v in values)
+
+
+TYPE_GAPS, TYPE_JOINS, TYPE_COLUMNS = intervals_sql("gaps", ["d_mae_day", "d_mae_3h"], "date", ["target_day_k", "label"])
+
+
+@query(f"""WITH {LABELS}, {ENS0}, day_bins AS (SELECT issue_date, target_day_k, label, date, p, y, p0, avg(p0) OVER d AS dp0, avg(p) OVER d AS dp, avg(y) OVER d AS dy, count(*) OVER d AS n, max(p) OVER d AS mp, max(y) OVER d AS my FROM ens JOIN ens0 USING (issue_date, lead_step_3h) JOIN labelled ON date = issue_date + target_day_k
         WINDOW d AS (PARTITION BY issue_date, target_day_k)),
     b AS (SELECT * FROM day_bins WHERE n = 8), d AS (SELECT DISTINCT issue_date, target_day_k, label, dp, dy, mp, my FROM b),
     x AS (SELECT target_day_k, label, round(avg(abs(p - y)), 6) + 0.0 AS mae_3h, round(avg(abs((p - dp) - (y - dy))), 6) + 0.0 AS mae_intraday, round(corr(p - dp, y - dy), 6) + 0.0 AS cc_intraday FROM b GROUP BY 1, 2),
     t AS (SELECT target_day_k, label, count(*) AS n_days, count(CASE WHEN my >= 48 THEN 1 END) AS n_days_storm, round(avg(abs(dp - dy)), 6) + 0.0 AS mae_day, {corr_sql('dy', 'dp')} AS cc_day, round(avg(mp - my), 6) + 0.0 AS peak_amp_error,
-        round(count(CASE WHEN mp >= 48 AND my >= 48 THEN 1 END) / greatest(count(CASE WHEN my >= 48 THEN 1 END), 1), 6) + 0.0 AS detected, round(count(CASE WHEN mp >= 48 AND my < 48 THEN 1 END) / greatest(count(CASE WHEN my < 48 THEN 1 END), 1), 6) + 0.0 AS false_share FROM d GROUP BY 1, 2)
-    SELECT * FROM t JOIN x USING (target_day_k, label) WHERE n_days >= 5""")
+        round(count(CASE WHEN mp >= 48 AND my >= 48 THEN 1 END) / greatest(count(CASE WHEN my >= 48 THEN 1 END), 1), 6) + 0.0 AS detected, round(count(CASE WHEN mp >= 48 AND my < 48 THEN 1 END) / greatest(count(CASE WHEN my < 48 THEN 1 END), 1), 6) + 0.0 AS false_share FROM d GROUP BY 1, 2),
+    gaps AS (SELECT issue_date, target_day_k, label, date, abs(avg(p) - avg(y)) - abs(avg(p0) - avg(y)) AS d_mae_day, avg(abs(p - y)) - avg(abs(p0 - y)) AS d_mae_3h FROM b GROUP BY ALL), {TYPE_GAPS}
+    SELECT t.*, x.* EXCLUDE (target_day_k, label), {TYPE_COLUMNS} FROM t JOIN x USING (target_day_k, label) {TYPE_JOINS} WHERE n_days >= 5""")
 def q_event_type(spark, sf_dir):
-    """Per day ahead and label of the target day, with five days at least: errors of days, of bins and of what bins differ from their day's mean, peaks, and shares of storm days seen and of others called."""
-    e = ensemble(A.forecast_3h(spark, sf_dir)).withColumn("date", F.expr("date_add(issue_date, target_day_k)")).join(event_labels(spark, sf_dir), "date")
+    """Per day ahead and label of the target day, with five days at least: errors of days, of bins and of what bins differ from their day's mean, peaks, shares of storm days seen and of others called, and what
+    the ensemble's errors differ from its first seed's, with intervals from resampled target days (the series is too short for months)."""
+    e = with_first_seed(A.forecast_3h(spark, sf_dir)).withColumn("date", F.expr("date_add(issue_date, target_day_k)")).join(event_labels(spark, sf_dir), "date")
     day = Window.partitionBy("issue_date", "target_day_k")
     names = {"dp": F.avg("p"), "dy": F.avg("y"), "n": F.count(F.lit(1)), "mp": F.max("p"), "my": F.max("y")}
     b = e.withColumns({k: v.over(day) for k, v in names.items()}).where("n = 8")
@@ -80,7 +113,9 @@ def q_event_type(spark, sf_dir):
         F.count(F.lit(1)).alias("n_days"), F.count_if(storm).alias("n_days_storm"), r6(F.avg(F.abs(F.col("dp") - F.col("dy")))).alias("mae_day"), r6(safe_corr("dy", "dp")).alias("cc_day"),
         r6(F.avg(F.col("mp") - F.col("my"))).alias("peak_amp_error"), share(called, storm).alias("detected"), share(called, ~storm).alias("false_share"),
     )
-    return days.where("n_days >= 5").join(inner, by)
+    p, y, p0 = F.avg("p"), F.avg("y"), F.avg("p0")
+    gaps = b.groupBy("issue_date", *by, "date").agg((F.abs(p - y) - F.abs(p0 - y)).alias("d_mae_day"), (F.avg(F.abs(F.col("p") - F.col("y"))) - F.avg(F.abs(F.col("p0") - F.col("y")))).alias("d_mae_3h"))
+    return days.where("n_days >= 5").join(inner, by).join(with_intervals(gaps, ["d_mae_day", "d_mae_3h"], "date", by), by)
 
 
 @query(f"""WITH {DAYS30}, runs AS (SELECT ts - INTERVAL 40 HOUR AS done, ts AS arrival, {K} AS kp FROM events WHERE event_type = 'error' AND {K} < 10), t AS (SELECT date, CAST(k AS INTEGER) AS k FROM d30, generate_series(1, 3) AS g(k))
@@ -168,50 +203,66 @@ def q_onset_peak(spark, sf_dir):
     return onset_peak(storm_window(spark, sf_dir)).withColumn("peak", r6(F.col("peak")))
 
 
-STORMS = f"""{PEAK}, {ENS}, f AS (SELECT CAST(issue_date + 1 AS TIMESTAMP) + to_hours(CAST(3 * (lead_step_3h - 1) AS INTEGER)) AS time, p FROM ens WHERE target_day_k = 1),
-    j AS (SELECT w.shock_id, w.o, w.time, w.ap, f.p FROM win w JOIN f USING (time) WHERE w.ap IS NOT NULL),
-    sf AS (SELECT j.shock_id, k.class, k.onset, avg(abs(p - ap)) AS mae, max(p) - max(ap) AS amp, max(p) >= 30 AS detected, date_diff('hour', max_by(j.time, (round(ap, 9), -o)), max_by(j.time, (round(p, 9), -o))) AS peak_h,
+STORMS = f"""{PEAK}, {ENS0}, f AS (SELECT CAST(issue_date + 1 AS TIMESTAMP) + to_hours(CAST(3 * (lead_step_3h - 1) AS INTEGER)) AS time, p, p0 FROM ens JOIN ens0 USING (issue_date, lead_step_3h) WHERE target_day_k = 1),
+    j AS (SELECT w.shock_id, w.o, w.time, w.ap, f.p, f.p0 FROM win w JOIN f USING (time) WHERE w.ap IS NOT NULL),
+    sf AS (SELECT j.shock_id, k.class, k.onset, avg(abs(p - ap)) AS mae, avg(abs(p - ap)) - avg(abs(p0 - ap)) AS d_mae, CAST(max(p) >= 30 AS DOUBLE) - CAST(max(p0) >= 30 AS DOUBLE) AS d_detect, max(p) - max(ap) AS amp, max(p) >= 30 AS detected, date_diff('hour', max_by(j.time, (round(ap, 9), -o)), max_by(j.time, (round(p, 9), -o))) AS peak_h,
         date_diff('hour', k.onset, min(CASE WHEN p >= 30 THEN j.time END)) AS onset_h FROM j JOIN peaks k USING (shock_id) GROUP BY 1, 2, 3)"""
 
 
 def storm_errors(spark, sf_dir) -> DataFrame:
-    """Per shock, of the chained day-1 forecast: class, mae, amp, detected, and hours that peak and onset are late (negative: early)."""
-    f = ensemble(A.forecast_3h(spark, sf_dir, 1)).select(F.expr("cast(date_add(issue_date, 1) as timestamp_ntz) + make_dt_interval(0, 3 * (lead_step_3h - 1))").alias("time"), "p")
+    """Per shock, of the chained day-1 forecast: class, mae, amp, detected, hours that peak and onset are late (negative: early), and what mae and detection differ from the first seed's."""
+    f = with_first_seed(A.forecast_3h(spark, sf_dir, 1)).select(F.expr("cast(date_add(issue_date, 1) as timestamp_ntz) + make_dt_interval(0, 3 * (lead_step_3h - 1))").alias("time"), "p", "p0")
     w = storm_window(spark, sf_dir).where("ap is not null")
     j = w.join(f, "time").join(onset_peak(w).select("shock_id", "class", "onset"), "shock_id")
     top = lambda c: F.max_by("time", F.struct(F.round(c, 9), -F.col("o")))
     s = j.groupBy("shock_id", "class", "onset").agg(
-        F.avg(F.abs(F.col("p") - F.col("ap"))).alias("mae"), (F.max("p") - F.max("ap")).alias("amp"), (F.max("p") >= 30).alias("detected"), top("ap").alias("seen"), top("p").alias("said"), F.min(F.when(F.col("p") >= 30, F.col("time"))).alias("called")
-    )
-    return s.select("shock_id", "class", "mae", "amp", "detected", F.timestamp_diff("HOUR", F.col("seen"), F.col("said")).alias("peak_h"), F.timestamp_diff("HOUR", F.col("onset"), F.col("called")).alias("onset_h"))
+        F.avg(F.abs(F.col("p") - F.col("ap"))).alias("mae"), (F.max("p") - F.max("ap")).alias("amp"), (F.max("p") >= 30).alias("detected"), top("ap").alias("seen"), top("p").alias("said"), F.min(F.when(F.col("p") >= 30, F.col("time"))).alias("called"),
+        (F.avg(F.abs(F.col("p") - F.col("ap"))) - F.avg(F.abs(F.col("p0") - F.col("ap")))).alias("d_mae"), ((F.max("p") >= 30).cast("double") - (F.max("p0") >= 30).cast("double")).alias("d_detect"),
+    )
+    return s.select("shock_id", "class", "mae", "amp", "detected", "d_mae", "d_detect", F.timestamp_diff("HOUR", F.col("seen"), F.col("said")).alias("peak_h"), F.timestamp_diff("HOUR", F.col("onset"), F.col("called")).alias("onset_h"))
 
 
 @query(f"WITH {STORMS} SELECT shock_id, class, round(mae, 6) + 0.0 AS mae, round(amp, 6) + 0.0 AS amp, detected, CAST(peak_h AS BIGINT) AS peak_h, CAST(onset_h AS BIGINT) AS onset_h FROM sf")
 def q_storm_errors(spark, sf_dir):
-    return storm_errors(spark, sf_dir).withColumns({"mae": r6(F.col("mae")), "amp": r6(F.col("amp"))})
+    return storm_errors(spark, sf_dir).drop("d_mae", "d_detect").withColumns({"mae": r6(F.col("mae")), "amp": r6(F.col("amp"))})
 
 
-@query(f"""WITH {STORMS} SELECT class, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(quantile_cont(amp, 0.5), 6) + 0.0 AS peak_amp_err_median, round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect,
-    round(quantile_cont(peak_h, 0.5), 6) + 0.0 AS peak_time_err_median, round(quantile_cont(onset_h, 0.5), 6) + 0.0 AS onset_err_median, count(CASE WHEN onset_h < 0 THEN 1 END) AS early FROM sf GROUP BY 1""")
+STORM_GAPS, STORM_JOINS, STORM_COLUMNS = intervals_sql("sf", ["d_mae", "d_detect"], "shock_id", ["class"])
+
+
+@query(f"""WITH {STORMS}, {STORM_GAPS}, st AS (SELECT class, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(quantile_cont(amp, 0.5), 6) + 0.0 AS peak_amp_err_median, round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect,
+    round(quantile_cont(peak_h, 0.5), 6) + 0.0 AS peak_time_err_median, round(quantile_cont(onset_h, 0.5), 6) + 0.0 AS onset_err_median, count(CASE WHEN onset_h < 0 THEN 1 END) AS early FROM sf GROUP BY 1)
+    SELECT st.*, {STORM_COLUMNS} FROM st {STORM_JOINS}""")
 def q_storm_stats(spark, sf_dir):
-    """Chained day-1 forecasts against each storm window, by class: error, peak height and time, onset, detection, early calls."""
+    """Chained day-1 forecasts against each storm window, by class: error, peak height and time, onset, detection, early calls, and what
+    error and detection differ from the first seed's, with intervals from 2,000 resamples of shocks."""
     median = lambda c: r6(F.percentile(c, 0.5))
-    return storm_errors(spark, sf_dir).groupBy("class").agg(
+    e = cut(storm_errors(spark, sf_dir))  # a row for each shock
+    stats = e.groupBy("class").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), median("amp").alias("peak_amp_err_median"), r6(F.avg(F.col("detected").cast("double"))).alias("detect"),
         median("peak_h").alias("peak_time_err_median"), median("onset_h").alias("onset_err_median"), F.count_if(F.col("onset_h") < 0).alias("early"),
     )
+    return stats.join(with_intervals(e, ["d_mae", "d_detect"], "shock_id", ["class"]), "class")
+
+
+ARRIVAL_GAPS, ARRIVAL_JOINS, ARRIVAL_COLUMNS = intervals_sql("ag", ["d_mae", "d_bias", "d_rise"], "shock_id", ["lead_group"])
 
 
-@query(f"""WITH {EVENTS}, {A.BINS}, {ENS}, f AS (SELECT issue_date, target_day_k, CAST(issue_date + target_day_k AS TIMESTAMP) + to_hours(CAST(3 * ((lead_step_3h - 1) % 8) AS INTEGER)) AS time, p FROM ens),
+@query(f"""WITH {EVENTS}, {A.BINS}, {ENS0}, f AS (SELECT issue_date, target_day_k, CAST(issue_date + target_day_k AS TIMESTAMP) + to_hours(CAST(3 * ((lead_step_3h - 1) % 8) AS INTEGER)) AS time, p, p0 FROM ens JOIN ens0 USING (issue_date, lead_step_3h)),
     g AS (SELECT event_id AS shock_id, ts AS shock, day - CAST(x AS INTEGER) AS issue_date, CAST(x AS INTEGER) AS days_before FROM ips, generate_series(0, 3) AS t(x)),
-    j AS (SELECT g.*, f.time, f.p, b.ap, CASE WHEN days_before = 0 THEN f.time >= CAST(g.issue_date + 1 AS TIMESTAMP) AND f.time < CAST(g.issue_date + 2 AS TIMESTAMP) ELSE f.time + INTERVAL 3 HOUR > shock AND f.time < shock + INTERVAL 24 HOUR END AS post, f.time + INTERVAL 3 HOUR <= shock AS pre
+    j AS (SELECT g.*, f.time, f.p, f.p0, b.ap, CASE WHEN days_before = 0 THEN f.time >= CAST(g.issue_date + 1 AS TIMESTAMP) AND f.time < CAST(g.issue_date + 2 AS TIMESTAMP) ELSE f.time + INTERVAL 3 HOUR > shock AND f.time < shock + INTERVAL 24 HOUR END AS post, f.time + INTERVAL 3 HOUR <= shock AS pre
         FROM g JOIN f ON f.issue_date = g.issue_date JOIN bins b ON b.time = f.time WHERE b.ap IS NOT NULL),
-    s AS (SELECT shock_id, days_before, avg(abs(p - ap)) FILTER (post) AS mae, avg(p - ap) FILTER (post) AS bias, avg(ap) FILTER (post) - avg(ap) FILTER (pre) AS obs_rise, avg(p) FILTER (post) - avg(p) FILTER (pre) AS rise, max(p) FILTER (post) >= 30 AS detected FROM j GROUP BY 1, 2)
-    SELECT CASE days_before WHEN 0 THEN 'after arrival' ELSE days_before || ' days before' END AS lead_group, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(avg(bias), 6) + 0.0 AS me, round(avg(obs_rise), 6) + 0.0 AS obs_rise, round(avg(rise), 6) + 0.0 AS rise,
-        round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect FROM s WHERE mae IS NOT NULL GROUP BY 1""")
+    s AS (SELECT shock_id, days_before, avg(abs(p - ap)) FILTER (post) AS mae, avg(p - ap) FILTER (post) AS bias, avg(ap) FILTER (post) - avg(ap) FILTER (pre) AS obs_rise, avg(p) FILTER (post) - avg(p) FILTER (pre) AS rise, max(p) FILTER (post) >= 30 AS detected,
+            avg(abs(p - ap)) FILTER (post) - avg(abs(p0 - ap)) FILTER (post) AS d_mae, avg(p - ap) FILTER (post) - avg(p0 - ap) FILTER (post) AS d_bias,
+            (avg(p) FILTER (post) - avg(p) FILTER (pre)) - (avg(p0) FILTER (post) - avg(p0) FILTER (pre)) AS d_rise FROM j GROUP BY 1, 2),
+    ag AS (SELECT *, CASE days_before WHEN 0 THEN 'after arrival' ELSE days_before || ' days before' END AS lead_group FROM s WHERE mae IS NOT NULL), {ARRIVAL_GAPS},
+    aa AS (SELECT lead_group, count(*) AS n, round(avg(mae), 6) + 0.0 AS mae, round(avg(bias), 6) + 0.0 AS me, round(avg(obs_rise), 6) + 0.0 AS obs_rise, round(avg(rise), 6) + 0.0 AS rise,
+        round(avg(CASE WHEN detected THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS detect FROM ag GROUP BY 1)
+    SELECT aa.*, {ARRIVAL_COLUMNS} FROM aa {ARRIVAL_JOINS}""")
 def q_pre_arrival(spark, sf_dir):
-    """Forecasts issued one to three days before a shock, on the 24 hours from its arrival on, and those of its day for the day after; with the rise they foresee and the rise that came."""
-    f = ensemble(A.forecast_3h(spark, sf_dir)).select("issue_date", F.expr("cast(date_add(issue_date, target_day_k) as timestamp_ntz) + make_dt_interval(0, 3 * ((lead_step_3h - 1) % 8))").alias("time"), "p")
+    """Forecasts issued one to three days before a shock, on the 24 hours from its arrival on, and those of its day for the day after; with the rise they foresee and the rise that came, and
+    what error, bias and rise differ from the first seed's, with intervals from 2,000 resamples of shocks."""
+    f = with_first_seed(A.forecast_3h(spark, sf_dir)).select("issue_date", F.expr("cast(date_add(issue_date, target_day_k) as timestamp_ntz) + make_dt_interval(0, 3 * ((lead_step_3h - 1) % 8))").alias("time"), "p", "p0")
     i = catalog_of(spark, sf_dir, "signup", 2).select(F.col("event_id").alias("shock_id"), F.col("ts").alias("shock"), "day", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("days_before"))
     g = i.select("shock_id", "shock", "days_before", F.expr("date_sub(day, days_before)").alias("issue_date"))
     j = g.join(f, "issue_date").join(A.bins_3h(spark, sf_dir).where("ap is not null").select("time", "ap"), "time")
@@ -219,14 +270,18 @@ def q_pre_arrival(spark, sf_dir):
     post = F.when(F.col("days_before") == 0, after).otherwise(F.expr("time + interval 3 hours > shock and time < shock + interval 24 hours"))
     j = j.withColumns({"post": post, "pre": F.expr("time + interval 3 hours <= shock")})
     mean = lambda c, when: F.avg(F.when(F.col(when), c))
-    p, ap = F.col("p"), F.col("ap")
+    p, p0, ap = F.col("p"), F.col("p0"), F.col("ap")
+    rise = lambda c: mean(c, "post") - mean(c, "pre")
     s = j.groupBy("shock_id", "days_before").agg(
-        mean(F.abs(p - ap), "post").alias("mae"), mean(p - ap, "post").alias("bias"), (mean(ap, "post") - mean(ap, "pre")).alias("obs_rise"), (mean(p, "post") - mean(p, "pre")).alias("rise"), (F.max(F.when(F.col("post"), p)) >= 30).alias("detected")
+        mean(F.abs(p - ap), "post").alias("mae"), mean(p - ap, "post").alias("bias"), (mean(ap, "post") - mean(ap, "pre")).alias("obs_rise"), (mean(p, "post") - mean(p, "pre")).alias("rise"), (F.max(F.when(F.col("post"), p)) >= 30).alias("detected"),
+        (mean(F.abs(p - ap), "post") - mean(F.abs(p0 - ap), "post")).alias("d_mae"), (mean(p - ap, "post") - mean(p0 - ap, "post")).alias("d_bias"), (rise(p) - rise(p0)).alias("d_rise"),
     ).where("mae is not null")
     group = F.when(F.col("days_before") == 0, "after arrival").otherwise(F.concat("days_before", F.lit(" days before")))
-    return s.groupBy(group.alias("lead_group")).agg(
+    s = cut(s.withColumn("lead_group", group))  # a row for each shock and issue
+    means = s.groupBy("lead_group").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), r6(F.avg("bias")).alias("me"), r6(F.avg("obs_rise")).alias("obs_rise"), r6(F.avg("rise")).alias("rise"), r6(F.avg(F.col("detected").cast("double"))).alias("detect")
     )
+    return means.join(with_intervals(s, ["d_mae", "d_bias", "d_rise"], "shock_id", ["lead_group"]), "lead_group")
 
 
 @query(f"""WITH {ENS} SELECT issue_date + target_day_k AS valid_date, target_day_k, CAST((lead_step_3h - 1) % 8 AS INTEGER) AS bin, round(p, 6) + 0.0 AS p FROM ens WHERE target_day_k = 2""")

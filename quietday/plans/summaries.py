@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import r6, safe_corr
-from quietday.operators.bootstrap import D_CORR_SQL, STATS, block_bootstrap, block_bootstrap_sql, block_statistics, bootstrap_mean, bootstrap_mean_sql, d_corr, draws_sql, resampled, resampled_sql, statistics_sql
+from quietday.functions.distributions import mixture
+from quietday.operators.bootstrap import D_CORR_SQL, STATS, block_bootstrap, block_bootstrap_sql, block_statistics, bootstrap_mean, bootstrap_mean_sql, draws_sql, resampled, resampled_sql, statistics_sql
 from quietday.operators.joins import flag_days
 from quietday.plans.events import EVENTS, catalog_of, event_days
 from quietday.plans.registry import query
 from quietday.plans.samples import baselines
-from quietday.plans.verification import DAY3, ENS, LONG_SQL, THREE, corr_sql, day_means, ensemble, long_form, three
+from quietday.plans.verification import DAY3, ENS, LONG_SQL, THREE, corr_sql, day_means, ensemble, long_form, phi_sql, seed_mixtures, three
 from quietday.session import cut, scratch_path
 from quietday.sources import adapters as A
 from quietday.sources.files import sql_frame
@@ -69,29 +70,30 @@ def q_case_lead1(spark, sf_dir):
     return l.groupBy(F.when(F.year(target) >= 2000, "A").otherwise("B").alias("split"), "model").agg(F.count(F.lit(1)).alias("n"), r6(err("f")).alias("mae"))
 
 
-RECENT = PAIRED + ", rec AS (SELECT 'recurrence27' AS model, lead, date, y, recurrence27 AS a, persistence AS b FROM pr WHERE date >= DATE '1999-01-01' UNION ALL SELECT 'recurrence2x27', lead, date, y, recurrence2x27, persistence FROM pr WHERE date >= DATE '1999-01-01')"
+RECENT = PAIRED + ", rec AS (SELECT 'recurrence27' AS model, lead, date, y, recurrence27 AS a, persistence AS b FROM pr UNION ALL SELECT 'recurrence2x27', lead, date, y, recurrence2x27, persistence FROM pr)"
 
 
 def recent(spark, sf_dir) -> DataFrame:
     """model, lead, date, y, f, persistence: the recurrence models against persistence."""
-    w = paired(spark, sf_dir).where("date >= date'1999-01-01'")
+    w = paired(spark, sf_dir)
     return w.select("date", "lead", "y", "persistence", "recurrence27", "recurrence2x27").unpivot(["date", "lead", "y", "persistence"], ["recurrence27", "recurrence2x27"], "model", "f")
 
 
-@query(f"""WITH {RECENT}, {block_bootstrap_sql("bb", "rec", ["model", "lead"], 200)} SELECT model, lead, d_mae, significant FROM bb""")
+@query(f"""WITH {RECENT}, {block_bootstrap_sql("bb", "rec", ["model", "lead"], 1000)} SELECT model, lead, d_mae, significant FROM bb""")
 def q_boot_sig(spark, sf_dir):
     """Which comparisons with persistence have an interval that excludes zero."""
-    b = block_bootstrap(recent(spark, sf_dir), "date", "y", "f", "persistence", ["model", "lead"], resamples=200)
+    b = block_bootstrap(recent(spark, sf_dir), "date", "y", "f", "persistence", ["model", "lead"])
     return b.select("model", "lead", "d_mae", "significant")
 
 
-@query(f"""WITH {PAIRED}, src AS (SELECT lead, date, y, recurrence2x27 AS a, persistence AS b FROM pr WHERE date >= DATE '1999-01-01' AND lead <= 27), {statistics_sql("g", "src", ["lead"])}, {draws_sql("g", "g_st", [], 200)}, {resampled_sql("g", "g_st", ["lead"], STATS, [])},
+@query(f"""WITH {PAIRED}, src AS (SELECT lead, date, y, recurrence2x27 AS a, persistence AS b FROM pr WHERE lead BETWEEN 3 AND 26), {statistics_sql("g", "src", ["lead"])}, {draws_sql("g", "g_st", [], 1000)}, {resampled_sql("g", "g_st", ["lead"], STATS, [])},
     gains AS (SELECT r, avg({D_CORR_SQL}) AS gain FROM g_rs GROUP BY 1) SELECT round(avg(gain), 6) + 0.0 AS gain, round(quantile_cont(gain, 0.025), 6) + 0.0 AS lo, round(quantile_cont(gain, 0.975), 6) + 0.0 AS hi FROM gains""")
 def q_boot_ccgain(spark, sf_dir):
     """The mean over resamples and leads of the gain in correlation, each lead resampled by the same months."""
-    rows = paired(spark, sf_dir).where("date >= date'1999-01-01' and lead <= 27")
-    runs = resampled(cut(block_statistics(rows, "date", "y", "recurrence2x27", "persistence", ["lead"])), ["lead"], STATS, 200, 0, number_by=[])
-    gains = runs.groupBy("r").agg(F.avg(d_corr()).alias("gain"))
+    rows = paired(spark, sf_dir).where("lead between 3 and 26")
+    stats = cut(block_statistics(rows, "date", "y", "recurrence2x27", "persistence", ["lead"]))
+    runs = resampled(stats, ["lead"], STATS, ["d_corr"], 1000, 0, number_by=[], whole=True)
+    gains = runs.select("lead", F.posexplode("d_corr").alias("r", "gain")).groupBy("r").agg(F.avg("gain").alias("gain"))
     return gains.agg(r6(F.avg("gain")).alias("gain"), r6(F.percentile("gain", 0.025)).alias("lo"), r6(F.percentile("gain", 0.975)).alias("hi"))
 
 
@@ -101,7 +103,7 @@ PREVIOUS = PAIRED + """, pm AS (SELECT 'recurrence27' AS model, lead, date, y, r
         UNION ALL SELECT x.model, 'vs L-1', x.lead, x.date, x.y, x.f, o.f FROM pm x JOIN pm o ON o.model = x.model AND o.date = x.date AND o.lead = x.lead - 1 WHERE x.lead > 2)"""
 
 
-@query(f"""WITH {PREVIOUS}, {block_bootstrap_sql("bb", "cmp", ["model", "comparison", "lead"], 100)} SELECT * FROM bb""")
+@query(f"""WITH {PREVIOUS}, {block_bootstrap_sql("bb", "cmp", ["model", "comparison", "lead"], 1000)} SELECT * FROM bb""")
 def q_l2_bootstrap(spark, sf_dir):
     """Each model and length against persistence, against the shortest length and against the next shorter one, on common days, months resampled."""
     m = cut(paired(spark, sf_dir).select("date", "lead", "y", "persistence", "recurrence27", "recurrence2x27").unpivot(["date", "lead", "y", "persistence"], ["recurrence27", "recurrence2x27"], "model", "f"))
@@ -111,7 +113,7 @@ def q_l2_bootstrap(spark, sf_dir):
     before = m.select("model", "date", (F.col("lead") + 1).alias("lead"), F.col("f").alias("b"))
     pairs = pairs.unionByName(m.where("lead > 1").join(first, ["model", "date"]).withColumn("comparison", F.lit("vs L1")))
     pairs = pairs.unionByName(m.where("lead > 2").join(before, ["model", "date", "lead"]).withColumn("comparison", F.lit("vs L-1")))
-    return block_bootstrap(pairs, "date", "y", "f", "b", ["model", "comparison", "lead"], resamples=100)
+    return block_bootstrap(pairs, "date", "y", "f", "b", ["model", "comparison", "lead"])
 
 
 def with_reference(spark, sf_dir, days: int = 3) -> DataFrame:
@@ -134,7 +136,7 @@ def q_by_target_day(spark, sf_dir):
 
 @query(f"""WITH {REF}, {EVENTS}, c AS (SELECT *, EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date) AS hit FROM dref),
     pairs AS (SELECT hit, target_day_k, 'model - ref' AS comparison, issue_date AS date, y, p AS a, ref AS b FROM c UNION ALL SELECT hit, target_day_k, 'blend - model', issue_date, y, blend, p FROM c),
-    ds AS (SELECT hit, target_day_k, comparison, date AS block, abs(y - a) - abs(y - b) AS v FROM pairs), {bootstrap_mean_sql("bm", "ds", ["hit", "target_day_k", "comparison"], 200)}, n AS (SELECT hit, target_day_k, comparison, count(*) AS n FROM pairs GROUP BY ALL)
+    ds AS (SELECT hit, target_day_k, comparison, date AS block, abs(y - a) - abs(y - b) AS v FROM pairs), {bootstrap_mean_sql("bm", "ds", ["hit", "target_day_k", "comparison"], 2000)}, n AS (SELECT hit, target_day_k, comparison, count(*) AS n FROM pairs GROUP BY ALL)
     SELECT hit, target_day_k, comparison, n, mean AS d_mae, lo AS d_mae_lo, hi AS d_mae_hi FROM bm JOIN n USING (hit, target_day_k, comparison)""")
 def q_cme_paired(spark, sf_dir):
     """Error differences on issue days with and without a recent event, with intervals from resampled days (the series is too short for months)."""
@@ -143,7 +145,7 @@ def q_cme_paired(spark, sf_dir):
     gap = lambda a, b: F.abs(F.col("y") - F.col(a)) - F.abs(F.col("y") - F.col(b))
     long = j.select("hit", "target_day_k", "issue_date", gap("p", "ref").alias("model - ref"), gap("blend", "p").alias("blend - model")).unpivot(["hit", "target_day_k", "issue_date"], ["model - ref", "blend - model"], "comparison", "v")
     keys = ["hit", "target_day_k", "comparison"]
-    b = bootstrap_mean(long, "v", F.col("issue_date"), keys, resamples=200).join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    b = bootstrap_mean(long, "v", F.col("issue_date"), keys).join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
     return b.select(*keys, "n", F.col("mean").alias("d_mae"), F.col("lo").alias("d_mae_lo"), F.col("hi").alias("d_mae_hi"))
 
 
@@ -165,8 +167,8 @@ def q_daily_derived(spark, sf_dir):
 
 
 L6 = f"""{ENS}, w AS (SELECT *, lag(y, 1) OVER (PARTITION BY lead_step_3h ORDER BY issue_date) AS ref FROM ens), l AS (SELECT CAST(h AS INTEGER) AS horizon, w.* FROM w JOIN (SELECT unnest([1, 2, 3]) AS h) ON target_day_k <= h WHERE ref IS NOT NULL),
-    ds AS (SELECT horizon, issue_date AS block, abs(p - y) - abs(ref - y) AS v FROM l), {bootstrap_mean_sql("b1", "ds", ["horizon"], 200)},
-    dc AS (SELECT * FROM l WHERE EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date)), dd AS (SELECT horizon, issue_date AS block, abs(p - y) - abs(ref - y) AS v FROM dc), {bootstrap_mean_sql("b2", "dd", ["horizon"], 200)}"""
+    ds AS (SELECT horizon, issue_date AS block, abs(p - y) - abs(ref - y) AS v FROM l), {bootstrap_mean_sql("b1", "ds", ["horizon"], 2000)},
+    dc AS (SELECT * FROM l WHERE EXISTS (SELECT 1 FROM cme WHERE day BETWEEN issue_date - 2 AND issue_date)), dd AS (SELECT horizon, issue_date AS block, abs(p - y) - abs(ref - y) AS v FROM dc), {bootstrap_mean_sql("b2", "dd", ["horizon"], 2000)}"""
 
 
 @query(f"""WITH {EVENTS}, {L6}, m AS (SELECT horizon, count(*) AS n, round(avg(abs(p - y)), 6) + 0.0 AS mae, {corr_sql('y', 'p')} AS cc, round(avg(abs(ref - y)), 6) + 0.0 AS mae_ref, {corr_sql('y', 'ref')} AS cc_ref FROM l GROUP BY 1)
@@ -180,7 +182,7 @@ def q_l6_length_curve(spark, sf_dir):
     days = flag_days(event_days(spark, sf_dir), catalog_of(spark, sf_dir, "error", 2), "day", 0, 2, "hit").where("hit").select(F.col("date").alias("issue_date"))
 
     def effect(rows: DataFrame, name: str) -> DataFrame:
-        b = bootstrap_mean(rows, "v", F.col("issue_date"), ["horizon"], resamples=200)
+        b = bootstrap_mean(rows, "v", F.col("issue_date"), ["horizon"])
         return b.select("horizon", F.col("mean").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
 
     return curve.join(effect(gap, "d_mae"), "horizon").join(effect(gap.join(days, "issue_date", "left_semi"), "event_d_mae"), "horizon", "left")
@@ -198,17 +200,18 @@ def q_metrics_3h(spark, sf_dir):
     return s.withColumn("g", F.explode(groups)).groupBy(F.col("g.day").alias("day"), F.col("g.bin").alias("bin")).agg(*three("y", "p"))
 
 
-Z = (-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)
 BANDS = (0.025, 0.16, 0.5, 0.84, 0.975)
 
 
-@query(f"""WITH {A.FORECAST}, q AS (SELECT issue_date, lead_step_3h, exp(mu + sigma * z) - 1 AS x FROM fc3, (SELECT unnest([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) AS z) WHERE target_day_k = 1)
-    SELECT issue_date, lead_step_3h, {", ".join(f"round(quantile_cont(x, {b}), 6) + 0.0 AS q{int(b * 1000)}" for b in BANDS)} FROM q GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {A.FORECAST}, g AS (SELECT issue_date, lead_step_3h, list(mu) AS mus, list(sigma) AS sigmas, min(mu - 9 * sigma) AS lo, max(mu + 9 * sigma) AS hi FROM fc3 WHERE target_day_k = 1 GROUP BY ALL),
+    b AS (SELECT g.*, p, 0 AS i FROM g, (SELECT unnest([{", ".join(map(str, BANDS))}]) AS p)
+        UNION ALL SELECT issue_date, lead_step_3h, mus, sigmas, CASE WHEN f < p THEN x ELSE lo END, CASE WHEN f < p THEN hi ELSE x END, p, i + 1
+        FROM (SELECT *, list_avg(list_transform(list_zip(mus, sigmas), lambda c: {phi_sql("((x - c[1]) / c[2])")})) AS f FROM (SELECT *, (lo + hi) / 2 AS x FROM b WHERE i < 48)))
+    SELECT issue_date, lead_step_3h, {", ".join(f"round(exp(max((lo + hi) / 2) FILTER (p = {p})) - 1, 6) + 0.0 AS q{int(p * 1000)}" for p in BANDS)} FROM b WHERE i = 48 GROUP BY 1, 2""")
 def q_mixture_bands(spark, sf_dir):
-    """Quantiles of the pooled samples of all seeds for each bin."""
-    f = A.forecast_3h(spark, sf_dir, 1).select("issue_date", "lead_step_3h", F.explode(F.transform(F.array(*[F.lit(z) for z in Z]), lambda z: F.expm1(F.col("mu") + F.col("sigma") * z))).alias("x"))
-    q = f.groupBy("issue_date", "lead_step_3h").agg(F.percentile("x", F.array(*[F.lit(b) for b in BANDS])).alias("q"))
-    return q.select("issue_date", "lead_step_3h", *[r6(F.get("q", i)).alias(f"q{int(b * 1000)}") for i, b in enumerate(BANDS)])
+    """Quantiles of the mixture of seeds for each bin, by inverting its distribution function."""
+    g = seed_mixtures(spark, sf_dir).withColumn("q", mixture("mus", "sigmas", "y", BANDS)["q"])
+    return g.select("issue_date", "lead_step_3h", *[r6(F.get("q", F.lit(i))).alias(f"q{int(p * 1000)}") for i, p in enumerate(BANDS)])
 
 
 @query(f"""WITH {A.FORECAST}, s AS (SELECT target_day_k, lead_step_3h, seed, avg(abs(exp(mu) - 1 - observed_ap)) AS mae FROM fc3 GROUP BY 1, 2, 3)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import contingency, gaussian_nll, r6, safe_corr, score
-from quietday.functions.distributions import crps_columns, normal_cdf
+from quietday.functions.distributions import mixture, normal_cdf
 from quietday.operators.bootstrap import block_bootstrap, block_bootstrap_sql, bootstrap_mean, bootstrap_mean_sql
 from quietday.plans.registry import query
 from quietday.plans.samples import BASE_SQL, baselines, looked_up
@@ -308,22 +308,51 @@ def q_gaussian_nll(spark, sf_dir):
     return A.forecast_3h(spark, sf_dir).select("issue_date", "lead_step_3h", "seed", r6(nll).alias("nll"))
 
 
-@query(f"""WITH {A.FORECAST}, q AS (SELECT issue_date, lead_step_3h, observed_ap AS y, exp(mu + sigma * z) - 1 AS x FROM fc3, (SELECT unnest([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) AS z) WHERE target_day_k = 1),
-    s AS (SELECT *, row_number() OVER (PARTITION BY issue_date, lead_step_3h ORDER BY x) AS i, count(*) OVER (PARTITION BY issue_date, lead_step_3h) AS n FROM q),
-    c AS (SELECT issue_date, lead_step_3h, y, avg(abs(x - y)) - sum(x * (2 * i - n - 1)) / max(n * n) AS crps, quantile_cont(x, 0.16) AS lo, quantile_cont(x, 0.84) AS hi, quantile_cont(x, 0.025) AS lo95, quantile_cont(x, 0.975) AS hi95 FROM s GROUP BY 1, 2, 3)
-    SELECT issue_date, lead_step_3h, round(crps, 6) + 0.0 AS crps, y BETWEEN lo AND hi AS in68, y BETWEEN lo95 AND hi95 AS in95 FROM c""")
+# The normal distribution function in SQL: a series of positive terms, z^(2n+1) over the double factorial of 2n+1, without cancellation.
+def phi_sql(z: str) -> str:
+    terms = f"list_sum(list_transform(range(160), lambda n: exp((2 * n + 1) * ln(abs({z})) - (n + 1) * ln(2.0) - lgamma(n + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {z} > 8 THEN 1.0 WHEN {z} < -8 THEN 0.0 WHEN abs({z}) < 1e-300 THEN 0.5 ELSE 0.5 + sign({z}) * exp(-0.5 * ({z}) * ({z})) / sqrt(2 * pi()) * {terms} END"
+
+
+MIXTURE = f"""{A.FORECAST}, one AS (SELECT *, exp(mu + sigma * sigma / 2) AS m, (ln(1 + observed_ap) - mu) / sigma AS z FROM fc3 WHERE target_day_k = 1),
+    near AS (SELECT issue_date, lead_step_3h, observed_ap AS y, avg((1 + observed_ap) * (2 * ({phi_sql("z")}) - 1) + m * (1 - 2 * ({phi_sql("(z - sigma)")}))) AS d, avg({phi_sql("z")}) AS f FROM one GROUP BY ALL),
+    two AS (SELECT a.issue_date, a.lead_step_3h, a.m AS ma, b.m AS mb, (a.mu - b.mu + a.sigma * a.sigma) / sqrt(a.sigma * a.sigma + b.sigma * b.sigma) AS za, (b.mu - a.mu + b.sigma * b.sigma) / sqrt(a.sigma * a.sigma + b.sigma * b.sigma) AS zb
+        FROM one a JOIN one b USING (issue_date, lead_step_3h)),
+    apart AS (SELECT issue_date, lead_step_3h, avg(2 * (ma * ({phi_sql("za")}) + mb * ({phi_sql("zb")})) - ma - mb) AS d FROM two GROUP BY ALL)"""
+
+
+@query(f"""WITH {MIXTURE} SELECT issue_date, lead_step_3h, round(near.d - apart.d / 2, 6) + 0.0 AS crps, f BETWEEN 0.16 AND 0.84 AS in68, f BETWEEN 0.025 AND 0.975 AS in95 FROM near JOIN apart USING (issue_date, lead_step_3h)""")
 def q_crps(spark, sf_dir):
-    """CRPS of the mixture of seeds, each sampled at fixed normal quantiles."""
-    z = F.array(*[F.lit(x) for x in (-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)])
-    f = A.forecast_3h(spark, sf_dir, 1).withColumn("x", F.transform(z, lambda q: F.expm1(F.col("mu") + F.col("sigma") * q)))
-    g = f.groupBy("issue_date", "lead_step_3h").agg(F.flatten(F.collect_list("x")).alias("s"), F.max("observed_ap").alias("y"))
-    c = g.withColumn("c", crps_columns("s", "y"))
-    return c.select("issue_date", "lead_step_3h", r6(F.col("c.crps")).alias("crps"), F.col("c.in68").alias("in68"), F.col("c.in95").alias("in95"))
+    """CRPS of the mixture of seeds, exactly, and whether its central 68 and 95 % hold the observation."""
+    return mixture_scores(spark, sf_dir).select("issue_date", "lead_step_3h", r6(F.col("crps")).alias("crps"), "in68", "in95")
+
+
+def seed_mixtures(spark, sf_dir, days: int = 1) -> DataFrame:
+    """issue_date, lead_step_3h, mus and sigmas of all seeds, y."""
+    f = A.forecast_3h(spark, sf_dir, days)
+    return f.groupBy("issue_date", "lead_step_3h").agg(F.collect_list("mu").alias("mus"), F.collect_list("sigma").alias("sigmas"), F.max("observed_ap").alias("y"))
+
+
+def mixture_scores(spark, sf_dir) -> DataFrame:
+    """issue_date, lead_step_3h, y, crps, in68, in95 of the first day's bins."""
+    g = seed_mixtures(spark, sf_dir).withColumn("s", mixture("mus", "sigmas", "y", (0.16, 0.84, 0.025, 0.975)))
+    q = lambda i: F.get("s.q", F.lit(i))
+    return g.select("issue_date", "lead_step_3h", "y", "s.crps", F.col("y").between(q(0), q(1)).alias("in68"), F.col("y").between(q(2), q(3)).alias("in95"))
+
+
+@query(f"""WITH {MIXTURE}, c AS (SELECT avg(near.d - apart.d / 2) AS crps, avg(CASE WHEN f BETWEEN 0.16 AND 0.84 THEN 1.0 ELSE 0.0 END) AS c68, avg(CASE WHEN f BETWEEN 0.025 AND 0.975 THEN 1.0 ELSE 0.0 END) AS c95, count(*) AS n, y >= 48 AS storm
+        FROM near JOIN apart USING (issue_date, lead_step_3h) GROUP BY y >= 48)
+    SELECT storm, n, round(crps, 6) + 0.0 AS crps_3h, round(c68, 6) + 0.0 AS cover68_3h, round(c95, 6) + 0.0 AS cover95_3h FROM c""")
+def q_mixture_cover(spark, sf_dir):
+    """Mean CRPS and coverage of the mixture, on storm bins and on others."""
+    return mixture_scores(spark, sf_dir).groupBy((F.col("y") >= 48).alias("storm")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("crps")).alias("crps_3h"), r6(F.avg(F.col("in68").cast("double"))).alias("cover68_3h"), r6(F.avg(F.col("in95").cast("double"))).alias("cover95_3h")
+    )
 
 
-@query()
+@query(f"""WITH {A.FORECAST}, z AS (SELECT issue_date, lead_step_3h, (ln(49.0) - mu) / sigma AS z FROM fc3) SELECT issue_date, lead_step_3h, round(avg(1 - ({phi_sql("z")})), 6) + 0.0 AS p48 FROM z GROUP BY 1, 2""")
 def q_exceedance(spark, sf_dir):
-    """The mean over seeds of P(ap >= 48); the normal CDF has no SQL form, tests compare it."""
+    """The mean over seeds of P(ap >= 48)."""
     f = A.forecast_3h(spark, sf_dir).withColumn("p48", F.lit(1.0) - normal_cdf((F.log1p(F.lit(48.0)) - F.col("mu")) / F.col("sigma")))
     return f.groupBy("issue_date", "lead_step_3h").agg(r6(F.avg("p48")).alias("p48"))
 
@@ -342,35 +371,35 @@ def q_length_neighbours(spark, sf_dir):
     return m.select("model", "lead", F.lag("lead").over(w).alias("shorter"), r6(F.col("mae") - F.lag("mae").over(w)).alias("d_mae"))
 
 
-BB = f"""WITH {LONG_SQL}, src AS (SELECT date, lead, y, recurrence27 AS a, persistence AS b FROM fb WHERE y IS NOT NULL AND recurrence27 IS NOT NULL AND persistence IS NOT NULL AND date >= DATE '1999-01-01')"""
+BB = f"""WITH {LONG_SQL}, src AS (SELECT date, lead, y, recurrence27 AS a, persistence AS b FROM fb WHERE y IS NOT NULL AND recurrence27 IS NOT NULL AND persistence IS NOT NULL)"""
 
 
-@query(f"""{BB}, {block_bootstrap_sql("bb", "src", ["lead"], 400)} SELECT * FROM bb""")
+@query(f"""{BB}, {block_bootstrap_sql("bb", "src", ["lead"], 1000)} SELECT * FROM bb""")
 def q_block_bootstrap(spark, sf_dir):
     """Recurrence against persistence at each lead, months resampled."""
-    b = baselines(A.daily(spark, sf_dir)).where("y is not null and recurrence27 is not null and persistence is not null and date >= date'1999-01-01'")
-    return block_bootstrap(b.select("date", "lead", "y", "recurrence27", "persistence"), "date", "y", "recurrence27", "persistence", ["lead"], resamples=400)
+    b = baselines(A.daily(spark, sf_dir)).where("y is not null and recurrence27 is not null and persistence is not null")
+    return block_bootstrap(b.select("date", "lead", "y", "recurrence27", "persistence"), "date", "y", "recurrence27", "persistence", ["lead"])
 
 
-@query(f"""WITH {ENS}, src AS (SELECT target_day_k, issue_date AS block, avg(p - y) AS v FROM ens GROUP BY 1, 2), {bootstrap_mean_sql("bm", "src", ["target_day_k"], 400)} SELECT * FROM bm""")
+@query(f"""WITH {ENS}, src AS (SELECT target_day_k, issue_date AS block, avg(p - y) AS v FROM ens GROUP BY 1, 2), {bootstrap_mean_sql("bm", "src", ["target_day_k"], 2000)} SELECT * FROM bm""")
 def q_boot_iid(spark, sf_dir):
     """The mean of daily errors, days resampled one by one."""
     e = ensemble(A.forecast_3h(spark, sf_dir)).groupBy("target_day_k", "issue_date").agg(F.avg(F.col("p") - F.col("y")).alias("d"))
-    return bootstrap_mean(e, "d", F.col("issue_date"), ["target_day_k"], resamples=400)
+    return bootstrap_mean(e, "d", F.col("issue_date"), ["target_day_k"])
 
 
-@query(f"""WITH {ENS}, src AS (SELECT target_day_k, issue_date AS block, abs(p - y) AS v FROM ens), {bootstrap_mean_sql("bm", "src", ["target_day_k"], 400)} SELECT * FROM bm""")
+@query(f"""WITH {ENS}, src AS (SELECT target_day_k, issue_date AS block, abs(p - y) AS v FROM ens), {bootstrap_mean_sql("bm", "src", ["target_day_k"], 2000)} SELECT * FROM bm""")
 def q_boot_table(spark, sf_dir):
     """The mean error over a table of days and bins, whole days resampled."""
     e = ensemble(A.forecast_3h(spark, sf_dir)).select("target_day_k", "issue_date", F.abs(F.col("p") - F.col("y")).alias("d"))
-    return bootstrap_mean(e, "d", F.col("issue_date"), ["target_day_k"], resamples=400)
+    return bootstrap_mean(e, "d", F.col("issue_date"), ["target_day_k"])
 
 
-@query(f"""WITH {LONG_SQL}, src AS (SELECT lead, model, date_trunc('month', date) AS block, abs(y - f) AS v FROM fl WHERE y IS NOT NULL AND f IS NOT NULL), {bootstrap_mean_sql("bm", "src", ["lead", "model"], 100)} SELECT * FROM bm""")
+@query(f"""WITH {LONG_SQL}, src AS (SELECT lead, model, date_trunc('month', date) AS block, abs(y - f) AS v FROM fl WHERE y IS NOT NULL AND f IS NOT NULL), {bootstrap_mean_sql("bm", "src", ["lead", "model"], 2000)} SELECT * FROM bm""")
 def q_boot_blocks(spark, sf_dir):
     """The mean error of each model and lead, months resampled."""
     e = long_form(baselines(A.daily(spark, sf_dir))).where("y is not null and f is not null").select("lead", "model", "date", F.abs(F.col("y") - F.col("f")).alias("d"))
-    return bootstrap_mean(e, "d", F.trunc("date", "month"), ["lead", "model"], resamples=100)
+    return bootstrap_mean(e, "d", F.trunc("date", "month"), ["lead", "model"])
 
 
 @query(f"WITH {LONG_SQL} SELECT model, lead, round(avg(abs(y - f)), 6) + 0.0 AS mae FROM fl GROUP BY 1, 2 ORDER BY mae, model, lead LIMIT 10")
