@@ -22,6 +22,8 @@ from quietday.llm.common import cut, scratch_path, text_or_empty
 PARTING = r"[.!?][ \t]+|\n+"
 #: Cells of a row in a fingerprint. A sketch for n differing digests gets PER_DIGEST n + SPARE cells in each of its three rows.
 FINGERPRINT_CELLS, PER_DIGEST, SPARE = 4, 0.7, 6
+#: Keys (of 16 bytes) that are broadcast to pick the texts of failed pairs; beyond, both sides are shuffled.
+PICKED = 1_000_000
 #: Times that all three rows are peeled; a pair that is not done by then counts as failed.
 TURNS = 3
 #: A prime, and factors for checks and for the third row's places (fixed values, below 2^31).
@@ -163,6 +165,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("pair", F.unhex(F.md5(F.concat(name, F.lit(":"), F.col("text")))))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Repeated rows shrunk to one, before texts meet."""
+    return rows.groupBy("pair").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """pair, again, times, next, half: which row comes next in ascending order of doc_id (null first) and text hash; after the last, the first.
 
@@ -243,8 +250,9 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
     links = _links(rows)
-    if not links.where("again").isEmpty():  # repeated rows shrink to one before texts meet
-        rows = rows.groupBy("pair").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    repeated = not links.where("again").isEmpty()
+    if repeated:
+        rows = _once(rows)
     done = None
     while True:
         path = scratch_path(spark, "likeness")
@@ -256,8 +264,12 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if failed.isEmpty():
             break
         grow *= 2
-        path = scratch_path(spark, "failed-pairs")
-        links.join(failed, _KEY, "left_semi").write.parquet(path)  # few, and their size is known to the joins
-        links = spark.read.parquet(path)
+        links = cut(links.join(failed, _KEY, "left_semi"))
+        wanted = cut(links.select("pair").union(links.select("next")).distinct())
+        # the texts of few pairs are picked out where they are read, without a shuffle of all texts
+        wanted = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
+        rows = _keyed(docs, id_col, text_col).join(wanted, "pair", "left_semi")
+        if repeated:
+            rows = _once(rows)
     done = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", _like("na", "nb", "d0").alias("near_edited"), _like("na", "nc", "d1").alias("near_next"), "next_id")
