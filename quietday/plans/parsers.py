@@ -11,6 +11,7 @@ from quietday.plans.registry import query
 from quietday.session import scratch_path
 from quietday.sources import adapters as A
 from quietday.sources import reports as R
+from quietday.sources.array_files import read_arrays, seed_groups, write_arrays
 
 @query(f"WITH {C.WHOLE} SELECT date, CAST(date AS TIMESTAMP) + to_hours(3 * bin) AS time, CASE WHEN ap IS NOT NULL THEN round(ap % 28 / 3, 3) END AS kp, CAST(ap AS DOUBLE) AS ap FROM wb")
 def q_gfz_parse(spark, sf_dir):
@@ -103,20 +104,21 @@ def q_archive_anomalies(spark, sf_dir):
     return j.select("doc_id", F.array_min(F.transform("o", lambda x: x["least"])).alias("twin_id"), F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
 
 
-@query("""WITH f AS (SELECT DISTINCT event_type, CAST(user_id % 7 AS INTEGER) AS len, CAST(event_id % 3 AS INTEGER) AS seed FROM events)
-    SELECT 'l6' AS tag, 'A' AS split, event_type AS model, len AS history, count(*) AS n_seeds, 'l6_ckpt_A_' || event_type || '_L' || len || '_s' || min(seed) || '.parquet' AS checkpoint FROM f GROUP BY event_type, len HAVING count(*) = 3""")
+@query("""WITH f AS (SELECT event_type, CAST(user_id % 7 AS INTEGER) AS len, CAST(event_id % 3 AS INTEGER) AS seed, count(*) AS n, avg(ln(1 + value)) AS mu, min(value) AS low, max(value) AS high FROM events WHERE value < 200 GROUP BY 1, 2, 3)
+    SELECT 'l6' AS tag, 'A' AS split, event_type AS model, len AS history, count(*) AS n_seeds, 'l6_ckpt_A_' || event_type || '_L' || len || '_s' || min(seed) || '.npz' AS checkpoint,
+        round(avg(mu), 6) + 0.0 AS mu, round(avg(low), 6) + 0.0 AS low, round(avg(high), 6) + 0.0 AS high, round(avg(n), 6) + 0.0 AS n FROM f GROUP BY event_type, len HAVING count(*) = 3""")
 def q_runs_registry(spark, sf_dir):
-    """Keys from file names; groups with exactly three seeds, and the first one's checkpoint."""
-    e = A.read(spark, sf_dir, "events").select(F.col("event_type").alias("label"), (F.col("user_id") % 7).alias("len"), (F.col("event_id") % 3).alias("seed")).distinct()
+    """Runs stored as array files, one a seed: keys from their names, the groups with exactly three seeds, the first one's checkpoint, and the seeds' mean of what the files hold."""
+    seed = A.read(spark, sf_dir, "events").where("value < 200").select(F.col("event_type").alias("label"), (F.col("user_id") % 7).alias("len"), (F.col("event_id") % 3).alias("seed"), "value")
+    runs = seed.groupBy("label", "len", "seed").agg(F.avg(F.log1p("value")).alias("m"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).cast("double").alias("n"))
+    name = F.concat(F.lit("l6_preds_A_"), "label", F.lit("_L"), "len", F.lit("_s"), "seed", F.lit(".npz"))
     root = scratch_path(spark, "runs")
-    name = F.concat(F.lit("l6_preds_A_"), "label", F.lit("_L"), "len", F.lit("_s"), "seed", F.lit(".parquet"))
-    # names are listed by the writer; what is read back are names, never contents
-    e.select(name.alias("value")).write.text(root)
-    p = r"^(\w+?)_preds_([A-Z])_(\w+?)_L(\d+)_s(\d+)\.parquet$"
-    f = spark.read.text(root).select(F.col("value").alias("name")).where(F.col("name").rlike(p))
-    keys = [F.regexp_extract("name", p, i).alias(k) for i, k in enumerate(("tag", "split", "model"), 1)]
-    g = f.groupBy(*keys, F.regexp_extract("name", p, 4).cast("int").alias("history")).agg(F.count(F.lit(1)).alias("n_seeds"), F.min("name").alias("name"))
-    return g.where("n_seeds = 3").withColumn("checkpoint", F.regexp_replace("name", "_preds_", "_ckpt_")).drop("name")
+    write_arrays(runs.select(name.alias("name"), F.array("m").alias("mu"), F.array("low", "high", "n").alias("facts")), root, ["mu", "facts"])
+    files = read_arrays(spark, root, ["mu", "facts"], r"(?P<tag>\w+?)_preds_(?P<split>[A-Z])_(?P<model>\w+?)_L(?P<history>\d+)_s(?P<seed>\d+)\.npz")
+    g = seed_groups(files, ["tag", "split", "model", "history"], ["mu", "facts"])
+    fact = lambda c, i, name: r6(F.get(c, F.lit(i))).alias(name)
+    checkpoint = F.regexp_replace("first_name", "_preds_", "_ckpt_").alias("checkpoint")
+    return g.select("tag", "split", "model", F.col("history").cast("int").alias("history"), "n_seeds", checkpoint, fact("mu", 0, "mu"), *[fact("facts", i, c) for i, c in enumerate(("low", "high", "n"))])
 
 
 @query(f"""WITH {C.ERUPTIONS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-CME-' || event_id AS cme_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN value ELSE value * 2 END AS speed,

@@ -29,8 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from quietday.session import ship
 
-#: Files that one partition reads; more partitions than MOST_PARTITIONS are never planned.
-FILES, MOST_PARTITIONS = 1, 10_000
+#: More partitions than this are never planned.
+MOST_PARTITIONS = 10_000
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -57,11 +57,12 @@ class ArrayReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: T.StructType):
         self.path, self.arrays, self.schema = options["path"], _arrays(options), schema
         self.pattern = re.compile(options.get("pattern", r".+\.np[yz]"))
+        self.files = int(options.get("files", "1"))
         self.only = {k: set(map(str, v)) for k, v in json.loads(options.get("only", "{}")).items()}
 
     def partitions(self) -> list[Files]:
         names = [n for n in _listed(self.path) if (m := self.pattern.fullmatch(n)) and all(({"name": n} | m.groupdict())[c] in v for c, v in self.only.items())]
-        each = max(FILES, -(-len(names) // MOST_PARTITIONS))
+        each = max(self.files, -(-len(names) // MOST_PARTITIONS))
         return [Files(names[i : i + each]) for i in range(0, len(names), each)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 class ArrayFiles(DataSource):
-    """options: path, arrays (names, joined by commas; default `values`); reading: pattern, only (JSON: key -> values that choose the files); writing: dtype (default float64).
+    """options: path, arrays (names, joined by commas; default `values`); reading: pattern, only (JSON: key -> values that choose the files), files (read by one partition, one after the other; default 1); writing: dtype (default float64).
 
     Files are chosen by an option and not by filter pushdown: a reader that took a filter is kept by Spark for later queries on the same DataFrame.
     """
@@ -166,10 +167,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArrayFiles)
 
 
-def read_arrays(spark: SparkSession, path: str, arrays: list[str], pattern: str = r".+\.np[yz]", only: dict[str, list[str]] | None = None) -> DataFrame:
-    """name, the pattern's named groups, and of each array its values and shape, for each file that matches; `only` lists the values of keys (or names) whose files are opened."""
+def read_arrays(spark: SparkSession, path: str, arrays: list[str], pattern: str = r".+\.np[yz]", only: dict[str, list[str]] | None = None, files: int = 1) -> DataFrame:
+    """name, the pattern's named groups, and of each array its values and shape, for each file that matches; `only` lists the values of keys (or names) whose files are opened, `files` how many (small ones) a partition takes."""
     register(spark)
-    return spark.read.format("arrays").option("arrays", ",".join(arrays)).option("pattern", pattern).option("only", json.dumps(only or {})).load(path)
+    return spark.read.format("arrays").option("arrays", ",".join(arrays)).option("pattern", pattern).option("only", json.dumps(only or {})).option("files", files).load(path)
 
 
 def write_arrays(rows: DataFrame, path: str, arrays: list[str], dtype: str = "float64") -> None:
