@@ -1,7 +1,8 @@
-"""Time joins as equi-joins: nearest with tolerance, backward with a gap, bands of days.
+"""Time joins without nested loops: nearest and latest frame by merging, backward with a gap, bands of days.
 
-A time condition alone would plan as a nested loop. Here time is cut into buckets as wide as the
-tolerance; one side is repeated to the neighbouring buckets, and the join hashes on the bucket.
+For the nearest or latest frame both sides are put on one time line, and a window carries the last frame to the targets that follow
+it. So rows grow with targets plus frames, however many frames lie within a tolerance. Time lines are cut into pieces, so that a source
+that holds most frames is spread over tasks; frames near a cut also stand in the next piece.
 """
 
 from __future__ import annotations
@@ -15,25 +16,45 @@ def seconds(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("SECOND", earlier, later)
 
 
-def _epoch(c: Column) -> Column:
-    return F.unix_timestamp(c.cast("timestamp"))
+#: Shortest piece of a time line, in seconds.
+PIECE = 86_400
+
+
+def _line(targets: DataFrame, frames: DataFrame, target_t: Column, frame_time: str, path: str, keys: list[str], before_s: int, after_s: int) -> DataFrame:
+    """keys, _p (piece), _t (microseconds), _row (a target's columns) or _ft, _fp (a frame's): both sides on cut time lines.
+
+    A frame stands in the pieces of all moments from `before_s` before it to `after_s` after it, a target in its own. Frames without a time or key match nothing.
+    """
+    width = max(PIECE, 4 * (before_s + after_s)) * 1_000_000
+    piece = lambda t: F.floor(t / width)
+    t = targets.select(*keys, target_t.alias("_t"), F.struct(*targets.columns).alias("_row")).withColumn("_p", piece(F.col("_t")))
+    f = frames.select(*keys, _micros(F.col(frame_time)).alias("_t"), F.struct(F.col(frame_time).alias("t"), F.col(path).alias("p")).alias("_f")).dropna(subset=[*keys, "_t"])
+    f = f.withColumn("_p", F.explode(F.sequence(piece(F.col("_t") - before_s * 1_000_000), piece(F.col("_t") + after_s * 1_000_000))))
+    return t.unionByName(f, allowMissingColumns=True)
 
 
 def nearest(targets: DataFrame, frames: DataFrame, target_time: str, frame_time: str, tolerance_s: int, keys: list[str], path: str) -> DataFrame:
     """Each target row with the nearest frame's time, path and signed offset in minutes; nulls if none is near.
 
-    The tolerance counts in. Ties go to the earlier frame, and among frames of one time to the
-    smaller path. `targets` rows must be distinct.
+    Of the last frame before a target and the first one at it or after it the nearer counts, in whole seconds; the tolerance counts in.
+    Ties go to the earlier frame, and among frames of one time to the smaller path. Repeated targets stay; a target without a time or key
+    has no frame.
     """
-    t = targets.withColumn("_b", F.floor(_epoch(F.col(target_time)) / tolerance_s))
-    f = frames.select(*keys, F.col(frame_time).alias("_ft"), F.col(path).alias("_fp")).withColumn(
-        "_b", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda d: d + F.floor(_epoch(F.col("_ft")) / tolerance_s)))
-    )
-    gap = seconds(F.col("_ft"), F.col(target_time))
-    hit = t.join(f, [*keys, "_b"]).where(F.abs(gap) <= tolerance_s)
-    best = hit.groupBy(*targets.columns).agg(F.min(F.struct(F.abs(gap).alias("d"), F.col("_ft").alias("t"), F.col("_fp").alias("p"), gap.alias("g"))).alias("_m"))
-    picked = best.select(*targets.columns, F.col("_m.t").alias("datetime"), F.col("_m.p").alias("file_path"), (F.col("_m.g") / 60.0).alias("offset_min"))
-    return targets.join(picked, targets.columns, "left")
+    reach = tolerance_s + 1  # seconds are truncated
+    line = _line(targets, frames, _micros(F.col(target_time)), frame_time, path, keys, reach, reach).withColumn("_own", F.col("_row").isNotNull().cast("int"))
+    by = Window.partitionBy(*keys, "_p")
+    so_far = lambda *order: F.last("_f", ignorenulls=True).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    smaller_last = F.col("_f.p").desc()
+    # going forward a target comes before frames of its time, going backward after them
+    line = line.withColumn("_left", so_far(F.col("_t").asc(), F.col("_own").desc(), smaller_last)).withColumn("_right", so_far(F.col("_t").desc(), F.col("_own").asc(), smaller_last))
+    hit = line.where("_own = 1").select("_row.*", "_left", "_right")
+    gap = lambda side: seconds(F.col(f"{side}.t"), F.col(target_time))
+    near = lambda side: F.when(F.abs(gap(side)) <= tolerance_s, gap(side))
+    hit = hit.withColumns({"_gl": near("_left"), "_gr": near("_right")})
+    right = F.col("_gr").isNotNull() & (F.col("_gl").isNull() | (F.abs("_gr") < F.abs("_gl")))
+    chosen = F.when(right, F.col("_right")).when(F.col("_gl").isNotNull(), F.col("_left"))
+    offset = F.when(right, F.col("_gr")).otherwise(F.col("_gl")) / 60.0
+    return hit.select(*targets.columns, chosen["t"].alias("datetime"), chosen["p"].alias("file_path"), offset.alias("offset_min"))
 
 
 def with_predecessor(frames: DataFrame, time: str, low_s: int, high_s: int, keys: list[str]) -> DataFrame:
@@ -57,16 +78,18 @@ def _micros(t: Column) -> Column:
 
 
 def latest_before(targets: DataFrame, frames: DataFrame, target_time: str, frame_time: str, low_s: int, high_s: int, keys: list[str], path: str) -> DataFrame:
-    """Each target row with the latest frame between low and high seconds before it; nulls if none."""
-    t = targets.withColumn("_b", F.floor(_epoch(F.col(target_time)) / high_s))
-    f = frames.select(*keys, F.col(frame_time).alias("_ft"), F.col(path).alias("_fp")).withColumn(
-        "_b", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda d: d + F.floor(_epoch(F.col("_ft")) / high_s)))
-    )
-    gap = _micros(F.col(target_time)) - _micros(F.col("_ft"))
-    hit = t.join(f, [*keys, "_b"]).where(gap.between(low_s * 1_000_000, high_s * 1_000_000))
-    best = hit.groupBy(*targets.columns).agg(F.max(F.struct(F.col("_ft").alias("t"), F.col("_fp").alias("p"))).alias("_m"))
-    picked = best.select(*targets.columns, F.col("_m.t").alias("prev_time"), F.col("_m.p").alias("prev_path"))
-    return targets.join(picked, targets.columns, "left")
+    """Each target row with the latest frame between low and high seconds before it, both counted in; nulls if none.
+
+    Among frames of one time the greater path counts. Repeated targets stay; a target without a time or key has no frame.
+    """
+    latest = _micros(F.col(target_time)) - low_s * 1_000_000
+    line = _line(targets, frames, latest, frame_time, path, keys, 0, high_s - low_s)
+    order = Window.partitionBy(*keys, "_p").orderBy(F.col("_t").asc(), F.col("_row").isNotNull(), F.col("_f.p").asc())
+    line = line.withColumn("_last", F.last("_f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = line.where(F.col("_row").isNotNull()).select("_row.*", "_last")
+    gap = _micros(F.col(target_time)) - _micros(F.col("_last.t"))
+    found = F.when(gap <= high_s * 1_000_000, F.col("_last"))
+    return hit.select(*targets.columns, found["t"].alias("prev_time"), found["p"].alias("prev_path"))
 
 
 def band_days(events: DataFrame, day: str, before: int, after: int) -> DataFrame:

@@ -57,6 +57,37 @@ def test_predecessor_and_latest_before(spark):
     assert [r["prev_path"] for r in p] == [None, None, "1", None, "3"]
 
 
+def test_dense_frames_pass_once(spark):
+    """Many frames within the tolerance of each target, also of one time, across cuts and sources: equal to a plain search, in rows that grow with both sides."""
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    times = [start + dt.timedelta(seconds=rng.randrange(3 * 86_400), microseconds=rng.randrange(2) * 500_000) for _ in range(3000)]
+    rows = [(rng.choice("ab"), t, f"f{rng.randrange(10_000):05d}") for t in times + times[:300]] + [(None, start, "x"), ("a", None, "y")]
+    f = spark.createDataFrame(rows, "source string, datetime timestamp_ntz, file_path string").repartition(3)
+    wanted = [(rng.choice("abc"), start + dt.timedelta(seconds=rng.randrange(-9000, 3 * 86_400 + 9000))) for _ in range(200)] + [("a", rows[0][1]), ("a", start + dt.timedelta(days=1)), (None, start), ("a", None)]
+    t = spark.createDataFrame(wanted + wanted[:5], "source string, slot_time timestamp_ntz")
+    for tolerance in (1, 60, 7200):
+        got = nearest(t, f, "slot_time", "datetime", tolerance, ["source"], "file_path")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Cartesian" not in plan
+        for s, at, when, path, offset in got.collect():
+            own = [(x, p) for k, x, p in rows if k is not None and k == s and x is not None] if at else []
+            left, right = [x for x, _ in own if at and x < at], [x for x, _ in own if at and x >= at]
+            gaps = [(int((at - x).total_seconds()), i, x) for i, x in enumerate([max(left, default=None), min(right, default=None)]) if x is not None and i == 0]
+            gaps += [(int((min(right) - at).total_seconds()), 1, min(right))] if right else []
+            gaps = sorted(g for g in gaps if g[0] <= tolerance)
+            if not gaps:
+                assert when is None and path is None and offset is None
+            else:
+                d, side, x = gaps[0]
+                assert (when, path, offset) == (x, min(p for y, p in own if y == x), pytest.approx((d if side else -d) / 60))
+        assert got.count() == len(wanted) + 5
+    for low, high in ((0, 30), (360, 1800), (10, 200_000)):
+        for s, at, when, path in latest_before(t, f, "slot_time", "datetime", low, high, ["source"], "file_path").collect():
+            own = [(x, p) for k, x, p in rows if k is not None and k == s and x is not None and at and dt.timedelta(seconds=low) <= at - x <= dt.timedelta(seconds=high)]
+            assert (when, path) == max(own, default=(None, None))
+
+
 def test_band_of_three_days(spark):
     days = spark.sql("select explode(sequence(date'2020-01-04', date'2020-01-08')) as date")
     e = spark.createDataFrame([(dt.date(2020, 1, 5),), (dt.date(2020, 1, 5),)], "day date")
