@@ -1,37 +1,69 @@
-"""Exact quantiles of a large column without sending it to one task."""
+"""Exact quantiles of a large column by selection: brackets that shrink by rounds, and never many rows in one task.
+
+The column is written once. Each round asks a sketch for two values around the wanted rank, among the rows that are still in the
+bracket, and counts exactly what lies below, at and between them. That settles the rank on one of the two values or leaves a bracket of some
+thousandths of the rows; a bracket of at most RANKED rows is sorted. So a round is two passes over one narrow column, and
+a column of 10^11 rows takes three rounds. Columns of few different values need no more: a value that holds the rank ends the search.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Relative accuracy of the sketch that brackets the quantile: so many parts of the rows are in a bracket.
-PARTS = 10_000
+from quietday.session import cut
+
+#: Relative accuracy of the sketch, and rows of a bracket that are sorted.
+PARTS, RANKED = 10_000, 100_000
+
+
+def value_at(values: DataFrame, rank: int, n: int, parts: int = PARTS, ranked: int = RANKED) -> float:
+    """The value of a rank (from 0) among the n non-null numbers of the one column of `values`, which should be cheap to read again."""
+    v = F.col(values.columns[0])
+    inside, below, size = values.where(v.isNotNull()), 0, n
+    while size > ranked:
+        at = (rank - below) / size
+        around = [max(0.0, at - 2 / parts), min(1.0, at + 2 / parts)]
+        a, b = inside.agg(F.percentile_approx(v, F.array(*[F.lit(x) for x in around]), parts)).first()[0]
+        between = (v > a) & (v < b)
+        less, at_a, mid, at_b = inside.agg(F.count_if(v < a), F.count_if(v == a), F.count_if(between), F.count_if((v == b) & (v > a))).first()
+        if rank < below + less:
+            inside, size = inside.where(v < a), less
+        elif rank < below + less + at_a:
+            return a
+        elif rank < below + less + at_a + mid:
+            inside, below, size = inside.where(between), below + less + at_a, mid
+        elif rank < below + less + at_a + mid + at_b:
+            return b
+        else:
+            gone = less + at_a + mid + at_b
+            inside, below, size = inside.where(v > b), below + gone, size - gone
+    return inside.orderBy(v).offset(rank - below).limit(1).first()[0]
+
+
+def quantile_of(values: DataFrame, q: float, parts: int = PARTS, ranked: int = RANKED) -> float | None:
+    """The quantile, interpolated between the two ranks around it, of the non-null numbers of a one-column table; None without any. NaN counts as greatest."""
+    n = values.where(F.col(values.columns[0]).isNotNull()).count()
+    if not n:
+        return None
+    place = (n - 1) * q
+    low = int(place)
+    a = value_at(values, low, n, parts, ranked)
+    if place == low:
+        return a
+    v = F.col(values.columns[0])
+    # the next rank holds the same value or the least one above it
+    upto, above = values.agg(F.count_if(v <= a), F.min(F.when(v > a, v))).first()
+    b = a if upto > low + 1 else above
+    return a + (b - a) * (place - low)
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, name: str, *others: Column) -> DataFrame:
+def exact_quantile(df: DataFrame, value: str, q: float, name: str, *others: Column, parts: int = PARTS, ranked: int = RANKED) -> DataFrame:
     """One row: the interpolated quantile of the non-null values as `name`, and other aggregates of all rows.
 
-    A sketch brackets the quantile within a few ten-thousandths of the rows; the rows below the bracket are
-    counted, and only those inside are ranked. `df` is read twice. Without values the quantile is null.
+    `df` is read once and written to the shared folder, with all its columns if there are `others`. Without values the quantile is null.
     """
-    rows = df.where(F.col(value).isNotNull())
-    around = [max(0.0, q - 2 / PARTS), min(1.0, q + 2 / PARTS)]
-    ends = F.percentile_approx(value, F.array(*[F.lit(x) for x in around]), PARTS)
-    found = rows.agg(F.count(value).alias("_n"), F.get(ends, 0).alias("_lo"), F.get(ends, 1).alias("_hi"), F.min(value).alias("_least"), F.max(value).alias("_most"))
-    at = (F.col("_n") - 1) * F.lit(q)
-    # one row; near the ends of the ranks, and with few rows, the bracket reaches to the extremes
-    few = F.col("_n") <= PARTS
-    low_end, high_end = few | (F.col("_at") < 2 * F.col("_n") / PARTS), few | (F.col("_at") > F.col("_n") - 1 - 2 * F.col("_n") / PARTS)
-    found = found.withColumn("_at", at).withColumn("_lo", F.when(low_end, F.col("_least")).otherwise(F.col("_lo"))).withColumn("_hi", F.when(high_end, F.col("_most")).otherwise(F.col("_hi")))
-    marked = rows.select(value).join(F.broadcast(found))
-    below = marked.where(F.col(value) < F.col("_lo")).agg(F.count(F.lit(1)).alias("_below"))
-    inside = marked.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).groupBy(value).agg(F.count(F.lit(1)).alias("_c"), F.first("_at").alias("_at"))
-    # distinct values of the bracket with the ranks they take
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_last", F.sum("_c").over(run) - 1).join(F.broadcast(below)).withColumn("_last", F.col("_last") + F.col("_below")).withColumn("_first", F.col("_last") - F.col("_c") + 1)
-    holds = lambda rank: F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col(value)))
-    low, part = F.floor("_at"), F.max(F.col("_at") - F.floor("_at"))
-    got = ranked.agg(holds(low).alias("_a"), holds(F.ceil("_at")).alias("_b"), part.alias("_part"))
-    out = got.select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias(name))
-    return out.join(F.broadcast(df.agg(*others))) if others else out
+    kept = cut(df if others else df.select(value))
+    found = quantile_of(kept.select(F.col(value).cast("double").alias(value)), q, parts, ranked)
+    quantile = F.lit(found).cast("double").alias(name)
+    return kept.agg(*others).select(quantile, "*") if others else df.sparkSession.range(1).select(quantile)

@@ -344,11 +344,13 @@ def q_calibrate(spark, sf_dir):
     at = 0.999 * (F.size("flat") - 1)
     low = F.floor(at).cast("int")
     p = F.get(high, low) + (F.get(high, F.least(low + 1, F.size("flat") - 1)) - F.get(high, low)) * (at - low)
-    every = images(spark, sf_dir).select("vec_id", p.alias("v"))
+    # one number a frame is kept; both medians and the draw of frames read those
+    cells = A.read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("flat"))
+    every = cut(cells.select("vec_id", "label", p.alias("v")))
     order = Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.lit(0), "vec_id")), "vec_id")
-    pick = A.read(spark, sf_dir, "embeddings").select("vec_id", F.row_number().over(order).alias("rn")).where(F.col("rn") <= PER_CLASS).select("vec_id")
-    median = lambda rows, name: exact_quantile(rows, "v", 0.5, "hi", F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("frames"), r6(F.col("hi")).alias("hi"), "n")
-    return median(every.join(pick, "vec_id", "left_semi"), "sample").unionByName(median(every, "all"))
+    some = every.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= PER_CLASS)
+    median = lambda rows, name: exact_quantile(rows.select("v"), "v", 0.5, "hi", F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("frames"), r6(F.col("hi")).alias("hi"), "n")
+    return median(some, "sample").unionByName(median(every, "all"))
 
 
 #: Frames that can't be read (their cells make no square), and frames of another size.

@@ -137,6 +137,18 @@ def test_exact_quantiles(spark, n):
     assert exact_quantile(df.where("v is null"), "v", 0.5, "m").first()["m"] is None
 
 
+@pytest.mark.parametrize("kind", ["normal", "ties", "two", "wide"])
+def test_brackets_shrink_to_a_bound(spark, kind):
+    """Small sketches and brackets force many rounds, on ties, on two values with a few between, and over hundreds of powers of ten."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    x = {"normal": rng.normal(size=n), "ties": rng.integers(0, 4, n).astype(float), "two": np.r_[np.zeros(2600), rng.uniform(0, 1, 30), np.ones(2370)], "wide": 10.0 ** rng.uniform(-300, 300, n)}[kind]
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)] + [(None,)], "v double")
+    for q in (0.0, 0.2, 0.521, 0.9, 0.9999, 1.0):
+        r = exact_quantile(df, "v", q, "m", F.count(F.lit(1)).alias("n"), parts=20, ranked=40).first()
+        assert r["m"] == pytest.approx(np.quantile(x, q), rel=1e-12) and r["n"] == n + 1
+
+
 def test_nearest_cells_upward(spark):
     img = [[float(3 * i + j) for j in range(3)] for i in range(3)]
     got = spark.createDataFrame([(img,)], "b array<array<double>>").select(X.resize_to(F.col("b"), 5, 3).alias("u"), X.resize_to(F.col("b"), 3, 3).alias("s")).first()
