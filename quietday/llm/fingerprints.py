@@ -162,7 +162,8 @@ def differences(pairs: DataFrame, key: str, left: str, right: str, expected: Col
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    return rows.withColumn("pair", F.unhex(F.md5(F.concat(name, F.lit(":"), F.col("text")))))
+    # never null, and known to be, so that joins need not compute it once more to filter
+    return rows.withColumn("pair", F.coalesce(F.unhex(F.md5(F.concat(name, F.lit(":"), F.col("text")))), F.lit(bytearray(b""))))
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -191,10 +192,13 @@ def _links(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """For each link: the text's digests, the edited text and its digests, and the next text's digests."""
+    """For each link: the text's digests, the edited text and its digests, and the next text's digests.
+
+    Both joins deal the same rows out by `pair`, under the same names, so Spark shuffles the texts once.
+    """
     rows = rows.select("pair", "doc_id", "text")
-    after = links.join(rows.withColumnsRenamed({"pair": "next", "doc_id": "next_id"}), "next")
-    after = after.select(*_KEY, "times", "half", "next_id", F.left("text", F.col("half")).alias("head"), paragraph_digests(F.col("text")).alias("c"))
+    after = links.alias("l").join(rows.alias("n"), F.col("l.next") == F.col("n.pair"))
+    after = after.select(F.col("l.pair").alias("pair"), "again", "times", "half", F.col("n.doc_id").alias("next_id"), F.left("n.text", F.col("half")).alias("head"), paragraph_digests(F.col("n.text")).alias("c"))
     both = rows.join(after, "pair").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - F.col("half")), F.col("head"))
     both = both.select(*_KEY, "times", "doc_id", "next_id", "n_chars", paragraph_digests(F.col("text")).alias("a"), edited.alias("edited"), "c")
