@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import no_nan, r6, safe_log10
+from quietday.operators.audits import written_with_counts
 from quietday.operators.grids import fill_grid, forward_fill
 from quietday.plans.registry import query
+from quietday.session import scratch_path
 from quietday.sources import adapters as A
 
 
@@ -116,8 +118,11 @@ def q_crosscheck(spark, sf_dir):
 @query(f"""WITH {A.DAILY} SELECT 'ap' AS name, count(*) - count(ap) AS n_missing, count(*) AS n_days FROM daily
     UNION ALL SELECT 'f107', count(*) - count(f107), count(*) FROM daily""")
 def q_missing_report(spark, sf_dir):
-    long = A.daily(spark, sf_dir).unpivot("date", ["ap", "f107"], "name", "v")
-    return long.groupBy("name").agg(F.count_if(F.col("v").isNull()).alias("n_missing"), F.count(F.lit(1)).alias("n_days"))
+    """Days without a value, and all days, of each series, counted while the series are written."""
+    names = ("ap", "f107")
+    missing = {n: F.count_if(F.col(n).isNull()) for n in names}
+    seen = written_with_counts(A.daily(spark, sf_dir), scratch_path(spark, "daily"), n_days=F.count(F.lit(1)), **missing)
+    return spark.createDataFrame([(n, seen[n], seen["n_days"]) for n in names], "name string, n_missing long, n_days long")
 
 
 GAPPED = A.DAILY + ", gapped AS (SELECT date, CASE WHEN dayofmonth(date) NOT IN (3, 4, 11, 12, 13, 14, 15) THEN ap END AS ap FROM daily)"

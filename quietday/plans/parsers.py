@@ -11,7 +11,8 @@ from quietday.plans.registry import query
 from quietday.session import scratch_path
 from quietday.sources import adapters as A
 from quietday.sources import reports as R
-from quietday.sources.array_files import read_arrays, seed_groups, write_arrays
+from quietday.sources.array_files import read_arrays, seed_groups, write_arrays, write_contents
+from quietday.sources.files import manifest
 
 @query(f"WITH {C.WHOLE} SELECT date, CAST(date AS TIMESTAMP) + to_hours(3 * bin) AS time, CASE WHEN ap IS NOT NULL THEN round(ap % 28 / 3, 3) END AS kp, CAST(ap AS DOUBLE) AS ap FROM wb")
 def q_gfz_parse(spark, sf_dir):
@@ -87,9 +88,19 @@ def q_href_extract(spark, sf_dir):
     return A.read(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(links)), " ").alias("links"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
+#: Documents in a stored file.
+IN_A_FILE = 16
+
+
+@query(f"""WITH f AS (SELECT doc_id // {IN_A_FILE} AS part, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY 1)
+    SELECT 'part-' || lpad(CAST(part AS VARCHAR), 12, '0') || '.txt' AS file, CAST(octet_length(encode(content)) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM f""")
 def q_sha_manifest(spark, sf_dir):
-    return A.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+    """Name, bytes and SHA-256 of files on disk, of a few documents each."""
+    d = A.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / IN_A_FILE).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    f = d.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    root = scratch_path(spark, "texts")
+    write_contents(f.select(F.concat(F.lit("part-"), F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(".txt")).alias("name"), F.encode("content", "UTF-8").alias("content")), root)
+    return manifest(spark, root, "part-*.txt")
 
 
 @query("""SELECT a.doc_id, min(b.doc_id) AS twin_id, count(*) AS n FROM documents a JOIN documents b ON sha256(b.text) = sha256(a.text) AND b.source <> a.source GROUP BY 1""")

@@ -62,10 +62,14 @@ def q_persistence(spark, sf_dir):
     return t.select("date", "lead", r6(F.col("fc")).alias("fc"), r6(F.col("y")).alias("y"))
 
 
-@query("""SELECT CAST(h AS INTEGER) AS lead, CAST(b AS INTEGER) AS back, CAST(27 * (ceil(h / 27.0) + b) - h AS BIGINT) AS lag FROM generate_series(1, 60) AS a(h), generate_series(0, 1) AS c(b)""")
+@query("""WITH l AS (SELECT CAST(date_diff('day', o_orderdate, l_shipdate) AS INTEGER) AS lead, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+    SELECT lead, CAST(b AS INTEGER) AS back, CAST(27 * (ceil(lead / 27.0) + b) - lead AS BIGINT) AS lag, n FROM l, generate_series(0, 1) AS c(b) WHERE lead > 0""")
 def q_recurrence_lag(spark, sf_dir):
-    t = spark.range(1, 61).select(F.col("id").cast("int").alias("lead"), F.explode(F.array(F.lit(0), F.lit(1))).alias("back"))
-    return t.withColumn("lag", recurrence_lag(F.col("lead"), back=F.col("back")).cast("long"))
+    """For each lead of the tables (days from an order to its shipping, with their number): how many days back the analogue one and two rotations earlier is."""
+    o, l = A.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    t = o.join(l, "o_orderkey").groupBy(F.datediff("l_shipdate", "o_orderdate").alias("lead")).agg(F.count(F.lit(1)).alias("n")).where("lead > 0")
+    t = t.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1))))
+    return t.select("lead", "back", recurrence_lag(F.col("lead"), back=F.col("back")).cast("long").alias("lag"), "n")
 
 
 @query(f"WITH {BASE_SQL} SELECT date, lead, round(recurrence27, 6) + 0.0 AS fc FROM fb")

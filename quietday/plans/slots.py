@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quietday.functions.columns import r6
 from quietday.operators.grids import run_complete
 from quietday.operators.joins import latest_before, nearest, with_predecessor
+from quietday.operators.work import named_files
 from quietday.plans.registry import query
+from quietday.session import scratch_path
 from quietday.sources import adapters as A
+from quietday.sources.array_files import listing, write_arrays
 
 HOURS, TOLERANCE_S = (0, 6, 12, 18), 1500
 #: The sources that columns are made of (a column's name must be known before the data is read).
@@ -192,9 +195,14 @@ def q_resolve_pair(spark, sf_dir):
 
 @query(f"WITH {SLOTS} SELECT date, slot_hour, source, file_path IS NOT NULL AND file_path IN (SELECT CAST(event_id AS VARCHAR) FROM events WHERE value < 150) AS present FROM slots")
 def q_check_files(spark, sf_dir):
-    """Which slots' files are in a listing (events below a value play its part)."""
-    listing = A.read(spark, sf_dir, "events").where("value < 150").select(F.col("event_id").cast("string").alias("file_path"), F.lit(True).alias("present")).distinct()
-    return slot_table(spark, sf_dir).join(listing, "file_path", "left").select("date", "slot_hour", "source", F.coalesce("present", F.lit(False)).alias("present"))
+    """Which slots' files exist on disk: frames of small values are stored under their source, the folder is listed without reading one, and paths are compared."""
+    slots = slot_table(spark, sf_dir)
+    name = F.concat(F.col("source"), F.lit("/"), F.col("file_path"), F.lit(".npy"))
+    stored = A.read(spark, sf_dir, "events").where("value < 150").select(F.col("event_id").cast("string").alias("file_path"), F.array("value").alias("values"))
+    root = scratch_path(spark, "frames")
+    write_arrays(slots.join(stored, "file_path").select(name.alias("name"), "values").dropDuplicates(["name"]), root, ["values"])
+    files = named_files(listing(spark, root, "*.npy"), root).select("name", F.lit(True).alias("present"))
+    return slots.withColumn("name", name).join(files, "name", "left").select("date", "slot_hour", "source", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def cache_path(source, time):

@@ -100,11 +100,13 @@ class ArrayWriter(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 held = {}
-                for a in self.arrays:
+                for a in [] if "content" in self.columns else self.arrays:
                     values = np.array(row[a], float)
                     held[a] = values.reshape(row[f"{a}_shape"] if row.get(f"{a}_shape") is not None else -1).astype(self.kind)
                 out = io.BytesIO()
-                if row["name"].endswith(".npy"):
+                if "content" in self.columns:
+                    out.write(row["content"] or b"")
+                elif row["name"].endswith(".npy"):
                     if len(held) != 1:
                         raise ValueError("a .npy file holds one array")
                     np.save(out, next(iter(held.values())))
@@ -180,6 +182,12 @@ def write_arrays(rows: DataFrame, path: str, arrays: list[str], dtype: str = "fl
     rows.select(*columns).write.format("arrays").option("arrays", ",".join(arrays)).option("dtype", dtype).mode("append").save(path)
 
 
+def write_contents(rows: DataFrame, path: str) -> None:
+    """A file for each row, its bytes the column `content` (null: empty), under its `name`."""
+    register(rows.sparkSession)
+    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("arrays").mode("append").save(path)
+
+
 def seed_groups(files: DataFrame, keys: list[str], arrays: list[str], seeds: int = 3, strict: bool = False) -> DataFrame:
     """keys, n_seeds, and for each array the mean over seeds, element by element; groups of another number of seeds are left out, or with `strict` raise.
 
@@ -197,6 +205,6 @@ def seed_groups(files: DataFrame, keys: list[str], arrays: list[str], seeds: int
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, bytes, modified of the files below a folder, from their metadata: contents aren't read. Names that the glob rejects aren't listed."""
+    """path, bytes, modified of the files below a folder, from their metadata: contents aren't read. Names that the glob rejects and files without bytes aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))

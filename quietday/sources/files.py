@@ -8,10 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def jdbc_table(spark: SparkSession, table: str, prefix: str = "DB_") -> DataFrame:
-    """A database table; url, user and password come from the environment. Filters and columns are pushed down."""
-    options = {k: os.environ[f"{prefix}{k.upper()}"] for k in ("url", "user", "password") if f"{prefix}{k.upper()}" in os.environ}
-    return spark.read.format("jdbc").options(dbtable=table, **options).load()
+def _connection(prefix: str) -> dict[str, str]:
+    """url, user, password and driver from the environment ({prefix}URL and so on); what isn't set is left out."""
+    return {k: os.environ[f"{prefix}{k.upper()}"] for k in ("url", "user", "password", "driver") if f"{prefix}{k.upper()}" in os.environ}
+
+
+def jdbc_table(spark: SparkSession, table: str, prefix: str = "DB_", by: str | None = None, partitions: int = 8, fetch: int = 10_000) -> DataFrame:
+    """A database table; url, user, password and driver come from the environment. Filters, columns, limits and aggregates are pushed down.
+
+    With `by`, a column of numbers, dates or times, its least and greatest value are asked for first, and the range between is read as that many
+    partitions, each by a connection of its own; rows whose `by` is null are in the first. A table without values is read as one.
+    """
+    reader = spark.read.format("jdbc").options(dbtable=table, fetchsize=str(fetch), **_connection(prefix))
+    if by is None:
+        return reader.load()
+    ends = reader.load().agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()  # the database finds them
+    if ends["lo"] is None:
+        return reader.load()
+    return reader.options(partitionColumn=by, lowerBound=str(ends["lo"]), upperBound=str(ends["hi"]), numPartitions=str(partitions)).load()
+
+
+def jdbc_write(df: DataFrame, table: str, prefix: str = "DB_", mode: str = "append", batch: int = 10_000, connections: int = 8, types: str | None = None) -> None:
+    """Writes rows to a database table, by at most so many connections, in batches.
+
+    A table that isn't there is made, with the database's own types or those of `types` ("name VARCHAR(64), ..."); keys that are filtered on need one that compares.
+    """
+    few = df.coalesce(connections) if df.rdd.getNumPartitions() > connections else df
+    own = {"createTableColumnTypes": types} if types else {}
+    few.write.format("jdbc").options(dbtable=table, batchsize=str(batch), **own, **_connection(prefix)).mode(mode).save()
 
 
 def time_range(df: DataFrame, time: str, start: str | None, end: str | None, columns: list[str]) -> DataFrame:
@@ -47,8 +71,18 @@ def json_entries(spark: SparkSession, path: str, schema: str, lines: bool = Fals
 
 
 def append_scores(scores: DataFrame, path: str, keys: list[str]) -> None:
-    """Adds a run's scores to a table that is partitioned by the run's keys."""
-    scores.write.mode("append").partitionBy(*keys).parquet(path)
+    """Adds runs' scores to a table that is partitioned by the run's keys; a run that is there already is replaced, so a rerun doubles nothing."""
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def missing_runs(runs: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The rows of `runs` whose keys have no scores in the table yet; only its folders' names are read. All of them while there is no table."""
+    spark = runs.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return runs
+    there = spark.read.parquet(path).select(*keys).distinct()
+    return runs.join(there.select(*[F.col(k).cast(dict(runs.dtypes)[k]).alias(k) for k in keys]), keys, "left_anti")
 
 
 def keyed_by_name(spark: SparkSession, path: str, pattern: str, keys: list[str]) -> DataFrame:
