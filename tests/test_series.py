@@ -1,9 +1,9 @@
-"""Grids, fills, windows, splits, reference forecasts: examples with known results, and no look ahead."""
+"""Grids, fills, windows, splits, reference forecasts against plain loops over random series, and no look ahead."""
 
 import datetime as dt
+import random
 
-import numpy as np
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import mask_fill
@@ -11,78 +11,109 @@ from quietday.operators.grids import feature_windows, fill_grid, forward_fill, m
 from quietday.plans.features import daily_index
 from quietday.plans.samples import baselines
 
+START = dt.date(2021, 3, 14)
 
-def series(spark, values, start="2015-01-01"):
-    days = pd.date_range(start, periods=len(values)).date
-    rows = [(d, None if v is None or v != v else float(v)) for d, v in zip(days, values, strict=True)]
-    return spark.createDataFrame(rows, "date date, ap double")
 
+def day(i):
+    return START + dt.timedelta(days=i)
 
-def test_daily_index_of_three_hour_values(spark):
-    ap, kp = [2, 5, 7, 12, 22, 9, 4, 3], [7, 13, 17, 27, 37, 20, 10, 7]
-    f107 = [120.5, 130.0, 999.9]
-    rows = [
-        (dt.datetime(2015, 1, 1) + dt.timedelta(hours=h), float(ap[h % 24 // 3]), float(kp[h % 24 // 3]), f107[h // 24], 50.0, -5.0 - 55.0 * (h % 24) / 23)
-        for h in range(72) if h // 24 != 1
-    ]
+
+def series(spark, values):
+    return spark.createDataFrame([(day(i), None if v is None else float(v)) for i, v in enumerate(values)], "date date, ap double").repartition(3)
+
+
+def holed(seed, n, share):
+    rng = random.Random(seed)
+    return [None if rng.random() < share else round(rng.uniform(0, 90), 1) for _ in range(n)]
+
+
+def test_daily_index_equals_a_loop(spark):
+    """Two days of odd hours, one without any, one whose flux is a fill value."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for d, hours in ((0, range(0, 24, 2)), (2, range(5, 9)), (3, range(24))):
+        ap, dst = [], []
+        for h in hours:
+            v, low = float(rng.randrange(400)), -float(rng.randrange(90))
+            ap.append(v)
+            dst.append(low)
+            rows.append((dt.datetime.combine(day(d), dt.time(h)), v, 30.0, 888.8 if d == 2 else 140.0 + d, 20.0, low))
+        want[day(d)] = (len(ap), sum(ap) / len(ap), min(dst), None if d == 2 else 140.0 + d)
     h = spark.createDataFrame(rows, "datetime timestamp_ntz, ap_index_nt double, kp_index double, f10_7_index_sfu double, sunspot_number_r double, dst_index_nt double")
-    h = h.withColumn("f10_7_index_sfu", mask_fill(F.col("f10_7_index_sfu"), 999.9))
-    d = daily_index(h).orderBy("date").collect()
-    assert [r["n_ap_hours"] for r in d] == [24, 0, 24]
-    assert d[0]["ap"] == 8.0 and d[0]["kp"] == 3.7 and d[0]["dst"] == -60.0 and d[0]["f107"] == 120.5
-    assert d[1]["ap"] is None and d[2]["f107"] is None
+    got = {r["date"]: r for r in daily_index(h.withColumn("f10_7_index_sfu", mask_fill(F.col("f10_7_index_sfu"), 888.8))).collect()}
+    assert sorted(got) == [day(i) for i in range(4)] and got[day(1)]["ap"] is None and got[day(1)]["n_ap_hours"] == 0
+    for d, (n, ap, dst, f107) in want.items():
+        r = got[d]
+        assert (r["n_ap_hours"], r["dst"], r["f107"], r["kp"]) == (n, dst, f107, 3.0) and r["ap"] == pytest.approx(ap)
 
 
 def test_grid_of_several_series(spark):
-    rows = [("a", dt.date(2020, 1, 1), 1.0), ("a", dt.date(2020, 1, 4), 2.0), ("b", dt.date(2020, 1, 2), 3.0)]
+    rows = [("a", day(0), 1.0), ("a", day(3), 2.0), ("b", day(1), 3.0)]
     g = fill_grid(spark.createDataFrame(rows, "s string, date date, v double"), "date", "1 day", ["s"])
     assert g.groupBy("s").count().orderBy("s").collect() == [("a", 4), ("b", 1)]
     assert fill_grid(spark.createDataFrame([], "s string, date date, v double"), "date", "1 day", ["s"]).count() == 0
 
 
-def test_forward_fill_stops_at_its_limit(spark):
-    s = series(spark, [1, None, None, None, None, None, 7])
-    out = [r["ap"] for r in forward_fill(s, ["ap"], 3, "date").orderBy("date").collect()]
-    assert out == [1, 1, 1, 1, None, None, 7]
-
-
-def test_windows_count_and_gap(spark):
-    w = make_windows(series(spark, range(100)), "ap", 30, 60, "date").orderBy("date").collect()
-    assert len(w) == 11 and w[0]["date"] == dt.date(2015, 1, 30)
-    assert w[0]["x"] == [float(i) for i in range(30)] and w[0]["y"] == [float(i) for i in range(30, 90)]
-    holed = [None if i == 50 else i for i in range(100)]
-    assert make_windows(series(spark, holed), "ap", 30, 60, "date").count() == 0
-    assert all(50 not in r["x"] + r["y"] for r in make_windows(series(spark, holed), "ap", 10, 5, "date").collect())
-    assert make_windows(series(spark, holed), "ap", 10, 5, "date").count() == 71
-    assert make_windows(series(spark, range(100)), "ap", 30, 60, "date", stride=4).count() == 3
-
-
-def test_feature_window_values_and_gap(spark):
-    s = series(spark, range(20)).withColumn("x2", F.col("ap") * 10)
-    w = {r["date"]: r for r in feature_windows(s, ["ap", "x2"], "ap", 3, "date").collect()}
-    r = w[dt.date(2015, 1, 6)]
-    assert [v["ap"] for v in r["x"]] == [3, 4, 5] and [v["x2"] for v in r["x"]] == [30, 40, 50] and r["y"] == 6
-    assert dt.date(2015, 1, 20) not in w  # no target after the last day
-    gap = s.withColumn("ap", F.when(F.col("date") != dt.date(2015, 1, 11), F.col("ap")))
-    days = {r["date"].day for r in feature_windows(gap, ["ap", "x2"], "ap", 5, "date").collect()}
-    assert not days & {11, 12, 13, 14, 15} and 10 not in days  # the tenth has no target
+@pytest.mark.parametrize("limit", [1, 2, 6])
+def test_forward_fill_equals_a_loop(spark, limit):
+    values = holed(limit, 80, 0.6)
+    want, age, last = [], 0, None
+    for v in values:
+        age, last = (0, v) if v is not None else (age + 1, last)
+        want.append(last if age <= limit else None)
+    assert [r["ap"] for r in forward_fill(series(spark, values), ["ap"], limit, "date").orderBy("date").collect()] == want
+
+
+@pytest.mark.parametrize(("history", "ahead", "stride"), [(6, 4, 1), (1, 1, 1), (13, 9, 3)])
+def test_windows_equal_slices(spark, history, ahead, stride):
+    values = holed(history, 90, 0.04)
+    want = {}
+    for i in range(history - 1, len(values) - ahead):
+        x, y = values[i - history + 1 : i + 1], values[i + 1 : i + 1 + ahead]
+        if None not in x + y:
+            want[day(i)] = (x, y)
+    got = {r["date"]: (r["x"], r["y"]) for r in make_windows(series(spark, values), "ap", history, ahead, "date", stride=stride).collect()}
+    assert got and all(want[d] == v for d, v in got.items())
+    if stride == 1:
+        assert got.keys() == want.keys()
+    else:
+        assert len(got) < len(want) / 2
+
+
+def test_feature_windows_equal_slices(spark):
+    values = holed(21, 60, 0.08)
+    s = series(spark, values).withColumn("half", F.col("ap") / 2)
+    got = {r["date"]: ([tuple(v) for v in r["x"]], r["y"]) for r in feature_windows(s, ["ap", "half"], "ap", 4, "date").collect()}
+    want = {}
+    for i in range(3, len(values) - 1):
+        x = values[i - 3 : i + 1]
+        if None not in x and values[i + 1] is not None:
+            want[day(i)] = ([(v, v / 2) for v in x], values[i + 1])
+    assert got == want and len(want) > 10
 
 
 def test_runs_and_splits(spark):
-    s = series(spark, [1, 1, None, 1, 1, 1])
-    assert [r[0] for r in s.orderBy("date").select(run_complete(F.col("ap").isNotNull(), 2, "date")).collect()] == [False, True, False, False, True, True]
-    days = series(spark, range(1461), "2011-01-01")
-    spec = {"train": ("2011-01-01", "2012-12-31"), "val": ("2013-01-01", "2013-12-31"), "test": ("2014-01-01", "2014-12-31")}
-    assert dict(days.groupBy(split_ranges(F.col("date"), spec).alias("s")).count().collect()) == {"train": 731, "val": 365, "test": 365}
-    assert dict(days.groupBy(split_years(F.col("date"), [2012], [2014]).alias("s")).count().collect()) == {"test": 366, "val": 365, "train": 730}
-
-
-def test_recurrence_is_exact_on_a_period_and_never_looks_ahead(spark):
-    cycle = np.random.default_rng(0).uniform(3, 40, 27)
-    values = np.tile(cycle, 15)[:400]
-    b = baselines(series(spark, values), (1, 27, 28, 60)).where("y is not null and recurrence27 is not null")
-    assert b.where("abs(y - recurrence27) > 1e-9 or abs(y - recurrence2x27) > 1e-9").count() == 0
-    poisoned = values.copy()
-    poisoned[300:] = 1000
-    seen = baselines(series(spark, poisoned), (1, 27, 28, 60), "2015-03-01").where(F.col("date") < dt.date(2015, 1, 1) + dt.timedelta(days=300))
-    assert seen.where("recurrence27 >= 1000 or recurrence2x27 >= 1000 or persistence >= 1000 or climatology >= 1000").count() == 0
+    values = holed(5, 50, 0.3)
+    got = [r[0] for r in series(spark, values).orderBy("date").select(run_complete(F.col("ap").isNotNull(), 3, "date")).collect()]
+    assert got == [i >= 2 and None not in values[i - 2 : i + 1] for i in range(len(values))]
+    days = series(spark, range(700))
+    ends = {"fit": (day(10), day(299)), "check": (day(300), day(300)), "rest": (day(302), day(650))}
+    counts = dict(days.groupBy(split_ranges(F.col("date"), {k: (str(a), str(b)) for k, (a, b) in ends.items()}).alias("s")).count().collect())
+    assert {k: counts[k] for k in ends} == {"fit": 290, "check": 1, "rest": 349}
+    years = dict(days.groupBy(split_years(F.col("date"), [2022], [2023]).alias("s")).count().collect())
+    in_year = lambda y: sum(day(i).year == y for i in range(700))
+    assert years == {"test": in_year(2022), "val": in_year(2023), "train": in_year(2021)}
+
+
+def test_recurrence_repeats_a_rotation_and_never_looks_ahead(spark):
+    rng = random.Random(11)
+    rotation = [round(rng.uniform(2, 60), 2) for _ in range(27)]
+    values = [rotation[i % 27] for i in range(240)]
+    leads = (1, 5, 27, 28, 54, 59)
+    b = baselines(series(spark, values), leads).where("y is not null and recurrence27 is not null and recurrence2x27 is not null").cache()
+    assert b.count() > 500 and b.where("abs(y - recurrence27) > 1e-9 or abs(y - recurrence2x27) > 1e-9").count() == 0
+    cut = 170
+    later = values[:cut] + [5000.0] * (240 - cut)
+    seen = baselines(series(spark, later), leads, str(day(60))).where(F.col("date") < F.lit(day(cut)))
+    assert seen.where("recurrence27 >= 5000 or recurrence2x27 >= 5000 or persistence >= 5000 or climatology >= 5000").count() == 0
+    assert seen.where("y >= 5000").count() > 0
