@@ -2,9 +2,12 @@
 
 Training: whole texts of a bounded sample of labelled rows. Spark counts the n-grams of the highest order
 for each language; all lower orders of Kneser-Ney (continuation counts) follow from the distinct
-n-grams. Characters take 12 bits, so an n-gram is one long and the model is a few sorted arrays: for
-each order the n-grams of any language with a column of log-probabilities for each, and the contexts
-with their back-off weights. A text's n-grams are looked up by binary search, all languages at once.
+n-grams. Characters take 12 bits (letters from U+0F00 on share 256 classes by the remainder of their code point, so
+languages of such scripts are told apart less well), so an n-gram is one long and the model is a few sorted arrays: for
+each order the n-grams of any language, and for each of them the log-probabilities of the languages that have it; likewise
+the contexts with their back-off weights. What a language lacks is backed off, order by order. While it is small,
+the same is also kept worked out as a full table of n-grams by languages. The distinct n-grams of many texts are looked up
+at once, by binary search, for all languages together.
 
 Decision: the lowest cross-entropy per character, of the models mixed with a little evenly drawn noise. Rejection judges pieces of a text, each by the language
 that fits it best, and takes their median, so a passage unlike all that was learned doesn't outweigh the
@@ -16,6 +19,7 @@ all calibration texts of its language and length, with a small margin.
 from __future__ import annotations
 
 import unicodedata
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -31,8 +35,10 @@ from quietday.llm.common import small_batches, text_or_empty
 ORDER, CHAR_BITS = 4, 12
 #: Bounds of what is learned from: documents for each language that train its model, and that calibrate it.
 TRAIN_DOCS, CALIBRATION_DOCS = 400, 200
-#: Most languages that a model has (those with the most rows), since each is a column of it: a column of noise can't fill the driver.
+#: Most languages that a model has (those with the most rows): a column of noise can't fill the driver. Others are left out with a warning.
 LANGUAGES = 128
+#: Bytes of the table of n-grams by languages up to which it is worked out.
+TABLE_BYTES = 64 << 20
 SPACE, HASHED = 32, 3840
 #: Characters scored at a time.
 WINDOW = 1 << 19
@@ -125,29 +131,67 @@ class KneserNey:
         return np.where(c_hit, own + self.backoff(keys >> CHAR_BITS, order) * lower, lower)
 
 
+class Rows:
+    """For each of some sorted keys, the numbers of the languages that have it."""
+
+    def __init__(self, own: list[tuple[np.ndarray, np.ndarray]]):
+        """`own`: of each language its keys and a number for each of them."""
+        keys = np.concatenate([k for k, _ in own])
+        lang = np.repeat(np.arange(len(own), dtype=np.uint16), [len(k) for k, _ in own])
+        order = np.argsort(keys, kind="stable")
+        self.lang, self.values = lang[order], np.concatenate([v for _, v in own]).astype(np.float32)[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.r_[first, len(keys)]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `keys`, language, number) of all that is known of them."""
+        at, hit = _find(self.keys, keys)
+        rows = np.nonzero(hit)[0]
+        begin, n = self.first[at[rows]], self.first[at[rows] + 1] - self.first[at[rows]]
+        place = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.lang[place], self.values[place]
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.first.nbytes + self.lang.nbytes + self.values.nbytes
+
+
 @dataclass
 class Model:
     languages: list[str]
-    #: order -> n-grams, their log2-probabilities (a column for each language), contexts, log2 of back-off weights
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: order -> log2-probabilities of the n-grams that a language has, log2 of the back-off weights of its contexts
+    tables: dict[int, tuple[Rows, Rows]]
     floor: float
     #: language x length (power of two) -> the median of its pieces' bits above which a text is rejected
     limit: np.ndarray | None = None
+    #: the n-grams of the highest order and their log2-probabilities in all languages, while that is small
+    table: tuple[np.ndarray, np.ndarray] | None = None
+
+    @property
+    def nbytes(self) -> int:
+        return sum(r.nbytes for pair in self.tables.values() for r in pair) + sum(x.nbytes for x in self.table or ())
+
+    def backed_off(self, keys: np.ndarray) -> np.ndarray:
+        """Log2-probability of each n-gram in each language, from the lowest order up."""
+        out = np.full((len(keys), len(self.languages)), self.floor, np.float32)
+        for order in range(1, ORDER + 1):
+            part = keys & ((1 << CHAR_BITS * order) - 1)
+            own, weights = self.tables[order]
+            row, lang, weight = weights.of(part >> CHAR_BITS)
+            out[row, lang] += weight
+            row, lang, value = own.of(part)
+            out[row, lang] = value
+        return out
 
-    def log2(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+    def log2(self, keys: np.ndarray) -> np.ndarray:
         """Log2-probability of each n-gram in each language."""
-        if order == 0:
-            return np.full((len(keys), len(self.languages)), self.floor, np.float32)
-        known, values, contexts, weights = self.tables[order]
+        if self.table is None:
+            return self.backed_off(keys)
+        known, values = self.table
         at, hit = _find(known, keys)
         out = values[at] if len(values) else np.zeros((len(keys), len(self.languages)), np.float32)
         if not hit.all():
-            miss = np.nonzero(~hit)[0]
-            less = self.log2(_low(keys[miss], order), order - 1)
-            c_at, c_hit = _find(contexts, keys[miss] >> CHAR_BITS)
-            if len(weights):
-                less = less + np.where(c_hit[:, None], weights[c_at], 0)
-            out[miss] = less
+            out[~hit] = self.backed_off(keys[~hit])
         return out
 
     def with_noise(self, values: np.ndarray) -> np.ndarray:
@@ -180,35 +224,42 @@ class Model:
         keys = np.concatenate([grams(s) for s in syms])
         owner = np.repeat(np.arange(len(sizes)), sizes)
         for a in range(0, len(keys), WINDOW):
-            values = self.log2(keys[a : a + WINDOW])
+            # texts repeat their n-grams: each is looked up once
+            distinct, at = np.unique(keys[a : a + WINDOW], return_inverse=True)
+            values = self.log2(distinct)
             own = owner[a : a + WINDOW]
             starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
-            loss[own[starts]] -= np.add.reduceat(values, starts, dtype=np.float64)
-            mixed[own[starts]] -= np.add.reduceat(self.with_noise(values), starts, dtype=np.float64)
+            loss[own[starts]] -= np.add.reduceat(values[at], starts, dtype=np.float64)
+            mixed[own[starts]] -= np.add.reduceat(self.with_noise(values)[at], starts, dtype=np.float64)
         lowest = loss.min(axis=1) / np.maximum(sizes, 1)
         total = np.add.reduceat(mixed, first[:-1])
-        out = []
-        for i, n in enumerate(counts):
-            if n < 1:  # no letter
-                out.append(("und", 0.0, True, 0.0, 0, 0.0))
-                continue
-            bits = total[i] / n
-            best = int(np.argmin(bits))  # the first of equals: languages are sorted
-            # the posterior, tempered, since neighbouring characters depend on each other
-            odds = np.exp2(-np.minimum((total[i] - total[i][best]) / SPREAD, 60))
-            score = float(1 / odds.sum())
-            rejected = False
-            middle, upper = np.quantile(lowest[first[i] : first[i + 1]], [0.5, 0.75])
-            if self.limit is not None:
-                above = middle - self.limit[best][length_class(n)]
-                rejected = bool(above > 0)
-                score *= float(np.exp(-max(0.0, above)))
-            out.append((self.languages[best], min(max(score, 0.0), 1.0), rejected, float(bits[best]), int(n), float(upper)))
-        return out
-
-
-def length_class(n: int) -> int:
-    return min(int(n).bit_length() - 1, LENGTHS - 1)
+        best = np.argmin(total, axis=1)  # the first of equals: languages are sorted
+        least = np.take_along_axis(total, best[:, None], 1)
+        # the posterior, tempered, since neighbouring characters depend on each other
+        score = 1 / np.exp2(-np.minimum((total - least) / SPREAD, 60)).sum(1)
+        # quantiles of each text's pieces, interpolated between its sorted pieces
+        ordered = lowest[np.lexsort((lowest, np.repeat(np.arange(len(syms)), pieces)))]
+        middle, upper = (self._quantile(ordered, first, pieces, q) for q in (0.5, 0.75))
+        rejected = np.zeros(len(syms), bool)
+        if self.limit is not None:
+            above = middle - self.limit[best, length_class(counts)]
+            rejected = above > 0
+            score = score * np.exp(-np.maximum(0.0, above))
+        score, bits = np.clip(score, 0.0, 1.0), least[:, 0] / np.maximum(counts, 1)
+        found = zip([self.languages[i] for i in best], score.tolist(), rejected.tolist(), bits.tolist(), counts.tolist(), upper.tolist(), strict=True)
+        return [x if x[4] > 0 else ("und", 0.0, True, 0.0, 0, 0.0) for x in found]  # no letter
+
+    @staticmethod
+    def _quantile(ordered: np.ndarray, first: np.ndarray, pieces: np.ndarray, q: float) -> np.ndarray:
+        at = first[:-1] + (pieces - 1) * q
+        low = np.floor(at).astype(np.int64)
+        high = np.minimum(low + 1, first[1:] - 1)
+        return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    """The power of two at or below each length, LENGTHS - 1 at most."""
+    return np.minimum(np.frexp(np.maximum(np.asarray(n), 1))[1] - 1, LENGTHS - 1)
 
 
 def samples(sym: np.ndarray) -> list[np.ndarray]:
@@ -231,7 +282,7 @@ def samples(sym: np.ndarray) -> list[np.ndarray]:
 def limits(languages: list[str], seen: pd.DataFrame) -> np.ndarray:
     """Limits by language and length from the calibration texts' lang, n and upper; a shorter text's limit is never lower."""
     limit = np.full((len(languages), LENGTHS), np.inf)
-    kind = seen["n"].map(length_class)
+    kind = length_class(seen["n"].to_numpy())
     for i, lang in enumerate(languages):
         for k in range(LENGTHS):
             x = np.sort(seen.loc[(seen["lang"] == lang) & (kind == k), "upper"].to_numpy())
@@ -246,21 +297,25 @@ def limits(languages: list[str], seen: pd.DataFrame) -> np.ndarray:
     return limit
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The joint model of all languages from the n-gram counts of each."""
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES) -> Model:
+    """The joint model of all languages from the n-gram counts of each; it takes the space of the n-grams that each has, and the full table's bound."""
     languages = sorted(counts)
     alphabet = max(2, len(np.unique(np.concatenate([k & ((1 << CHAR_BITS) - 1) for k, _ in counts.values()])))) if counts else 2
     own = {lang: KneserNey(*counts[lang], alphabet) for lang in languages}
-    tables = {}
+    model = Model(languages, {}, float(-np.log2(alphabet)))
+    if not languages:
+        return model
     for order in range(1, ORDER + 1):
-        if not languages:
-            break
-        keys = np.unique(np.concatenate([m.tables[order][0] for m in own.values()]))
-        contexts = np.unique(np.concatenate([m.tables[order][2] for m in own.values()]))
-        values = np.stack([np.log2(own[x].probability(keys, order)) for x in languages], 1).astype(np.float32)
-        weights = np.stack([np.log2(own[x].backoff(contexts, order)) for x in languages], 1).astype(np.float32)
-        tables[order] = (keys, values, contexts, weights)
-    return Model(languages, tables, float(-np.log2(alphabet)))
+        values, weights = [], []
+        for m in own.values():
+            keys, _, contexts, *_ = m.tables[order]
+            values.append((keys, np.log2(m.probability(keys, order))))
+            weights.append((contexts, np.log2(m.backoff(contexts, order))))
+        model.tables[order] = (Rows(values), Rows(weights))
+    known = model.tables[ORDER][0].keys
+    if 4 * len(known) * len(languages) <= table_bytes:
+        model.table = (known, model.backed_off(known))
+    return model
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,14 +335,17 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: i
 
     Of each language about `train_docs` rows train and `calibration_docs` others calibrate, chosen by a hash
     of the id; their whole texts are used. The model's size depends on these bounds and the
-    number of languages (`languages` at most, those with the most rows), not on the corpus. Without
+    number of languages (`languages` at most, those with the most rows; a warning tells of others), not on the corpus. Without
     labelled rows, or on an empty table, every text is `und`. Repeated rows count each; very long texts count whole.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # a scan of the labels alone; rows without a text make the sample a little smaller
-    sizes = {r["lang"]: r["n"] for r in labelled.select(F.col(lang_col).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.select(F.col(lang_col).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        sizes = dict(list(sizes.items())[:languages])
+        warnings.warn(f"only the {languages} most frequent languages are learned; raise `languages` for others", stacklevel=2)
     if not sizes:
         return build({})
     rows = rows.where(F.col("lang").isin(*sizes))

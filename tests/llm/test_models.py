@@ -62,7 +62,45 @@ def test_no_labels_no_language(spark):
 
 def test_a_column_of_noise_gives_a_bounded_number_of_languages(spark):
     rows = [(i, prose(EN, 30, i), "en") for i in range(30)] + [(100 + i, prose(DE, 30, i), "de") for i in range(20)] + [(200 + i, "x y", f"n{i}") for i in range(40)]
-    assert langid.train(documents(spark, rows), languages=2).languages == ["de", "en"]
+    with pytest.warns(UserWarning, match="only the 2 most frequent"):
+        assert langid.train(documents(spark, rows), languages=2).languages == ["de", "en"]
+
+
+def of_texts(texts):
+    return {lang: np.unique(np.concatenate([langid.grams(langid.symbols(t)) for t in ts]), return_counts=True) for lang, ts in texts.items()}
+
+
+def test_the_full_table_and_backing_off_agree():
+    counts = of_texts({"en": [prose(EN, 60, i) for i in range(4)], "de": [prose(DE, 60, i) for i in range(4)], "xx": ["ab ba abba"]})
+    with_table, without = langid.build(counts), langid.build(counts, table_bytes=0)
+    assert with_table.table is not None and without.table is None
+    asked = ["the dog", "der hund und the cat", "zyx", "", "abba ab", prose(EN, 400, 5), "1 2", "é" * 50]
+    for a, b in zip(with_table.score(asked), without.score(asked), strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-5, abs=1e-6)
+
+
+def test_many_languages_take_the_space_of_their_own_ngrams():
+    """128 languages of different letters: a table of all n-grams by languages would take some 80 times as much."""
+    rng = np.random.default_rng(0)
+    counts = {}
+    for i in range(128):
+        letters = np.sort(rng.choice(np.arange(0x61, 0x900), 40, replace=False))
+        counts[f"l{i:03d}"] = np.unique(langid.grams(np.r_[32, rng.choice(letters, 3000), 32]), return_counts=True)
+    model = langid.build(counts, table_bytes=4 << 20)
+    own = sum(len(k) for k, _ in counts.values())
+    assert model.table is None and model.nbytes < 150 * own and 4 * len(model.tables[langid.ORDER][0].keys) * 128 > 3 * model.nbytes
+    texts = {lang: "".join(chr(int(k) & 0xFFF) for k in keys[:60]) for lang, (keys, _) in counts.items()}
+    got = model.score(list(texts.values()))
+    assert sum(g[0] == lang for g, lang in zip(got, texts, strict=True)) > 120
+
+
+def test_quantiles_of_pieces_are_those_of_numpy():
+    rng = np.random.default_rng(1)
+    pieces = np.array([1, 2, 3, 7, 40, 1])
+    values = [np.sort(rng.normal(size=k)) for k in pieces]
+    first = np.r_[0, np.cumsum(pieces)]
+    for q in (0.5, 0.75):
+        assert langid.Model._quantile(np.concatenate(values), first, pieces, q) == pytest.approx([np.quantile(v, q) for v in values])
 
 
 def test_kneser_ney_is_a_distribution():
