@@ -29,8 +29,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z. `keep` is "min" or "max": which id of a group
     stays. Null text counts as empty, so null and empty texts form one group. A null id never wins
     against another; a group of null ids only has keep_id null and keeps its rows. Repeated rows
-    (same id, same text) count in group_size and are kept or dropped together. An empty table gives
-    no rows; other columns are ignored.
+    (same id, same text) count in group_size and are kept or dropped together. A very long text is hashed and compared
+    whole; a task holds two of a hash. An empty table gives no rows; other columns are ignored.
     """
     pick = {"min": F.min, "max": F.max}[keep]
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("norm"))
@@ -61,7 +61,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A row is dropped by its id and text, so another text under the same id, or without an id, stays. Repeated
     rows of the preferred id stay together, as do groups without ids; `one_exact_copy` leaves one row. Null and empty
-    texts are one group; an empty table stays empty; nulls in other columns and their names don't matter.
+    texts are one group; very long texts are compared whole; an empty table stays empty; nulls in other columns and their names don't matter.
     """
     gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.sha2(ascii_lower(text_or_empty(docs[text_col])), 256) == gone["_sha"])
@@ -73,6 +73,7 @@ def one_exact_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows of one id (or all without one) are told apart by text and the other columns, so repeated rows
     and rows without ids shrink to one as well. Another text under the same id is another group and stays.
-    Null and empty texts are one group; an empty table stays empty.
+    Null and empty texts are one group; very long texts are compared whole, by SHA-256; an empty table stays empty. Columns may have any
+    names, also those used inside.
     """
     return one_of_each(docs, [F.sha2(ascii_lower(text_or_empty(text_col)), 256)], id_col, text_col, keep)

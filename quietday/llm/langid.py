@@ -407,7 +407,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def filter_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows and columns of `docs` whose text has a letter and isn't rejected.
 
-    Null and empty texts go; repeated rows stay or go together; an empty table stays empty; nulls in
+    Null and empty texts go; very long texts are judged whole; repeated rows stay or go together; an empty table stays empty; nulls in
     other columns and their names don't matter.
     """
     small_batches(docs.sparkSession)

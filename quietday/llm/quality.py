@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_c
 def filter_good(docs: DataFrame, model: Discriminant, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows and columns of `docs` with a score of at least `least`.
 
-    Null and empty texts are scored as such; repeated rows stay or go together; an empty table stays
+    Null and empty texts are scored as such, very long ones whole; repeated rows stay or go together; an empty table stays
     empty; nulls in other columns and their names don't matter.
     """
     small_batches(docs.sparkSession)

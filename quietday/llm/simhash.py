@@ -59,7 +59,11 @@ def _fingerprints(size: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id, mark (a hash that tells a row's text) and fp (the 64 bits as a signed long) of whole texts; null text counts as empty."""
+    """doc_id, mark (a hash that tells a row's text) and fp (the 64 bits as a signed long) of whole texts; null text counts as empty.
+
+    One row for each input row, repeated ones too; an empty table gives none; a very long text is shingled whole, some of its
+    hashes at a time; other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
@@ -173,7 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the least doc_id that links of at most two differing bits reach. Texts without words,
-    null ones too, have the fingerprint zero and link like any other. Repeated rows share
+    null ones too, have the fingerprint zero and link like any other; very long texts are shingled whole. A bit set in exactly
+    half of the hashes is 0. Repeated rows share
     their component; a null id never names a component unless it holds null ids only. An empty
     table gives no rows; other columns are ignored.
     """
@@ -186,7 +191,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of different texts under the least id, or in a component without ids, one stays, and of repeated rows
     one. Rows are told apart by id and text, so another text under the same id stays where it
-    is the least of its own component. Null and texts without words are one group; an empty table stays empty.
+    is the least of its own component. Null and texts without words are one group; very long texts count whole; an empty table stays
+    empty. Columns may have any names, also those used inside.
     """
     rows = _grouped(docs, id_col, text_col, size).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
     rows = cut(rows)
