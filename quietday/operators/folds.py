@@ -14,7 +14,7 @@ def merge_events(events: DataFrame, keys: list[str], time: str, order: str, gap_
     The event kept after one is the first that is more than the gap later: a link from each event to another,
     looked up in buckets of time. Marks are passed on along these links by pointer jumping, with a
     checkpoint each round, so no task holds a stretch of the time line, however dense it is. Of events at
-    one time the least `order` may be kept; null times never are.
+    one time the least `order` may be kept; null times never are, nor events of which a key is null (they belong to no line).
     """
     gap = gap_s * 1_000_000
     width = max(1_000_000, gap // 48)

@@ -115,15 +115,17 @@ def q_windows_3h(spark, sf_dir):
 
 ISSUE_SQL = A.DAILY + """, ok AS (SELECT date, count(CASE WHEN ap IS NOT NULL AND f107 IS NOT NULL THEN 1 END) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS n,
         lead(ap) OVER (ORDER BY date) AS y FROM daily), img AS (SELECT DATE '1995-01-01' + CAST(vec_id * 3 AS INTEGER) AS date FROM embeddings),
-    issue AS (SELECT date FROM ok WHERE n = 7 AND y IS NOT NULL AND date BETWEEN DATE '1995-02-01' AND DATE '2000-12-31' AND date IN (SELECT date FROM img))"""
+    issue AS (SELECT date FROM ok WHERE n = 7 AND y IS NOT NULL AND date IN (SELECT date FROM img))"""
 
 
-def common_issue_days(spark, sf_dir) -> DataFrame:
-    """Days with a complete history of all features, a target, in the period, and with an image."""
+def common_issue_days(spark, sf_dir, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Days with a complete history of all features, a target, and an image, from `first` to `last` if given."""
     s = A.daily(spark, sf_dir)
     ok = run_complete(F.col("ap").isNotNull() & F.col("f107").isNotNull(), 7, "date")
     days = s.select("date", ok.alias("ok"), F.lead("ap").over(series_window("date")).alias("y"))
-    days = days.where("ok and y is not null and date between date'1995-02-01' and date'2000-12-31'").select("date")
+    days = days.where("ok and y is not null").select("date")
+    days = days.where(F.col("date") >= F.lit(first).cast("date")) if first else days
+    days = days.where(F.col("date") <= F.lit(last).cast("date")) if last else days
     images = A.read(spark, sf_dir, "embeddings").select(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("vec_id") * 3).cast("int")).alias("date"))
     return days.join(images, "date", "left_semi")
 

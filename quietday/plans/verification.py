@@ -115,12 +115,12 @@ def q_lead_groups(spark, sf_dir):
     return m.withColumn("grp", F.explode(groups)).groupBy("model", "grp").agg(r6(F.avg("mae")).alias("mae"), F.count(F.lit(1)).alias("n_leads"))
 
 
-@query(f"""WITH {LONG_SQL}, t AS (SELECT * FROM fl WHERE date >= DATE '2000-01-01'), full_days AS (SELECT model, date FROM t WHERE lead <= 26 AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 26),
+@query(f"""WITH {LONG_SQL}, t AS (SELECT * FROM fl), full_days AS (SELECT model, date FROM t WHERE lead <= 26 AND y IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 26),
     u AS (SELECT 'all' AS subset, * FROM t UNION ALL SELECT 'all26', t.* FROM t JOIN full_days USING (model, date) WHERE lead <= 26)
     SELECT subset, model, lead, count(y - f) AS n, round(avg(abs(y - f)), 6) + 0.0 AS mae, {corr_sql('y', 'f')} AS cc, round(avg(f - y), 6) + 0.0 AS me FROM u GROUP BY 1, 2, 3""")
 def q_error_by_lead(spark, sf_dir):
     """Curves over the leads, for all issue days and for those on which a model has all of the first 26."""
-    l = long_form(baselines(A.daily(spark, sf_dir))).where("date >= date'2000-01-01'")
+    l = long_form(baselines(A.daily(spark, sf_dir)))
     whole = l.where("lead <= 26 and y is not null and f is not null").groupBy("model", "date").agg(F.count(F.lit(1)).alias("n")).where("n = 26").select("model", "date")
     u = l.withColumn("subset", F.lit("all")).unionByName(l.where("lead <= 26").join(whole, ["model", "date"], "left_semi").withColumn("subset", F.lit("all26")))
     d = F.col("f") - F.col("y")
@@ -155,7 +155,7 @@ def q_missing_issues(spark, sf_dir):
     return mondays.join(archive, "issue_date", "left_anti")
 
 
-CASE = f"""{REFS}, one AS (SELECT max(issue_date) AS issue_date FROM orefs WHERE issue_date <= DATE '1999-06-30'), ahead AS (SELECT o.* FROM orefs o JOIN one USING (issue_date))"""
+CASE = f"""{REFS}, one AS (SELECT max(issue_date) AS issue_date FROM orefs WHERE issue_date <= (SELECT min(issue_date) + CAST((max(issue_date) - min(issue_date)) // 2 AS INTEGER) FROM orefs)), ahead AS (SELECT o.* FROM orefs o JOIN one USING (issue_date))"""
 
 
 @query(f"""WITH {CASE} SELECT 'input' AS part, CAST(d.date - one.issue_date AS INTEGER) AS lead, d.date AS target_date, round(d.ap, 6) + 0.0 AS y, NULL AS fc, NULL AS persistence, NULL AS recurrence27 FROM one JOIN daily d ON d.date BETWEEN one.issue_date - 29 AND one.issue_date
@@ -173,10 +173,13 @@ def q_case_window(spark, sf_dir):
 FORECASTS = ["fc", "persistence", "recurrence27"]
 
 
-def case_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The outlook of the last issue up to a day, and that issue's date (one row)."""
+def case_of(spark, sf_dir, day: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The outlook of the last issue up to a day (the middle of the archive, if not given), and that issue's date (one row)."""
     o = outlook_with_refs(spark, sf_dir)
-    one = o.where("issue_date <= date'1999-06-30'").agg(F.max("issue_date").alias("issue_date"))
+    issues = o.select("issue_date").distinct()
+    ends = issues.agg(F.min("issue_date").alias("lo"), F.max("issue_date").alias("hi"))
+    upto = F.lit(day).cast("date") if day else F.expr("date_add(lo, cast(datediff(hi, lo) div 2 as int))")
+    one = issues.join(F.broadcast(ends.select(upto.alias("upto"))), F.col("issue_date") <= F.col("upto")).agg(F.max("issue_date").alias("issue_date"))  # one row
     return o.join(F.broadcast(one), "issue_date"), one
 
 
