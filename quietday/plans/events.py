@@ -321,7 +321,17 @@ def q_recurrent_case(spark, sf_dir):
     return shown.join(days, "date", "left_semi").groupBy("date").agg(r6(F.max("v")).alias("score"))
 
 
-@query()
+CASES = A.DAILY + """, c0 AS (SELECT date, max(struct_pack(ap := ap, early := DATE '2100-01-01' - date, day := date)) FILTER (ap IS NOT NULL) OVER o AS m, count(ap) OVER o AS n FROM daily WINDOW o AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING)),
+    c1 AS (SELECT date, m.ap AS peak, m.day - date AS lead, m.day AS peak_date FROM c0 WHERE n >= 55 AND dayofweek(date) = 1),
+    cases AS (SELECT *, CASE WHEN peak < 35 THEN 4 WHEN lead <= 7 THEN 1 WHEN lead <= 26 THEN 2 ELSE 3 END AS kind FROM c1), used0 AS (SELECT NULL::INTEGER AS kind, NULL::DATE AS date, NULL::DATE AS peak_date WHERE false)"""
+GREEDY = ", ".join(
+    f"""pick{k} AS (SELECT kind, date, peak_date FROM cases c WHERE kind = {k} AND NOT EXISTS (SELECT 1 FROM used{k - 1} u WHERE abs(c.peak_date - u.peak_date) <= 5) ORDER BY {"peak" if k == 4 else "-peak"}, date LIMIT 1),
+    used{k} AS (SELECT * FROM used{k - 1} UNION ALL SELECT * FROM pick{k})"""
+    for k in (1, 2, 3, 4)
+)
+
+
+@query(f"WITH {CASES}, {GREEDY} SELECT kind, date, peak_date FROM used4")
 def q_pick_cases(spark, sf_dir):
     """Per case type the best Monday whose peak is more than 5 days from peaks already used (a fold over few candidates)."""
     s = A.daily(spark, sf_dir)

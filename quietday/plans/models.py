@@ -31,15 +31,43 @@ def fit(samples: DataFrame, alpha: float) -> Ridge:
     return ridge_from_gram(gram(samples)[1], 5, alpha)
 
 
-@query()
+HISTORY_SQL = A.DAILY + """, lagged AS (SELECT * FROM (SELECT date, lag(ap, 4) OVER o AS x1, lag(ap, 3) OVER o AS x2, lag(ap, 2) OVER o AS x3, lag(ap, 1) OVER o AS x4, ap AS x5, lead(ap, 1) OVER o AS y FROM daily WINDOW o AS (ORDER BY date))
+    WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND x4 IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL)"""
+
+
+def ridge_sql(source: str, alphas: tuple[float, ...], k: int = 5) -> str:
+    """Common table expressions of which `fit` has alpha, w0 (the intercept) and w1 to wk: centred sums of `source` (x1 to xk, y), a Cholesky factor, and two substitutions."""
+    every = range(1, k + 1)
+    pairs = [(i, j) for i in every for j in range(1, i + 1)]
+    sums = [f"sum(x{i} * x{j}) - count(*) * avg(x{i}) * avg(x{j}) AS a{i}{j}" for i, j in pairs] + [f"sum(x{i} * y) - count(*) * avg(x{i}) * avg(y) AS b{i}" for i in every]
+    sums += [f"avg(x{i}) AS m{i}" for i in every] + ["avg(y) AS my"]
+    # each step names what the next one uses: a chain of one-row tables
+    steps = []
+    for j in every:
+        gone = "".join(f" - l{j}{c} * l{j}{c}" for c in range(1, j))
+        steps.append([f"sqrt(a{j}{j} + alpha{gone}) AS l{j}{j}"])
+        steps.append([f"(a{i}{j}{''.join(f' - l{i}{c} * l{j}{c}' for c in range(1, j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, k + 1)])
+    steps += [[f"(b{i}{''.join(f' - l{i}{c} * z{c}' for c in range(1, i))}) / l{i}{i} AS z{i}"] for i in every]
+    steps += [[f"(z{i}{''.join(f' - l{c}{i} * w{c}' for c in range(i + 1, k + 1))}) / l{i}{i} AS w{i}"] for i in reversed(every)]
+    steps = [x for x in [*steps, ["my" + "".join(f" - m{i} * w{i}" for i in every) + " AS w0"]] if x]
+    chain = ", ".join(f"{'fit' if n == len(steps) else f'fit{n}'} AS MATERIALIZED (SELECT *, {', '.join(x)} FROM fit{n - 1})" for n, x in enumerate(steps, 1))
+    return f"fit0 AS MATERIALIZED (SELECT * FROM (SELECT {', '.join(sums)} FROM {source}), (SELECT unnest([{', '.join(map(str, alphas))}]) AS alpha)), {chain}"
+
+
+PREDICTED = "w0 + w1 * x1 + w2 * x2 + w3 * x3 + w4 * x4 + w5 * x5"
+
+
+@query(f"""WITH {HISTORY_SQL}, tr AS (SELECT * FROM lagged WHERE date <= DATE '1998-12-31'), {ridge_sql("tr", (10.0,))}
+    SELECT date, round(y, 6) + 0.0 AS y, round({PREDICTED}, 6) + 0.0 AS yhat FROM lagged, fit WHERE date > DATE '1998-12-31'""")
 def q_ridge(spark, sf_dir):
-    """Closed-form ridge on the training years, applied to the others; tests compare with a NumPy solution."""
+    """Closed-form ridge on the training years, applied to the others."""
     s = lagged(spark, sf_dir)
     m = fit(s.where("date <= date'1998-12-31'"), 10.0)
     return s.where("date > date'1998-12-31'").select("date", r6(F.col("y")).alias("y"), r6(linear_predict(F.col("x"), m)).alias("yhat"))
 
 
-@query()
+@query(f"""WITH {HISTORY_SQL}, tr AS (SELECT * FROM lagged WHERE date <= DATE '1998-12-31'), {ridge_sql("tr", ALPHAS)},
+    e AS (SELECT alpha, round(avg(abs(y - ({PREDICTED}))), 6) + 0.0 AS mae FROM lagged, fit WHERE year(date) = 1999 GROUP BY 1) SELECT alpha, mae, row_number() OVER (ORDER BY mae, alpha) = 1 AS best FROM e""")
 def q_ridge_select(spark, sf_dir):
     """The error of each alpha on the validation year, and which is first best."""
     s = lagged(spark, sf_dir)
@@ -125,9 +153,12 @@ def q_fusion_arms(spark, sf_dir):
     return best.select("arm", "b.k", "b.alpha", r6(F.col("b.val")).alias("mae_val"), r6(F.col("b.test")).alias("mae_test"), "b.n")
 
 
-@query()
+@query(f"""WITH {A.DAILY}, w AS (SELECT date, list(ap) OVER o AS x, count(ap) OVER o AS n FROM daily WINDOW o AS (ORDER BY date ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)),
+    a AS (SELECT date, k, sqrt(pow(list_sum(list_transform(range(64), lambda i: x[i + 1] * cos(2 * pi() * k * i / 64))), 2) + pow(list_sum(list_transform(range(64), lambda i: x[i + 1] * sin(2 * pi() * k * i / 64))), 2)) AS a FROM w, range(1, 33) AS g(k) WHERE n = 64),
+    r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(a, 9) DESC, k) AS place FROM a)
+    SELECT date, CAST(place AS INTEGER) AS place, CAST(64 // k AS INTEGER) AS period, round(a, 6) + 0.0 AS amplitude FROM r WHERE place <= 3""")
 def q_fft_period(spark, sf_dir):
-    """The three strongest periods of each 64-day history; tests compare with NumPy."""
+    """The three strongest periods of each 64-day history."""
     x = F.collect_list("ap").over(series_window("date").rowsBetween(-63, 0))
     w = A.daily(spark, sf_dir).select("date", x.alias("x")).where(F.size("x") == 64)
     rows = w.select("date", F.posexplode(strongest_periods("x")).alias("place", "p"))

@@ -1,4 +1,4 @@
-"""Queries that SQL can't express, against NumPy on the same table."""
+"""Queries whose SQL is missing or roundabout, against NumPy on the same table."""
 
 import datetime as dt
 import math
