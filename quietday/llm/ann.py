@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue, exact distances.
 
-The forest is fitted on a bounded sample: each node splits at the median of the projections onto the
-difference of two sample points, and the depth follows from the number of rows. Every row of the table is put into
+Each node splits at the median of the projections onto the difference of two points, and the depth follows from the number
+of rows. The upper levels are fitted on a bounded sample; where the table asks for more, each of their cells fits the levels below it on its own share
+of a sample that grows with the table, side by side on the executors. The trees together are bounded in bytes. Every row of the table is put into
 one leaf of each tree. A query's leaves are taken best first from one queue over all trees, ordered by
 the largest margin that the way to a leaf crosses.
 
@@ -23,15 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.llm.common import cut, small_batches
 
 #: Trees, rows in a leaf (about), the share of the true neighbours to reach and the rows it is measured on.
 TREES, LEAF_ROWS, RECALL, PROBES = 4, 400, 0.965, 96
-#: Bounds of what the trees are fitted on, and rows of it that a leaf needs at least.
-SAMPLE_ROWS, SAMPLE_BYTES, LEAF_SAMPLE = 65_536, 64 << 20, 16
+#: Bounds of what the upper levels are fitted on, rows of a sample that a leaf needs at least, and bytes of all trees.
+SAMPLE_ROWS, SAMPLE_BYTES, LEAF_SAMPLE, FOREST_BYTES = 65_536, 64 << 20, 16, 256 << 20
 #: Bytes of the vectors, and of the queries, of a block at most (about), and of a table of distances.
 BLOCK_BYTES = 32 << 20
 
@@ -164,6 +165,45 @@ def depth_for(rows: int, sample: int) -> int:
     return max(0, min(levels(rows, LEAF_ROWS), levels(sample, LEAF_SAMPLE)))
 
 
+def deepened(top: Forest, index: DataFrame, total: int, depth: int, seed: int) -> Forest:
+    """The trees of `top` grown to `depth`: each of their cells fits its own levels, on about LEAF_SAMPLE rows of `index` for each new leaf.
+
+    A cell's rows of the sample come together in one task: about LEAF_SAMPLE << (depth - top.depth) of them, since cells are cut at medians.
+    Only the new nodes come to the driver, which FOREST_BYTES bounds.
+    """
+    trees, dims, more = len(top.thresholds), top.normals.shape[2], depth - top.depth
+    shared = index.sparkSession.sparkContext.broadcast(top)
+    wanted = min(total, LEAF_SAMPLE << depth)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = shared.value.leaves(matrix(b.column(1)))
+            got = b.take(pa.array(np.repeat(np.arange(b.num_rows), trees)))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), got.column(0), got.column(1)], ["cell", "vec_id", "v"])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")  # the same tree, however rows arrive
+        cell = rows.column("cell")[0].as_py()
+        own = grow(matrix(rows.column("v").combine_chunks()), 1, more, seed + 1 + cell)
+        return pa.table([pa.array([cell]), pa.array([own.normals[0].ravel()], pa.list_(pa.float64())), pa.array([own.thresholds[0]], pa.list_(pa.float64()))], ["cell", "normals", "thresholds"])
+
+    filed = draw(index, wanted, total, seed, "lower levels").mapInArrow(put, f"cell long, vec_id long, v {dict(index.dtypes)['v']}")
+    fitted = filed.groupBy("cell").applyInArrow(fit, "cell long, normals array<double>, thresholds array<double>")
+    rng = np.random.default_rng(seed)
+    normals, thresholds = np.zeros((trees, (1 << depth) - 1, dims)), np.zeros((trees, (1 << depth) - 1))
+    upper = (1 << top.depth) - 1
+    normals[:, :upper], thresholds[:, :upper] = top.normals, top.thresholds
+    # a cell of which the sample holds nothing splits at random
+    normals[:, upper:] = rng.standard_normal((1, (1 << depth) - 1 - upper, dims)) / np.sqrt(dims)
+    for cell, n, t in fitted.toLocalIterator():
+        tree, leaf = cell >> top.depth, cell & ((1 << top.depth) - 1)
+        n, t = np.reshape(n, (-1, dims)), np.asarray(t)
+        for level in range(more):
+            to, own = ((1 << top.depth + level) - 1) + (leaf << level), (1 << level) - 1
+            normals[tree, to : to + (1 << level)], thresholds[tree, to : to + (1 << level)] = n[own : own + (1 << level)], t[own : own + (1 << level)]
+    return Forest(normals, thresholds, depth)
+
+
 def draw(rows: DataFrame, most: int, total: int, seed: int, purpose: str) -> DataFrame:
     """About `most` of the rows (all, if there are no more), chosen by a hash of the id."""
     parts = 1 << 30
@@ -175,29 +215,30 @@ def visits_needed(index: DataFrame, probes: DataFrame, forest: Forest, k: int) -
     got = probes.toArrow()
     p_ids, p = got.column(0).to_numpy(), matrix(got.column(1).combine_chunks())
     order = {int(i): n for n, i in enumerate(p_ids)}
-    turn = np.stack([forest.turns(v) for v in p]) if len(p) else np.zeros((0, forest.cells))
-    shared = index.sparkSession.sparkContext.broadcast((p_ids, p, turn, forest))
+    shared = index.sparkSession.sparkContext.broadcast((p_ids, p, forest))
+    trees = len(forest.thresholds)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p_ids, p, turn, forest = shared.value
-        best = np.zeros((0, 4))  # probe, id, distance, leaves visited until it is met
-
-        def least(rows: np.ndarray) -> np.ndarray:
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-            first = np.searchsorted(rows[:, 0], rows[:, 0])
-            return rows[np.arange(len(rows)) - first < k]
-
+        p_ids, p, forest = shared.value
+        probe, near, far, cells = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, trees), np.int64)
         for b in batches:
             ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-            asked, at, far = nearest_in_block(ids, x, p_ids, p, k)
-            probe = np.array([order[int(i)] for i in asked], np.int64)
-            met = turn[probe[:, None], forest.leaves(x)[at]].min(1) if len(at) else np.zeros(0)
-            best = least(np.concatenate([best, np.stack([probe, at if not len(at) else ids[at], far, met], 1)]))
-        yield pa.RecordBatch.from_arrays([pa.array(best[:, 0].astype(np.int64)), pa.array(best[:, 1].astype(np.int64)), pa.array(best[:, 2]), pa.array(best[:, 3].astype(np.int64))], ["probe", "vec_id", "score", "met"])
-
-    seen = index.mapInArrow(scan, "probe long, vec_id long, score double, met long")
+            asked, at, away = nearest_in_block(ids, x, p_ids, p, k)
+            probe = np.concatenate([probe, np.array([order[int(i)] for i in asked], np.int64)])
+            near, far, cells = np.concatenate([near, ids[at]]), np.concatenate([far, away]), np.concatenate([cells, forest.leaves(x[at])])
+            by = np.lexsort((near, far, probe))
+            probe, near, far, cells = probe[by], near[by], far[by], cells[by]
+            least = np.arange(len(probe)) - np.searchsorted(probe, probe) < k
+            probe, near, far, cells = probe[least], near[least], far[least], cells[least]
+        yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(near), pa.array(far), pa.array(list(cells), pa.list_(pa.int64()))], ["probe", "vec_id", "score", "cells"])
+
+    seen = index.mapInArrow(scan, "probe long, vec_id long, score double, cells array<long>")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("score", "vec_id"))
-    return [r["met"] for r in seen.withColumn("rank", rank).where(F.col("rank") <= k).select("met").collect()]
+    met: list[int] = []
+    for r in seen.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("probe").agg(F.collect_list("cells").alias("cells")).collect():
+        turn = forest.turns(p[r["probe"]])
+        met += turn[np.array(r["cells"])].min(1).tolist()
+    return met
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -221,8 +262,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     index = cut(rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n"))
     sample_rows = min(sample_rows, SAMPLE_BYTES // (8 * dims))
     depth = depth_for(total, min(sample_rows, total))
+    whole = min(depth_for(total, total), int(np.log2(FOREST_BYTES / (8 * dims * trees))))
     sample = matrix(draw(index, sample_rows, total, seed, "forest").select("v").toArrow().column(0).combine_chunks())
     grown = grow(sample.reshape(-1, dims), trees if depth else 1, depth, seed)
+    if whole > depth:
+        grown = deepened(grown, index, total, whole, seed)
     forest = spark.sparkContext.broadcast(grown)
     needed = np.sort(visits_needed(index, draw(rows, PROBES, total, seed, "probes"), grown, k))
     most = int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else grown.cells
@@ -244,17 +288,15 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = TREES
     schema = f"cell long, vec_id long, v {dict(rows.dtypes)['v']}"
     filed, called = index.mapInArrow(put, schema), queries.mapInArrow(call, schema)
 
-    def blocks(side: DataFrame) -> Column:
-        """Into how many blocks each cell's rows go; a figure for each cell, and the forest has a bounded number of cells."""
-        sizes = {r["cell"]: r["n"] for r in side.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        per = max(1, BLOCK_BYTES // (8 * dims))
-        return F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(c, 0) // per))) for c in range(grown.cells)]), (F.col("cell") + 1).cast("int"))
-
-    of_rows, of_queries = blocks(filed), blocks(called)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = filed.withColumn("block", own(of_rows)).withColumn("q_block", each(of_queries))
-    right = called.withColumn("q_block", own(of_queries)).withColumn("block", each(of_rows))
+    per = max(1, BLOCK_BYTES // (8 * dims))
+    sizes = lambda side, name: side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    # into how many blocks each cell's rows and queries go: a row for each cell that has both, of which the forest has a bounded number
+    cells = F.broadcast(cut(sizes(filed, "of_rows").join(sizes(called, "of_queries"), "cell")))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cell", "vec_id", "v", "block", "q_block"]
+    left = filed.join(cells, "cell").withColumn("block", own("of_rows")).withColumn("q_block", each("of_queries")).select(*columns)
+    right = called.join(cells, "cell").withColumn("q_block", own("of_queries")).withColumn("block", each("of_rows")).select(*columns)
 
     def match(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]

@@ -145,6 +145,27 @@ def test_visits_follow_the_data(spark, structured):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.93
 
 
+def test_lower_levels_grow_inside_cells(spark, monkeypatch):
+    """50,000 rows with a sample that is good for a few levels only: leaves stay small, few of them are visited, neighbours are found."""
+    rng = np.random.default_rng(8)
+    n = 50_000
+    x = (rng.normal(size=(n, 12)) / 12 + rng.normal(size=(400, 12))[rng.integers(0, 400, n)]).astype(np.float32).astype(float)
+    ids = np.arange(n)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 100)
+    seen = []
+    real = ann.deepened
+    monkeypatch.setattr(ann, "deepened", lambda *a: seen.append((a[0].depth, real(*a))) or seen[-1][1])
+    got, want = found(ann.search(table(spark, ids, x), 500, 10, sample_rows=1000)), brute(ids, x, 500, 10)
+    (top, forest), = seen
+    assert (top, forest.depth) == (6, 9)
+    filed = np.bincount(forest.leaves(x).ravel(), minlength=forest.cells)
+    assert np.median(filed) < 200 and filed.max() < 2000 and filed.sum() == 4 * n
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+    rows = table(spark, ids, x).selectExpr("vec_id", "embedding AS v")
+    needed = np.sort(ann.visits_needed(rows, rows.where("vec_id % 1000 = 0"), forest, 10))
+    assert needed[int(0.95 * len(needed))] < 0.1 * forest.cells
+
+
 def test_doubles_stay_doubles(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.1, 0.0]), (2, [1e200, 0.0]), (3, [-1e200, 1e200]), (4, [1.0 + 2**-40, 0.0])]
     got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
