@@ -6,7 +6,8 @@
 gives one row for each file whose path below `path` the pattern matches as a whole: `name` (that path), a string column for each named
 group, and for each array its values as array<double>, flattened, and its shape. One partition reads a few files, a task holds one file
 at a time. A written row becomes the file that its `name` says; files are written beside and moved in place when all tasks have ended well, so a
-failed or repeated task leaves nothing behind and a file is never seen half written.
+failed or repeated task leaves nothing behind and a file is never seen half written. Paths are those that pyarrow opens: a folder that all
+machines mount, S3, or HDFS with its native library.
 """
 
 from __future__ import annotations
