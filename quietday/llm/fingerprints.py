@@ -28,6 +28,7 @@ PICKED = 1_000_000
 TURNS = 3
 #: A prime, and factors for checks and for the third row's places (fixed values, below 2^31).
 PRIME = 2_147_483_647
+LOW = (1 << 30) - 1
 CHECK, THIRD = (1_640_531_527, 1_013_904_223), (1_597_334_677, 741_103_597)
 
 _KEY = ["pair", "again"]
@@ -43,36 +44,29 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, digest))
 
 
-def _halves(key: Column) -> tuple[Column, Column]:
-    return F.shiftright(key, 30), key.bitwiseAND(F.lit((1 << 30) - 1))
+def _mixed(key: str, factors: tuple[int, int]) -> str:
+    return f"((shiftright({key}, 30) * {factors[0]}L + ({key} & {LOW}L) * {factors[1]}L) % {PRIME}L)"
 
 
-def _mixed(key: Column, factors: tuple[int, int]) -> Column:
-    high, low = _halves(key)
-    return (high * F.lit(factors[0]) + low * F.lit(factors[1])) % F.lit(PRIME)
-
-
-def check(key: Column) -> Column:
+def check(key: str) -> str:
+    """SQL of a digest's check. Expressions that are used at every step are SQL texts: they are parsed once, not put together call by call."""
     return _mixed(key, CHECK)
 
 
-def place(key: Column, row: int, cells: Column) -> Column:
-    """Which of the sketch's 3 * cells cells holds the digest in this row."""
-    high, low = _halves(key)
-    return cells * row + (low, high, _mixed(key, THIRD))[row] % cells
-
-
-def sketch(digests: Column, cells: int = FINGERPRINT_CELLS) -> Column:
-    """A small sketch as an array of (n, key, chk), built inside the row."""
-    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
-
-    def add(cell: Column, x: Column) -> Column:
-        return F.struct((cell["n"] + 1).alias("n"), cell["key"].bitwiseXOR(x).alias("key"), cell["chk"].bitwiseXOR(check(x)).alias("chk"))
+def place(key: str, row: int, cells: str) -> str:
+    """SQL: which of the sketch's 3 * cells cells holds the digest in this row."""
+    half = (f"({key} & {LOW}L)", f"shiftright({key}, 30)", _mixed(key, THIRD))[row]
+    return f"({cells} * {row}L + {half} % {cells})"
 
-    def cell(row: int, at: int) -> Column:
-        return F.aggregate(F.filter(digests, lambda x: place(x, row, F.lit(cells).cast("long")) == row * cells + at), nothing, add)
 
-    return F.array(*[cell(row, at) for row in range(3) for at in range(cells)])
+def sketch(digests: str, cells: int = FINGERPRINT_CELLS) -> Column:
+    """A small sketch of a column of digests as an array of (n, key, chk), built inside the row."""
+    # names that no column has
+    x, cell, sum_ = "x__", "cell__", "sum__"
+    at = f"element_at(array({', '.join(place(x, row, f'{cells}L') for row in range(3))}), CAST({cell} DIV {cells} AS INT) + 1)"
+    nothing = "named_struct('n', 0L, 'key', 0L, 'chk', 0L)"
+    add = f"named_struct('n', {sum_}.n + 1L, 'key', {sum_}.key ^ {x}, 'chk', {sum_}.chk ^ {check(x)})"
+    return F.expr(f"transform(sequence(0L, {3 * cells - 1}L), {cell} -> aggregate(filter({digests}, {x} -> {at} = {cell}), {nothing}, ({sum_}, {x}) -> {add}))")
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -92,37 +86,30 @@ def _peeled(cells: DataFrame, keys: list[str], turns: int, listed: bool) -> Data
     `cells` has keys, size, cell, found, n, key, chk, one row for each digest and place; other rows have a negative cell.
     """
     group = [*keys, "size", "cell", "found"]
-    size = F.col("size")
 
     def gathered(rows: DataFrame) -> DataFrame:
-        out = rows.groupBy(*group).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-        return out.where("cell < 0 or n <> 0 or key <> 0 or chk <> 0")
+        out = rows.groupBy(*group).agg(F.expr("sum(n) AS n"), F.expr("bit_xor(key) AS key"), F.expr("bit_xor(chk) AS chk"))
+        return out.where("cell < 0 OR n <> 0 OR key <> 0 OR chk <> 0")
 
     rows = gathered(cells)
     for turn in range(3 * turns):
         row = turn % 3
-        pure = (F.abs("n") == 1) & (F.col("chk") == check(F.col("key"))) & (F.col("cell") == place(F.col("key"), row, size)) & (F.col("cell") >= 0)
-        far = [place(F.col("key"), r, size) for r in range(3) if r != row]
-        nothing = F.lit(None).cast("long")
-        side = F.when(F.col("n") > 0, F.lit(-2)).otherwise(F.lit(-3)).cast("long")
-        rows = rows.withColumn("pure", pure)
-        kept = [F.when(F.col("pure"), side).otherwise(F.col("cell")), F.when(F.col("pure") & F.lit(listed), F.col("key")).otherwise(F.col("found")), F.when(F.col("pure"), F.lit(1).cast("long")).otherwise(F.col("n"))]
-        kept += [F.when(F.col("pure"), F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("key", "chk")]
-        out = [[F.when(F.col("pure"), x).otherwise(nothing), F.col("found"), -F.col("n"), F.col("key"), F.col("chk")] for x in far]
-        three = F.stack(F.lit(3), *kept, *out[0], *out[1]).alias("cell", "found", "n", "key", "chk")
-        rows = gathered(rows.select(*keys, "size", three).where(F.col("cell").isNotNull()))
+        pure = f"abs(n) = 1 AND chk = {check('key')} AND cell = {place('key', row, 'size')} AND cell >= 0"
+        # a digest found stands for itself, and leaves its two other cells
+        found = "IF(pure, key, found)" if listed else "found"
+        own = f"IF(pure, IF(n > 0, -2L, -3L), cell), {found}, IF(pure, 1L, n), IF(pure, 0L, key), IF(pure, 0L, chk)"
+        far = [f"IF(pure, {place('key', r, 'size')}, NULL), found, -n, key, chk" for r in range(3) if r != row]
+        three = f"stack(3, {own}, {far[0]}, {far[1]}) AS (cell, found, n, key, chk)"
+        rows = gathered(rows.selectExpr("*", f"{pure} AS pure").selectExpr(*keys, "size", three).where("cell IS NOT NULL"))
     return rows
 
 
 def _placed(elements: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each of the three cells of a digest; rows with a negative size pass once, in the cell of that number."""
-    x, size, nothing = F.col("key"), F.col("size"), F.lit(None).cast("long")
-    plain = size < 0
-    first = F.when(plain, size).otherwise(place(x, 0, size))
-    more = [F.when(plain, nothing).otherwise(place(x, r, size)) for r in (1, 2)]
-    rest = [F.lit(0).cast("long"), F.col("n"), x, check(x)]
-    placed = elements.select(*keys, "size", F.stack(F.lit(3), first, *rest, more[0], *rest, more[1], *rest).alias("cell", "found", "n", "key", "chk"))
-    return placed.where(F.col("cell").isNotNull())
+    rest = f"0L, n, key, {check('key')}"
+    cells = [f"IF(size < 0, {'size' if r == 0 else 'NULL'}, {place('key', r, 'size')})" for r in range(3)]
+    three = f"stack(3, {', '.join(f'{c}, {rest}' for c in cells)}) AS (cell, found, n, key, chk)"
+    return elements.selectExpr(*keys, "size", three).where("cell IS NOT NULL")
 
 
 def cells_for(digests: Column, grow: int = 1) -> Column:
@@ -133,7 +120,7 @@ def cells_for(digests: Column, grow: int = 1) -> Column:
 def differences(pairs: DataFrame, key: str, left: str, right: str, expected: Column | None = None, turns: int = TURNS) -> DataFrame:
     """key, left_only, right_only: the digests of two arrays of digests that the other lacks, by sketches, subtracted and peeled.
 
-    `expected` is how many are thought to differ (all, if not given); pairs that fail are tried again at twice the size, until none
+    `expected` is how many are thought to differ (all, if not given); pairs that fail are tried again at four times the size, until none
     fails. Keys tell rows apart. Null arrays are empty, repeated digests count once. An empty table gives no rows.
     """
     nothing = F.array().cast("array<long>")
@@ -156,7 +143,7 @@ def differences(pairs: DataFrame, key: str, left: str, right: str, expected: Col
         failed = found.where("left > 0").select("_key")
         if failed.isEmpty():
             return done
-        open_pairs, grow = cut(open_pairs.join(failed, "_key", "left_semi")), grow * 2
+        open_pairs, grow = cut(open_pairs.join(failed, "_key", "left_semi")), grow * 4
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,7 +196,7 @@ def _compared(pairs: DataFrame, grow: int, turns: int) -> DataFrame:
     """The rows of `pairs` with fingerprints and the likeness of both sketches; `open`: cells that remain."""
     a, b, c = (F.size(x) for x in "abc")
     facts = F.struct("times", "doc_id", "next_id", "n_chars", "edited_sha256", F.col("a_print").alias("fingerprint"), F.col("b_print").alias("edited_fingerprint"), a.alias("na"), b.alias("nb"), c.alias("nc"))
-    pairs = pairs.withColumn("a_print", written_out(sketch(F.col("a")))).withColumn("b_print", written_out(sketch(F.col("b"))))
+    pairs = pairs.withColumn("a_print", written_out(sketch("a"))).withColumn("b_print", written_out(sketch("b")))
     pairs = pairs.withColumn("facts", facts).withColumn("s0", cells_for(a + b, grow)).withColumn("s1", cells_for(a + c, grow))
     none = F.lit(None).cast(pairs.schema["facts"].dataType)
 
@@ -248,7 +235,7 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document's, in ascending order of doc_id, null ids first, equal ids by a hash of the text; after the last comes the first, and a
     single document comes after itself. Of repeated rows each but the last is followed by another of them. A fingerprint is a sketch of
     twelve cells in hex. Likeness is the Jaccard index of two texts' sets of paragraph digests, recovered by peeling sketches of a fitting
-    size, twice the size for pairs that failed, and so on; two texts without paragraphs are alike. Null text is empty and has none.
+    size, four times the size for pairs that failed, and so on; two texts without paragraphs are alike. Null text is empty and has none.
     A text is digested whole, however long. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -267,7 +254,7 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         failed = found.where("open > 0").select(*_KEY)
         if failed.isEmpty():
             break
-        grow *= 2
+        grow *= 4
         links = cut(links.join(failed, _KEY, "left_semi"))
         wanted = cut(links.select("pair").union(links.select("next")).distinct())
         # the texts of few pairs are picked out where they are read, without a shuffle of all texts

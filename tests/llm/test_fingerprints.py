@@ -82,5 +82,5 @@ def test_sketches_subtract(spark):
     a, b = [1, 2, 3, 1 << 59], [2, 3, 4]
     row = spark.createDataFrame([(a, b, [1, 1 << 59], [4])], "a array<long>, b array<long>, c array<long>, d array<long>")
     s = fingerprints.sketch
-    got = row.select(fingerprints.subtract(s(F.col("a")), s(F.col("b"))).alias("x"), fingerprints.subtract(s(F.col("c")), s(F.col("d"))).alias("y")).first()
+    got = row.select(fingerprints.subtract(s("a"), s("b")).alias("x"), fingerprints.subtract(s("c"), s("d")).alias("y")).first()
     assert got["x"] == got["y"]
