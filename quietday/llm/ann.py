@@ -225,7 +225,7 @@ def visits_needed(index: DataFrame, probes: DataFrame, forest: Forest, k: int) -
             ids, x = b.column(0).to_numpy(), matrix(b.column(1))
             asked, at, away = nearest_in_block(ids, x, p_ids, p, k)
             probe = np.concatenate([probe, np.array([order[int(i)] for i in asked], np.int64)])
-            near, far, cells = np.concatenate([near, ids[at]]), np.concatenate([far, away]), np.concatenate([cells, forest.leaves(x[at])])
+            near, far, cells = np.concatenate([near, ids[at]]), np.concatenate([far, away]), np.concatenate([cells, forest.leaves(x)[at]])
             by = np.lexsort((near, far, probe))
             probe, near, far, cells = probe[by], near[by], far[by], cells[by]
             least = np.arange(len(probe)) - np.searchsorted(probe, probe) < k
