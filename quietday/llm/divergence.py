@@ -50,7 +50,7 @@ def _counted(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator
         for at in range(0, len(terms), 1 << 16):
             some = terms[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())],
+                [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())],
                 ["lang", "source", "term", "n", "docs"],
             )
 
@@ -138,7 +138,7 @@ def _surplus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value += np.where(others > me, kept * np.abs(own - z), 0)
             keep = others != me
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["lang"]] * int(keep.sum())), pa.array(np.minimum(others, me)[keep]), pa.array(np.maximum(others, me)[keep]), pa.array(value[keep])], ["lang", "a", "b", "value"]
+                [pa.array([r["lang"]] * int(keep.sum()), pa.string()), pa.array(np.minimum(others, me)[keep]), pa.array(np.maximum(others, me)[keep]), pa.array(value[keep])], ["lang", "a", "b", "value"]
             )
 
 
@@ -152,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, at = np.unique(a << 32 | b, return_inverse=True)
         total = np.zeros(len(pairs), np.int64)
         np.add.at(total, at, value)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(pairs)), pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(total)], ["lang", "a", "b", "value"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(pairs), pa.string()), pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(total)], ["lang", "a", "b", "value"])
 
     for batch in batches:
         for lang, block, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
