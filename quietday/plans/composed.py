@@ -25,8 +25,9 @@ def json_lines(df: DataFrame, entry: Column, name: str, schema: str) -> DataFram
 
 
 def three(c: Column) -> Column:
-    """Three digits, or NA."""
-    return F.coalesce(F.lpad(F.floor(c).cast("string"), 3, "0"), F.lit("NA"))
+    """Three digits, more if the number needs them, or NA."""
+    whole = F.floor(c)
+    return F.when(whole.isNotNull(), F.format_string("%03d", whole)).otherwise("NA")
 
 
 def day(c: Column) -> Column:

@@ -3,7 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from quietday.plans.composed import three
+from quietday.plans.parsers import q_latest_issuance, q_rsga_leadk, q_rsga_parse
 from quietday.sources import files
 from quietday.sources.reports import activity_report, kp_forecast, outlook_45day
 
@@ -49,3 +52,21 @@ def test_bound_values_and_months(spark):
     assert [r["month"].month for r in got] == [11, 12, 1, 2] and got[-1]["end"] == dt.date(2024, 2, 29)
     with pytest.raises(Exception):
         files.sql_frame(spark, "select * from {t} where v = :missing", {"t": t}).collect()
+
+
+def test_reports_of_days_with_many_rows(spark, tmp_path):
+    """Days of 1,200 and 99,900 orders: numbers of more than three digits stand in the reports whole."""
+    v = spark.createDataFrame([(5.9,), (0.0,), (999.9,), (1000.0,), (123456.7,), (None,)], "v double")
+    assert [r[0] for r in v.select(three(F.col("v"))).collect()] == ["005", "000", "999", "1000", "123456", "NA"]
+    days = [(dt.date(1998, 5, 1), 1200), (dt.date(1998, 5, 3), 99_900)]
+    orders = [spark.range(n).select(F.lit(d).cast("timestamp_ntz").alias("o_orderdate"), (F.col("id") * 0 + 19_950_000.0).alias("o_totalprice")) for d, n in days]
+    orders[0].unionByName(orders[1]).write.parquet(str(tmp_path / "orders.parquet"))
+    want = {days[0][0]: (1290.0, 2000.0), days[1][0]: (99_990.0, 2000.0)}
+    rows = q_rsga_parse(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 * 2 * 5
+    for r in rows:
+        afr, ap = want.get(r["target_date"], (None, None))
+        early = r["lead"] == 0 and r["issue_time"] == "0100" and ap is not None
+        assert (r["afr"], r["ap"]) == (afr, ap + 1 if early else ap)
+    assert {(r["target_date"], r["afr"]) for r in q_rsga_leadk(spark, str(tmp_path)).collect() if r["afr"]} == {(days[1][0], 99_990.0)}
+    assert sum(r["afr"] == 1290.0 for r in q_latest_issuance(spark, str(tmp_path)).collect()) == 2
