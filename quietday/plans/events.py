@@ -9,7 +9,7 @@ from quietday.functions.columns import r6, safe_corr
 from quietday.operators.bootstrap import bootstrap_mean, bootstrap_mean_sql
 from quietday.operators.folds import merge_events
 from quietday.operators.grids import series_window
-from quietday.operators.joins import flag_days
+from quietday.operators.joins import flag_days, nearest_by_day
 from quietday.plans.features import daily_index
 from quietday.plans.registry import query
 from quietday.plans.samples import baselines
@@ -152,11 +152,9 @@ def q_flag_stats(spark, sf_dir):
 @query(f"""WITH {EVENTS} SELECT i.event_id AS shock_id, (SELECT min_by(c.event_id, (abs(epoch_us(c.ts - i.ts)), c.event_id)) FROM cme c WHERE c.day BETWEEN i.day - 2 AND i.day + 2) AS nearest_id FROM ips i""")
 def q_nearest_event(spark, sf_dir):
     """The event nearest in time to each shock, among those within two days; ties to the smaller id."""
-    i = catalog_of(spark, sf_dir, "signup", 2).select(F.col("event_id").alias("shock_id"), F.col("ts").alias("st"), F.explode(F.sequence(F.date_sub("day", 2), F.date_add("day", 2))).alias("day"))
-    c = catalog_of(spark, sf_dir, "error", 2).select("day", "event_id", "ts")
-    gap = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("st").cast("timestamp")))
-    j = i.join(c, "day", "left").withColumn("key", F.when(F.col("event_id").isNotNull(), F.struct(gap.alias("g"), "event_id")))
-    return j.groupBy("shock_id").agg(F.min("key").alias("m")).select("shock_id", F.col("m.event_id").alias("nearest_id"))
+    i = catalog_of(spark, sf_dir, "signup", 2).select(F.col("event_id").alias("shock_id"), "ts")
+    near = nearest_by_day(i, catalog_of(spark, sf_dir, "error", 2), "ts", "event_id", 2, "nearest_id")
+    return near.select("shock_id", "nearest_id")
 
 
 @query(f"""WITH {EVENTS}, l AS (SELECT i.event_id AS shock_id, unnest(string_split(concat_ws(';', i.event_id - 7, i.event_id - 3, i.event_id + 1), ';')) AS id FROM ips i)

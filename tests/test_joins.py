@@ -11,7 +11,7 @@ from quietday.functions import arrays as X
 from quietday.operators.folds import merge_events
 from quietday.operators.quantiles import exact_quantile
 from quietday.plans.models import stack7
-from quietday.operators.joins import flag_days, latest_before, nearest, with_predecessor
+from quietday.operators.joins import flag_days, latest_before, nearest, nearest_by_day, with_predecessor
 
 T = lambda h, m=0, s=0, d=1: dt.datetime(2024, 1, d, h, m, s)
 
@@ -180,3 +180,19 @@ def test_nearest_in_one_second_is_the_earliest(spark):
         sec = lambda f: int((f - t).total_seconds())  # noqa: B023, E731
         want = min((f for f in dense if abs(sec(f)) <= 180), key=lambda f: (abs(sec(f)), f))
         assert frame == want and offset == pytest.approx(sec(want) / 60)
+
+
+def test_nearest_by_day_equals_a_plain_search_without_pairs(spark):
+    """Dense and missing days, ties before and after, repeated targets and times that are null; no rows for pairs."""
+    rng = random.Random(7)
+    start = dt.datetime(2024, 1, 1)
+    when = lambda days: start + dt.timedelta(days=rng.choice(days), hours=rng.randrange(24), minutes=rng.choice([0, 30]))
+    events = [(i, when([0, 3, 4, 5, 12, 16])) for i in rng.sample(range(1000), 150)] + [(2000, None)]
+    shocks = [(i, when(range(-4, 20))) for i in range(200)] + [(7, start), (7, start), (8, None)]
+    e = spark.createDataFrame(events, "event_id long, ts timestamp_ntz").repartition(3)
+    for days in (1, 2):
+        got = nearest_by_day(spark.createDataFrame(shocks, "shock_id long, ts timestamp_ntz"), e, "ts", "event_id", days, "near")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Cartesian" not in plan
+        near = lambda t: min(((abs(x - t), i) for i, x in events if t and x and abs((x.date() - t.date()).days) <= days), default=(None, None))[1]  # noqa: B023, E731
+        assert sorted(map(str, ((r["shock_id"], r["ts"], r["near"]) for r in got.collect()))) == sorted(map(str, ((i, t, near(t)) for i, t in shocks)))
