@@ -2,8 +2,9 @@
 
 Rows are reduced to sums per block once. Which block a resample draws for each of its places is a hash of seed,
 resample and place, so draws need no state: any task makes them, and SQL makes the same ones. How often each resample draws each
-block is a matrix of weights, made in the worker; its product with the statistics of a key's blocks gives the sums of all
-resamples at once, so resamples are never joined with blocks, and neither weights nor resampled rows are shuffled.
+block is a row of weights, made in the worker; its product with the statistics of a key's blocks gives the sums of a
+resample, so resamples are never joined with blocks, and neither weights nor resampled rows are shuffled. A worker keeps the weights of few
+blocks as a matrix; those of many are made for one resample at a time, in tasks of some resamples each.
 """
 
 from __future__ import annotations
@@ -32,17 +33,43 @@ def block_statistics(pairs: DataFrame, date: str, y: str, a: str, b: str, keys:
     return pairs.groupBy(*(keys or []), block).agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])
 
 
-def _numbers(seed: int, resamples: int, size: int) -> np.ndarray:
-    """(resamples, size) of 32-bit numbers: the head of the md5 of seed, resample and place."""
-    digests = b"".join(hashlib.md5(f"{seed}:{r}:{s}".encode()).digest()[:4] for r in range(resamples) for s in range(size))
-    return np.frombuffer(digests, ">u4").reshape(resamples, size).astype(np.int64)
+#: Numbers made at once, and cells of a matrix of weights that a worker keeps.
+HASHES, KEPT = 65_536, 4_000_000
+
+
+def _numbers(seed: int, resample: int, size: int) -> np.ndarray:
+    """`size` 32-bit numbers: the head of the md5 of seed, resample and place."""
+    begun = hashlib.md5(f"{seed}:{resample}:".encode())
+
+    def head(place: int) -> bytes:
+        h = begun.copy()
+        h.update(b"%d" % place)
+        return h.digest()[:4]
+
+    parts = [b"".join([head(s) for s in range(at, min(at + HASHES, size))]) for at in range(0, size, HASHES)]
+    return np.frombuffer(b"".join(parts), ">u4").astype(np.int64)
+
+
+def _times_drawn(numbers: np.ndarray, size: int) -> np.ndarray:
+    """How often one resample draws each of `size` blocks, whose number is that of its places too."""
+    return np.bincount(numbers[:size] % size, minlength=size).astype(float)
 
 
 @lru_cache(maxsize=8)
 def draw_weights(seed: int, resamples: int, size: int) -> np.ndarray:
-    """(resamples, size): how often each resample draws each of `size` blocks, whose number is that of its places too."""
-    places = _numbers(seed, resamples, size) % size + size * np.arange(resamples)[:, None]
-    return np.bincount(places.ravel(), minlength=resamples * size).reshape(resamples, size).astype(float)
+    """(resamples, size): how often each resample draws each of `size` blocks."""
+    return np.stack([_times_drawn(_numbers(seed, r, size), size) for r in range(resamples)])
+
+
+def _drawn_sums(seed: int, low: int, high: int, tables: list[tuple[int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each table (size, places of its blocks, their sums) the sums of the resamples from `low` up to `high`, one resample at a time; tables share its numbers."""
+    out = [np.empty((high - low, values.shape[1])) for _, _, values in tables]
+    longest = max(size for size, _, _ in tables)
+    for r in range(low, high):
+        numbers = _numbers(seed, r, longest)
+        for sums, (size, at, values) in zip(out, tables, strict=True):
+            sums[r - low] = _times_drawn(numbers, size)[at] @ values
+    return out
 
 
 def _cc_of(s: dict[str, np.ndarray], x: str) -> np.ndarray:
@@ -63,12 +90,21 @@ STATISTICS: dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]] = {
 }
 
 
-def resampled(stats: DataFrame, keys: list[str], sums: list[str], statistics: list[str], resamples: int, seed: int, number_by: list[str] | None = None, whole: bool = False) -> DataFrame:
+def _statistic(name: str) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
+    """By name; `mean_` and the name of a value is the mean of that value, of several."""
+    if name in STATISTICS:
+        return STATISTICS[name]
+    of = name.removeprefix("mean_")
+    return lambda s: STATISTICS["mean"]({"v": s[f"v_{of}"], "n": s[f"n_{of}"]})
+
+
+def resampled(stats: DataFrame, keys: list[str], sums: list[str], statistics: list[str], resamples: int, seed: int, number_by: list[str] | None = None, whole: bool = False, slices: int = 1) -> DataFrame:
     """keys and, for each statistic, the central 95 % of its resamples ({name}_lo, {name}_hi), or with `whole` all of them as an array.
 
     Blocks are numbered for each key by itself, or for `number_by` (then keys share draws, and a key without a drawn block gets nothing for it).
-    One key's blocks (months or days of one comparison) come together as one row: they are bounded by the calendar. Resamples
-    for which a statistic isn't defined don't count in its interval, which is null if there are none.
+    One key's blocks come together as one row of a few numbers for each. Where they are bounded by the calendar (months or days of one comparison), one
+    slice will do; where there are more with more data, `slices` cuts the resamples into as many tasks, each of which draws one resample
+    at a time, for all keys. Resamples for which a statistic isn't defined don't count in its interval, which is null if there are none.
     """
     ship(stats.sparkSession)
     by = keys if number_by is None else number_by
@@ -79,17 +115,32 @@ def resampled(stats: DataFrame, keys: list[str], sums: list[str], statistics: li
     gathered = rows.groupBy(*keys, "size").agg(F.collect_list("i").alias("i"), *[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in sums])
     fields = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in statistics] if whole else [T.StructField(f"{n}_{end}", T.DoubleType()) for n in statistics for end in ("lo", "hi")]
 
-    @F.pandas_udf(T.StructType(fields))
-    def run(size: pd.Series, places: pd.Series, *columns: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, at, *values in zip(size, places, *columns, strict=True):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def draw(piece: pd.Series, size: pd.Series, places: pd.Series, *columns: pd.Series) -> pd.Series:
+        """The sums of each resample of a slice, one resample after the other."""
+        out, large = [None] * len(size), {}
+        for row, (k, n, at, *values) in enumerate(zip(piece, size, places, *columns, strict=True)):
             # in order of the blocks: sums then don't depend on how rows arrived
             order = np.argsort(at)
-            drawn = draw_weights(seed, resamples, int(n))[:, np.asarray(at)[order]] @ np.stack([np.asarray(v)[order] for v in values], axis=1)
-            sets = {c: drawn[:, k] for k, c in enumerate(sums)}
+            table = int(n), np.asarray(at)[order], np.stack([np.asarray(v)[order] for v in values], axis=1)
+            if slices == 1 and n * resamples <= KEPT:
+                out[row] = (draw_weights(seed, resamples, int(n))[:, table[1]] @ table[2]).ravel()
+            else:
+                large.setdefault(k, []).append((row, table))
+        for k, found in large.items():
+            drawn = _drawn_sums(seed, resamples * k // slices, resamples * (k + 1) // slices, [table for _, table in found])
+            for (row, _), x in zip(found, drawn, strict=True):
+                out[row] = x.ravel()
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(T.StructType(fields))
+    def summed(drawn: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in drawn:
+            sets = dict(zip(sums, np.asarray(x).reshape(resamples, len(sums)).T, strict=True))
             row = {}
             for name in statistics:
-                x = STATISTICS[name](sets)
+                x = _statistic(name)(sets)
                 good = x[~np.isnan(x)]
                 if whole:
                     row[name] = [None if v != v else float(v) for v in x]
@@ -98,8 +149,14 @@ def resampled(stats: DataFrame, keys: list[str], sums: list[str], statistics: li
             out.append(row)
         return pd.DataFrame(out, columns=[f.name for f in fields])
 
-    found = run("size", "i", *sums)
-    return gathered.select(*keys, found.alias("found")).select(*keys, "found.*")
+    if slices == 1:
+        drawn = gathered.select(*keys, draw(F.lit(0), "size", "i", *sums).alias("drawn"))
+    else:
+        pieces = gathered.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("piece")).repartitionById(slices, F.col("piece"))
+        pieces = pieces.select(*keys, F.struct("piece", draw("piece", "size", "i", *sums).alias("x")).alias("p"))
+        in_order = F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"])
+        drawn = pieces.groupBy(*keys).agg(F.flatten(in_order).alias("drawn"))
+    return drawn.select(*keys, summed("drawn").alias("found")).select(*keys, "found.*")
 
 
 def _cc(x: str) -> Column:
@@ -129,16 +186,23 @@ def block_bootstrap(pairs: DataFrame, date: str, y: str, a: str, b: str, keys: l
     return both.select(*keys, *[r6(F.col(c)).alias(c) if c.endswith(("lo", "hi")) else c for c in ("d_mae", "d_mae_lo", "d_mae_hi", "d_corr", "d_corr_lo", "d_corr_hi")], "significant", "n")
 
 
-def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """keys, mean, lo, hi of the mean of `value`, whole blocks resampled.
+def bootstrap_means(rows: DataFrame, values: list[str], block: Column, keys: list[str], resamples: int = 2000, seed: int = 0, slices: int = 1) -> DataFrame:
+    """keys and, for each value, its mean and the central 95 % of the means of resamples of whole blocks ({value}_lo, {value}_hi).
 
     A block of its own for each row gives the plain bootstrap; months the block bootstrap; days of several
-    rows that of a days x bins table.
+    rows that of a days x bins table. Values share the draws.
     """
-    stats = cut(rows.groupBy(*keys, block.alias("block")).agg(F.sum(value).alias("v"), F.count(value).cast("double").alias("n")))
-    point = stats.groupBy(*keys).agg(r6(F.sum("v") / F.sum("n")).alias("mean"))
-    spans = resampled(stats, keys, ["v", "n"], ["mean"], resamples, seed)
-    return point.join(spans.select(*keys, r6(F.col("mean_lo")).alias("lo"), r6(F.col("mean_hi")).alias("hi")), keys)
+    of = [c for v in values for c in (F.sum(v).alias(f"v_{v}"), F.count(v).cast("double").alias(f"n_{v}"))]
+    stats = cut(rows.groupBy(*keys, block.alias("block")).agg(*of))
+    point = stats.groupBy(*keys).agg(*[r6(F.sum(f"v_{v}") / F.sum(f"n_{v}")).alias(v) for v in values])
+    spans = resampled(stats, keys, [f"{s}_{v}" for v in values for s in "vn"], [f"mean_{v}" for v in values], resamples, seed, slices=slices)
+    rounded = spans.select(*keys, *[r6(F.col(f"mean_{v}_{end}")).alias(f"{v}_{end}") for v in values for end in ("lo", "hi")])
+    return point.join(rounded, keys).select(*keys, *[c for v in values for c in (v, f"{v}_lo", f"{v}_hi")])
+
+
+def bootstrap_mean(rows: DataFrame, value: str, block: Column, keys: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """keys, mean, lo, hi of the mean of one value."""
+    return bootstrap_means(rows, [value], block, keys, resamples, seed).withColumnsRenamed({value: "mean", f"{value}_lo": "lo", f"{value}_hi": "hi"})
 
 
 # The same in SQL, as common table expressions: `source` has the keys, a date and y, a, b (or a block and v).

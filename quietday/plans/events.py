@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietday.functions.columns import r6, safe_corr
-from quietday.operators.bootstrap import bootstrap_mean, bootstrap_mean_sql
+from quietday.operators.bootstrap import bootstrap_mean_sql, bootstrap_means
 from quietday.operators.folds import merge_events
 from quietday.operators.grids import series_window
 from quietday.operators.joins import flag_days, nearest_by_day
@@ -69,15 +69,6 @@ def with_first_seed(f3: DataFrame) -> DataFrame:
     return f3.groupBy("issue_date", "lead_step_3h", "target_day_k").agg(F.avg(p).alias("p"), F.max("observed_ap").alias("y"), F.max(F.when(F.col("seed") == 0, p)).alias("p0"))
 
 
-def with_intervals(rows: DataFrame, values: list[str], block: str, keys: list[str], resamples: int = 2000) -> DataFrame:
-    """keys and, for each value, its mean and the central 95 % of the means of resampled blocks ({value}_lo, {value}_hi)."""
-    out = None
-    for v in values:
-        one = bootstrap_mean(rows, v, F.col(block), keys, resamples).withColumnsRenamed({"mean": v, "lo": f"{v}_lo", "hi": f"{v}_hi"})
-        out = one if out is None else out.join(one, keys)
-    return out
-
-
 def intervals_sql(source: str, values: list[str], block: str, keys: list[str], resamples: int = 2000) -> tuple[str, str, str]:
     """Common table expressions, the joins that add them to a table with the keys, and the columns."""
     ks = ", ".join(keys)
@@ -115,7 +106,7 @@ def q_event_type(spark, sf_dir):
     )
     p, y, p0 = F.avg("p"), F.avg("y"), F.avg("p0")
     gaps = b.groupBy("issue_date", *by, "date").agg((F.abs(p - y) - F.abs(p0 - y)).alias("d_mae_day"), (F.avg(F.abs(F.col("p") - F.col("y"))) - F.avg(F.abs(F.col("p0") - F.col("y")))).alias("d_mae_3h"))
-    return days.where("n_days >= 5").join(inner, by).join(with_intervals(gaps, ["d_mae_day", "d_mae_3h"], "date", by), by)
+    return days.where("n_days >= 5").join(inner, by).join(bootstrap_means(gaps, ["d_mae_day", "d_mae_3h"], F.col("date"), by), by)
 
 
 @query(f"""WITH {DAYS30}, runs AS (SELECT ts - INTERVAL 40 HOUR AS done, ts AS arrival, {K} AS kp FROM events WHERE event_type = 'error' AND {K} < 10), t AS (SELECT date, CAST(k AS INTEGER) AS k FROM d30, generate_series(1, 3) AS g(k))
@@ -225,6 +216,9 @@ def q_storm_errors(spark, sf_dir):
     return storm_errors(spark, sf_dir).drop("d_mae", "d_detect").withColumns({"mae": r6(F.col("mae")), "amp": r6(F.col("amp"))})
 
 
+#: Tasks that draw resamples of shocks, of which there are more with more data.
+SLICES = 24
+
 STORM_GAPS, STORM_JOINS, STORM_COLUMNS = intervals_sql("sf", ["d_mae", "d_detect"], "shock_id", ["class"])
 
 
@@ -240,7 +234,7 @@ def q_storm_stats(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), median("amp").alias("peak_amp_err_median"), r6(F.avg(F.col("detected").cast("double"))).alias("detect"),
         median("peak_h").alias("peak_time_err_median"), median("onset_h").alias("onset_err_median"), F.count_if(F.col("onset_h") < 0).alias("early"),
     )
-    return stats.join(with_intervals(e, ["d_mae", "d_detect"], "shock_id", ["class"]), "class")
+    return stats.join(bootstrap_means(e, ["d_mae", "d_detect"], F.col("shock_id"), ["class"], slices=SLICES), "class")
 
 
 ARRIVAL_GAPS, ARRIVAL_JOINS, ARRIVAL_COLUMNS = intervals_sql("ag", ["d_mae", "d_bias", "d_rise"], "shock_id", ["lead_group"])
@@ -279,7 +273,7 @@ def q_pre_arrival(spark, sf_dir):
     means = s.groupBy("lead_group").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("mae")).alias("mae"), r6(F.avg("bias")).alias("me"), r6(F.avg("obs_rise")).alias("obs_rise"), r6(F.avg("rise")).alias("rise"), r6(F.avg(F.col("detected").cast("double"))).alias("detect")
     )
-    return means.join(with_intervals(s, ["d_mae", "d_bias", "d_rise"], "shock_id", ["lead_group"]), "lead_group")
+    return means.join(bootstrap_means(s, ["d_mae", "d_bias", "d_rise"], F.col("shock_id"), ["lead_group"], slices=SLICES), "lead_group")
 
 
 @query(f"""WITH {ENS} SELECT issue_date + target_day_k AS valid_date, target_day_k, CAST((lead_step_3h - 1) % 8 AS INTEGER) AS bin, round(p, 6) + 0.0 AS p FROM ens WHERE target_day_k = 2""")

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quietday.functions import distributions as D
 from quietday.operators import bootstrap
@@ -98,3 +100,32 @@ def test_undefined_resamples_do_not_count(spark):
     whole = bootstrap.resampled(stats, ["k"], ["v", "n"], ["mean"], 20, 0, whole=True).where("k = 'x'").first()["mean"]
     assert len(whole) == 20 and set(whole) <= {2.0, None}
     assert bootstrap.resampled(stats.limit(0), ["k"], ["v", "n"], ["mean"], 20, 0).count() == 0
+
+
+def test_slices_give_the_same_intervals(spark):
+    """Keys of different sizes, of which one lacks blocks for one of two values, in one slice and in several, with kept weights and without."""
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(rng.normal()), float(rng.normal()) if i % 3 else None) for k, n in (("a", 40), ("b", 7), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, u double, w double").repartition(3)
+    of = lambda slices: {r["k"]: r.asDict() for r in bootstrap.bootstrap_means(df, ["u", "w"], F.col("i"), ["k"], 90, 0, slices).collect()}
+    one, many = of(1), of(7)
+    assert list(one) and one.keys() == many.keys() and list(one["a"]) == ["k", "u", "u_lo", "u_hi", "w", "w_lo", "w_hi"]
+    for k in one:
+        assert all(one[k][c] == many[k][c] or one[k][c] == pytest.approx(many[k][c], abs=2e-6) for c in one[k])
+    for v in ("u", "w"):
+        alone = {r["k"]: (r["mean"], r["lo"], r["hi"]) for r in bootstrap.bootstrap_mean(df, v, F.col("i"), ["k"], 90).collect()}
+        assert alone == {k: (r[v], r[f"{v}_lo"], r[f"{v}_hi"]) for k, r in one.items()}
+    assert one["c"]["w"] is None and one["c"]["w_lo"] is None
+    assert bootstrap.bootstrap_means(df.limit(0), ["u"], F.col("i"), ["k"], 90, 0, 7).count() == 0
+
+
+def test_weights_of_many_blocks_are_not_kept():
+    """Memory grows with the blocks and not with blocks times resamples; the sums are those of the matrix."""
+    n, values = 60_000, np.random.default_rng(1).normal(size=(60_000, 2))
+    small = values[:500]
+    tracemalloc.start()
+    large, few = bootstrap._drawn_sums(0, 3, 23, [(n, np.arange(n), values), (500, np.arange(500), small)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n * 8 and large.shape == (20, 2)  # a matrix of the weights alone has as much; hashes as objects six times that
+    assert few == pytest.approx(bootstrap.draw_weights(0, 23, 500)[3:] @ small)
